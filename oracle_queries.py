@@ -54,3 +54,255 @@ SQL["scan_parquet"] = with_base(
 )
 
 SQL["split_stratified"] = with_base("SELECT row_id, Outcome, split FROM spl")
+
+RAW = ["Pregnancies", "Glucose", "BloodPressure", "SkinThickness", "Insulin", "BMI", "DiabetesPedigreeFunction", "Age"]
+ZM = ["Glucose", "BloodPressure", "SkinThickness", "Insulin", "BMI"]
+DERIVED = ["glucose_bmi_interaction", "glucose_insulin_interaction", "glucose_pregnancies_interaction"]
+CATS = ["age_category", "bmi_category", "glucose_category", "age_bmi_category", "age_glucose_category", "insulin_category"]
+ORDERS = {
+    "age_category": ["mature", "senior"],
+    "bmi_category": ["underweight", "healthy", "overweight", "obese"],
+    "glucose_category": ["normal", "prediabetes", "diabetes"],
+    "age_bmi_category": ["underweight_mature", "underweight_senior", "healthy_mature", "healthy_senior",
+                         "overweight_mature", "overweight_senior", "obese_mature", "obese_senior"],
+    "age_glucose_category": ["low_mature", "low_senior", "normal_mature", "normal_senior", "hidden_mature",
+                             "hidden_senior", "high_mature", "high_senior"],
+    "insulin_category": ["normal", "abnormal"],
+}
+
+
+def _feat_select(src: str) -> str:
+    bmi = ("CASE WHEN BMI IS NULL OR BMI < 0 THEN 'nan' WHEN BMI <= 18.5 THEN 'underweight' WHEN BMI <= 24.9 "
+           "THEN 'healthy' WHEN BMI <= 29.9 THEN 'overweight' WHEN BMI <= CAST('inf' AS DOUBLE) THEN 'obese' ELSE 'nan' END")
+    glu = ("CASE WHEN Glucose IS NULL OR Glucose < 0 THEN 'nan' WHEN Glucose <= 140 THEN 'normal' WHEN Glucose <= 200 "
+           "THEN 'prediabetes' WHEN Glucose <= 300 THEN 'diabetes' ELSE 'nan' END")
+    age = "CASE WHEN Age >= 50 THEN 'senior' ELSE 'mature' END"
+    band = ("CASE WHEN Glucose < 70 THEN 'low' WHEN Glucose >= 70 AND Glucose < 100 THEN 'normal' "
+            "WHEN Glucose >= 100 AND Glucose <= 125 THEN 'hidden' ELSE 'high' END")
+    return (f"SELECT *, Glucose*BMI/CAST(1000 AS DOUBLE) AS glucose_bmi_interaction, Glucose*Insulin AS glucose_insulin_interaction, "
+            f"Glucose*Pregnancies AS glucose_pregnancies_interaction, {age} AS age_category, {bmi} AS bmi_category, "
+            f"{glu} AS glucose_category, ({bmi}) || '_' || ({age}) AS age_bmi_category, ({band}) || '_' || ({age}) AS age_glucose_category, "
+            f"CASE WHEN Insulin BETWEEN 16 AND 166 THEN 'normal' ELSE 'abnormal' END AS insulin_category FROM {src}")
+
+
+PREP = [
+    "zm AS (SELECT * REPLACE (" + ", ".join(f"NULLIF({c}, 0) AS {c}" for c in ZM) + ") FROM spl)",
+    "med AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in ZM) + " FROM zm WHERE split = 'train')",
+    "imp AS (SELECT zm.* REPLACE (" + ", ".join(f"COALESCE({c}, m_{c}) AS {c}" for c in ZM) + ") FROM zm CROSS JOIN med)",
+    "capq AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.05) AS lo_{c}, quantile_cont({c}, 0.95) AS hi_{c}" for c in RAW)
+    + " FROM imp WHERE split = 'train')",
+    "caps AS (SELECT " + ", ".join(f"lo_{c} - 1.5*(hi_{c}-lo_{c}) AS l_{c}, hi_{c} + 1.5*(hi_{c}-lo_{c}) AS u_{c}" for c in RAW)
+    + " FROM capq)",
+    "capped AS (SELECT imp.* REPLACE (" + ", ".join(
+        f"CASE WHEN {c} IS NULL THEN NULL ELSE LEAST(GREATEST({c}, l_{c}), u_{c}) END AS {c}" for c in RAW)
+    + ") FROM imp CROSS JOIN caps)",
+    "feat AS (" + _feat_select("capped") + ")",
+]
+FRAW = ["fr0 AS (SELECT * REPLACE (" + ", ".join(f"NULLIF({c}, 0) AS {c}" for c in ZM) + ") FROM cohort)",
+        "fr AS (" + _feat_select("fr0") + ")"]
+
+
+def _sig(intercept, pairs):
+    z = f"{intercept}" + "".join(f" + {w}*{f}" for f, w in pairs)
+    return f"round(1/(1+exp(-({z}))), 9)"
+
+
+MODELS = [
+    ("fixed_logistic", -5.2, [("Glucose", 0.02), ("BMI", 0.03), ("Age", 0.01)]),
+    ("glucose_age", -4.6, [("Glucose", 0.025), ("Age", 0.012)]),
+    ("bmi_age_preg", -3.9, [("BMI", 0.05), ("Age", 0.02), ("Pregnancies", 0.05)]),
+]
+SC_ALL = "sc AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS model_name, split, row_id, Outcome AS y, {_sig(i, w)} AS p FROM spl" for n, i, w in MODELS) + ")"
+SC_FIXED = "sc AS (" + f"SELECT 'fixed_logistic' AS model_name, split, row_id, Outcome AS y, {_sig(*MODELS[0][1:])} AS p FROM spl" + ")"
+
+
+def sd(a, b):
+    return f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE)/({b}) END)"
+
+
+def thr_metrics_from_counts(src: str, keys: str, fnc="1.0", fpc="1.0", extra="") -> str:
+    """SELECT of rates from a relation with tn, fp, fn, tp, n, sum_p."""
+    r = lambda e: f"round({e}, 9)"
+    prec, rec = sd("tp", "tp+fp"), sd("tp", "tp+fn")
+    return (
+        f"SELECT {keys}, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp, "
+        f"{r(sd('tp+tn', 'n'))} AS accuracy, {r(prec)} AS precision, {r(rec)} AS recall, "
+        f"{r(sd('tn', 'tn+fp'))} AS specificity, "
+        f"{r(f'CASE WHEN {prec}+{rec} = 0 THEN 0.0 ELSE 2*{prec}*{rec}/({prec}+{rec}) END')} AS f1, "
+        f"{r(sd('fp', 'fp+tn'))} AS false_positive_rate, {r(sd('fn', 'fn+tp'))} AS false_negative_rate, "
+        f"{r(sd('tp+fp', 'n'))} AS positive_prediction_rate, {r(sd('tp+fn', 'n'))} AS positive_prevalence, "
+        f"{r(sd('tn', 'n'))} AS tn_share, {r(sd('fp', 'n'))} AS fp_share, {r(sd('fn', 'n'))} AS fn_share, "
+        f"{r(sd('tp', 'n'))} AS tp_share, {r(sd('sum_p', 'n'))} AS mean_risk_score, "
+        f"{r(f'fn*{fnc} + fp*{fpc}')} AS expected_cost, {r(sd(f'fn*{fnc} + fp*{fpc}', 'n'))} AS expected_cost_per_sample{extra} "
+        f"FROM {src}"
+    )
+
+
+def counts_at(t: str, src="sc", keys="model_name, split") -> str:
+    return (f"SELECT {keys}, sum(CASE WHEN p >= {t} AND y = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS fp, "
+            f"sum(CASE WHEN p >= {t} AND y = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS tp, "
+            f"sum(CASE WHEN p < {t} AND y = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS tn, "
+            f"sum(CASE WHEN p < {t} AND y = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS fn, sum(p) AS sum_p, count(*)*1.0::DOUBLE AS n "
+            f"FROM {src} GROUP BY {keys}")
+
+
+CELLS = ("cells AS (SELECT model_name, split, y, round(LEAST(GREATEST(p, 1e-6), 1-1e-6), 9) AS p, count(*)*1.0 AS w "
+         "FROM sc GROUP BY ALL)")
+AUC = ("auc AS (SELECT model_name, split, round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN "
+       "sum(pos*(cneg + 0.5*neg))/(sum(pos)*sum(neg)) END, 9) AS roc_auc FROM ("
+       "SELECT *, COALESCE(sum(neg) OVER (PARTITION BY model_name, split ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cneg "
+       "FROM (SELECT model_name, split, p, sum(CASE WHEN y=1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y=0 THEN w ELSE 0 END) AS neg "
+       "FROM cells GROUP BY ALL) a) b GROUP BY model_name, split)")
+BRIER = ("bl AS (SELECT model_name, split, round(sum(w*(p-y)*(p-y))/sum(w), 9) AS brier, "
+         "round(sum(w*-(y*ln(p)+(1-y)*ln(1-p)))/sum(w), 9) AS log_loss FROM cells GROUP BY model_name, split)")
+
+
+def calib_ctes(keys="model_name, split", src="cells", iters=8) -> list[str]:
+    ctes = [f"cb AS (SELECT {keys}, ln(p/(1-p)) AS x, sum(CASE WHEN y=1 THEN w ELSE 0 END) AS pos, sum(w) AS n FROM {src} GROUP BY ALL)",
+            f"it0 AS (SELECT {keys}, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, (sum(pos) > 0 AND sum(pos) < sum(n)) AS ok FROM cb GROUP BY {keys})"]
+    kj = " AND ".join(f"cb.{k.strip()} = it.{k.strip()}" for k in keys.split(","))
+    for i in range(1, iters + 1):
+        q = f"SELECT cb.*, it.a, it.b, it.ok, 1/(1+exp(-(it.a + it.b*cb.x))) AS s FROM cb JOIN it{i-1} it ON {kj}"
+        g = (f"SELECT {keys}, a, b, ok, sum(pos - n*s) AS g0, sum((pos - n*s)*x) AS g1, sum(n*s*(1-s)) AS h00, "
+             f"sum(n*s*(1-s)*x) AS h01, sum(n*s*(1-s)*x*x) AS h11 FROM ({q}) q GROUP BY {keys}, a, b, ok")
+        ctes.append(
+            f"it{i} AS (SELECT {keys}, CASE WHEN ok THEN a + COALESCE((h11*g0 - h01*g1)/NULLIF(h00*h11 - h01*h01, 0), 0) ELSE 0.0 END AS a, "
+            f"CASE WHEN ok THEN b + COALESCE((h00*g1 - h01*g0)/NULLIF(h00*h11 - h01*h01, 0), 0) ELSE 1.0 END AS b, ok FROM ({g}) gg)"
+        )
+    ctes.append(f"cal AS (SELECT {keys}, round(b, 7) AS calibration_slope, round(a, 7) AS calibration_intercept, "
+                f"round(abs(b-1), 7) AS calibration_slope_error, round(abs(a), 7) AS calibration_intercept_abs FROM it{iters})")
+    return ctes
+
+
+GRID = [round(0.1 + i * 0.05, 10) for i in range(17)]
+GRID_SQL = "[" + ", ".join(repr(t) for t in GRID) + "]::DOUBLE[]"
+
+SQL["split_random"] = with_base(
+    "SELECT row_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'validation' ELSE 'test' END AS split FROM ("
+    "SELECT row_id, ((instr('0123456789abcdef', substr(hr,1,1))-1)*4096 + (instr('0123456789abcdef', substr(hr,2,1))-1)*256"
+    " + (instr('0123456789abcdef', substr(hr,3,1))-1)*16 + (instr('0123456789abcdef', substr(hr,4,1))-1)) / CAST(65536 AS DOUBLE) AS u "
+    "FROM (SELECT row_id, md5(concat('42:random_split:', CAST(row_id AS VARCHAR))) AS hr FROM cohort) a) b"
+)
+SQL["split_report"] = with_base(
+    "SELECT d.split_order, d.split, round(d.r, 6) AS requested_ratio, round(COALESCE(c.rows, 0) / CAST(sum(COALESCE(c.rows, 0)) OVER () AS DOUBLE), 6) AS observed_ratio, "
+    "CAST(COALESCE(c.rows, 0) AS BIGINT) AS rows, 'stratified_random' AS strategy_requested, 'stratified_random' AS strategy_resolved, "
+    "false AS fallback, CAST(NULL AS VARCHAR) AS fallback_reason FROM "
+    "(VALUES (1, 'train', 0.7::DOUBLE), (2, 'validation', 0.15::DOUBLE), (3, 'test', 0.15::DOUBLE)) d(split_order, split, r) "
+    "LEFT JOIN (SELECT split, count(*) AS rows FROM spl GROUP BY split) c ON c.split = d.split"
+)
+SQL["kfold_stratified"] = with_base(
+    "SELECT row_id, Outcome, CAST((row_number() OVER (PARTITION BY Outcome ORDER BY md5(concat('42:fold:', CAST(row_id AS VARCHAR))), row_id) - 1) % 4 + 1 AS INTEGER) AS fold_id "
+    "FROM spl WHERE split IN ('train', 'validation')"
+)
+SQL["sample_n"] = with_base(
+    "SELECT row_id, Glucose, Outcome FROM spl WHERE split = 'validation' ORDER BY md5(concat('42:sample:', CAST(row_id AS VARCHAR))), row_id LIMIT 128"
+)
+SQL["select_roles"] = with_base("SELECT row_id, Outcome, " + ", ".join(f"round({c}, 9) AS {c}" if c == "BMI" else c for c in RAW) + " FROM cohort")
+SQL["clean_coerce"] = with_base(
+    "SELECT * FROM (SELECT " + ", ".join(
+        f"CAST(sum(CASE WHEN TRY_CAST({'CASE WHEN Glucose = 0 THEN $$$$ ELSE CAST(Glucose AS VARCHAR) END' if c == 'Glucose' else f'CAST({c} AS VARCHAR)'} AS DOUBLE) IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS {c}"
+        for c in RAW) + " FROM cohort) UNPIVOT (replaced FOR feature IN (" + ", ".join(RAW) + "))"
+).replace("$$$$", "''")
+SQL["zero_as_missing"] = with_base("SELECT row_id, " + ", ".join(f"round(NULLIF({c}, 0), 9) AS {c}" if c == "BMI" else f"NULLIF({c}, 0) AS {c}" for c in ZM) + " FROM cohort")
+SQL["feature_build"] = with_base("SELECT row_id, " + ", ".join(f"round({c}, 9) AS {c}" for c in DERIVED) + ", " + ", ".join(CATS) + " FROM fr", *FRAW)
+SQL["interactions"] = with_base("SELECT " + ", ".join(f"round(sum({c}), 9) AS sum_{c}" for c in DERIVED) + ", "
+                                + ", ".join(f"count({c}) AS n_{c}" for c in DERIVED) + " FROM fr", *FRAW)
+SQL["bin_cut"] = with_base("SELECT bmi_category, glucose_category, count(*) AS n FROM fr GROUP BY ALL", *FRAW)
+for _k, _c in [("threshold_category", "age_category"), ("cross_category", "age_bmi_category"),
+               ("cascade_band", "age_glucose_category"), ("range_flag", "insulin_category")]:
+    SQL[_k] = with_base(f"SELECT {_c} AS category, count(*) AS n FROM fr GROUP BY ALL", *FRAW)
+SQL["impute_stat"] = with_base("SELECT row_id, split, " + ", ".join(f"round({c}, 9) AS {c}" for c in ZM) + " FROM imp", *PREP[:3])
+SQL["fit_robust_scale"] = with_base(
+    "SELECT feature, round(q[2], 9) AS median, round(CASE WHEN q[3]-q[1] = 0 THEN 1.0 ELSE q[3]-q[1] END, 9) AS iqr FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, quantile_cont({c}, [0.25, 0.5, 0.75]) AS q FROM zm WHERE split = 'train'" for c in ZM)
+    + ")", PREP[0])
+SQL["fit_caps"] = with_base(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(l_{c}, 9) AS lower, round(u_{c}, 9) AS upper FROM caps" for c in RAW), *PREP[:5])
+SQL["clip_caps"] = with_base("SELECT row_id, " + ", ".join(f"round({c}, 9) AS {c}" for c in RAW) + " FROM capped", *PREP[:6])
+SQL["split_filter"] = with_base("SELECT split, count(*) AS n, round(avg(Glucose), 9) AS avg_glucose FROM spl WHERE split IN ('train','validation') GROUP BY split")
+SQL["fit_onehot"] = with_base(
+    "SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY category) AS INTEGER) AS position, category FROM ("
+    + " UNION ".join(f"SELECT DISTINCT '{c}' AS feature, COALESCE({c}, 'nan') AS category FROM feat WHERE split = 'train'" for c in CATS) + ")",
+    *PREP)
+SQL["transform_onehot"] = with_base(
+    "SELECT split, " + ", ".join(f"sum(CASE WHEN COALESCE({c}, 'nan') = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS {c}_{v}"
+                                 for c in CATS for v in ORDERS[c][1:]) + " FROM feat GROUP BY split", *PREP)
+NUM11 = RAW + DERIVED
+SQL["fit_standard"] = with_base(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(CASE WHEN stddev_pop({c}) = 0 OR stddev_pop({c}) IS NULL THEN 1.0 ELSE stddev_pop({c}) END, 6) AS scale "
+    f"FROM feat WHERE split = 'train'" for c in NUM11), *PREP)
+SQL["transform_standard"] = with_base(
+    "SELECT split, " + ", ".join(f"round(avg(({c} - m_{c}) / s_{c}), 6) + 0.0 AS {c}" for c in RAW) + " FROM feat CROSS JOIN ("
+    "SELECT " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}" for c in RAW)
+    + " FROM feat WHERE split = 'train') GROUP BY split", *PREP)
+SQL["fit_label_encoder"] = with_base("SELECT Outcome AS label, CAST(dense_rank() OVER (ORDER BY Outcome) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT Outcome FROM spl WHERE split = 'train')")
+SQL["class_weights"] = with_base("SELECT label, n_class, round(sum(n_class) OVER () / (count(*) OVER () * n_class), 9) AS weight FROM "
+                                 "(SELECT Outcome AS label, count(*) AS n_class FROM spl WHERE split = 'train' GROUP BY Outcome)")
+SQL["clip_probability"] = with_base("SELECT row_id, round(LEAST(GREATEST(p*1.5 - 0.25, 1e-6), 1 - 1e-6), 9) AS p_clipped FROM sc", SC_FIXED)
+SQL["decide"] = with_base("SELECT CAST(p >= 0.5 AS INTEGER) AS decision, count(*) AS n FROM sc GROUP BY ALL", SC_FIXED)
+BAND_SQL = ("CASE WHEN p >= 0.0 AND p < 0.3 THEN 'Baixo risco' WHEN p >= 0.3 AND p < 0.55 THEN 'Risco moderado' "
+            "WHEN p >= 0.55 AND p < 0.75 THEN 'Alto risco' WHEN p >= 0.75 AND p < 1.01 THEN 'Risco critico' ELSE {d} END")
+ACTION_SQL = ("CASE lower(trim(COALESCE({b}, ''))) WHEN 'risco critico' THEN 'Encaminhar avaliação clínica imediata' "
+              "WHEN 'alto risco' THEN 'Priorizar revisão clínica' WHEN 'risco moderado' THEN 'Solicitar triagem complementar' "
+              "WHEN 'baixo risco' THEN 'Manter monitoramento de rotina' ELSE 'Revisar contexto clínico' END")
+SQL["risk_band"] = with_base("SELECT model_name, " + BAND_SQL.format(d="'Sem faixa'") + " AS risk_band, count(*) AS n FROM sc GROUP BY ALL", SC_ALL)
+SQL["recommended_action"] = with_base("SELECT " + ACTION_SQL.format(b="(" + BAND_SQL.format(d="NULL") + ")") + " AS action, count(*) AS n FROM sc GROUP BY ALL", SC_FIXED)
+SQL["safe_divide"] = with_base("SELECT row_id, round(CASE WHEN Insulin = 0 THEN 0.0 ELSE Glucose/Insulin END, 9) AS ratio FROM cohort")
+SQL["relative_delta_pct"] = with_base(
+    "SELECT m.split, " + ", ".join(
+        f"round(CASE WHEN abs(r.{c}) < 1e-8 THEN (CASE WHEN abs(m.{c}) < 1e-8 THEN 0.0 ELSE 100.0 END) ELSE abs((m.{c} - r.{c})/r.{c})*100 END, 6) AS {c}"
+        for c in RAW) + " FROM (SELECT split, " + ", ".join(f"avg({c}) AS {c}" for c in RAW) + " FROM spl GROUP BY split) m, "
+    "(SELECT " + ", ".join(f"avg({c}) AS {c}" for c in RAW) + " FROM spl WHERE split = 'train') r WHERE m.split <> 'train'")
+SQL["confusion_counts"] = with_base("SELECT model_name, split, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp FROM c",
+                                    SC_ALL, "c AS (" + counts_at("0.5") + ")")
+SQL["threshold_metrics"] = with_base(
+    "SELECT * EXCLUDE (expected_cost, expected_cost_per_sample), 0.5::DOUBLE AS threshold FROM (" + thr_metrics_from_counts("c", "model_name, split") + ")",
+    SC_ALL, "c AS (" + counts_at("0.5") + ")")
+SQL["expected_cost"] = with_base("SELECT model_name, split, expected_cost, expected_cost_per_sample FROM (" + thr_metrics_from_counts("c", "model_name, split", "8.0", "1.0") + ")",
+                                 SC_ALL, "c AS (" + counts_at("0.3") + ")")
+SQL["roc_auc"] = with_base("SELECT * FROM auc", SC_ALL, CELLS, AUC)
+SQL["brier_log_loss"] = with_base("SELECT * FROM bl", SC_ALL, CELLS, BRIER)
+SQL["calibration_fit"] = with_base("SELECT * FROM cal", SC_ALL, CELLS, *calib_ctes())
+SQL["evaluate_all_splits"] = with_base(
+    "SELECT t.*, auc.roc_auc, bl.brier, bl.log_loss, cal.calibration_slope, cal.calibration_intercept, cal.calibration_slope_error, cal.calibration_intercept_abs "
+    "FROM (SELECT *, 0.5::DOUBLE AS threshold FROM (" + thr_metrics_from_counts("c", "model_name, split") + ")) t "
+    "JOIN auc USING (model_name, split) JOIN bl USING (model_name, split) JOIN cal USING (model_name, split)",
+    SC_ALL, "c AS (" + counts_at("0.5") + ")", CELLS, AUC, BRIER, *calib_ctes())
+SQL["threshold_grid"] = with_base(
+    f"SELECT CAST(i AS INTEGER) AS threshold_index, t AS threshold, (t >= pmin AND t <= pmax) AS within_range FROM "
+    f"(SELECT unnest(range(1, 18)) AS i, unnest({GRID_SQL}) AS t) g, (SELECT min(p) AS pmin, max(p) AS pmax FROM sc WHERE split = 'validation') s",
+    SC_FIXED)
+SWEEP = ("sw AS (SELECT model_name, split, t AS threshold, sum(CASE WHEN p >= t AND y = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS fp, "
+         "sum(CASE WHEN p >= t AND y = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS tp, sum(CASE WHEN p < t AND y = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS tn, "
+         "sum(CASE WHEN p < t AND y = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS fn, sum(p) AS sum_p, count(*)*1.0::DOUBLE AS n "
+         f"FROM sc, (SELECT unnest({GRID_SQL}) AS t) g GROUP BY model_name, split, t)")
+SQL["threshold_sweep"] = with_base(thr_metrics_from_counts("sw", "model_name, split, threshold"), SC_ALL, SWEEP)
+
+POLICY_COLS = ("model_name, policy_name, policy_label, strategy, threshold, constraint_satisfied, tn, fp, fn, tp, accuracy, precision, recall, "
+               "specificity, f1, false_positive_rate, false_negative_rate, positive_prediction_rate, positive_prevalence, tn_share, fp_share, "
+               "fn_share, tp_share, mean_risk_score, expected_cost, expected_cost_per_sample")
+
+
+def policy_sql(where: str = "split = 'validation'", keys: str = "model_name") -> list[str]:
+    """CTEs: scv (filtered scores), pol (chosen policy rows) — costed policies by brute force over the grid."""
+    fixed = thr_metrics_from_counts(f"({counts_at('0.5', 'scv', keys)})", keys,
+                                    extra=", 'default_050' AS policy_name, 'Threshold 0.50' AS policy_label, 'fixed_threshold' AS strategy, 0.5::DOUBLE AS threshold, true AS constraint_satisfied")
+    costed = []
+    for name, label, fnc, fpc, mr, mp in [("prioritize_recall", "Priorizar recall", "8.0", "1.0", 0.85, 0.0),
+                                          ("prioritize_precision", "Priorizar precision", "1.0", "6.0", 0.0, 0.75)]:
+        sw = (f"SELECT {keys}, t AS threshold, sum(CASE WHEN p >= t AND y = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS fp, "
+              "sum(CASE WHEN p >= t AND y = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS tp, sum(CASE WHEN p < t AND y = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS tn, "
+              "sum(CASE WHEN p < t AND y = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS fn, sum(p) AS sum_p, count(*)*1.0::DOUBLE AS n "
+              f"FROM scv, (SELECT unnest({GRID_SQL}) AS t) g GROUP BY {keys}, t")
+        m = thr_metrics_from_counts(f"({sw})", f"{keys}, threshold", fnc, fpc)
+        costed.append(
+            f"SELECT * EXCLUDE (rk) FROM (SELECT *, '{name}' AS policy_name, '{label}' AS policy_label, 'min_expected_cost' AS strategy, "
+            f"(recall >= {mr} AND precision >= {mp} AND specificity >= 0.0) AS constraint_satisfied, "
+            f"row_number() OVER (PARTITION BY {keys} ORDER BY (recall >= {mr} AND precision >= {mp} AND specificity >= 0.0) DESC, "
+            f"expected_cost, false_negative_rate, recall DESC, threshold) AS rk FROM ({m})) WHERE rk = 1")
+    cols = POLICY_COLS.replace("model_name", keys)
+    union = " UNION ALL ".join(f"SELECT {cols} FROM ({q})" for q in [fixed, *costed])
+    return [f"scv AS (SELECT * FROM sc WHERE {where})", f"pol AS ({union})"]
+
+
+SQL["policy_select"] = with_base("SELECT * FROM pol", SC_ALL, *policy_sql())

@@ -29,7 +29,7 @@ def _cumulative(ratios: Sequence[tuple[str, float]]) -> list[tuple[str, float]]:
     out, acc = [], 0.0
     for name, r in normalise_ratios(ratios):
         acc += r
-        out.append((name, acc))
+        out.append((name, round(acc, 12)))
     return out
 
 

@@ -1,22 +1,41 @@
 """Registered queries: ``name -> (spark, sf_dir) -> DataFrame``.
 
 Each query reads the driver tables (through the cohort stand-in and the
-library's operators) so its work grows with the input.
+library's operators) so its work grows with the input. Floating outputs are
+rounded so an independent SQL engine can reproduce them exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.config import TARGET
+from riskloom.config import (
+    CATEGORY_ORDERS,
+    NO_BAND_LABEL,
+    RISK_BANDS,
+    DERIVED_NUMERICAL,
+    POLICIES,
+    RAW_NUMERICAL,
+    RAW_ROLES,
+    SPLIT_RATIOS,
+    TARGET,
+    ZERO_AS_MISSING,
+)
+from riskloom.functions import expressions as X
+from riskloom.operators import features as feat
+from riskloom.operators import metrics as M
+from riskloom.operators import policy as P
+from riskloom.operators import preprocess as pp
 from riskloom.operators import split as split_ops
+from riskloom.plans.pipeline import all_scorers, prepared, scores_table, split_cohort
 from riskloom.sources.cohort import cohort
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+KEYS = ["model_name", "split"]
 
 
 def register(name: str):
@@ -27,15 +46,304 @@ def register(name: str):
     return deco
 
 
-def split_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_ops.split_stratified(cohort(spark, sf_dir), TARGET)
+def r9(c):
+    return F.round(c if not isinstance(c, str) else F.col(c), 9)
 
 
+# ------------------------------------------------------------------ sources
 @register("scan_parquet")
 def q_scan_parquet(spark, sf_dir):
     return cohort(spark, sf_dir).withColumn("BMI", F.round("BMI", 9))
 
 
+# ---------------------------------------------------------------- splitting
 @register("split_stratified")
 def q_split_stratified(spark, sf_dir):
     return split_cohort(spark, sf_dir).select("row_id", TARGET, "split")
+
+
+@register("split_random")
+def q_split_random(spark, sf_dir):
+    return split_ops.split_random(cohort(spark, sf_dir), SPLIT_RATIOS, 42).select("row_id", "split")
+
+
+@register("split_report")
+def q_split_report(spark, sf_dir):
+    return split_ops.split_report(split_cohort(spark, sf_dir), SPLIT_RATIOS)
+
+
+@register("kfold_stratified")
+def q_kfold(spark, sf_dir):
+    dev = split_cohort(spark, sf_dir).filter(F.col("split").isin("train", "validation"))
+    return split_ops.kfold_stratified(dev, TARGET, 4).select("row_id", TARGET, "fold_id")
+
+
+@register("sample_n")
+def q_sample_n(spark, sf_dir):
+    val = split_cohort(spark, sf_dir).filter(F.col("split") == "validation")
+    return split_ops.sample_n(val, 128, 42).select("row_id", "Glucose", TARGET)
+
+
+# --------------------------------------------------- cleaning and features
+@register("select_roles")
+def q_select_roles(spark, sf_dir):
+    return feat.select_roles(cohort(spark, sf_dir), RAW_ROLES, keep=["row_id"]).withColumn("BMI", r9("BMI"))
+
+
+@register("clean_coerce")
+def q_clean_coerce(spark, sf_dir):
+    # raw values arrive as text (CSV semantics); zeros in Glucose are blanked to exercise coercion
+    raw = cohort(spark, sf_dir).select(
+        "row_id",
+        *[(F.when(F.col(c) == 0, F.lit("")).otherwise(F.col(c).cast("string")) if c == "Glucose" else F.col(c).cast("string")).alias(c)
+          for c in RAW_NUMERICAL],
+        F.col(TARGET),
+    )
+    return feat.coerce_report(raw, RAW_ROLES)
+
+
+@register("zero_as_missing")
+def q_zero_as_missing(spark, sf_dir):
+    return feat.zeros_to_missing(cohort(spark, sf_dir), ZERO_AS_MISSING).select("row_id", *ZERO_AS_MISSING).withColumn("BMI", r9("BMI"))
+
+
+def _featured_raw(spark, sf_dir):
+    return feat.feature_build(feat.zeros_to_missing(cohort(spark, sf_dir), ZERO_AS_MISSING))
+
+
+@register("feature_build")
+def q_feature_build(spark, sf_dir):
+    f = _featured_raw(spark, sf_dir)
+    return f.select("row_id", *[r9(c).alias(c) for c in DERIVED_NUMERICAL], *CATEGORY_ORDERS)
+
+
+@register("interactions")
+def q_interactions(spark, sf_dir):
+    f = _featured_raw(spark, sf_dir)
+    return f.groupBy().agg(*[r9(F.sum(c)).alias(f"sum_{c}") for c in DERIVED_NUMERICAL],
+                           *[F.count(c).alias(f"n_{c}") for c in DERIVED_NUMERICAL])
+
+
+def _category_counts(spark, sf_dir, col):
+    return _featured_raw(spark, sf_dir).groupBy(F.col(col).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("bin_cut")
+def q_bin_cut(spark, sf_dir):
+    f = _featured_raw(spark, sf_dir)
+    return f.groupBy("bmi_category", "glucose_category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("threshold_category")
+def q_threshold_category(spark, sf_dir):
+    return _category_counts(spark, sf_dir, "age_category")
+
+
+@register("cross_category")
+def q_cross_category(spark, sf_dir):
+    return _category_counts(spark, sf_dir, "age_bmi_category")
+
+
+@register("cascade_band")
+def q_cascade_band(spark, sf_dir):
+    return _category_counts(spark, sf_dir, "age_glucose_category")
+
+
+@register("range_flag")
+def q_range_flag(spark, sf_dir):
+    return _category_counts(spark, sf_dir, "insulin_category")
+
+
+# ------------------------------------------------------------ preprocessing
+@register("impute_stat")
+def q_impute_stat(spark, sf_dir):
+    df = split_cohort(spark, sf_dir)
+    med = pp.fit_impute_stat(df, ZERO_AS_MISSING, ("train",))
+    return pp.transform_impute_stat(df, med).select("row_id", "split", *[r9(c).alias(c) for c in ZERO_AS_MISSING])
+
+
+@register("fit_robust_scale")
+def q_fit_robust(spark, sf_dir):
+    df = feat.zeros_to_missing(split_cohort(spark, sf_dir), ZERO_AS_MISSING)
+    params = pp.fit_robust_scale(df, ZERO_AS_MISSING, ("train",))
+    return spark.createDataFrame([(c, m, s) for c, (m, s) in params.items()], "feature string, median double, iqr double") \
+        .select("feature", r9("median").alias("median"), r9("iqr").alias("iqr"))
+
+
+def _imputed(spark, sf_dir):
+    df = split_cohort(spark, sf_dir)
+    return pp.transform_impute_stat(df, pp.fit_impute_stat(df, ZERO_AS_MISSING, ("train",)))
+
+
+@register("fit_caps")
+def q_fit_caps(spark, sf_dir):
+    caps = pp.fit_caps(_imputed(spark, sf_dir), RAW_NUMERICAL, ("train",))
+    return pp.caps_table(spark, caps).select("feature", r9("lower").alias("lower"), r9("upper").alias("upper"))
+
+
+@register("clip_caps")
+def q_clip_caps(spark, sf_dir):
+    imp = _imputed(spark, sf_dir)
+    caps = pp.fit_caps(imp, RAW_NUMERICAL, ("train",))
+    return pp.transform_caps(imp, caps).select("row_id", *[r9(c).alias(c) for c in RAW_NUMERICAL])
+
+
+@register("split_filter")
+def q_split_filter(spark, sf_dir):
+    return split_cohort(spark, sf_dir).filter(F.col("split").isin("train", "validation")).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), r9(F.avg("Glucose")).alias("avg_glucose"))
+
+
+@register("fit_onehot")
+def q_fit_onehot(spark, sf_dir):
+    f, _ = prepared(spark, sf_dir)
+    # no configured orders: categories are learned from the training rows
+    cats = pp.fit_onehot(f, list(CATEGORY_ORDERS), ("train",), category_orders={})
+    return spark.createDataFrame([(c, i + 1, v) for c, vals in cats.items() for i, v in enumerate(vals)],
+                                 "feature string, position int, category string")
+
+
+@register("transform_onehot")
+def q_transform_onehot(spark, sf_dir):
+    f, _ = prepared(spark, sf_dir)
+    cats = pp.fit_onehot(f, list(CATEGORY_ORDERS), ("train",))
+    enc = pp.transform_onehot(f, cats)
+    cols = pp.onehot_columns(cats)
+    return enc.groupBy("split").agg(*[F.sum(c).alias(c) for c in cols])
+
+
+@register("fit_standard")
+def q_fit_standard(spark, sf_dir):
+    f, _ = prepared(spark, sf_dir)
+    params = pp.fit_standard(f, RAW_NUMERICAL + DERIVED_NUMERICAL, ("train",))
+    return pp.standard_table(spark, params).select("feature", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
+
+
+@register("transform_standard")
+def q_transform_standard(spark, sf_dir):
+    f, _ = prepared(spark, sf_dir)
+    params = pp.fit_standard(f, RAW_NUMERICAL, ("train",))
+    out = pp.transform_standard(f, params)
+    return out.groupBy("split").agg(*[(F.round(F.avg(c), 6) + F.lit(0.0)).alias(c) for c in RAW_NUMERICAL])
+
+
+@register("fit_label_encoder")
+def q_label_encoder(spark, sf_dir):
+    return pp.fit_label_encoder(split_cohort(spark, sf_dir).filter(F.col("split") == "train"), TARGET)
+
+
+@register("class_weights")
+def q_class_weights(spark, sf_dir):
+    tr = split_cohort(spark, sf_dir).filter(F.col("split") == "train")
+    return pp.class_weights(tr, TARGET, "balanced").withColumn("weight", r9("weight"))
+
+
+# ------------------------------------------------------------ scalar ops
+@register("clip_probability")
+def q_clip_probability(spark, sf_dir):
+    s = scores_table(spark, sf_dir)
+    return s.select("row_id", r9(X.clip_probability(F.col("p") * 1.5 - 0.25)).alias("p_clipped"))
+
+
+@register("decide")
+def q_decide(spark, sf_dir):
+    s = scores_table(spark, sf_dir)
+    return s.groupBy(X.decide("p", 0.5).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("risk_band")
+def q_risk_band(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers())
+    return s.groupBy("model_name", X.risk_band("p", RISK_BANDS, NO_BAND_LABEL).alias("risk_band")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("recommended_action")
+def q_recommended_action(spark, sf_dir):
+    s = scores_table(spark, sf_dir)
+    band = X.risk_band("p", RISK_BANDS, None)
+    return s.groupBy(X.recommended_action(band).alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("safe_divide")
+def q_safe_divide(spark, sf_dir):
+    c = cohort(spark, sf_dir)
+    return c.select("row_id", r9(X.safe_divide(F.col("Glucose"), F.col("Insulin"))).alias("ratio"))
+
+
+@register("relative_delta_pct")
+def q_relative_delta(spark, sf_dir):
+    c = split_cohort(spark, sf_dir)
+    m = c.groupBy("split").agg(*[F.avg(col).alias(col) for col in RAW_NUMERICAL])
+    whole = Window.partitionBy()  # one row per split: bounded
+    j = m.select("split", *RAW_NUMERICAL, *[F.max(F.when(F.col("split") == "train", F.col(col))).over(whole).alias(f"ref_{col}")
+                                            for col in RAW_NUMERICAL])
+    return j.select("split", *[F.round(X.relative_delta_pct(F.col(col), F.col(f"ref_{col}")), 6).alias(col) for col in RAW_NUMERICAL]) \
+        .filter(F.col("split") != "train")
+
+
+# ------------------------------------------------------------------ metrics
+@register("confusion_counts")
+def q_confusion(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers())
+    return M.threshold_metrics(s, KEYS, 0.5).select(*KEYS, "tn", "fp", "fn", "tp")
+
+
+@register("threshold_metrics")
+def q_threshold_metrics(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers())
+    return M.threshold_metrics(s, KEYS, 0.5).drop("expected_cost", "expected_cost_per_sample")
+
+
+@register("expected_cost")
+def q_expected_cost(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers())
+    return M.threshold_metrics(s, KEYS, 0.3, fn_cost=8.0, fp_cost=1.0).select(*KEYS, "expected_cost", "expected_cost_per_sample")
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers())
+    return M.roc_auc(M.to_cells(s, KEYS), KEYS)
+
+
+@register("brier_log_loss")
+def q_brier(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers())
+    return M.brier_logloss(M.to_cells(s, KEYS), KEYS)
+
+
+@register("calibration_fit")
+def q_calibration(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers())
+    return M.calibration_fit(M.to_cells(s, KEYS), KEYS)
+
+
+@register("evaluate_all_splits")
+def q_evaluate(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers())
+    return M.metric_payload(s, KEYS, 0.5)
+
+
+# ----------------------------------------------------------------- policies
+@register("threshold_grid")
+def q_threshold_grid(spark, sf_dir):
+    # the grid is a dimension; joined to the validation score range to read the data
+    grid = P.grid_values()
+    s = scores_table(spark, sf_dir).filter(F.col("split") == "validation")
+    stats = s.agg(F.min("p").alias("pmin"), F.max("p").alias("pmax"))
+    g = stats.select("pmin", "pmax", F.posexplode(F.array(*[F.lit(t) for t in grid])).alias("i", "threshold"))
+    return g.select((F.col("i") + 1).cast("int").alias("threshold_index"), "threshold",
+                    ((F.col("threshold") >= F.col("pmin")) & (F.col("threshold") <= F.col("pmax"))).alias("within_range"))
+
+
+@register("threshold_sweep")
+def q_threshold_sweep(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers())
+    return P.threshold_sweep(s, KEYS)
+
+
+@register("policy_select")
+def q_policy_select(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers()).filter(F.col("split") == "validation")
+    return P.policy_select(s, ["model_name"], POLICIES)
