@@ -306,3 +306,119 @@ def policy_sql(where: str = "split = 'validation'", keys: str = "model_name") ->
 
 
 SQL["policy_select"] = with_base("SELECT * FROM pol", SC_ALL, *policy_sql())
+
+# ------------------------------------------------------------ quality / drift
+_CHECK = RAW + ["Outcome"]
+_RANGES = {"Pregnancies": (0, 20), "Glucose": (0, 300), "BloodPressure": (0, 200), "SkinThickness": (0, 100),
+           "Insulin": (0, 900), "BMI": (0, 80), "DiabetesPedigreeFunction": (0, 3), "Age": (0, 120)}
+CLEANED = "cl AS (SELECT row_id, Outcome, " + ", ".join(f"COALESCE(CASE WHEN isnan(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) THEN NULL ELSE TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) END, 0.0) AS {c}" for c in RAW) + " FROM cohort)"
+_vc_agg = ("va AS (SELECT count(*) AS n_rows, " + ", ".join(f"sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS nn_{c}" for c in _CHECK) + ", "
+           + ", ".join(f"sum(CASE WHEN {c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi}) THEN 1 ELSE 0 END) AS bt_{c}" for c, (lo, hi) in _RANGES.items())
+           + ", sum(CASE WHEN Outcome IS NOT NULL AND Outcome NOT IN (0, 1) THEN 1 ELSE 0 END) AS ds FROM cl)")
+_vc_rows = ([f"SELECT 'expect_column_exists' AS expectation, '{c}' AS column_name, 'critical' AS severity, CAST(0 AS BIGINT) AS unexpected_count, true AS success FROM va" for c in _CHECK]
+            + [f"SELECT 'expect_not_null', '{c}', 'critical', CAST(nn_{c} AS BIGINT), nn_{c} = 0 FROM va" for c in _CHECK]
+            + [f"SELECT 'expect_between', '{c}', 'warning', CAST(bt_{c} AS BIGINT), bt_{c} = 0 FROM va" for c in _RANGES]
+            + ["SELECT 'expect_row_count', '*', 'critical', CAST(n_rows AS BIGINT), n_rows >= 20 FROM va",
+               "SELECT 'expect_distinct_in_set', 'Outcome', 'critical', CAST(ds AS BIGINT), ds = 0 FROM va"])
+SQL["validate_clean"] = with_base(" UNION ALL ".join(_vc_rows), CLEANED, _vc_agg)
+SQL["validate_split"] = with_base(
+    "SELECT scope, e.expectation, e.severity, e.observed, e.success FROM (SELECT scope, rows, bad FROM ("
+    "SELECT d.scope, COALESCE(c.rows, 0) AS rows, COALESCE(c.bad, 0) AS bad FROM (VALUES ('train'), ('validation'), ('test')) d(scope) "
+    "LEFT JOIN (SELECT split AS scope, count(*) AS rows, sum(CASE WHEN split NOT IN ('train','validation','test') THEN 1 ELSE 0 END) AS bad FROM spl GROUP BY split) c USING (scope) "
+    "UNION ALL SELECT 'all', count(*), sum(CASE WHEN split NOT IN ('train','validation','test') THEN 1 ELSE 0 END) FROM spl)) t, "
+    "LATERAL (SELECT 'expect_values_in_set' AS expectation, 'critical' AS severity, CAST(bad AS BIGINT) AS observed, bad = 0 AS success "
+    "UNION ALL SELECT 'expect_row_count_min', 'critical', CAST(rows AS BIGINT), rows >= 1 "
+    "UNION ALL SELECT 'expect_row_count_warn', 'warning', CAST(rows AS BIGINT), rows >= 5) e")
+SQL["minority_ratio"] = with_base(
+    "SELECT split, round(min(share), 9) AS minority_ratio, count(*) AS n_classes, CASE WHEN min(share) < 0.05 THEN 'warning' ELSE 'ok' END AS status "
+    "FROM (SELECT split, Outcome, count(*) / sum(count(*)) OVER (PARTITION BY split) AS share FROM spl GROUP BY split, Outcome) GROUP BY split")
+_ct = [(c, "numerical", "double") for c in RAW]
+SQL["contract_report"] = with_base(
+    " UNION ALL ".join(
+        [f"SELECT 'Outcome' AS column_name, 'target' AS contract_group, true AS present, 'integer' AS observed_dtype, round(avg(CASE WHEN Outcome IS NULL THEN 1.0 ELSE 0.0 END), 9) AS null_ratio, 'ok' AS contract_status FROM cl"]
+        + [f"SELECT '{c}', '{g}', true, '{t}', round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 9), 'ok' FROM cl" for c, g, t in _ct]
+        + ["SELECT 'row_id', 'unexpected', true, 'bigint', round(avg(CASE WHEN row_id IS NULL THEN 1.0 ELSE 0.0 END), 9), 'unexpected' FROM cl"]),
+    CLEANED)
+SQL["freshness_report"] = (
+    "SELECT event_type, CAST(floor(epoch(max(ts))) AS BIGINT) AS latest_epoch, "
+    "round((epoch(TIMESTAMP '2024-02-05 00:00:00') - floor(epoch(max(ts)))) / 3600.0, 6) AS age_hours, "
+    "CASE WHEN max(ts) IS NULL THEN 'missing' WHEN (epoch(TIMESTAMP '2024-02-05 00:00:00') - floor(epoch(max(ts)))) / 3600.0 <= 168 THEN 'fresh' "
+    "WHEN (epoch(TIMESTAMP '2024-02-05 00:00:00') - floor(epoch(max(ts)))) / 3600.0 <= 720 THEN 'warning' ELSE 'stale' END AS freshness_status "
+    "FROM events GROUP BY event_type")
+_PROBS = "[" + ", ".join(repr(i * (1.0 / 10)) for i in range(11)) + "]::DOUBLE[]"
+_DRIFT = [
+    "dl AS (" + " UNION ALL ".join(f"SELECT split, '{c}' AS feature_name, CAST({c} AS DOUBLE) AS v FROM feat WHERE split IN ('train','validation','test') AND {c} IS NOT NULL AND NOT isnan({c})" for c in NUM11) + ")",
+    f"de AS (SELECT feature_name, list_sort(list_distinct(q[2:10])) AS edges FROM (SELECT feature_name, quantile_cont(v, {_PROBS}) AS q FROM dl WHERE split = 'train' GROUP BY feature_name))",
+    "db AS (SELECT dl.split, dl.feature_name, len(list_filter(de.edges, lambda e: e <= dl.v)) AS bin FROM dl JOIN de USING (feature_name))",
+    "dg AS (SELECT s.split, de.feature_name, b.bin FROM (VALUES ('train'), ('validation'), ('test')) s(split), de, LATERAL (SELECT unnest(range(0, len(de.edges) + 1)) AS bin) b)",
+    "dc AS (SELECT dg.split, dg.feature_name, dg.bin, COALESCE(c.n, 0) AS n FROM dg LEFT JOIN (SELECT split, feature_name, bin, count(*) AS n FROM db GROUP BY ALL) c USING (split, feature_name, bin))",
+    "dr AS (SELECT *, greatest(n / greatest(sum(n) OVER (PARTITION BY split, feature_name), 1), 1e-6) AS r FROM dc)",
+    "dp AS (SELECT c.split, c.feature_name, sum((c.r - t.r) * ln(c.r / t.r)) AS psi FROM dr c JOIN dr t ON t.split = 'train' AND t.feature_name = c.feature_name AND t.bin = c.bin WHERE c.split <> 'train' GROUP BY c.split, c.feature_name)",
+    "ds AS (SELECT split, feature_name, avg(v) AS m, stddev_pop(v) AS s FROM dl GROUP BY ALL)",
+]
+SQL["drift_psi"] = with_base(
+    "SELECT 'train' AS reference_split, dp.split AS comparison_split, dp.feature_name, round(r.m, 6) AS reference_mean, round(c.m, 6) AS comparison_mean, "
+    "round(r.s, 6) AS reference_std, round(c.s, 6) AS comparison_std, "
+    "round(CASE WHEN abs(r.m) < 1e-8 THEN (CASE WHEN abs(c.m) < 1e-8 THEN 0.0 ELSE 100.0 END) ELSE abs((c.m - r.m)/r.m)*100 END, 6) AS mean_delta_pct, "
+    "round(dp.psi, 8) AS psi, CASE WHEN dp.psi <= 0.1 THEN 'stable' WHEN dp.psi <= 0.25 THEN 'monitor' ELSE 'drift' END AS drift_label "
+    "FROM dp JOIN ds c ON c.split = dp.split AND c.feature_name = dp.feature_name JOIN ds r ON r.split = 'train' AND r.feature_name = dp.feature_name",
+    *PREP, *_DRIFT)
+
+# ---------------------------------------------------------------- selection
+_BOUNDED = ("'roc_auc','accuracy','precision','recall','specificity','f1','false_positive_rate','false_negative_rate','brier',"
+            "'calibration_slope_error','calibration_intercept_abs','tn_share','fp_share','fn_share','tp_share','positive_prediction_rate','positive_prevalence'")
+_UTIL = ("CASE WHEN raw_value IS NULL OR isnan(raw_value) THEN 0.5 "
+         f"WHEN metric IN ({_BOUNDED}) THEN (CASE WHEN direction = 'maximize' THEN least(greatest(raw_value, 0.0), 1.0) ELSE 1.0 - least(greatest(raw_value, 0.0), 1.0) END) "
+         "WHEN metric IN ('log_loss','expected_cost','expected_cost_per_sample','mape') THEN (CASE WHEN direction = 'minimize' THEN 1.0/(1.0+greatest(raw_value, 0.0)) ELSE 1.0 - 1.0/(1.0+greatest(raw_value, 0.0)) END) "
+         "WHEN metric = 'r2' THEN (CASE WHEN direction = 'maximize' THEN least(greatest((raw_value+1.0)/2.0, 0.0), 1.0) ELSE 1.0 - least(greatest((raw_value+1.0)/2.0, 0.0), 1.0) END) "
+         "WHEN metric = 'mean_risk_score' THEN (CASE WHEN direction = 'maximize' THEN least(greatest(raw_value/100.0, 0.0), 1.0) ELSE 1.0 - least(greatest(raw_value/100.0, 0.0), 1.0) END) "
+         "ELSE (CASE WHEN direction = 'minimize' THEN 1.0/(1.0+abs(raw_value)) ELSE 1.0 - 1.0/(1.0+abs(raw_value)) END) END")
+_COMPONENTS = [("brier", "validation", "minimize", 0.22), ("log_loss", "validation", "minimize", 0.15),
+               ("calibration_slope_error", "validation", "minimize", 0.08), ("calibration_intercept_abs", "validation", "minimize", 0.05),
+               ("roc_auc", "validation", "maximize", 0.05), ("recall", "policy", "maximize", 0.16),
+               ("false_negative_rate", "policy", "minimize", 0.10), ("precision", "policy", "maximize", 0.04),
+               ("false_positive_rate", "policy", "minimize", 0.02), ("expected_cost_per_sample", "policy", "minimize", 0.05)]
+_TOTAL_W = repr(float(sum(c[3] for c in _COMPONENTS)))
+_VAL = ("val AS (SELECT t.*, auc.roc_auc, bl.brier, bl.log_loss, cal.calibration_slope_error, cal.calibration_intercept_abs FROM ("
+        + thr_metrics_from_counts("c", "model_name, split") + ") t JOIN auc USING (model_name, split) JOIN bl USING (model_name, split) "
+        "JOIN cal USING (model_name, split) WHERE split = 'validation')")
+_POLP = ("pp AS (SELECT model_name, policy_name, threshold AS policy_threshold, recall AS policy_recall, precision AS policy_precision, "
+         "false_negative_rate AS policy_false_negative_rate, false_positive_rate AS policy_false_positive_rate, "
+         "expected_cost_per_sample AS policy_expected_cost_per_sample FROM pol WHERE policy_name = 'prioritize_recall')")
+
+
+def _comp_ctes(compat=False):
+    rows = []
+    for m, src, d, w in _COMPONENTS:
+        val = (f"v.{m}" if src == "validation" else ("CAST(NULL AS DOUBLE)" if compat else f"p.policy_{m}"))
+        rows.append(f"SELECT v.model_name, '{m}' AS metric, '{src}' AS source, '{d}' AS direction, {w}::DOUBLE AS weight, CAST({val} AS DOUBLE) AS raw_value FROM val v LEFT JOIN pp p USING (model_name)")
+    return [f"cmp0 AS ({' UNION ALL '.join(rows)})",
+            f"cmp AS (SELECT *, {_UTIL} AS utility FROM cmp0)",
+            f"cmpm AS (SELECT model_name, sum(utility*weight)/{_TOTAL_W} AS composite_score FROM cmp GROUP BY model_name)"]
+
+
+_SEL_BASE = [SC_ALL, "c AS (" + counts_at("0.5") + ")", CELLS, AUC, BRIER, *calib_ctes(), _VAL, *policy_sql(), _POLP]
+SQL["composite_score"] = with_base(
+    "SELECT model_name, metric, source, direction, weight, round(raw_value, 9) AS raw_value, round(utility, 9) AS utility, round(composite_score, 9) AS composite_score "
+    "FROM cmp JOIN cmpm USING (model_name)", *_SEL_BASE, *_comp_ctes())
+SQL["composite_score_compat"] = with_base("SELECT model_name, round(composite_score, 9) AS composite_score FROM cmpm", *_SEL_BASE, *_comp_ctes(True))
+_CARD = ("card AS (SELECT v.model_name, CAST(row_number() OVER (ORDER BY m.composite_score DESC, p.policy_expected_cost_per_sample ASC NULLS LAST, v.brier, v.log_loss, "
+         "v.calibration_slope_error, v.model_name) AS INTEGER) AS rank, m.composite_score, v.roc_auc, v.brier, v.log_loss, v.calibration_slope_error, "
+         "p.policy_name, p.policy_threshold, p.policy_recall, p.policy_expected_cost_per_sample FROM val v LEFT JOIN pp p USING (model_name) JOIN cmpm m USING (model_name))")
+SQL["scorecard"] = with_base("SELECT * REPLACE (round(composite_score, 9) AS composite_score) FROM card", *_SEL_BASE, *_comp_ctes(), _CARD)
+SQL["select_best"] = with_base("SELECT model_name, policy_name, policy_threshold, round(composite_score, 9) AS composite_score FROM card WHERE rank = 1",
+                               *_SEL_BASE, *_comp_ctes(), _CARD)
+_TEST = ("tst AS (SELECT t.*, auc.roc_auc, bl.brier, bl.log_loss FROM (" + thr_metrics_from_counts("c", "model_name, split")
+         + ") t JOIN auc USING (model_name, split) JOIN bl USING (model_name, split) WHERE split = 'test')")
+SQL["model_frontier"] = with_base(
+    "SELECT t.model_name, t.roc_auc AS test_roc_auc, t.brier AS test_brier, t.log_loss AS test_log_loss, t.recall AS test_recall, "
+    "t.precision AS test_precision, t.f1 AS test_f1, round(k.composite_score, 9) AS composite_score, k.rank, (k.rank = 1) AS selected, "
+    "CASE WHEN k.rank = 1 THEN k.policy_name END AS decision_policy_name, CASE WHEN k.rank = 1 THEN k.policy_threshold END AS decision_threshold "
+    "FROM tst t LEFT JOIN card k USING (model_name)", *_SEL_BASE, *_comp_ctes(), _CARD, _TEST)
+SQL["split_comparison"] = with_base(
+    "SELECT t.model_name, t.split, CAST(CASE t.split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END AS INTEGER) AS split_order, "
+    "CAST(t.tn + t.fp + t.fn + t.tp AS BIGINT) AS n, auc.roc_auc, bl.brier, bl.log_loss, t.recall, t.precision, "
+    "round(max(CASE WHEN t.split = 'train' THEN auc.roc_auc END) OVER (PARTITION BY t.model_name) - auc.roc_auc, 9) AS auc_gap_vs_train, "
+    "round(bl.brier - max(CASE WHEN t.split = 'train' THEN bl.brier END) OVER (PARTITION BY t.model_name), 9) AS brier_gap_vs_train "
+    "FROM (" + thr_metrics_from_counts("c", "model_name, split") + ") t JOIN auc USING (model_name, split) JOIN bl USING (model_name, split)",
+    SC_ALL, "c AS (" + counts_at("0.5") + ")", CELLS, AUC, BRIER)

@@ -39,7 +39,7 @@ def exact_quantiles(
     probs: Sequence[float],
     *,
     buckets: int = 4096,
-    max_collect: int = 50_000,
+    max_collect: int = 2_000,
     max_passes: int = 12,
     persist: bool = True,
 ) -> dict[str, list[float | None]]:
@@ -66,32 +66,47 @@ def exact_quantiles(
                 for k in (k0, k1):
                     state[(c, k)] = [float(row[f"lo_{c}"]), float(row[f"hi_{c}"]), 0, n]
         solved: dict[tuple[str, int], float] = {}
-        for _ in range(max_passes):
-            open_t = {t: s for t, s in state.items() if t not in solved}
-            for t, (lo, hi, _, cnt) in list(open_t.items()):
-                if lo == hi:
-                    solved[t] = lo
-                    del open_t[t]
-            big = {t: s for t, s in open_t.items() if s[3] > max_collect}
-            small = {t: s for t, s in open_t.items() if s[3] <= max_collect}
-            for t, (lo, hi, below, _) in small.items():
-                c, k = t
-                vals = sorted(
-                    r[0] for r in data.filter((F.col(c) >= lo) & (F.col(c) <= hi)).select(c).collect()
-                )
-                solved[t] = vals[k - below]
+
+        def intervals_of(targets):
+            """Distinct (column, lo, hi, below) intervals shared by several targets."""
+            ids: dict[tuple, int] = {}
+            for t in targets:
+                lo, hi, below, _ = state[t]
+                ids.setdefault((t[0], lo, hi, below), len(ids))
+            return ids
+
+        def hits_for(ids):
+            parts = []
+            for (c, lo, hi, _), i in ids.items():
+                parts.append(F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(F.lit(i).alias("t"), F.col(c).alias("v"))))
+            return data.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("h"))
+
+        for _ in range(max_passes + 1):
+            open_t = [t for t in state if t not in solved]
+            for t in list(open_t):
+                if state[t][0] == state[t][1]:
+                    solved[t] = state[t][0]
+                    open_t.remove(t)
+            big = [t for t in open_t if state[t][3] > max_collect]
+            small = [t for t in open_t if state[t][3] <= max_collect]
+            if small:
+                # one job for all small intervals: at most (#intervals x max_collect) values
+                ids = intervals_of(small)
+                vals: dict[int, list[float]] = {}
+                for r in hits_for(ids).select("h.t", "h.v").collect():
+                    vals.setdefault(r["t"], []).append(r["v"])
+                for t in small:
+                    lo, hi, below, _ = state[t]
+                    solved[t] = sorted(vals[ids[(t[0], lo, hi, below)]])[t[1] - below]
             if not big:
                 break
-            tids = list(big)
+            ids = intervals_of(big)
             parts = []
-            for i, (c, _k) in enumerate(tids):
-                lo, hi, _, _ = big[(c, _k)]
+            for (c, lo, hi, _), i in ids.items():
                 width = (hi - lo) / buckets
                 b = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-                parts.append(
-                    F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(F.lit(i).alias("t"), b.alias("b"), F.col(c).alias("v")))
-                )
-            hits = data.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("h"))
+                parts.append(F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(F.lit(i).alias("t"), b.alias("b"), F.col(c).alias("v"))))
+            hits = data.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("h"))
             hist = (
                 hits.groupBy("h.t", "h.b")
                 .agg(F.count(F.lit(1)).alias("c"), F.min("h.v").alias("mn"), F.max("h.v").alias("mx"))
@@ -100,11 +115,11 @@ def exact_quantiles(
             by_t: dict[int, list] = {}
             for r in hist:
                 by_t.setdefault(r["t"], []).append((r["b"], r["c"], r["mn"], r["mx"]))
-            for i, t in enumerate(tids):
-                lo, hi, below, _ = big[t]
+            for t in big:
+                lo, hi, below, _ = state[t]
                 want = t[1] - below
                 acc = 0
-                for b, c, mn, mx in sorted(by_t.get(i, [])):
+                for b, c, mn, mx in sorted(by_t.get(ids[(t[0], lo, hi, below)], [])):
                     if acc + c > want:
                         state[t] = [float(mn), float(mx), below + acc, int(c)]
                         break

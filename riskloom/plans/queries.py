@@ -347,3 +347,154 @@ def q_threshold_sweep(spark, sf_dir):
 def q_policy_select(spark, sf_dir):
     s = scores_table(spark, sf_dir, all_scorers()).filter(F.col("split") == "validation")
     return P.policy_select(s, ["model_name"], POLICIES)
+
+
+# ------------------------------------------------------------ data quality
+from riskloom.config import DEPLOYMENT_POLICY, FIXED_SCORER, PERMUTATION_REPEATS, PERTURBATION_PERCENTS  # noqa: E402
+from riskloom.operators import quality as Q  # noqa: E402
+from riskloom.operators import robustness as R  # noqa: E402
+from riskloom.operators import selection as S  # noqa: E402
+from riskloom.operators.inference import predict, risk_band_counts, risk_report  # noqa: E402
+from riskloom.operators.inference import linear_score  # noqa: E402
+
+
+def _cleaned(spark, sf_dir):
+    return feat.clean_coerce_table(cohort(spark, sf_dir), RAW_ROLES, keep=["row_id"])
+
+
+@register("validate_clean")
+def q_validate_clean(spark, sf_dir):
+    return Q.validate_clean(_cleaned(spark, sf_dir), RAW_ROLES)
+
+
+@register("validate_split")
+def q_validate_split(spark, sf_dir):
+    return Q.validate_split(split_cohort(spark, sf_dir))
+
+
+@register("minority_ratio")
+def q_minority_ratio(spark, sf_dir):
+    return Q.minority_ratio(split_cohort(spark, sf_dir), TARGET)
+
+
+@register("contract_report")
+def q_contract_report(spark, sf_dir):
+    return Q.contract_report(_cleaned(spark, sf_dir), RAW_ROLES)
+
+
+FRESHNESS_AS_OF = "2024-02-05 00:00:00"
+
+
+@register("freshness_report")
+def q_freshness(spark, sf_dir):
+    from riskloom.sources.tables import table
+
+    ev = table(spark, sf_dir, "events")
+    return Q.freshness_report(ev, "ts", FRESHNESS_AS_OF, group_col="event_type")
+
+
+@register("drift_psi")
+def q_drift_psi(spark, sf_dir):
+    f, _ = prepared(spark, sf_dir)
+    return Q.drift_psi(f, RAW_NUMERICAL + DERIVED_NUMERICAL)
+
+
+# ----------------------------------------------------------- model selection
+def _payloads(spark, sf_dir, compat=False):
+    s = scores_table(spark, sf_dir, all_scorers())
+    val = S.validation_payload(s)
+    pol = S.policy_payload(s, POLICIES, DEPLOYMENT_POLICY)
+    return s, val, pol
+
+
+@register("composite_score")
+def q_composite(spark, sf_dir):
+    _, val, pol = _payloads(spark, sf_dir)
+    c = S.composite_score(val, pol)
+    return c.select("model_name", "metric", "source", "direction", "weight", r9("raw_value").alias("raw_value"),
+                    r9("utility").alias("utility"), r9("composite_score").alias("composite_score"))
+
+
+@register("composite_score_compat")
+def q_composite_compat(spark, sf_dir):
+    _, val, pol = _payloads(spark, sf_dir)
+    c = S.composite_score(val, pol, compat=True)
+    return c.groupBy("model_name").agg(r9(F.first("composite_score")).alias("composite_score"))
+
+
+@register("scorecard")
+def q_scorecard(spark, sf_dir):
+    _, val, pol = _payloads(spark, sf_dir)
+    card = S.scorecard(val, pol)
+    return card.select("model_name", "rank", r9("composite_score").alias("composite_score"), "roc_auc", "brier", "log_loss",
+                       "calibration_slope_error", "policy_name", "policy_threshold", "policy_recall", "policy_expected_cost_per_sample")
+
+
+@register("select_best")
+def q_select_best(spark, sf_dir):
+    _, val, pol = _payloads(spark, sf_dir)
+    return S.select_best(S.scorecard(val, pol)).select("model_name", "policy_name", "policy_threshold", r9("composite_score").alias("composite_score"))
+
+
+@register("model_frontier")
+def q_model_frontier(spark, sf_dir):
+    s, val, pol = _payloads(spark, sf_dir)
+    test = M.metric_payload(s.filter(F.col("split") == "test"), ["model_name"], 0.5)
+    return S.model_frontier(S.scorecard(val, pol), test)
+
+
+@register("split_comparison")
+def q_split_comparison(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers())
+    return S.split_comparison(s)
+
+
+# -------------------------------------------------------------- robustness
+def _fold_scores(spark, sf_dir):
+    dev = split_cohort(spark, sf_dir).filter(F.col("split").isin("train", "validation"))
+    folded = split_ops.kfold_stratified(dev, TARGET, 4)
+    return scores_table(spark, sf_dir, all_scorers(), base=folded.withColumn("split", F.col("fold_id").cast("string")))
+
+
+@register("cv_fold_metrics")
+def q_cv_fold_metrics(spark, sf_dir):
+    s = _fold_scores(spark, sf_dir).withColumnRenamed("split", "fold_id")
+    return M.metric_payload(s, ["model_name", "fold_id"], 0.10, fn_cost=8.0, fp_cost=1.0)
+
+
+@register("cv_summary")
+def q_cv_summary(spark, sf_dir):
+    s = _fold_scores(spark, sf_dir).withColumnRenamed("split", "fold_id")
+    return R.cv_summary(M.metric_payload(s, ["model_name", "fold_id"], 0.10, fn_cost=8.0, fp_cost=1.0))
+
+
+@register("bootstrap_ci")
+def q_bootstrap(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers()).filter(F.col("split") == "validation")
+    return R.bootstrap_ci(s, iterations=48, threshold=0.10, fn_cost=8.0, fp_cost=1.0)
+
+
+@register("permutation_importance")
+def q_permutation(spark, sf_dir):
+    val = split_cohort(spark, sf_dir).filter(F.col("split") == "validation")
+    return R.permutation_importance(val, FIXED_SCORER, repeats=4, threshold=0.10, fn_cost=8.0, fp_cost=1.0)
+
+
+def _sens_sample(spark, sf_dir):
+    val = split_cohort(spark, sf_dir).filter(F.col("split") == "validation")
+    return split_ops.sample_n(val, 128, 42)
+
+
+@register("perturbation_audit")
+def q_perturbation(spark, sf_dir):
+    return R.perturbation_audit(_sens_sample(spark, sf_dir), FIXED_SCORER, PERTURBATION_PERCENTS, 0.10)
+
+
+@register("perturbation_summary")
+def q_perturbation_summary(spark, sf_dir):
+    return R.perturbation_summary(R.perturbation_audit(_sens_sample(spark, sf_dir), FIXED_SCORER, PERTURBATION_PERCENTS, 0.10))
+
+
+@register("design_audit")
+def q_design_audit(spark, sf_dir):
+    return R.design_audit(split_cohort(spark, sf_dir), RAW_NUMERICAL, TARGET)
