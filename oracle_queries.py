@@ -158,20 +158,21 @@ BRIER = ("bl AS (SELECT model_name, split, round(sum(w*(p-y)*(p-y))/sum(w), 9) A
          "round(sum(w*-(y*ln(p)+(1-y)*ln(1-p)))/sum(w), 9) AS log_loss FROM cells GROUP BY model_name, split)")
 
 
-def calib_ctes(keys="model_name, split", src="cells", iters=8) -> list[str]:
-    ctes = [f"cb AS (SELECT {keys}, ln(p/(1-p)) AS x, sum(CASE WHEN y=1 THEN w ELSE 0 END) AS pos, sum(w) AS n FROM {src} GROUP BY ALL)",
-            f"it0 AS (SELECT {keys}, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, (sum(pos) > 0 AND sum(pos) < sum(n)) AS ok FROM cb GROUP BY {keys})"]
-    kj = " AND ".join(f"cb.{k.strip()} = it.{k.strip()}" for k in keys.split(","))
+def calib_ctes(keys="model_name, split", src="cells", iters=8, prefix="") -> list[str]:
+    cb, it, cal = f"{prefix}cb", f"{prefix}it", f"{prefix}cal"
+    ctes = [f"{cb} AS (SELECT {keys}, ln(p/(1-p)) AS x, sum(CASE WHEN y=1 THEN w ELSE 0 END) AS pos, sum(w) AS n FROM {src} GROUP BY ALL)",
+            f"{it}0 AS (SELECT {keys}, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, (sum(pos) > 0 AND sum(pos) < sum(n)) AS ok FROM {cb} GROUP BY {keys})"]
+    kj = " AND ".join(f"q1.{k.strip()} = q2.{k.strip()}" for k in keys.split(","))
     for i in range(1, iters + 1):
-        q = f"SELECT cb.*, it.a, it.b, it.ok, 1/(1+exp(-(it.a + it.b*cb.x))) AS s FROM cb JOIN it{i-1} it ON {kj}"
+        q = f"SELECT q1.*, q2.a, q2.b, q2.ok, 1/(1+exp(-(q2.a + q2.b*q1.x))) AS s FROM {cb} q1 JOIN {it}{i-1} q2 ON {kj}"
         g = (f"SELECT {keys}, a, b, ok, sum(pos - n*s) AS g0, sum((pos - n*s)*x) AS g1, sum(n*s*(1-s)) AS h00, "
              f"sum(n*s*(1-s)*x) AS h01, sum(n*s*(1-s)*x*x) AS h11 FROM ({q}) q GROUP BY {keys}, a, b, ok")
         ctes.append(
-            f"it{i} AS (SELECT {keys}, CASE WHEN ok THEN a + COALESCE((h11*g0 - h01*g1)/NULLIF(h00*h11 - h01*h01, 0), 0) ELSE 0.0 END AS a, "
+            f"{it}{i} AS (SELECT {keys}, CASE WHEN ok THEN a + COALESCE((h11*g0 - h01*g1)/NULLIF(h00*h11 - h01*h01, 0), 0) ELSE 0.0 END AS a, "
             f"CASE WHEN ok THEN b + COALESCE((h00*g1 - h01*g0)/NULLIF(h00*h11 - h01*h01, 0), 0) ELSE 1.0 END AS b, ok FROM ({g}) gg)"
         )
-    ctes.append(f"cal AS (SELECT {keys}, round(b, 7) AS calibration_slope, round(a, 7) AS calibration_intercept, "
-                f"round(abs(b-1), 7) AS calibration_slope_error, round(abs(a), 7) AS calibration_intercept_abs FROM it{iters})")
+    ctes.append(f"{cal} AS (SELECT {keys}, round(b, 7) AS calibration_slope, round(a, 7) AS calibration_intercept, "
+                f"round(abs(b-1), 7) AS calibration_slope_error, round(abs(a), 7) AS calibration_intercept_abs FROM {it}{iters})")
     return ctes
 
 
@@ -422,3 +423,170 @@ SQL["split_comparison"] = with_base(
     "round(bl.brier - max(CASE WHEN t.split = 'train' THEN bl.brier END) OVER (PARTITION BY t.model_name), 9) AS brier_gap_vs_train "
     "FROM (" + thr_metrics_from_counts("c", "model_name, split") + ") t JOIN auc USING (model_name, split) JOIN bl USING (model_name, split)",
     SC_ALL, "c AS (" + counts_at("0.5") + ")", CELLS, AUC, BRIER)
+
+# -------------------------------------------------------------- robustness
+_FOLD = ("fo AS (SELECT *, CAST((row_number() OVER (PARTITION BY Outcome ORDER BY md5(concat('42:fold:', CAST(row_id AS VARCHAR))), row_id) - 1) % 4 + 1 AS INTEGER) AS fold "
+         "FROM spl WHERE split IN ('train', 'validation'))")
+SC_FOLD = "sc AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS model_name, CAST(fold AS VARCHAR) AS split, row_id, Outcome AS y, {_sig(i, w)} AS p FROM fo" for n, i, w in MODELS) + ")"
+_FOLD_PAYLOAD = ("fm AS (SELECT t.* RENAME (split AS fold_id), auc.roc_auc, bl.brier, bl.log_loss, cal.calibration_slope, cal.calibration_intercept, "
+                 "cal.calibration_slope_error, cal.calibration_intercept_abs FROM (SELECT *, 0.1::DOUBLE AS threshold FROM ("
+                 + thr_metrics_from_counts("c", "model_name, split", "8.0", "1.0") + ")) t JOIN auc USING (model_name, split) "
+                 "JOIN bl USING (model_name, split) JOIN cal USING (model_name, split))")
+_FOLD_BASE = [_FOLD, SC_FOLD, "c AS (" + counts_at("0.1") + ")", CELLS, AUC, BRIER, *calib_ctes(), _FOLD_PAYLOAD]
+SQL["cv_fold_metrics"] = with_base("SELECT * FROM fm", *_FOLD_BASE)
+_CVM = ["roc_auc", "brier", "log_loss", "accuracy", "precision", "recall", "specificity", "f1", "false_positive_rate",
+        "false_negative_rate", "expected_cost", "mean_risk_score"]
+SQL["cv_summary"] = with_base(
+    "SELECT model_name, metric_name, count(*) AS folds, round(avg(value), 8) AS mean_value, round(stddev_pop(value), 8) AS std_value, "
+    "round(CASE WHEN abs(avg(value)) <= 1e-8 THEN 0.0 ELSE abs(stddev_pop(value)/avg(value))*100 END, 6) AS variation_pct_of_mean, "
+    "round(min(value), 8) AS min_value, round(max(value), 8) AS max_value, round(COALESCE(max(jump), 0.0), 8) AS max_fold_jump, "
+    "CASE WHEN (CASE WHEN abs(avg(value)) <= 1e-8 THEN 0.0 ELSE abs(stddev_pop(value)/avg(value))*100 END) <= 10 THEN 'stable' "
+    "WHEN (CASE WHEN abs(avg(value)) <= 1e-8 THEN 0.0 ELSE abs(stddev_pop(value)/avg(value))*100 END) <= 20 THEN 'moderate' ELSE 'volatile' END AS robustness_label "
+    "FROM (SELECT *, abs(value - lag(value) OVER (PARTITION BY model_name, metric_name ORDER BY fold_id)) AS jump FROM ("
+    "SELECT model_name, fold_id, metric_name, CAST(value AS DOUBLE) AS value FROM (SELECT model_name, fold_id, "
+    + ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in _CVM) + " FROM fm) UNPIVOT (value FOR metric_name IN (" + ", ".join(_CVM) + "))"
+    ") WHERE value IS NOT NULL AND NOT isnan(value)) GROUP BY model_name, metric_name", *_FOLD_BASE)
+
+import math as _math  # noqa: E402
+
+_PCDF = []
+_acc = 0.0
+for _k in range(17):
+    _acc += _math.exp(-1.0) / _math.factorial(_k)
+    _PCDF.append(_acc)
+_POIS = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(_PCDF)) + f" ELSE {len(_PCDF)} END"
+_BM = ["roc_auc", "brier", "log_loss", "recall", "precision", "f1", "false_negative_rate", "false_positive_rate", "expected_cost",
+       "calibration_slope_error", "calibration_intercept_abs"]
+
+
+def _boot_sql(iters: int) -> str:
+    scw = ("scw AS (SELECT * FROM (SELECT model_name, CAST(it AS VARCHAR) AS split, row_id, y, p, " + _POIS + " AS w FROM ("
+           "SELECT s.*, it, ('0x' || substr(md5(concat('42:boot:', CAST(it AS VARCHAR), ':', CAST(row_id AS VARCHAR))), 1, 12))::BIGINT / 281474976710656.0 AS u "
+           f"FROM sc s, range(1, {iters + 1}) r(it) WHERE s.split = 'validation')) WHERE w > 0)")
+    cells = ("cells AS (SELECT model_name, split, y, round(LEAST(GREATEST(p, 1e-6), 1-1e-6), 9) AS p, sum(w)*1.0::DOUBLE AS w FROM scw GROUP BY ALL)")
+    cnt = ("c AS (SELECT model_name, split, sum(CASE WHEN p >= 0.1 AND y = 0 THEN w ELSE 0.0 END) AS fp, sum(CASE WHEN p >= 0.1 AND y = 1 THEN w ELSE 0.0 END) AS tp, "
+           "sum(CASE WHEN p < 0.1 AND y = 0 THEN w ELSE 0.0 END) AS tn, sum(CASE WHEN p < 0.1 AND y = 1 THEN w ELSE 0.0 END) AS fn, sum(w*p) AS sum_p, sum(w) AS n FROM cells GROUP BY ALL)")
+    per = ("per AS (SELECT t.*, auc.roc_auc, bl.brier, bl.log_loss, cal.calibration_slope_error, cal.calibration_intercept_abs FROM ("
+           + thr_metrics_from_counts("c", "model_name, split", "8.0", "1.0") + ") t JOIN auc USING (model_name, split) JOIN bl USING (model_name, split) JOIN cal USING (model_name, split))")
+    longp = ("lp AS (SELECT model_name, metric_name, value FROM (SELECT model_name, split, " + ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in _BM)
+             + " FROM per) UNPIVOT (value FOR metric_name IN (" + ", ".join(_BM) + ")) WHERE value IS NOT NULL AND NOT isnan(value))")
+    # baseline: unweighted metrics on the validation scores
+    bsc = "bsc AS (SELECT * FROM sc WHERE split = 'validation')"
+    bcells = "bcells AS (SELECT model_name, split, y, round(LEAST(GREATEST(p, 1e-6), 1-1e-6), 9) AS p, count(*)*1.0::DOUBLE AS w FROM bsc GROUP BY ALL)"
+    bc = "bc AS (" + counts_at("0.1", "bsc") + ")"
+    bauc = AUC.replace("auc AS", "bauc AS").replace("FROM cells", "FROM bcells")
+    bbl = BRIER.replace("bl AS", "bbl AS").replace("FROM cells", "FROM bcells")
+    bcal2 = calib_ctes(src="bcells", prefix="b")
+    base = ("base AS (SELECT model_name, metric_name, value AS baseline FROM (SELECT t.model_name, " + ", ".join(
+        f"CAST({'t.' if m not in ('roc_auc', 'brier', 'log_loss', 'calibration_slope_error', 'calibration_intercept_abs') else ''}{m} AS DOUBLE) AS {m}" for m in _BM)
+            + " FROM (" + thr_metrics_from_counts("bc", "model_name, split", "8.0", "1.0") + ") t JOIN bauc USING (model_name, split) JOIN bbl USING (model_name, split) "
+            "JOIN bcal USING (model_name, split)) UNPIVOT (value FOR metric_name IN (" + ", ".join(_BM) + ")))")
+    body = ("SELECT b.model_name, b.metric_name, round(b.baseline, 7) AS baseline, round(a.m, 7) AS mean_value, round(a.lo, 7) AS ci_lower, "
+            "round(a.hi, 7) AS ci_upper, round(a.hi - a.lo, 7) AS ci_width, COALESCE(a.k, 0) AS valid_iterations FROM base b LEFT JOIN ("
+            "SELECT model_name, metric_name, avg(value) AS m, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, count(*) AS k "
+            "FROM lp GROUP BY ALL) a USING (model_name, metric_name)")
+    return with_base(body, SC_ALL, scw, cells, cnt, AUC, BRIER, *calib_ctes(), per, longp, bsc, bcells, bc, bauc, bbl, *bcal2, base)
+
+
+SQL["bootstrap_ci"] = _boot_sql(48)
+
+_PF = [("Glucose", 0.02), ("BMI", 0.03), ("Age", 0.01)]
+
+
+def _sig_sub(feature_expr) -> str:
+    z = "-5.2" + "".join(f" + {w}*({feature_expr(f)})" for f, w in _PF)
+    return f"round(1/(1+exp(-({z}))), 9)"
+
+
+_PERM = [
+    "pv AS (SELECT * FROM spl WHERE split = 'validation')",
+    "pl AS (SELECT pv.*, f.feature_name, r.rep FROM pv, (VALUES ('Glucose'), ('BMI'), ('Age')) f(feature_name), range(1, 5) r(rep))",
+    "pa AS (SELECT *, row_number() OVER (PARTITION BY feature_name, rep ORDER BY md5(concat('42:perm_a:', feature_name, ':', CAST(rep AS VARCHAR), ':', CAST(row_id AS VARCHAR))), row_id) AS r FROM pl)",
+    "pb AS (SELECT feature_name, rep, row_number() OVER (PARTITION BY feature_name, rep ORDER BY md5(concat('42:perm_b:', feature_name, ':', CAST(rep AS VARCHAR), ':', CAST(row_id AS VARCHAR))), row_id) AS r, "
+    "CASE feature_name WHEN 'Glucose' THEN Glucose WHEN 'BMI' THEN BMI ELSE Age END AS pvv FROM pl)",
+    "sc AS (SELECT pa.feature_name AS model_name, CAST(pa.rep AS VARCHAR) AS split, pa.row_id, pa.Outcome AS y, "
+    + _sig_sub(lambda f: f"CASE WHEN pa.feature_name = '{f}' THEN pb.pvv ELSE pa.{f} END") + " AS p FROM pa JOIN pb USING (feature_name, rep, r))",
+    "c AS (" + counts_at("0.1") + ")", CELLS, AUC, BRIER,
+    "pm AS (SELECT model_name AS feature_name, split AS rep, t.recall, t.expected_cost, auc.roc_auc, bl.brier, bl.log_loss FROM ("
+    + thr_metrics_from_counts("c", "model_name, split", "8.0", "1.0") + ") t JOIN auc USING (model_name, split) JOIN bl USING (model_name, split))",
+    "bs AS (SELECT 'base' AS model_name, 'base' AS split, row_id, Outcome AS y, " + _sig_sub(lambda f: f) + " AS p FROM pv)",
+    "bcnt AS (" + counts_at("0.1", "bs") + ")",
+    "bcl AS (SELECT model_name, split, y, round(LEAST(GREATEST(p, 1e-6), 1-1e-6), 9) AS p, count(*)*1.0::DOUBLE AS w FROM bs GROUP BY ALL)",
+    AUC.replace("auc AS", "bauc AS").replace("FROM cells", "FROM bcl"),
+    BRIER.replace("bl AS", "bbl AS").replace("FROM cells", "FROM bcl"),
+    "bm AS (SELECT t.recall, t.expected_cost, bauc.roc_auc, bbl.brier, bbl.log_loss FROM (" + thr_metrics_from_counts("bcnt", "model_name, split", "8.0", "1.0")
+    + ") t JOIN bauc USING (model_name, split) JOIN bbl USING (model_name, split))",
+]
+_PM = ["roc_auc", "brier", "log_loss", "recall", "expected_cost"]
+SQL["permutation_importance"] = with_base(
+    "SELECT 'fixed_logistic' AS model_name, feature_name, 'ungrouped' AS feature_group, metric_name, round(avg(delta), 8) AS importance_mean, "
+    "round(COALESCE(stddev_samp(delta), 0.0), 8) AS importance_std, count(*) AS repeats, round(avg(delta), 8) > 0 AS helps_model FROM ("
+    "SELECT feature_name, metric_name, CASE WHEN metric_name IN ('roc_auc', 'recall') THEN b - v ELSE v - b END AS delta FROM ("
+    + " UNION ALL ".join(f"SELECT pm.feature_name, '{m}' AS metric_name, CAST(pm.{m} AS DOUBLE) AS v, CAST(bm.{m} AS DOUBLE) AS b FROM pm, bm" for m in _PM)
+    + ")) GROUP BY feature_name, metric_name", *_PERM)
+
+_SAMPLE = ("smp AS (SELECT * FROM spl WHERE split = 'validation' ORDER BY md5(concat('42:sample:', CAST(row_id AS VARCHAR))), row_id LIMIT 128)")
+_SCEN = " UNION ALL ".join(f"SELECT '{f}' AS feature_name, {pct!r}::DOUBLE AS perturbation_pct, '{d}' AS direction, {(1 - pct if d == 'down' else 1 + pct)!r}::DOUBLE AS mult"
+                           for f, _ in _PF for pct in (0.05, 0.10, 0.20) for d in ("down", "up"))
+_BAND0 = BAND_SQL.format(d="NULL")
+_PERT = [
+    _SAMPLE,
+    "mm AS (SELECT " + ", ".join(f"min({f}) AS mn_{f}, max({f}) AS mx_{f}" for f, _ in _PF) + " FROM smp)",
+    f"px AS (SELECT smp.*, s.*, CASE s.feature_name " + " ".join(f"WHEN '{f}' THEN {f}" for f, _ in _PF) + " END AS cur, "
+    "CASE s.feature_name " + " ".join(f"WHEN '{f}' THEN least(greatest({f}*s.mult, mn_{f}), mx_{f})" for f, _ in _PF) + " END AS nv "
+    f"FROM smp, mm, ({_SCEN}) s)",
+    "py AS (SELECT *, abs(nv - cur) / greatest(abs(cur), 1.0) AS rel, " + _sig_sub(lambda f: f) + " AS p0, "
+    + _sig_sub(lambda f: f"CASE WHEN feature_name = '{f}' THEN nv ELSE {f} END") + " AS p1 FROM px)",
+    "pz AS (SELECT *, abs(p1 - p0) AS dp, abs(p1 - p0) / rel AS ratio, CASE WHEN (p0 >= 0.1) <> (p1 >= 0.1) THEN 1.0 ELSE 0.0 END AS flip, "
+    f"CASE WHEN COALESCE(({_BAND0.replace('p >=', 'p0 >=').replace('p <', 'p0 <')}), '') <> COALESCE(({_BAND0.replace('p >=', 'p1 >=').replace('p <', 'p1 <')}), '') THEN 1.0 ELSE 0.0 END AS bchg "
+    "FROM py WHERE rel > 0)",
+    "aud AS (SELECT 'fixed_logistic' AS model_name, feature_name, perturbation_pct, direction, count(*) AS rows_changed, "
+    "round(avg(dp), 8) AS mean_abs_probability_delta, round(quantile_cont(dp, 0.5), 8) AS median_abs_probability_delta, round(max(dp), 8) AS max_abs_probability_delta, "
+    "round(avg(ratio), 8) AS mean_sensitivity_ratio, round(max(ratio), 8) AS max_sensitivity_ratio, round(avg(flip), 8) AS decision_flip_rate, "
+    "round(avg(bchg), 8) AS risk_band_change_rate, CASE WHEN avg(ratio) < 0.1 THEN 'too_insensitive' WHEN avg(ratio) > 1.0 THEN 'too_sensitive' ELSE 'proportional' END AS sensitivity_label "
+    "FROM pz GROUP BY feature_name, perturbation_pct, direction)",
+    "psum AS (SELECT model_name, feature_name, count(*) AS scenarios, round(avg(mean_sensitivity_ratio), 8) AS mean_sensitivity_ratio, "
+    "round(max(max_sensitivity_ratio), 8) AS max_sensitivity_ratio, round(max(decision_flip_rate), 8) AS max_decision_flip_rate, "
+    "round(max(COALESCE(risk_band_change_rate, 0.0)), 8) AS max_risk_band_change_rate, CASE WHEN count(DISTINCT sensitivity_label) > 1 THEN 'mixed' "
+    "ELSE min(sensitivity_label) END AS overall_label FROM aud GROUP BY model_name, feature_name)",
+]
+SQL["perturbation_audit"] = with_base("SELECT * FROM aud", *_PERT)
+SQL["perturbation_summary"] = with_base("SELECT * FROM psum", *_PERT)
+SQL["sensitivity_counts"] = with_base(
+    "SELECT d.overall_label, COALESCE(c.n, 0) AS n_features FROM (VALUES ('too_sensitive'), ('too_insensitive'), ('proportional'), ('mixed')) d(overall_label) "
+    "LEFT JOIN (SELECT overall_label, count(*) AS n FROM psum GROUP BY overall_label) c USING (overall_label)", *_PERT)
+SQL["design_audit"] = with_base(
+    "SELECT chk AS \"check\", CAST(v AS BIGINT) AS violations, CASE WHEN v = 0 THEN 'pass' ELSE 'review' END AS status FROM ("
+    "SELECT 'target_not_in_features' AS chk, 0 AS v UNION ALL SELECT 'split_marker_not_in_features', 0 UNION ALL SELECT 'selection_splits_within_train', 0 "
+    "UNION ALL SELECT 'policy_split_not_test', 0 UNION ALL "
+    "SELECT 'row_keys_exclusive_to_one_split', COALESCE(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END), 0) FROM (SELECT row_id, count(DISTINCT split) AS k FROM spl GROUP BY row_id) "
+    "UNION ALL SELECT 'no_feature_tuple_shared_train_test', count(*) FROM (SELECT DISTINCT " + ", ".join(RAW) + " FROM spl WHERE split = 'train' "
+    "INTERSECT SELECT DISTINCT " + ", ".join(RAW) + " FROM spl WHERE split = 'test'))")
+
+# ----------------------------------------------------------------- reports
+_TS = ("ts AS (SELECT row_id, Glucose, BMI, Age, " + _sig(*MODELS[0][1:]) + " AS p FROM spl WHERE split = 'test')")
+SQL["predict"] = with_base(
+    "SELECT row_id, p AS prediction_proba, round(p*100.0, 9) AS risk_score, " + BAND_SQL.format(d="NULL") + " AS risk_band, CAST(p >= 0.1 AS INTEGER) AS prediction FROM ts", _TS)
+SQL["risk_report"] = with_base(
+    "SELECT row_number() OVER (ORDER BY row_id) AS case_id, row_id, Glucose, round(BMI, 9) AS BMI, Age, CAST(p >= 0.1 AS INTEGER) AS prediction, "
+    "CASE WHEN p >= 0.1 THEN 'Positivo' ELSE 'Negativo' END AS prediction_label, p AS prediction_proba, round(p*100.0, 9) AS risk_score, "
+    + BAND_SQL.format(d="NULL") + " AS risk_band, 'prioritize_recall' AS decision_policy_name, 0.1::DOUBLE AS decision_threshold, "
+    + ACTION_SQL.format(b="(" + BAND_SQL.format(d="NULL") + ")") + " AS recommended_action, row_number() OVER (ORDER BY p DESC, row_id) AS risk_priority_rank FROM ts", _TS)
+SQL["risk_band_counts"] = with_base("SELECT COALESCE(" + BAND_SQL.format(d="NULL") + ", 'Sem faixa') AS risk_band, count(*) AS n_cases FROM ts GROUP BY ALL", _TS)
+SQL["risk_preview"] = with_base("SELECT row_id, p AS prediction_proba, " + BAND_SQL.format(d="NULL") + " AS risk_band, CAST(p >= 0.1 AS INTEGER) AS prediction "
+                                "FROM ts ORDER BY p DESC, row_id LIMIT 20", _TS)
+SQL["policy_tradeoffs"] = with_base("SELECT * FROM pol", SC_FIXED, *policy_sql())
+SQL["deployment_policy"] = with_base("SELECT model_name, policy_name, threshold, recall, precision, expected_cost FROM pol WHERE policy_name = 'prioritize_recall'",
+                                     SC_ALL, *policy_sql())
+SQL["policy_decisions"] = with_base(
+    "SELECT pol.policy_name, pol.threshold, CASE WHEN sc.p >= pol.threshold THEN 'Positivo' ELSE 'Negativo' END AS decision, count(*) AS n "
+    "FROM sc JOIN pol USING (model_name) WHERE sc.split = 'test' GROUP BY ALL", SC_FIXED, *policy_sql())
+SQL["fold_pivot"] = with_base(
+    "SELECT fold_id, max(CASE WHEN model_name = 'fixed_logistic' THEN roc_auc END) AS fixed_logistic, "
+    "max(CASE WHEN model_name = 'glucose_age' THEN roc_auc END) AS glucose_age, max(CASE WHEN model_name = 'bmi_age_preg' THEN roc_auc END) AS bmi_age_preg "
+    "FROM fm GROUP BY fold_id", *_FOLD_BASE)
+SQL["test_summary"] = with_base(
+    "SELECT t.model_name, (k.rank = 1) AS selected, t.roc_auc AS test_roc_auc, t.brier AS test_brier, "
+    "row_number() OVER (ORDER BY (k.rank = 1) DESC, t.roc_auc DESC, t.model_name) AS display_order FROM tst t LEFT JOIN card k USING (model_name)",
+    *_SEL_BASE, *_comp_ctes(), _CARD, _TEST)

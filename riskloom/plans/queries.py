@@ -498,3 +498,85 @@ def q_perturbation_summary(spark, sf_dir):
 @register("design_audit")
 def q_design_audit(spark, sf_dir):
     return R.design_audit(split_cohort(spark, sf_dir), RAW_NUMERICAL, TARGET)
+
+
+# ------------------------------------------------------- inference / reports
+def _scored_test(spark, sf_dir):
+    """Test rows scored by the fixed model at the deployment policy threshold."""
+    s = split_cohort(spark, sf_dir).filter(F.col("split") == "test")
+    return predict(s, linear_score(FIXED_SCORER), threshold=0.10)
+
+
+@register("predict")
+def q_predict(spark, sf_dir):
+    return _scored_test(spark, sf_dir).select("row_id", "prediction_proba", r9("risk_score").alias("risk_score"), "risk_band", "prediction")
+
+
+@register("risk_report")
+def q_risk_report(spark, sf_dir):
+    rep = risk_report(_scored_test(spark, sf_dir), DEPLOYMENT_POLICY, 0.10, ["Glucose", "BMI", "Age"])
+    return rep.withColumn("risk_score", r9("risk_score")).withColumn("BMI", r9("BMI"))
+
+
+@register("risk_band_counts")
+def q_risk_band_counts(spark, sf_dir):
+    return risk_band_counts(_scored_test(spark, sf_dir))
+
+
+@register("risk_preview")
+def q_risk_preview(spark, sf_dir):
+    sc = _scored_test(spark, sf_dir)
+    top = sc.orderBy(F.col("prediction_proba").desc(), F.col("row_id")).limit(20)
+    return top.select("row_id", "prediction_proba", "risk_band", "prediction")
+
+
+@register("policy_tradeoffs")
+def q_policy_tradeoffs(spark, sf_dir):
+    s = scores_table(spark, sf_dir).filter(F.col("split") == "validation")
+    return P.policy_select(s, ["model_name"], POLICIES)
+
+
+@register("deployment_policy")
+def q_deployment_policy(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers()).filter(F.col("split") == "validation")
+    sel = P.policy_select(s, ["model_name"], POLICIES)
+    return P.deployment_row(sel, ["model_name"], DEPLOYMENT_POLICY, [p.name for p in POLICIES]).select(
+        "model_name", "policy_name", "threshold", "recall", "precision", "expected_cost")
+
+
+@register("policy_decisions")
+def q_policy_decisions(spark, sf_dir):
+    """Each test score under each policy's chosen threshold (policies: a generator over a bounded list)."""
+    s = scores_table(spark, sf_dir)
+    sel = P.policy_select(s.filter(F.col("split") == "validation"), ["model_name"], POLICIES)
+    thr = sel.select("model_name", "policy_name", "threshold")
+    test = s.filter(F.col("split") == "test")
+    d = test.join(F.broadcast(thr), "model_name")  # <= models x policies rows
+    lab = F.when(F.col("p") >= F.col("threshold"), F.lit("Positivo")).otherwise(F.lit("Negativo"))
+    return d.groupBy("policy_name", "threshold", lab.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("fold_pivot")
+def q_fold_pivot(spark, sf_dir):
+    s = _fold_scores(spark, sf_dir).withColumnRenamed("split", "fold_id")
+    fm = M.metric_payload(s, ["model_name", "fold_id"], 0.10, fn_cost=8.0, fp_cost=1.0)
+    names = [sc.name for sc in all_scorers()]
+    return fm.groupBy("fold_id").pivot("model_name", names).agg(F.first("roc_auc"))
+
+
+@register("test_summary")
+def q_test_summary(spark, sf_dir):
+    s, val, pol = _payloads(spark, sf_dir)
+    test = M.metric_payload(s.filter(F.col("split") == "test"), ["model_name"], 0.5)
+    fr = S.model_frontier(S.scorecard(val, pol), test)
+    w = Window.orderBy(F.col("selected").desc(), F.col("test_roc_auc").desc(), F.col("model_name"))  # one row per model
+    return fr.select("model_name", "selected", "test_roc_auc", "test_brier", F.row_number().over(w).alias("display_order"))
+
+
+@register("sensitivity_counts")
+def q_sensitivity_counts(spark, sf_dir):
+    aud = R.perturbation_audit(_sens_sample(spark, sf_dir), FIXED_SCORER, PERTURBATION_PERCENTS, 0.10)
+    summ = R.perturbation_summary(aud)
+    dim = spark.createDataFrame([(x,) for x in ["too_sensitive", "too_insensitive", "proportional", "mixed"]], "overall_label string")
+    cnt = summ.groupBy("overall_label").agg(F.count(F.lit(1)).alias("n_features"))
+    return F.broadcast(dim).join(cnt, "overall_label", "left").select("overall_label", F.coalesce("n_features", F.lit(0)).alias("n_features"))

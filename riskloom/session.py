@@ -12,9 +12,13 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
-    """Build (or reuse) a session with AQE and skew-join handling on."""
-    builder = SparkSession.builder.appName("riskloom")
+def get_session(master: str | None = None, shuffle_partitions: int = 8, driver_memory: str = "16g") -> SparkSession:
+    """Build (or reuse) a session with AQE and skew-join handling on.
+
+    ``driver_memory`` only matters for local mode (the driver JVM hosts the
+    executors); on a cluster the submit-time setting wins.
+    """
+    builder = SparkSession.builder.appName("riskloom").config("spark.driver.memory", driver_memory)
     if master:
         builder = builder.master(master)
     builder = (
