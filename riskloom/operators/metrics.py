@@ -12,8 +12,8 @@ Scale notes
   so scores are bucketed on a fixed 2**20 grid of [0, 1]: bucket offsets come
   from a bucket-level prefix sum (<= 2**20 rows per group) and the within
   bucket order from a window over at most ~1000 distinct rounded scores.
-* Calibration is a 2-parameter Newton fit (fixed iteration count) where each
-  iteration is one grouped aggregate over the cells; all groups at once.
+* Calibration is a 2-parameter Newton fit where each iteration is one
+  grouped aggregate over the persisted cells; all groups at once.
 """
 
 from __future__ import annotations
@@ -136,41 +136,65 @@ def brier_logloss(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def calibration_fit(cells: DataFrame, keys: Sequence[str], iterations: int = NEWTON_ITERS) -> DataFrame:
+def calibration_fit(cells: DataFrame, keys: Sequence[str], iterations: int = NEWTON_ITERS,
+                    tol: float = 1e-12, max_groups: int = 200_000) -> DataFrame:
     """Logistic recalibration ``y ~ a + b*logit(p)`` per group by Newton steps.
 
-    Single-class or empty groups give slope 1, intercept 0. Each iteration is
-    one grouped aggregate of 5 weighted sums joined to the current parameters.
+    Single-class or empty groups give slope 1, intercept 0. Cells are
+    collapsed to ``(keys, logit)`` and persisted; each Newton step is one
+    grouped aggregate joined to a broadcast table of the current parameters
+    (one row per group — groups are config-bounded: models x splits x
+    iterations), and the 2x2 solve happens on the driver. Stops early once
+    every group has converged.
     """
+    from pyspark import StorageLevel
+
     keys = list(keys)
+    spark = cells.sparkSession
     x = F.log(F.col("p") / (1 - F.col("p")))
     base = cells.groupBy(*keys, x.alias("x")).agg(
         F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("pos"),
         F.sum(F.col("w")).alias("n"),
-    )
-    params = base.groupBy(*keys).agg(
-        F.lit(0.0).alias("a"), F.lit(1.0).alias("b"),
-        ((F.sum("pos") > 0) & (F.sum("pos") < F.sum("n"))).alias("ok"),
-    )
-    for _ in range(iterations):
-        j = base.join(params, on=keys)
-        s = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
-        r = F.col("pos") - F.col("n") * s
-        h = F.col("n") * s * (1 - s)
-        agg = j.groupBy(*keys, "a", "b", "ok").agg(
-            F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"),
-            F.sum(h).alias("h00"), F.sum(h * F.col("x")).alias("h01"), F.sum(h * F.col("x") * F.col("x")).alias("h11"),
-        )
-        det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        da = F.coalesce(F.try_divide(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det), F.lit(0.0))
-        db = F.coalesce(F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det), F.lit(0.0))
-        params = agg.select(
-            *keys,
-            F.when(F.col("ok"), F.col("a") + da).otherwise(F.lit(0.0)).alias("a"),
-            F.when(F.col("ok"), F.col("b") + db).otherwise(F.lit(1.0)).alias("b"),
-            "ok",
-        )
-    return params.select(
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        groups = base.groupBy(*keys).agg(((F.sum("pos") > 0) & (F.sum("pos") < F.sum("n"))).alias("ok")).limit(max_groups + 1).collect()
+        if len(groups) > max_groups:
+            raise ValueError(f"calibration_fit: more than {max_groups} groups")
+        state = {tuple(r[k] for k in keys): [0.0, 1.0, bool(r["ok"])] for r in groups}
+        from pyspark.sql import types as T
+
+        key_fields = base.select(*keys).schema.fields
+        pschema = T.StructType([*key_fields, T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+        for _ in range(iterations):
+            active = [(*k, v[0], v[1]) for k, v in state.items() if v[2]]
+            if not active:
+                break
+            params = spark.createDataFrame(active, pschema)
+            s = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
+            r = F.col("pos") - F.col("n") * s
+            h = F.col("n") * s * (1 - s)
+            sums = base.join(F.broadcast(params), on=keys).groupBy(*keys).agg(
+                F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"),
+                F.sum(h).alias("h00"), F.sum(h * F.col("x")).alias("h01"), F.sum(h * F.col("x") * F.col("x")).alias("h11"),
+            ).collect()
+            moved = 0.0
+            for row in sums:
+                k = tuple(row[c] for c in keys)
+                det = row["h00"] * row["h11"] - row["h01"] * row["h01"]
+                if det == 0:
+                    continue
+                da = (row["h11"] * row["g0"] - row["h01"] * row["g1"]) / det
+                db = (row["h00"] * row["g1"] - row["h01"] * row["g0"]) / det
+                state[k][0] += da
+                state[k][1] += db
+                moved = max(moved, abs(da), abs(db))
+            if moved < tol:
+                break
+        rows = [(*k, v[0] if v[2] else 0.0, v[1] if v[2] else 1.0) for k, v in state.items()]
+        out = spark.createDataFrame(rows, pschema)
+    finally:
+        base.unpersist()
+    return out.select(
         *keys,
         F.round(F.col("b"), 7).alias("calibration_slope"),
         F.round(F.col("a"), 7).alias("calibration_intercept"),
