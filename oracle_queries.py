@@ -590,3 +590,23 @@ SQL["test_summary"] = with_base(
     "SELECT t.model_name, (k.rank = 1) AS selected, t.roc_auc AS test_roc_auc, t.brier AS test_brier, "
     "row_number() OVER (ORDER BY (k.rank = 1) DESC, t.roc_auc DESC, t.model_name) AS display_order FROM tst t LEFT JOIN card k USING (model_name)",
     *_SEL_BASE, *_comp_ctes(), _CARD, _TEST)
+
+# ---------------------------------------------------------- sources & sinks
+SQL["registry_upsert"] = ("SELECT user_id, event_id, event_type, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn "
+                          "FROM events) WHERE rn = 1")
+SQL["registry_lookup"] = ("SELECT event_id, user_id, trim(split_part(concat_ws(chr(10), event_type, props), chr(10), 1)) AS error FROM events "
+                          "WHERE user_id IN (7, 42, 99)")
+SQL["registry_recent"] = ("SELECT event_id, user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events "
+                          "ORDER BY ts DESC, event_id DESC LIMIT 10")
+SQL["payload_to_table"] = "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
+_PV_REASON = ("CASE WHEN NOT json_valid(props) THEN 'malformed' WHEN NOT list_contains(json_keys(props), 'k') THEN 'missing:k' "
+              "WHEN len(list_filter(json_keys(props), lambda x: x <> 'k')) > 0 THEN 'extra:' || array_to_string(list_sort(list_filter(json_keys(props), lambda x: x <> 'k')), ',') "
+              "WHEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) IS NULL THEN 'non_numeric:k' "
+              "WHEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) < 0 THEN 'negative:k' END")
+SQL["payload_validate"] = (f"SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, ({_PV_REASON}) IS NULL AS accepted, "
+                           f"{_PV_REASON} AS reject_reason FROM events")
+SQL["json_manifest_sink"] = with_base("SELECT model_name, policy_name, threshold, expected_cost FROM pol", SC_ALL, *policy_sql())
+SQL["write_csv"] = with_base("SELECT row_number() OVER (ORDER BY row_id) AS case_id, row_id, p AS prediction_proba, " + BAND_SQL.format(d="NULL")
+                             + " AS risk_band, row_number() OVER (ORDER BY p DESC, row_id) AS risk_priority_rank FROM ts", _TS)
+SQL["scan_csv"] = with_base("SELECT Outcome, count(*) AS n, round(sum(Glucose), 9) AS sum_glucose FROM cohort GROUP BY Outcome")
+SQL["latest_version_read"] = with_base("SELECT split, CAST(count(*) * 2 AS BIGINT) AS rows, CAST(2 AS INTEGER) AS version FROM spl GROUP BY split")

@@ -580,3 +580,93 @@ def q_sensitivity_counts(spark, sf_dir):
     dim = spark.createDataFrame([(x,) for x in ["too_sensitive", "too_insensitive", "proportional", "mixed"]], "overall_label string")
     cnt = summ.groupBy("overall_label").agg(F.count(F.lit(1)).alias("n_features"))
     return F.broadcast(dim).join(cnt, "overall_label", "left").select("overall_label", F.coalesce("n_features", F.lit(0)).alias("n_features"))
+
+
+# --------------------------------------------------------- sources & sinks
+from riskloom.sources import registry as REG  # noqa: E402
+from riskloom.sources import tables as TB  # noqa: E402
+
+_REG_CUTOFF = "2024-01-15 00:00:00"
+
+
+def _events(spark, sf_dir):
+    return TB.table(spark, sf_dir, "events")
+
+
+@register("registry_upsert")
+def q_registry_upsert(spark, sf_dir):
+    ev = _events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", "props")
+    old = ev.filter(F.col("ts") < F.lit(_REG_CUTOFF).cast("timestamp_ntz"))
+    new = ev.filter(F.col("ts") >= F.lit(_REG_CUTOFF).cast("timestamp_ntz"))
+    return REG.registry_upsert(old, new, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "props")
+
+
+@register("registry_lookup")
+def q_registry_lookup(spark, sf_dir):
+    ev = _events(spark, sf_dir).select("event_id", "user_id", F.concat_ws("\n", "event_type", "props").alias("error"))
+    return REG.registry_lookup(ev, "user_id", [7, 42, 99], error_col="error")
+
+
+@register("registry_recent")
+def q_registry_recent(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    rec = REG.registry_recent(ev, "ts", 10, "props", "k long", tie_col="event_id")
+    return rec.select("event_id", "user_id", "event_type", F.col("payload.k").alias("k"))
+
+
+@register("payload_to_table")
+def q_payload_to_table(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    return REG.payload_to_table(ev, "props", T_SCHEMA_K).select("k")
+
+
+@register("payload_validate")
+def q_payload_validate(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    return REG.payload_validate(ev, "props", ["k"], key_cols=["event_id"])
+
+
+@register("json_manifest_sink")
+def q_json_manifest(spark, sf_dir):
+    s = scores_table(spark, sf_dir, all_scorers()).filter(F.col("split") == "validation")
+    sel = P.policy_select(s, ["model_name"], POLICIES).select("model_name", "policy_name", "threshold", "expected_cost")
+    man = TB.json_manifest(sel)
+    schema = "array<struct<model_name:string,policy_name:string,threshold:double,expected_cost:double>>"
+    return man.select(F.inline(F.from_json("manifest_json", schema)))
+
+
+@register("write_csv")
+def q_write_csv(spark, sf_dir):
+    rep = q_risk_report(spark, sf_dir).select("case_id", "row_id", "prediction_proba", "risk_band", "risk_priority_rank")
+    path = REG.sink_dir(spark, "risk_report_csv")
+    TB.write_csv(rep, path)
+    schema = "case_id long, row_id long, prediction_proba double, risk_band string, risk_priority_rank long"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@register("scan_csv")
+def q_scan_csv(spark, sf_dir):
+    raw = cohort(spark, sf_dir).select(*RAW_NUMERICAL, TARGET)
+    path = REG.sink_dir(spark, "raw_csv")
+    TB.write_csv(raw, path)
+    return TB.scan_csv(spark, path, TB.raw_schema()).groupBy(TARGET).agg(
+        F.count(F.lit(1)).alias("n"), r9(F.sum("Glucose")).alias("sum_glucose"))
+
+
+@register("latest_version_read")
+def q_latest_version(spark, sf_dir):
+    path = REG.sink_dir(spark, "versioned_split_report")
+    rep = split_ops.split_report(split_cohort(spark, sf_dir), SPLIT_RATIOS)
+    for v in (1, 2):
+        rep.withColumn("version", F.lit(v)).withColumn("rows", F.col("rows") * v).write.mode("append").partitionBy("version").parquet(path)
+    return TB.latest_version_read(spark, path).select("split", "rows", "version")
+
+
+@register("file_inventory")
+def q_file_inventory(spark, sf_dir):
+    return REG.file_inventory(spark, f"{sf_dir.rstrip('/')}/*.parquet").select("path", "size_bytes")
+
+
+from pyspark.sql import types as _T  # noqa: E402
+
+T_SCHEMA_K = _T.StructType([_T.StructField("k", _T.LongType())])
