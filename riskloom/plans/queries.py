@@ -670,3 +670,45 @@ def q_file_inventory(spark, sf_dir):
 from pyspark.sql import types as _T  # noqa: E402
 
 T_SCHEMA_K = _T.StructType([_T.StructField("k", _T.LongType())])
+
+
+# ----------------------------------------------------- training / streaming
+from riskloom.plans import models as MD  # noqa: E402
+
+
+def _train_logistic(spark, sf_dir):
+    f, _ = prepared(spark, sf_dir)
+    feats = RAW_NUMERICAL + DERIVED_NUMERICAL
+    model = MD.train_model(f.filter(F.col("split") == "train"), feats, TARGET, "logistic", {"C": 1.0})
+    return f, model
+
+
+@register("train_model")
+def q_train_model(spark, sf_dir):
+    f, model = _train_logistic(spark, sf_dir)
+    s = MD.score_model(model, f.filter(F.col("split").isin("validation", "test")), "logistic", TARGET)
+    return M.metric_payload(s, KEYS, 0.5).select(*KEYS, "roc_auc", "brier", "log_loss", "recall", "precision")
+
+
+@register("calibrate_sigmoid")
+def q_calibrate_sigmoid(spark, sf_dir):
+    f, model = _train_logistic(spark, sf_dir)
+    s = MD.score_model(model, f.filter(F.col("split").isin("validation", "test")), "logistic", TARGET)
+    params = MD.platt_fit(s.filter(F.col("split") == "validation"))
+    cal = MD.platt_apply(s.filter(F.col("split") == "test"), params)
+    return M.metric_payload(cal, KEYS, 0.5).select(*KEYS, "roc_auc", "brier", "calibration_slope", "calibration_intercept")
+
+
+@register("score_stream")
+def q_score_stream(spark, sf_dir):
+    """Requests (test rows) land as Parquet files; a Structured Streaming query scores them (availableNow)."""
+    from riskloom.streaming.score_stream import request_schema, run_available_now, scored_stream
+
+    feats = ["Glucose", "BMI", "Age"]
+    src = REG.sink_dir(spark, "requests")
+    split_cohort(spark, sf_dir).filter(F.col("split") == "test").select("row_id", *feats).write.parquet(src)
+    out, ck = REG.sink_dir(spark, "scored"), REG.sink_dir(spark, "scored_ckpt")
+    stream = scored_stream(spark, src, feats, linear_score(FIXED_SCORER), 0.10, bands=RISK_BANDS)
+    run_available_now(stream, out, ck)
+    _ = request_schema
+    return spark.read.parquet(out)
