@@ -712,3 +712,35 @@ def q_score_stream(spark, sf_dir):
     run_available_now(stream, out, ck)
     _ = request_schema
     return spark.read.parquet(out)
+
+
+# --------------------------------------------------------- feature selection
+from riskloom.operators import feature_select as FS  # noqa: E402
+
+FS_BLOCKS = {f: [f] for f in RAW_NUMERICAL}
+
+
+def _fs_inputs(spark, sf_dir):
+    tr = split_cohort(spark, sf_dir).filter(F.col("split") == "train")
+    folded = split_ops.kfold_stratified(tr, TARGET, 5, purpose="fs_fold")
+    cands = FS.enumerate_candidates(FS_BLOCKS, 1, 3)
+    fm = FS.candidate_cv_linear(folded, cands, RAW_NUMERICAL, TARGET)
+    return fm, FS.candidates_frame(spark, cands)
+
+
+@register("candidate_cv")
+def q_candidate_cv(spark, sf_dir):
+    fm, _ = _fs_inputs(spark, sf_dir)
+    return fm
+
+
+@register("fs_summary")
+def q_fs_summary(spark, sf_dir):
+    fm, cf = _fs_inputs(spark, sf_dir)
+    return FS.fs_summary(fm, cf)
+
+
+@register("fs_stability")
+def q_fs_stability(spark, sf_dir):
+    fm, cf = _fs_inputs(spark, sf_dir)
+    return FS.fs_stability(fm, cf)
