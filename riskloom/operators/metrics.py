@@ -212,10 +212,29 @@ def probability_metrics(cells: DataFrame, keys: Sequence[str], calibration: bool
 
 def metric_payload(scores: DataFrame, keys: Sequence[str], threshold: float, fn_cost: float = 1.0,
                    fp_cost: float = 1.0, y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
-    """Threshold metrics + expected cost + probability metrics, one row per group."""
-    cells = to_cells(scores, keys, y, p, w)
-    thr = threshold_metrics(cells, keys, threshold, "y", "p", "w", fn_cost, fp_cost)
-    return thr.join(probability_metrics(cells, keys), on=list(keys))
+    """Threshold metrics + expected cost + probability metrics, one row per group.
+
+    The projected scores and their cells are persisted once and shared by the
+    threshold, AUC/Brier/log-loss and calibration aggregates (instead of
+    re-running the upstream plan per metric family); the result has one row
+    per group (config-bounded: models x splits / folds / iterations), so it is
+    collected and the caches are released before returning.
+    """
+    from pyspark import StorageLevel
+
+    keys = list(keys)
+    cols = [*keys, y, p] + ([w] if w else [])
+    src = scores.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = to_cells(src, keys, y, p, w).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        thr = threshold_metrics(src, keys, threshold, y, p, w, fn_cost, fp_cost)
+        out = thr.join(probability_metrics(cells, keys), on=keys)
+        schema = out.schema
+        rows = out.collect()
+    finally:
+        cells.unpersist()
+        src.unpersist()
+    return scores.sparkSession.createDataFrame(rows, schema)
 
 
 def clip_eps() -> float:

@@ -102,13 +102,9 @@ def bootstrap_ci(scores: DataFrame, iterations: int = 250, threshold: float = 0.
     """Percentile CIs of 11 metrics per model from Poisson-weighted resamples of the scores."""
     keys = ["model_name", "iteration"]
     weighted = bootstrap_weights(scores, iterations, seed)
-    cells = M.to_cells(weighted, keys, w="w")
-    thr = M.threshold_metrics(cells, keys, threshold, "y", "p", "w", fn_cost, fp_cost)
-    pm = M.probability_metrics(cells, keys)
-    per_iter = thr.join(pm, keys)
-    base_cells = M.to_cells(scores, ["model_name"])
-    base = M.threshold_metrics(scores, ["model_name"], threshold, fn_cost=fn_cost, fp_cost=fp_cost).join(
-        M.probability_metrics(base_cells, ["model_name"]), "model_name")
+    # one shared, persisted pass per table (see metrics.metric_payload)
+    per_iter = M.metric_payload(weighted, keys, threshold, fn_cost, fp_cost, w="w")
+    base = M.metric_payload(scores, ["model_name"], threshold, fn_cost, fp_cost)
     base_long = unpivot(base, ["model_name"], metrics, value="baseline")
     long = unpivot(per_iter, keys, metrics).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     alpha = max(0.0, min(1.0, 1.0 - confidence))
