@@ -211,7 +211,8 @@ def probability_metrics(cells: DataFrame, keys: Sequence[str], calibration: bool
 
 
 def metric_payload(scores: DataFrame, keys: Sequence[str], threshold: float, fn_cost: float = 1.0,
-                   fp_cost: float = 1.0, y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
+                   fp_cost: float = 1.0, y: str = "y", p: str = "p", w: str | None = None,
+                   calibration: bool = True) -> DataFrame:
     """Threshold metrics + expected cost + probability metrics, one row per group.
 
     The projected scores and their cells are persisted once and shared by the
@@ -228,7 +229,7 @@ def metric_payload(scores: DataFrame, keys: Sequence[str], threshold: float, fn_
     cells = to_cells(src, keys, y, p, w).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         thr = threshold_metrics(src, keys, threshold, y, p, w, fn_cost, fp_cost)
-        out = thr.join(probability_metrics(cells, keys), on=keys)
+        out = thr.join(probability_metrics(cells, keys, calibration), on=keys)
         schema = out.schema
         rows = out.collect()
     finally:

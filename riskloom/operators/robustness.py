@@ -156,12 +156,8 @@ def permutation_importance(rows: DataFrame, scorer: LinearScorer, repeats: int =
     p_perm = linear_score_from(scorer, lambda f: F.when(F.col("feature_name") == f, F.col("permuted_value")).otherwise(F.col(f)))
     ps = perm.select(F.lit(scorer.name).alias("model_name"), "feature_name", "repeat", F.col(y).alias("y"), p_perm.alias("p"))
     keys = ["model_name", "feature_name", "repeat"]
-    cells = M.to_cells(ps, keys)
-    m = M.threshold_metrics(ps, keys, threshold, fn_cost=fn_cost, fp_cost=fp_cost).join(
-        M.roc_auc(cells, keys), keys).join(M.brier_logloss(cells, keys), keys)
-    bcells = M.to_cells(base, ["model_name"])
-    b = M.threshold_metrics(base, ["model_name"], threshold, fn_cost=fn_cost, fp_cost=fp_cost).join(
-        M.roc_auc(bcells, ["model_name"]), "model_name").join(M.brier_logloss(bcells, ["model_name"]), "model_name")
+    m = M.metric_payload(ps, keys, threshold, fn_cost, fp_cost, calibration=False)
+    b = M.metric_payload(base, ["model_name"], threshold, fn_cost, fp_cost, calibration=False)
     long = unpivot(m, keys, PERMUTATION_METRICS).join(unpivot(b, ["model_name"], PERMUTATION_METRICS, value="baseline"),
                                                       ["model_name", "metric_name"])
     delta = F.when(F.col("metric_name").isin(*HIGHER_IS_BETTER), F.col("baseline") - F.col("value")).otherwise(
