@@ -611,3 +611,4 @@ SQL["write_csv"] = with_base("SELECT row_number() OVER (ORDER BY row_id) AS case
 SQL["scan_csv"] = with_base("SELECT Outcome, count(*) AS n, round(sum(Glucose), 9) AS sum_glucose FROM cohort GROUP BY Outcome")
 SQL["latest_version_read"] = with_base("SELECT split, CAST(count(*) * 2 AS BIGINT) AS rows, CAST(2 AS INTEGER) AS version FROM spl GROUP BY split")
 SQL["score_stream"] = with_base("SELECT row_id, p AS prediction_proba, CAST(p >= 0.1 AS INTEGER) AS prediction, " + BAND_SQL.format(d="NULL") + " AS risk_band FROM ts", _TS)
+SQL["score_request"] = with_base("SELECT row_id, p AS prediction_proba, CAST(p >= 0.1 AS INTEGER) AS prediction, " + BAND_SQL.format(d="NULL") + " AS risk_band FROM ts", _TS)

@@ -744,3 +744,14 @@ def q_fs_summary(spark, sf_dir):
 def q_fs_stability(spark, sf_dir):
     fm, cf = _fs_inputs(spark, sf_dir)
     return FS.fs_stability(fm, cf)
+
+
+@register("score_request")
+def q_score_request(spark, sf_dir):
+    """Request payloads (JSON objects of the raw features) -> validate -> table -> fixed-model scores."""
+    feats = list(RAW_NUMERICAL)
+    req = split_cohort(spark, sf_dir).filter(F.col("split") == "test").select(
+        "row_id", F.to_json(F.struct(*feats)).alias("payload"))
+    checked = REG.payload_validate(req, "payload", feats, key_cols=["row_id"]).filter("accepted")
+    scored = predict(checked, linear_score(FIXED_SCORER), threshold=0.10)
+    return scored.select("row_id", "prediction_proba", "prediction", "risk_band")
