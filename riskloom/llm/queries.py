@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, exact_dedup, substring_dedup
 from .tables import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,5 +24,29 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
-SQL: dict[str, str] = {}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that no repeated 35-word window covers."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stays of those with equal texts."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.classes(docs, carry=["doc_id"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
+}
+SQL: dict[str, str] = {
+    "op5_exact_dedup": r"""
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        n as (select doc_id, length(t) as points, regexp_replace(t, '[\x20\x09-\x0D]', '', 'g') as normal from d),
+        g as (select *, count(*) over (partition by normal) as group_size,
+                     first_value(doc_id) over (partition by normal order by points desc, doc_id) as keep_id from n)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(normal) as text_sha256 from g
+    """,
+}
