@@ -142,18 +142,29 @@ def token_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 
 
 # ---- merging ---------------------------------------------------------------------------------------------------------
-class Vocabulary:
-    """Token bytes by rank, and the rank that two neighbouring tokens merge to."""
-
-    MOST_CACHED = 500_000
+class TokenBytes:
+    """Token bytes by rank."""
 
     def __init__(self, tokens: list[bytes]):
-        self.tokens = tokens
-        self.ranks = {t: i for i, t in enumerate(tokens)}
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray, total: int) -> np.ndarray:
+        """The bytes of tokens whose first bytes lie at `starts` of `total` bytes."""
+        size = np.diff(np.append(starts, total))
+        return self.blob[np.repeat(self.offsets[ids] - starts, size) + np.arange(total)]
+
+
+class Vocabulary(TokenBytes):
+    """Also the rank that two neighbouring tokens merge to, and the pieces met so far."""
+
+    MOST_CACHED = 200_000
+
+    def __init__(self, tokens: list[bytes]):
+        super().__init__(tokens)
+        self.ranks = {t: i for i, t in enumerate(tokens)}
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         found = {}
         for i, t in enumerate(tokens):
             for k in range(1, len(t)):
@@ -163,7 +174,7 @@ class Vocabulary:
         self.pair_rank = found
         keys = np.array(sorted(found), np.int64)
         self.keys, self.merged = keys, np.array([found[k] for k in keys.tolist()], np.int64)
-        bits = 22
+        bits = 19
         slot = self._slot(keys, bits)
         # an open hash table with linear probing, filled in vectors
         self.bits, size = bits, 1 << bits
@@ -295,11 +306,6 @@ class Vocabulary:
         ids = self.flat[np.repeat(self.begin[which] - ends + size, size) + np.arange(ends[-1])]
         return ids, np.append(0, ends)[np.searchsorted(begins, text_starts)]
 
-    def decode(self, ids: np.ndarray, starts: np.ndarray, total: int) -> np.ndarray:
-        """The bytes of tokens whose first bytes lie at `starts` of `total` bytes."""
-        size = np.diff(np.append(starts, total))
-        return self.blob[np.repeat(self.offsets[ids] - starts, size) + np.arange(total)]
-
 
 def read_ranks(path: str) -> list[bytes]:
     """Token bytes by rank from a public rank file (base64 bytes, rank)."""
@@ -308,14 +314,14 @@ def read_ranks(path: str) -> list[bytes]:
     return sorted(ranks, key=ranks.__getitem__)
 
 
-_KEPT: dict[int, Vocabulary] = {}
+_KEPT: dict[tuple[type, str], TokenBytes] = {}
 
 
-def _vocabulary(shared) -> Vocabulary:
-    if shared.id not in _KEPT:
-        _KEPT.clear()
-        _KEPT[shared.id] = Vocabulary(shared.value)
-    return _KEPT[shared.id]
+def _kept(kind: type, shared: Shared) -> TokenBytes:
+    """A worker process builds its tables once."""
+    if (kind, shared.id) not in _KEPT:
+        _KEPT[kind, shared.id] = kind(shared.value)
+    return _KEPT[kind, shared.id]
 
 
 class Shared:
@@ -349,9 +355,9 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
     shared, names = Shared(df.sparkSession, ranks_path), ["token_ids", "token_starts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(shared)
+        vocabulary = _kept(Vocabulary, shared)
         for whole in batches:
-            for batch in C.slices(whole, text_col, 1 << 20):
+            for batch in C.slices(whole, text_col, 1 << 19):
                 data, offsets = C.string_bytes(batch.column(text_col))
                 texts = data.tobytes().decode()
                 lead = np.append(0, np.cumsum((data & 0xC0) != 0x80))
@@ -369,9 +375,9 @@ def decode(df: DataFrame, ranks_path: str) -> DataFrame:
     shared = Shared(df.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(shared)
+        vocabulary = _kept(TokenBytes, shared)
         for whole in batches:
-            for batch in C.slices(whole, "token_ids", 2 << 20):
+            for batch in C.slices(whole, "token_ids", 1 << 20):
                 raw, bounds = C.string_bytes(batch.column("token_ids"))
                 ids = np.frombuffer(raw.tobytes(), "<u4")
                 starts = np.frombuffer(C.string_bytes(batch.column("token_starts"))[0].tobytes(), "<u4").astype(np.int64)
