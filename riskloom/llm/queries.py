@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, substring_dedup
+from . import bpe, exact_dedup, minhash, substring_dedup
 from .tables import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -30,6 +30,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by 3-word shingle sets of similarity 0.85 or more."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minhash.groups(docs, width=3, percent=85).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of those with equal texts."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +46,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
 }
 SQL: dict[str, str] = {
