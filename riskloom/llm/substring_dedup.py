@@ -8,7 +8,7 @@ the windows that recur. Location: the confirmed windows of a block are compiled
 into Aho-Corasick automata of bounded size, and all documents of the block are
 streamed through them; every word covered by an occurrence is removed.
 
-The symbols of the automata are 32-bit hashes of `STRIDE` words, and a pattern has
+The symbols of the automata are 24-bit hashes of `STRIDE` words, and a pattern has
 WINDOW / STRIDE of them, so each document is streamed once per phase. An occurrence
 counts only if the 64-bit hash of its whole window is the pattern's. Two different
 windows are taken for equal only if their 64-bit hashes collide (chance below
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import textcore as C
 from .exchange import blocks, contains, flagged, recurring, unpack
 
-WINDOW, SHINGLE, STRIDE = 35, 20, 7
+WINDOW, SHINGLE, STRIDE, DIGITS = 35, 20, 7, 4
 #: Patterns in one automaton.
 SHARD = 50_000
 
@@ -70,6 +70,12 @@ class Windows:
         return self.whole[contains(recurring_seeds, self.least[self.whole])]
 
 
+def _digits(symbols: np.ndarray) -> np.ndarray:
+    """Symbols as rows of DIGITS characters of 6 bits: a node of an automaton has 64 branches at most."""
+    shifts = np.arange(0, 6 * DIGITS, 6, dtype=np.uint64)
+    return ((symbols[:, None] >> shifts & np.uint64(63)) + np.uint64(0x30)).astype(np.uint8)
+
+
 def covered(words: C.Words, hashes: np.ndarray, starts: np.ndarray, confirmed: np.ndarray) -> np.ndarray:
     """Whether each word lies in an occurrence of a confirmed window, by streaming all texts through the automata.
 
@@ -77,28 +83,36 @@ def covered(words: C.Words, hashes: np.ndarray, starts: np.ndarray, confirmed: n
     """
     n = len(words)
     change = np.zeros(n + 1, np.int64)
-    symbols = (C.grams(words.hashes, STRIDE, 3) >> np.uint64(32)).astype(np.int64)
     starts = starts[contains(confirmed, hashes[starts])]
     patterns = starts[np.unique(hashes[starts], return_index=True)[1]]
+    symbols = C.grams(words.hashes, STRIDE, 3)
+    text = np.repeat(np.arange(len(words.first) - 1), words.counts())[: len(symbols)]
+    inside = words.inside(STRIDE)[: len(symbols)]
+    phase = (np.arange(len(symbols)) - words.first[text]) % STRIDE
+    streams = []
+    for k in range(STRIDE):
+        at = np.flatnonzero(inside & (phase == k))
+        breaks = np.flatnonzero(np.diff(text[at])) + 1  # a text ends with a character of its own
+        stream = np.insert(_digits(symbols[at]), breaks, 0x0A, axis=0)
+        streams.append((stream.tobytes().decode("latin-1"), np.insert(at, breaks, -1)))
     steps = np.arange(0, WINDOW, STRIDE)
     for a in range(0, len(patterns), SHARD):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         part = patterns[a : a + SHARD]
-        for key, at in zip(symbols[part[:, None] + steps].tolist(), part.tolist(), strict=True):
-            automaton.add_word(tuple(key), at)
+        keys = _digits(symbols[(part[:, None] + steps).reshape(-1)]).tobytes().decode("latin-1")
+        width = DIGITS * len(steps)
+        for i, at in enumerate(part.tolist()):
+            automaton.add_word(keys[i * width : (i + 1) * width], at)
         automaton.make_automaton()
-        for first, end in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-            if end - first < WINDOW:
-                continue
-            for phase in range(STRIDE):
-                stream = tuple(symbols[first + phase : end - STRIDE + 1 : STRIDE].tolist())
-                found = list(automaton.iter(stream))
-                if found:
-                    ends, which = np.array(found).T
-                    begin = first + phase + ends * STRIDE - (WINDOW - STRIDE)
-                    begin = begin[hashes[begin] == hashes[which]]
-                    np.add.at(change, begin, 1)
-                    np.add.at(change, begin + WINDOW, -1)
+        for stream, place in streams:
+            found = list(automaton.iter(stream))
+            if found:
+                ends, which = np.array(found).T
+                whole = (ends + 1) % DIGITS == 0
+                begin, which = place[(ends[whole] + 1) // DIGITS - len(steps)], which[whole]
+                begin = begin[hashes[begin] == hashes[which]]
+                np.add.at(change, begin, 1)
+                np.add.at(change, begin + WINDOW, -1)
     return np.cumsum(change[:-1]) > 0
 
 
