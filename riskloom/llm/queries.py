@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, minhash, substring_dedup
+from . import bpe, exact_dedup, language_id, licenses, minhash, substring_dedup, toxicity
 from .tables import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,12 +50,28 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from four fifths of the labelled ones."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", language_id.held_out(modulus=5, remainder=0))
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where("not held_out").join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases, tags and expressions of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).drop("text")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_language_id": op7_language_id,
+    "op9_toxicity": op9_toxicity,
+    "op10_license_scan": op10_license_scan,
 }
 SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
