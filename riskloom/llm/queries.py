@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, licenses, minhash, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, language_id, licenses, minhash, substring_dedup, toxicity
 from .tables import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,6 +37,13 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with benchmark passages in them: one row for each document and item."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, read(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
+    return found.select("doc_id", "m.item_id", "m.first_word", "m.cosine", "m.lcs", "m.answer")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of those with equal texts."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,6 +75,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_language_id": op7_language_id,
     "op9_toxicity": op9_toxicity,
