@@ -27,11 +27,11 @@ from pyspark.sql import types as T
 
 from . import textcore as C
 
-BITS, RANK, OVERSAMPLE, POWER = 14, 96, 16, 2
+BITS, RANK, OVERSAMPLE, POWER = 14, 128, 16, 2
 #: Items in a block, documents that the SVD samples (about), and words of a sampled passage.
 ITEMS, SAMPLE, PASSAGE = 2000, 2000, 32
 STEP, WINDOWS = 4, (16, 32, 64)
-COSINE = 0.35
+COSINE = 0.22
 #: Shares of an item's words in common order that confirm it: alone, or with such a share of its answer.
 LCS_ALONE, LCS, ANSWER = 0.8, 0.5, 0.6
 MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("lcs", T.DoubleType()), T.StructField("answer", T.DoubleType())])
