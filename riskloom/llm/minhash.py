@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,9 +99,10 @@ def bands(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sign(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("packed", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(3)
         for whole in batches:
             for batch in C.slices(whole, text_col, 1 << 20):
                 hashes, bounds = shingle_sets(batch.column(text_col), width)
@@ -114,21 +116,22 @@ def _sign(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                     keys[: ends[0]] = bands(super_minhash(hashes[: bounds[ends[0]]], bounds[: ends[0] + 1]))
                 digest = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds, bounds[1:], strict=False)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, batch.num_rows * BANDS + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), batch.column(text_col).cast(pa.string()), pa.array(sizes), pa.array(digest, pa.binary()), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array([packer.compress((t or "").encode()) for t in batch.column(text_col).to_pylist()], pa.binary()), pa.array(sizes), pa.array(digest, pa.binary()), lists], names=schema.names)
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("set_id").alias("a"), F.col("packed").alias("text_a"))
+    right = texts.select(F.col("set_id").alias("b"), F.col("packed").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for whole in batches:
-            for batch in C.slices(whole, "text_a", 1 << 20):
-                first, at = shingle_sets(batch.column("text_a"), width)
-                second, to = shingle_sets(batch.column("text_b"), width)
+            for batch in C.slices(whole, "text_a", 1 << 18):
+                sides = [pa.array([unpacker.decompress(t) for t in batch.column(c).to_pylist()], pa.binary()) for c in ("text_a", "text_b")]
+                (first, at), (second, to) = (shingle_sets(x, width) for x in sides)
                 sure = []
                 for i in range(batch.num_rows):
                     x, y = first[at[i] : at[i + 1]], second[to[i] : to[i + 1]]
@@ -144,24 +147,25 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     signed = written(_sign(df, id_col, text_col, width), "signed")
     sets = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("set_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     sets = written(sets, "sets")
-    buckets = written(sets.select("set_id", "n_shingles", F.posexplode("keys").alias("band", "key")).drop("band"), "buckets")
+    buckets = sets.select("set_id", "n_shingles", F.explode("keys").alias("key"))
     pivots = buckets.groupBy("key").agg(F.min(F.struct("set_id", "n_shingles")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pivots = pivots.select("key", F.col("pivot.set_id").alias("pivot"), F.col("pivot.n_shingles").alias("m"))
+    # from here on only buckets of several sets
+    shared = written(buckets.join(pivots, "key"), "shared")
     # shingle numbers that differ too much rule a link out
     near = f"100 * least(m, n_shingles) >= {percent} * greatest(m, n_shingles)"
-    stars = buckets.join(pivots.select("key", F.col("pivot.set_id").alias("b"), F.col("pivot.n_shingles").alias("m")), "key")
-    stars = stars.where("set_id <> b").where(near).select(F.col("set_id").alias("a"), "b").distinct()
-    texts = signed.join(sets.select("set_id", "digest"), [signed["id"] == sets["set_id"], signed["digest"] == sets["digest"]]).select("id", "text")
-    texts = texts.dropDuplicates(["id"])
+    stars = shared.where("set_id <> pivot").where(near).select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    wanted = sets.select("set_id", "digest").join(shared.select("set_id").distinct(), "set_id")
+    texts = signed.select("id", "digest", "packed").join(wanted, [signed["id"] == wanted["set_id"], signed["digest"] == wanted["digest"]])
+    texts = written(texts.select("set_id", "packed").dropDuplicates(["set_id"]), "texts")
     links = written(_confirm(stars, texts, width, percent), "stars")
     trees = components(links)
     # buckets that span several groups: their other pairs across groups
-    placed = buckets.join(trees.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    placed = shared.drop("m").join(trees.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     placed = written(placed, "placed")
-    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("set_id").alias("pivot")).where("low < high")
-    spread = placed.join(spread.select("key", "pivot"), "key")
-    # against the pivot's own group every member was tried once; pairs within one group change nothing
-    home = spread.where("set_id = pivot").select("key", F.col("component").alias("home"))
-    spread = spread.join(home, "key")
+    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.when(F.col("set_id") == F.col("pivot"), F.col("component"))).alias("home"))
+    # against the pivot every member was tried once; pairs within one group change nothing
+    spread = placed.join(spread.where("low < high").select("key", "home"), "key")
     outside = spread.where("component <> home").select("key", F.col("set_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("of_a"))
     inside = spread.where("set_id <> pivot").select("key", F.col("set_id").alias("b"), "n_shingles", "component", "home")
     rest = outside.join(inside, "key").where("of_a <> component and (component = home or a < b)").where(near).select("a", "b").distinct()
