@@ -32,6 +32,8 @@ WIDTHS = (2, 3)
 #: Rows of each language that the centroids are fitted on, and their number.
 SAMPLE, CENTROIDS, ROUNDS = 400, 4, 8
 REJECT = 0.15
+#: Numbers of rows are broadcast for this many languages at most (16 bytes each and the name).
+FEW_LABELS = 10_000
 UNKNOWN = "und"
 
 
@@ -140,12 +142,15 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "lang") ->
 
 
 def _sample(training: DataFrame) -> DataFrame:
-    """About SAMPLE rows of each language, at most twice as many: those whose text hashes fall below a rate of their language."""
+    """At most SAMPLE distinct texts of each language, those with the smallest hashes."""
     counts = training.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    rated = training.join(counts, "label").withColumn("place", F.pmod(F.xxhash64("text"), F.lit(1 << 30)) * F.col("n"))
-    # copies of one text share a hash: with them a rate may pass more rows, the rank cuts these
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("place", "text"))
-    return rated.where(F.col("place") < 2 * SAMPLE * (1 << 30)).withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("label", "text")
+    if counts.limit(FEW_LABELS + 1).count() <= FEW_LABELS:
+        counts = F.broadcast(counts)
+    # a rate for each language lets about twice as many pass; copies of one text share a hash and merge in each task
+    rated = training.join(counts, "label").withColumn("place", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    chosen = rated.where(F.col("place") * F.col("n") < 2 * SAMPLE * (1 << 30)).groupBy("label", "place").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("place"))
+    return chosen.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("label", "text")
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -2,8 +2,8 @@
 
 Features are the hashed n-grams of `WIDTHS` bytes that a text has (each once).
 Their log-count ratios come from all training rows. A logistic regression on the
-scaled features is fitted on a bounded sample of training rows, at most about
-`SAMPLE` of each label, by L-BFGS.
+scaled features is fitted on a bounded sample of training rows, at most `SAMPLE`
+distinct texts of each label, by L-BFGS; both labels weigh the same in all.
 
 Null and empty texts have no features and get the score of the intercept. Rows
 whose label isn't 0 or 1 are left out of training; without both labels among the
@@ -27,7 +27,7 @@ from .ngrams import buckets, letters_only
 BITS, WIDTHS = 19, (4, 5)
 SAMPLE = 4000
 #: Weight of the squared length of the scaled weights, and added to each n-gram's count.
-PENALTY, SMOOTH = 1e-3, 0.5
+PENALTY, SMOOTH = 1e-2, 1.0
 CHUNK = 1 << 13
 
 
@@ -151,11 +151,12 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     if not rows[0] or not rows[1]:
         share = (rows[1] + 0.5) / (rows[0] + rows[1] + 1)
         return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))) if rows[0] + rows[1] else 0.0)
-    # a rate of the text's hash, then a rank that cuts copies of one text
+    # a rate of the text's hash; copies of one text share a hash and merge in each task
     rates = F.when(F.col("label") == 1, F.lit(rows[1])).otherwise(F.lit(rows[0]))
-    placed = training.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(1 << 30)) * rates).where(F.col("place") < SAMPLE * (1 << 30))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("place", "text"))
-    sample = placed.withColumn("rank", rank).where(F.col("rank") <= 2 * SAMPLE).select("text", "label")
+    chosen = training.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(1 << 30))).where(F.col("place") * rates < 2 * SAMPLE * (1 << 30))
+    chosen = chosen.groupBy("label", "place").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("place"))
+    sample = chosen.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("text", "label")
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, "text"):
@@ -170,7 +171,7 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -
         bounds = np.append(0, np.cumsum([len(x) // 4 for x in raw])).astype(np.int64)
         label = table.column("label").to_numpy().astype(np.int64)
         n = np.bincount(label, minlength=2)
-        weight = np.array([rows[0] / max(n[0], 1), rows[1] / max(n[1], 1)])[label]
+        weight = (len(label) / np.maximum(n, 1))[label]
         weights, intercept = _fit_sample(np.frombuffer(b"".join(raw), np.int32), bounds, label, weight / weight.mean(), shared.value.astype(np.float64))
         at = np.flatnonzero(np.abs(weights) > 1e-6)
         return pa.table({"at": pa.array([at.astype(np.int32).tobytes()], pa.binary()), "weight": pa.array([weights[at].astype(np.float32).tobytes()], pa.binary()), "intercept": [intercept]})
