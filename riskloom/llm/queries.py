@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language_id, licenses, minhash, substring_dedup, toxicity
-from .tables import read
+from . import bpe, decontaminate, exact_dedup, html_extract, language_id, licenses, minhash, pii, substring_dedup, toxicity
+from .tables import read, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Key of the registered query's surrogates; users of the operator pass their own.
+SURROGATE_KEY = "surrogates of the test tables"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +52,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(docs, carry=["doc_id"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", "n_chars", "n_boilerplate")
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data; fails if two entities share one."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    replaced = written(pii.surrogates(docs, SURROGATE_KEY), "surrogates")
+    if clash := pii.collisions(replaced).head(1):
+        raise ValueError(f"surrogates don't tell entities apart: {clash[0].kind}")
+    return replaced.select("doc_id", "text", "n_entities", F.col("entities.kind").alias("kinds"), F.col("entities.position").alias("positions"), F.col("entities.surrogate").alias("surrogates"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from three quarters of them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
@@ -77,7 +94,9 @@ QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_extract": op6_html_extract,
     "op7_language_id": op7_language_id,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
 }
