@@ -167,11 +167,28 @@ def _parsed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 def _runs(rest: list[str] | None) -> tuple[C.Words, np.ndarray]:
     """The token stream of a page, and the key of the run of RUN tokens at each token."""
-    data = np.frombuffer("\n".join(rest or []).encode(), np.uint8)
-    words = C.Words(data, np.array([0, len(data)]), C.NON_SPACE)
+    blocks = [b.encode() + b"\n" for b in rest or []]
+    words = C.Words(np.frombuffer(b"".join(blocks), np.uint8), np.cumsum([0] + [len(b) for b in blocks]), C.NON_SPACE)
     return words, C.grams(words.hashes, RUN, 11)
 
 
+def _covered(words: C.Words, runs: np.ndarray, repeated: list[int] | None) -> np.ndarray:
+    """Tokens in repeated runs; where a run only reaches into a block that has more, its few tokens there don't count."""
+    hit = np.flatnonzero(np.isin(runs, np.array(repeated or [], np.int64).view(np.uint64)))
+    change = np.zeros(len(words) + 1, np.int64)
+    change[hit] += 1
+    change[hit + RUN] -= 1
+    covered = np.cumsum(change[:-1]) > 0
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        part = covered[a:b]
+        if part.any() and not part.all():
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], part.astype(np.int8), [0]])))
+            for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if y - x < RUN:
+                    part[x:y] = False
+    return covered
+
+
 def _suffixes(parsed: DataFrame) -> DataFrame:
     """(host, key, row_id, page): the runs that start the suffixes of each page's stream; equal streams have one page."""
 
@@ -205,11 +222,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
                 covered = np.zeros(0, bool)
                 if keys or main is None:
                     words, runs = _runs(rest)
-                    hit = np.isin(runs, np.array(keys or [], np.int64).view(np.uint64))
-                    change = np.zeros(len(words) + 1, np.int64)
-                    change[np.flatnonzero(hit)] += 1
-                    change[np.flatnonzero(hit) + RUN] -= 1
-                    covered = np.cumsum(change[:-1]) > 0
+                    covered = _covered(words, runs, keys)
                 if main is None:
                     raw = words.data.tobytes()
                     main = " ".join(raw[a:b].decode() for a, b, c in zip(words.starts.tolist(), words.ends.tolist(), covered.tolist(), strict=True) if not c)
