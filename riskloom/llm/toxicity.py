@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from . import textcore as C
 from .ngrams import buckets, letters_only
+from .tables import written
 
 BITS, WIDTHS = 19, (4, 5)
 SAMPLE = 4000
@@ -147,6 +148,7 @@ class Model:
 
 def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model:
     training = training.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and text is not null")
+    training = written(training, "training")  # it is read twice, and mostly the result of a join
     ratio, rows = log_count_ratios(training)
     if not rows[0] or not rows[1]:
         share = (rows[1] + 0.5) / (rows[0] + rows[1] + 1)
