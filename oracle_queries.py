@@ -165,8 +165,8 @@ def calib_ctes(keys="model_name, split", src="cells", iters=8, prefix="") -> lis
     kj = " AND ".join(f"q1.{k.strip()} = q2.{k.strip()}" for k in keys.split(","))
     for i in range(1, iters + 1):
         q = f"SELECT q1.*, q2.a, q2.b, q2.ok, 1/(1+exp(-(q2.a + q2.b*q1.x))) AS s FROM {cb} q1 JOIN {it}{i-1} q2 ON {kj}"
-        g = (f"SELECT {keys}, a, b, ok, sum(pos - n*s) AS g0, sum((pos - n*s)*x) AS g1, sum(n*s*(1-s)) AS h00, "
-             f"sum(n*s*(1-s)*x) AS h01, sum(n*s*(1-s)*x*x) AS h11 FROM ({q}) q GROUP BY {keys}, a, b, ok")
+        g = (f"SELECT {keys}, a, b, ok, sum(pos - n*s) AS g0, sum((pos - n*s)*x) - b/1e6 AS g1, sum(n*s*(1-s)) AS h00, "
+             f"sum(n*s*(1-s)*x) AS h01, sum(n*s*(1-s)*x*x) + 1e-6 AS h11 FROM ({q}) q GROUP BY {keys}, a, b, ok")
         ctes.append(
             f"{it}{i} AS (SELECT {keys}, CASE WHEN ok THEN a + COALESCE((h11*g0 - h01*g1)/NULLIF(h00*h11 - h01*h01, 0), 0) ELSE 0.0 END AS a, "
             f"CASE WHEN ok THEN b + COALESCE((h00*g1 - h01*g0)/NULLIF(h00*h11 - h01*h01, 0), 0) ELSE 1.0 END AS b, ok FROM ({g}) gg)"
@@ -419,7 +419,7 @@ SQL["model_frontier"] = with_base(
 SQL["split_comparison"] = with_base(
     "SELECT t.model_name, t.split, CAST(CASE t.split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END AS INTEGER) AS split_order, "
     "CAST(t.tn + t.fp + t.fn + t.tp AS BIGINT) AS n, auc.roc_auc, bl.brier, bl.log_loss, t.recall, t.precision, "
-    "round(max(CASE WHEN t.split = 'train' THEN auc.roc_auc END) OVER (PARTITION BY t.model_name) - auc.roc_auc, 9) AS auc_gap_vs_train, "
+    "round(auc.roc_auc - max(CASE WHEN t.split = 'train' THEN auc.roc_auc END) OVER (PARTITION BY t.model_name), 9) AS auc_gap_vs_train, "
     "round(bl.brier - max(CASE WHEN t.split = 'train' THEN bl.brier END) OVER (PARTITION BY t.model_name), 9) AS brier_gap_vs_train "
     "FROM (" + thr_metrics_from_counts("c", "model_name, split") + ") t JOIN auc USING (model_name, split) JOIN bl USING (model_name, split)",
     SC_ALL, "c AS (" + counts_at("0.5") + ")", CELLS, AUC, BRIER)
@@ -435,8 +435,9 @@ _FOLD_PAYLOAD = ("fm AS (SELECT t.* RENAME (split AS fold_id), auc.roc_auc, bl.b
                  "JOIN bl USING (model_name, split) JOIN cal USING (model_name, split))")
 _FOLD_BASE = [_FOLD, SC_FOLD, "c AS (" + counts_at("0.1") + ")", CELLS, AUC, BRIER, *calib_ctes(), _FOLD_PAYLOAD]
 SQL["cv_fold_metrics"] = with_base("SELECT * FROM fm", *_FOLD_BASE)
-_CVM = ["roc_auc", "brier", "log_loss", "accuracy", "precision", "recall", "specificity", "f1", "false_positive_rate",
-        "false_negative_rate", "expected_cost", "mean_risk_score"]
+_CVM = ["roc_auc", "brier", "log_loss", "calibration_slope_error", "calibration_intercept_abs", "accuracy", "precision", "recall", "specificity", "f1",
+        "false_positive_rate", "false_negative_rate", "positive_prediction_rate", "positive_prevalence", "tn_share", "fp_share", "fn_share", "tp_share",
+        "mean_risk_score", "expected_cost", "expected_cost_per_sample", "threshold"]
 SQL["cv_summary"] = with_base(
     "SELECT model_name, metric_name, count(*) AS folds, round(avg(value), 8) AS mean_value, round(stddev_pop(value), 8) AS std_value, "
     "round(CASE WHEN abs(avg(value)) <= 1e-8 THEN 0.0 ELSE abs(stddev_pop(value)/avg(value))*100 END, 6) AS variation_pct_of_mean, "
@@ -489,7 +490,7 @@ def _boot_sql(iters: int) -> str:
     return with_base(body, SC_ALL, scw, cells, cnt, AUC, BRIER, *calib_ctes(), per, longp, bsc, bcells, bc, bauc, bbl, *bcal2, base)
 
 
-SQL["bootstrap_ci"] = _boot_sql(48)
+SQL["bootstrap_ci"] = _boot_sql(250)
 
 _PF = [("Glucose", 0.02), ("BMI", 0.03), ("Age", 0.01)]
 
@@ -501,7 +502,7 @@ def _sig_sub(feature_expr) -> str:
 
 _PERM = [
     "pv AS (SELECT * FROM spl WHERE split = 'validation')",
-    "pl AS (SELECT pv.*, f.feature_name, r.rep FROM pv, (VALUES ('Glucose'), ('BMI'), ('Age')) f(feature_name), range(1, 5) r(rep))",
+    "pl AS (SELECT pv.*, f.feature_name, r.rep FROM pv, (VALUES ('Glucose'), ('BMI'), ('Age')) f(feature_name), range(1, 13) r(rep))",
     "pa AS (SELECT *, row_number() OVER (PARTITION BY feature_name, rep ORDER BY md5(concat('42:perm_a:', feature_name, ':', CAST(rep AS VARCHAR), ':', CAST(row_id AS VARCHAR))), row_id) AS r FROM pl)",
     "pb AS (SELECT feature_name, rep, row_number() OVER (PARTITION BY feature_name, rep ORDER BY md5(concat('42:perm_b:', feature_name, ':', CAST(rep AS VARCHAR), ':', CAST(row_id AS VARCHAR))), row_id) AS r, "
     "CASE feature_name WHEN 'Glucose' THEN Glucose WHEN 'BMI' THEN BMI ELSE Age END AS pvv FROM pl)",
@@ -526,7 +527,7 @@ SQL["permutation_importance"] = with_base(
     + " UNION ALL ".join(f"SELECT pm.feature_name, '{m}' AS metric_name, CAST(pm.{m} AS DOUBLE) AS v, CAST(bm.{m} AS DOUBLE) AS b FROM pm, bm" for m in _PM)
     + ")) GROUP BY feature_name, metric_name", *_PERM)
 
-_SAMPLE = ("smp AS (SELECT * FROM spl WHERE split = 'validation' ORDER BY md5(concat('42:sample:', CAST(row_id AS VARCHAR))), row_id LIMIT 128)")
+_SAMPLE = "smp AS (SELECT * FROM spl WHERE split = 'validation')"
 _SCEN = " UNION ALL ".join(f"SELECT '{f}' AS feature_name, {pct!r}::DOUBLE AS perturbation_pct, '{d}' AS direction, {(1 - pct if d == 'down' else 1 + pct)!r}::DOUBLE AS mult"
                            for f, _ in _PF for pct in (0.05, 0.10, 0.20) for d in ("down", "up"))
 _BAND0 = BAND_SQL.format(d="NULL")
@@ -548,8 +549,10 @@ _PERT = [
     "FROM pz GROUP BY feature_name, perturbation_pct, direction)",
     "psum AS (SELECT model_name, feature_name, count(*) AS scenarios, round(avg(mean_sensitivity_ratio), 8) AS mean_sensitivity_ratio, "
     "round(max(max_sensitivity_ratio), 8) AS max_sensitivity_ratio, round(max(decision_flip_rate), 8) AS max_decision_flip_rate, "
-    "round(max(COALESCE(risk_band_change_rate, 0.0)), 8) AS max_risk_band_change_rate, CASE WHEN count(DISTINCT sensitivity_label) > 1 THEN 'mixed' "
-    "ELSE min(sensitivity_label) END AS overall_label FROM aud GROUP BY model_name, feature_name)",
+    "round(max(COALESCE(risk_band_change_rate, 0.0)), 8) AS max_risk_band_change_rate, count(DISTINCT direction) AS directions_tested, "
+    "round(avg(mean_abs_probability_delta), 8) AS mean_abs_probability_delta, CASE WHEN bool_or(sensitivity_label = 'too_sensitive') AND bool_or(sensitivity_label = 'too_insensitive') THEN 'mixed' "
+    "WHEN bool_or(sensitivity_label = 'too_sensitive') THEN 'too_sensitive' WHEN bool_or(sensitivity_label = 'too_insensitive') THEN 'too_insensitive' "
+    "ELSE 'proportional' END AS overall_label FROM aud GROUP BY model_name, feature_name)",
 ]
 SQL["perturbation_audit"] = with_base("SELECT * FROM aud", *_PERT)
 SQL["perturbation_summary"] = with_base("SELECT * FROM psum", *_PERT)

@@ -23,13 +23,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.config import PROBABILITY_EPSILON
 from riskloom.functions.expressions import clip_probability, safe_divide
+from riskloom.operators.ranking import null_safe_join
 
 ROUND_P = 9
 ROUND_OUT = 9
 AUC_GRID = 2**20
-NEWTON_ITERS = 8
+#: Inverse penalty on the calibration parameters (the weight of the log-likelihood against half their squared length).
+CALIBRATION_C = 1e6
 
 
 def _w(df: DataFrame, w: str | None) -> Column:
@@ -112,7 +113,7 @@ def roc_auc(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     offsets = buckets.select(*keys, "_b", F.coalesce(F.sum("_bneg").over(before_b), F.lit(0.0)).alias("_off"))
     before_p = Window.partitionBy(*keys, "_b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     inner = pc.withColumn("_cum", F.coalesce(F.sum("neg").over(before_p), F.lit(0.0)))
-    j = inner.join(offsets, on=[*keys, "_b"])
+    j = null_safe_join(inner, offsets, [*keys, "_b"])
     agg = j.groupBy(*keys).agg(
         F.sum(F.col("pos") * (F.col("_off") + F.col("_cum") + F.lit(0.5) * F.col("neg"))).alias("_num"),
         F.sum("pos").alias("_P"),
@@ -136,18 +137,19 @@ def brier_logloss(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def calibration_fit(cells: DataFrame, keys: Sequence[str], iterations: int = NEWTON_ITERS,
-                    tol: float = 1e-12, max_groups: int = 200_000) -> DataFrame:
-    """Logistic recalibration ``y ~ a + b*logit(p)`` per group by Newton steps.
+def calibration_fit(cells: DataFrame, keys: Sequence[str], tol: float = 1e-9, max_rounds: int = 200) -> DataFrame:
+    """Logistic recalibration ``y ~ a + b*logit(p)`` per group by damped Newton steps.
 
-    Single-class or empty groups give slope 1, intercept 0. Cells are
-    collapsed to ``(keys, logit)`` and persisted; each Newton step is one
-    grouped aggregate joined to a broadcast table of the current parameters
-    (one row per group — groups are config-bounded: models x splits x
-    iterations), and the 2x2 solve happens on the driver. Stops early once
-    every group has converged.
+    Maximises ``C * log-likelihood - b*b / 2`` (the slope is penalised, the
+    intercept is not), so separable scores have a finite answer too. A step that
+    lowers a group's objective is halved for that group and tried again. Groups
+    with one class give slope 1, intercept 0. ``converged`` tells whether the
+    step became smaller than ``tol`` (relative). Cells are collapsed to
+    ``(keys, logit)`` and persisted; each round is one grouped aggregate joined to
+    the table of the groups' parameters.
     """
     from pyspark import StorageLevel
+    from pyspark.sql import types as T
 
     keys = list(keys)
     spark = cells.sparkSession
@@ -157,41 +159,46 @@ def calibration_fit(cells: DataFrame, keys: Sequence[str], iterations: int = NEW
         F.sum(F.col("w")).alias("n"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        groups = base.groupBy(*keys).agg(((F.sum("pos") > 0) & (F.sum("pos") < F.sum("n"))).alias("ok")).limit(max_groups + 1).collect()
-        if len(groups) > max_groups:
-            raise ValueError(f"calibration_fit: more than {max_groups} groups")
-        state = {tuple(r[k] for k in keys): [0.0, 1.0, bool(r["ok"])] for r in groups}
-        from pyspark.sql import types as T
-
-        key_fields = base.select(*keys).schema.fields
-        pschema = T.StructType([*key_fields, T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
-        for _ in range(iterations):
-            active = [(*k, v[0], v[1]) for k, v in state.items() if v[2]]
+        groups = base.groupBy(*keys).agg(((F.sum("pos") > 0) & (F.sum("pos") < F.sum("n"))).alias("ok"))
+        # one row for each group: [a, b] accepted, its objective, the full step from it, the share of it tried next
+        fits = {tuple(r[k] for k in keys): {"at": (0.0, 1.0), "best": None, "step": (0.0, 0.0), "share": 1.0, "ok": r["ok"], "done": not r["ok"]}
+                for r in groups.toLocalIterator()}
+        fields = base.select(*keys).schema.fields
+        schema = T.StructType([*fields, T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+
+        def tried(f):
+            return tuple(v + f["share"] * d for v, d in zip(f["at"], f["step"], strict=True))
+
+        for _ in range(max_rounds):
+            active = [(*k, *tried(f)) for k, f in fits.items() if not f["done"]]
             if not active:
                 break
-            params = spark.createDataFrame(active, pschema)
-            s = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
-            r = F.col("pos") - F.col("n") * s
-            h = F.col("n") * s * (1 - s)
-            sums = base.join(F.broadcast(params), on=keys).groupBy(*keys).agg(
-                F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"),
-                F.sum(h).alias("h00"), F.sum(h * F.col("x")).alias("h01"), F.sum(h * F.col("x") * F.col("x")).alias("h11"),
-            ).collect()
-            moved = 0.0
-            for row in sums:
-                k = tuple(row[c] for c in keys)
-                det = row["h00"] * row["h11"] - row["h01"] * row["h01"]
-                if det == 0:
+            params = spark.createDataFrame(active, schema)
+            z = F.col("a") + F.col("b") * F.col("x")
+            # log(1 + exp(z)) and the logistic function without overflow
+            soft = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+            s = F.when(z >= 0, 1 / (1 + F.exp(-F.abs(z)))).otherwise(F.exp(-F.abs(z)) / (1 + F.exp(-F.abs(z))))
+            r, h = F.col("pos") - F.col("n") * s, F.col("n") * s * (1 - s)
+            sums = null_safe_join(base, params, keys).groupBy(*keys).agg(
+                F.sum(F.col("pos") * z - F.col("n") * soft).alias("ll"), F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"),
+                F.sum(h).alias("h00"), F.sum(h * F.col("x")).alias("h01"), F.sum(h * F.col("x") * F.col("x")).alias("h11"))
+            for row in sums.collect():
+                f = fits[tuple(row[c] for c in keys)]
+                a, b = tried(f)
+                value = row["ll"] - b * b / (2 * CALIBRATION_C)
+                if f["best"] is not None and value < f["best"] - 1e-12 * abs(f["best"]) and f["share"] > 1e-8:
+                    f["share"] /= 2
                     continue
-                da = (row["h11"] * row["g0"] - row["h01"] * row["g1"]) / det
-                db = (row["h00"] * row["g1"] - row["h01"] * row["g0"]) / det
-                state[k][0] += da
-                state[k][1] += db
-                moved = max(moved, abs(da), abs(db))
-            if moved < tol:
-                break
-        rows = [(*k, v[0] if v[2] else 0.0, v[1] if v[2] else 1.0) for k, v in state.items()]
-        out = spark.createDataFrame(rows, pschema)
+                f["at"], f["best"], f["share"] = (a, b), value, 1.0
+                g0, g1 = row["g0"], row["g1"] - b / CALIBRATION_C
+                h00, h01, h11 = row["h00"], row["h01"], row["h11"] + 1 / CALIBRATION_C
+                damp = 0.0
+                while (det := (h00 + damp) * (h11 + damp) - h01 * h01) <= 1e-14 * (h00 + damp) * (h11 + damp):
+                    damp = max(1e-9 * (h00 + h11), 10 * damp, 1e-12)
+                f["step"] = (((h11 + damp) * g0 - h01 * g1) / det, ((h00 + damp) * g1 - h01 * g0) / det)
+                f["done"] = max(abs(d) / max(1.0, abs(v)) for v, d in zip(f["at"], f["step"], strict=True)) < tol
+        rows = [(*k, *(f["at"] if f["ok"] else (0.0, 1.0)), f["done"]) for k, f in fits.items()]
+        out = spark.createDataFrame(rows, T.StructType([*schema.fields, T.StructField("converged", T.BooleanType())]))
     finally:
         base.unpersist()
     return out.select(
@@ -200,13 +207,14 @@ def calibration_fit(cells: DataFrame, keys: Sequence[str], iterations: int = NEW
         F.round(F.col("a"), 7).alias("calibration_intercept"),
         F.round(F.abs(F.col("b") - 1), 7).alias("calibration_slope_error"),
         F.round(F.abs(F.col("a")), 7).alias("calibration_intercept_abs"),
+        "converged",
     )
 
 
 def probability_metrics(cells: DataFrame, keys: Sequence[str], calibration: bool = True) -> DataFrame:
-    out = roc_auc(cells, keys).join(brier_logloss(cells, keys), on=list(keys))
+    out = null_safe_join(roc_auc(cells, keys), brier_logloss(cells, keys), list(keys))
     if calibration:
-        out = out.join(calibration_fit(cells, keys), on=list(keys))
+        out = null_safe_join(out, calibration_fit(cells, keys).drop("converged"), list(keys))
     return out
 
 
@@ -229,7 +237,7 @@ def metric_payload(scores: DataFrame, keys: Sequence[str], threshold: float, fn_
     cells = to_cells(src, keys, y, p, w).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         thr = threshold_metrics(src, keys, threshold, y, p, w, fn_cost, fp_cost)
-        out = thr.join(probability_metrics(cells, keys, calibration), on=keys)
+        out = null_safe_join(thr, probability_metrics(cells, keys, calibration), keys)
         schema = out.schema
         rows = out.collect()
     finally:
@@ -237,6 +245,3 @@ def metric_payload(scores: DataFrame, keys: Sequence[str], threshold: float, fn_
         src.unpersist()
     return scores.sparkSession.createDataFrame(rows, schema)
 
-
-def clip_eps() -> float:
-    return PROBABILITY_EPSILON

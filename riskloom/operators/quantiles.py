@@ -4,14 +4,15 @@ Spark's exact ``percentile`` aggregate keeps every distinct value of a group
 in one buffer — for a global quantile that is the whole column in one task.
 Here the order statistics are located by histogram refinement instead:
 
-1. one pass: non-null count, min, max per column;
-2. each refinement pass: rows inside the still-open value intervals are
-   bucketed (B equal-width buckets per interval) and counted with
-   ``groupBy(target, bucket)`` — partial aggregation keeps the shuffle at
-   ``targets x B`` rows; the driver keeps the bucket holding the wanted rank
-   (its exact min/max become the new interval);
-3. an interval whose min == max is solved; one holding at most
-   ``max_collect`` rows is finished by collecting just those values.
+1. one pass: numbers of values, of negative and of positive infinities, and
+   the finite minimum and maximum per column (infinities are ranks at the two
+   ends and never enter the arithmetic);
+2. each refinement pass: finite values inside the still-open intervals are
+   bucketed (equal-width buckets per interval) and counted with
+   ``groupBy(target, bucket)``; the bucket that holds the wanted rank gives the
+   next interval by its own minimum and maximum;
+3. an interval whose ends are equal is solved. Its two ends always fall into
+   different buckets, so every pass narrows an open interval and the loop ends.
 
 Every pass touches only bounded aggregates, so the result is exact at any
 scale and skew (a hot value resolves as a zero-width interval).
@@ -39,8 +40,6 @@ def exact_quantiles(
     probs: Sequence[float],
     *,
     buckets: int = 4096,
-    max_collect: int = 2_000,
-    max_passes: int = 12,
     persist: bool = True,
 ) -> dict[str, list[float | None]]:
     """``{column: [quantile(p) for p in probs]}``; NULL/NaN ignored; empty column -> None."""
@@ -49,79 +48,47 @@ def exact_quantiles(
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        low, high = float("-inf"), float("inf")
         aggs = []
         for c in cols:
-            aggs += [F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
+            finite = F.when((F.col(c) > low) & (F.col(c) < high), F.col(c))
+            aggs += [F.count(c).alias(f"n_{c}"), F.count(F.when(F.col(c) == low, 1)).alias(f"neg_{c}"), F.count(F.when(F.col(c) == high, 1)).alias(f"pos_{c}"),
+                     F.min(finite).alias(f"lo_{c}"), F.max(finite).alias(f"hi_{c}")]
         row = data.agg(*aggs).head()
-        # targets: (column, k) -> state [lo, hi, below]
+        # open targets: (column, rank) -> [lo, hi, number of values below the interval]
         state: dict[tuple[str, int], list] = {}
+        solved: dict[tuple[str, int], float] = {}
         plan: dict[str, list[tuple[int, int, float] | None]] = {}
         for c in cols:
-            n = int(row[f"n_{c}"])
-            if n == 0:
-                plan[c] = [None for _ in probs]
-                continue
-            plan[c] = [_order_stats(n, float(q)) for q in probs]
-            for k0, k1, _ in plan[c]:
-                for k in (k0, k1):
-                    state[(c, k)] = [float(row[f"lo_{c}"]), float(row[f"hi_{c}"]), 0, n]
-        solved: dict[tuple[str, int], float] = {}
-
-        def intervals_of(targets):
-            """Distinct (column, lo, hi, below) intervals shared by several targets."""
-            ids: dict[tuple, int] = {}
-            for t in targets:
-                lo, hi, below, _ = state[t]
-                ids.setdefault((t[0], lo, hi, below), len(ids))
-            return ids
-
-        def hits_for(ids):
-            parts = []
-            for (c, lo, hi, _), i in ids.items():
-                parts.append(F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(F.lit(i).alias("t"), F.col(c).alias("v"))))
-            return data.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("h"))
-
-        for _ in range(max_passes + 1):
-            open_t = [t for t in state if t not in solved]
-            for t in list(open_t):
-                if state[t][0] == state[t][1]:
-                    solved[t] = state[t][0]
-                    open_t.remove(t)
-            big = [t for t in open_t if state[t][3] > max_collect]
-            small = [t for t in open_t if state[t][3] <= max_collect]
-            if small:
-                # one job for all small intervals: at most (#intervals x max_collect) values
-                ids = intervals_of(small)
-                vals: dict[int, list[float]] = {}
-                for r in hits_for(ids).select("h.t", "h.v").collect():
-                    vals.setdefault(r["t"], []).append(r["v"])
-                for t in small:
-                    lo, hi, below, _ = state[t]
-                    solved[t] = sorted(vals[ids[(t[0], lo, hi, below)]])[t[1] - below]
-            if not big:
+            n, neg, pos = (int(row[f"{x}_{c}"]) for x in ("n", "neg", "pos"))
+            plan[c] = [_order_stats(n, float(q)) if n else None for q in probs]
+            for k in {k for st in plan[c] if st for k in st[:2]}:
+                if k < neg or k >= n - pos:
+                    solved[(c, k)] = low if k < neg else high
+                else:
+                    state[(c, k)] = [float(row[f"lo_{c}"]), float(row[f"hi_{c}"]), neg]
+        while True:
+            for t in [t for t in state if state[t][0] == state[t][1]]:
+                solved[t] = state.pop(t)[0]
+            if not state:
                 break
-            ids = intervals_of(big)
+            ids = {iv: i for i, iv in enumerate(dict.fromkeys((t[0], *v) for t, v in state.items()))}
             parts = []
             for (c, lo, hi, _), i in ids.items():
-                width = (hi - lo) / buckets
-                b = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-                parts.append(F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(F.lit(i).alias("t"), b.alias("b"), F.col(c).alias("v"))))
+                # halves keep differences of very large numbers finite
+                half = F.col(c) / 2 - F.lit(lo / 2)
+                b = F.when(F.col(c) == hi, F.lit(buckets - 1)).otherwise(F.least(F.floor(half / F.lit(hi / 2 - lo / 2) * F.lit(float(buckets - 1))), F.lit(buckets - 2)))
+                parts.append(F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(F.lit(i).alias("t"), b.cast("int").alias("b"), F.col(c).alias("v"))))
             hits = data.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("h"))
-            hist = (
-                hits.groupBy("h.t", "h.b")
-                .agg(F.count(F.lit(1)).alias("c"), F.min("h.v").alias("mn"), F.max("h.v").alias("mx"))
-                .collect()
-            )
+            hist = hits.groupBy("h.t", "h.b").agg(F.count(F.lit(1)).alias("c"), F.min("h.v").alias("mn"), F.max("h.v").alias("mx")).collect()
             by_t: dict[int, list] = {}
             for r in hist:
                 by_t.setdefault(r["t"], []).append((r["b"], r["c"], r["mn"], r["mx"]))
-            for t in big:
-                lo, hi, below, _ = state[t]
-                want = t[1] - below
-                acc = 0
-                for b, c, mn, mx in sorted(by_t.get(ids[(t[0], lo, hi, below)], [])):
-                    if acc + c > want:
-                        state[t] = [float(mn), float(mx), below + acc, int(c)]
+            for t, (lo, hi, below) in state.items():
+                acc = below
+                for _, c, mn, mx in sorted(by_t[ids[(t[0], lo, hi, below)]]):
+                    if acc + c > t[1]:
+                        state[t] = [float(mn), float(mx), acc]
                         break
                     acc += c
         out: dict[str, list[float | None]] = {}
@@ -133,7 +100,7 @@ def exact_quantiles(
                     continue
                 k0, k1, frac = st
                 a, b = solved[(c, k0)], solved[(c, k1)]
-                vals.append(a + (b - a) * frac)
+                vals.append(a if a == b or not frac else a + (b - a) * frac)
             out[c] = vals
         return out
     finally:

@@ -27,6 +27,15 @@ from riskloom.session import ensure_checkpoint_dir
 _BUCKET = "_rl_bucket"
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match each other; the keys come from the left side."""
+    named = right.select(*[F.col(k).alias(f"_rl_key_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(named[f"_rl_key_{k}"])
+    return left.join(named, cond, how).drop(*[f"_rl_key_{k}" for k in keys])
+
+
 def rank_by_hash(
     df: DataFrame,
     part_cols: Sequence[str],
@@ -36,14 +45,12 @@ def rank_by_hash(
     rank_name: str = "rank",
     total_name: str | None = None,
     digits: int = 4,
-    bounded_groups: bool = True,
 ) -> DataFrame:
     """Rank rows inside ``part_cols`` by ``(hash_col, tie_col)`` ascending.
 
-    ``hash_col`` must hold lowercase hex digests (md5). ``bounded_groups``
-    says the number of distinct ``part_cols`` values is small (a class label,
-    a fold id), so the count table — at most groups x 16**digits rows — can
-    be broadcast. Otherwise it is joined by shuffle.
+    ``hash_col`` must hold lowercase hex digests (md5). A NULL in ``part_cols``
+    is a group of its own. The count table has at most groups x 16**digits
+    rows; the optimizer broadcasts it if its measured size allows that.
     """
     part = list(part_cols)
     x = df.withColumn(_BUCKET, hex_prefix_int(F.col(hash_col), digits))
@@ -54,11 +61,9 @@ def rank_by_hash(
     if total_name:
         cols.append(F.sum("_rl_c").over(by_group).alias(total_name))
     offsets = counts.select(*cols)
-    if bounded_groups:
-        offsets = F.broadcast(offsets)
     inner = Window.partitionBy(*part, _BUCKET).orderBy(F.col(hash_col), F.col(tie_col))
     x = x.withColumn("_rl_rn", F.row_number().over(inner))
-    out = x.join(offsets, on=[*part, _BUCKET], how="inner")
+    out = null_safe_join(x, offsets, [*part, _BUCKET])
     out = out.withColumn(rank_name, (F.col("_rl_off") + F.col("_rl_rn")).cast("long"))
     return out.drop(_BUCKET, "_rl_off", "_rl_rn")
 

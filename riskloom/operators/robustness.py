@@ -29,8 +29,9 @@ from riskloom.functions.hashing import keyed_md5, uniform01_fine
 from riskloom.operators import metrics as M
 from riskloom.operators.ranking import rank_by_hash
 
-CV_METRICS = ["roc_auc", "brier", "log_loss", "accuracy", "precision", "recall", "specificity", "f1",
-              "false_positive_rate", "false_negative_rate", "expected_cost", "mean_risk_score"]
+CV_METRICS = ["roc_auc", "brier", "log_loss", "calibration_slope_error", "calibration_intercept_abs", "accuracy", "precision", "recall",
+              "specificity", "f1", "false_positive_rate", "false_negative_rate", "positive_prediction_rate", "positive_prevalence",
+              "tn_share", "fp_share", "fn_share", "tp_share", "mean_risk_score", "expected_cost", "expected_cost_per_sample", "threshold"]
 BOOTSTRAP_METRICS = ["roc_auc", "brier", "log_loss", "recall", "precision", "f1", "false_negative_rate",
                      "false_positive_rate", "expected_cost", "calibration_slope_error", "calibration_intercept_abs"]
 PERMUTATION_METRICS = ["roc_auc", "brier", "log_loss", "recall", "expected_cost"]
@@ -174,18 +175,43 @@ def permutation_importance(rows: DataFrame, scorer: LinearScorer, repeats: int =
 
 
 # ----------------------------------------------------------- perturbation
+GRID = 2**12
+
+
+def _medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Exact median per group of values in [0, 1], rounded to 9 digits.
+
+    Values are collapsed to cells, cells to a fixed grid; the grid cells that hold
+    the two middle ranks are found first, and only their values are ordered.
+    """
+    keys = list(keys)
+    v = F.round(value, 9)
+    cells = df.groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("g", F.floor(F.col("v") * GRID).cast("int"))
+    grid = cells.groupBy(*keys, "g").agg(F.sum("c").alias("gc"))
+    w = Window.partitionBy(*keys)
+    grid = grid.withColumn("off", F.sum("gc").over(w.orderBy("g").rowsBetween(Window.unboundedPreceding, 0)) - F.col("gc")).withColumn("n", F.sum("gc").over(w))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    inside = lambda r, a, b: (r >= a) & (r < b)
+    wanted = grid.where(inside(low, F.col("off"), F.col("off") + F.col("gc")) | inside(high, F.col("off"), F.col("off") + F.col("gc")))
+    few = cells.join(wanted.select(*keys, "g", "off", "n"), [*keys, "g"])
+    ranked = few.withColumn("end", F.col("off") + F.sum("c").over(Window.partitionBy(*keys, "g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.col("end") - F.col("c")
+    pick = lambda r: F.max(F.when(inside(r, start, F.col("end")), F.col("v")))
+    return ranked.groupBy(*keys).agg(((pick(low) + pick(high)) / 2).alias("median_abs_probability_delta"))
+
+
 def perturbation_audit(sample: DataFrame, scorer: LinearScorer, percents: Sequence[float], threshold: float,
                        bands=RISK_BANDS, key: str = ROW_ID) -> DataFrame:
     """Per (feature, pct, direction): probability deltas, sensitivity ratios, flip and band-change rates.
 
-    ``sample`` is a bounded seeded sample (``sample_n``); the 6 x F scenario
-    grid is a generator over its rows.
+    ``sample`` is any number of rows, usually a whole split (``sample_n`` makes a
+    smaller one). The scenario grid, configured and small, is a generator over
+    the rows; probability deltas are collapsed to (scenario, delta rounded to 9
+    digits) before their exact median is taken by ranks.
     """
     feats = scorer.features()
-    whole = Window.partitionBy()  # the sample is bounded (sample_n)
-    mins = {f: F.min(f).over(whole) for f in feats}
-    maxs = {f: F.max(f).over(whole) for f in feats}
-    s = sample.select(key, *feats, *[mins[f].alias(f"_min_{f}") for f in feats], *[maxs[f].alias(f"_max_{f}") for f in feats])
+    ends = sample.agg(*[F.min(f).alias(f"_min_{f}") for f in feats], *[F.max(f).alias(f"_max_{f}") for f in feats]).head()
+    s = sample.select(key, *feats, *[F.lit(ends[c]).alias(c) for c in ends.asDict()])
     scen = F.array(*[F.struct(F.lit(f).alias("feature_name"), F.lit(float(pct)).alias("perturbation_pct"), F.lit(d).alias("direction"),
                               F.lit(float(1 - pct if d == "down" else 1 + pct)).alias("mult"))
                      for f in feats for pct in percents for d in ("down", "up")])
@@ -203,9 +229,10 @@ def perturbation_audit(sample: DataFrame, scorer: LinearScorer, percents: Sequen
     band_change = (F.coalesce(risk_band("p0", bands), F.lit("")) != F.coalesce(risk_band("p1", bands), F.lit(""))).cast("double") if bands else F.lit(None).cast("double")
     agg = x.groupBy("feature_name", "perturbation_pct", "direction").agg(
         F.count(F.lit(1)).alias("rows_changed"), F.avg("dp").alias("mean_abs_probability_delta"),
-        F.percentile(F.col("dp"), F.lit(0.5)).alias("median_abs_probability_delta"), F.max("dp").alias("max_abs_probability_delta"),
+        F.max("dp").alias("max_abs_probability_delta"),
         F.avg("ratio").alias("mean_sensitivity_ratio"), F.max("ratio").alias("max_sensitivity_ratio"),
         F.avg(flip).alias("decision_flip_rate"), F.avg(band_change).alias("risk_band_change_rate"))
+    agg = agg.join(_medians(x, ["feature_name", "perturbation_pct", "direction"], "dp"), ["feature_name", "perturbation_pct", "direction"])
     label = (F.when(F.col("mean_sensitivity_ratio") < SENSITIVITY_INSENSITIVE_MAX, "too_insensitive")
              .when(F.col("mean_sensitivity_ratio") > SENSITIVITY_OVERREACTIVE_MIN, "too_sensitive").otherwise("proportional"))
     r = lambda c: F.round(c, 8)
@@ -217,19 +244,24 @@ def perturbation_audit(sample: DataFrame, scorer: LinearScorer, percents: Sequen
 
 
 def perturbation_summary(audit: DataFrame) -> DataFrame:
-    """Per feature: scenarios, mean/max ratio, max flip / band-change rate, overall label."""
+    """Per feature: scenarios, directions, mean and largest effects, and one label.
+
+    ``mixed`` only if some scenario is too sensitive and some too insensitive;
+    otherwise the extreme label that occurs, else ``proportional``.
+    """
+    has = lambda label: F.max((F.col("sensitivity_label") == label).cast("int")) == 1
     agg = audit.groupBy("model_name", "feature_name").agg(
-        F.count(F.lit(1)).alias("scenarios"), F.countDistinct("sensitivity_label").alias("n_labels"),
-        F.first("sensitivity_label").alias("_one"),
-        F.max((F.col("sensitivity_label") == "too_sensitive").cast("int")).alias("any_sensitive"),
+        F.count(F.lit(1)).alias("scenarios"), F.countDistinct("direction").alias("directions_tested"),
+        has("too_sensitive").alias("_over"), has("too_insensitive").alias("_under"),
+        F.round(F.avg("mean_abs_probability_delta"), 8).alias("mean_abs_probability_delta"),
         F.round(F.avg("mean_sensitivity_ratio"), 8).alias("mean_sensitivity_ratio"),
         F.round(F.max("max_sensitivity_ratio"), 8).alias("max_sensitivity_ratio"),
         F.round(F.max("decision_flip_rate"), 8).alias("max_decision_flip_rate"),
         F.round(F.max(F.coalesce("risk_band_change_rate", F.lit(0.0))), 8).alias("max_risk_band_change_rate"))
-    label = (F.when(F.col("n_labels") > 1, "mixed").when(F.col("_one") == "too_sensitive", "too_sensitive")
-             .when(F.col("_one") == "too_insensitive", "too_insensitive").otherwise("proportional"))
-    return agg.select("model_name", "feature_name", "scenarios", "mean_sensitivity_ratio", "max_sensitivity_ratio",
-                      "max_decision_flip_rate", "max_risk_band_change_rate", label.alias("overall_label"))
+    label = (F.when(F.col("_over") & F.col("_under"), "mixed").when(F.col("_over"), "too_sensitive")
+             .when(F.col("_under"), "too_insensitive").otherwise("proportional"))
+    return agg.select("model_name", "feature_name", "scenarios", "directions_tested", "mean_abs_probability_delta", "mean_sensitivity_ratio",
+                      "max_sensitivity_ratio", "max_decision_flip_rate", "max_risk_band_change_rate", label.alias("overall_label"))
 
 
 # ---------------------------------------------------------------- design audit

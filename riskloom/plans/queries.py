@@ -350,7 +350,7 @@ def q_policy_select(spark, sf_dir):
 
 
 # ------------------------------------------------------------ data quality
-from riskloom.config import DEPLOYMENT_POLICY, FIXED_SCORER, PERMUTATION_REPEATS, PERTURBATION_PERCENTS  # noqa: E402
+from riskloom.config import BOOTSTRAP_ITERATIONS, DEPLOYMENT_POLICY, FIXED_SCORER, PERMUTATION_REPEATS, PERTURBATION_PERCENTS  # noqa: E402
 from riskloom.operators import quality as Q  # noqa: E402
 from riskloom.operators import robustness as R  # noqa: E402
 from riskloom.operators import selection as S  # noqa: E402
@@ -471,18 +471,18 @@ def q_cv_summary(spark, sf_dir):
 @register("bootstrap_ci")
 def q_bootstrap(spark, sf_dir):
     s = scores_table(spark, sf_dir, all_scorers()).filter(F.col("split") == "validation")
-    return R.bootstrap_ci(s, iterations=48, threshold=0.10, fn_cost=8.0, fp_cost=1.0)
+    return R.bootstrap_ci(s, iterations=BOOTSTRAP_ITERATIONS, threshold=0.10, fn_cost=8.0, fp_cost=1.0)
 
 
 @register("permutation_importance")
 def q_permutation(spark, sf_dir):
     val = split_cohort(spark, sf_dir).filter(F.col("split") == "validation")
-    return R.permutation_importance(val, FIXED_SCORER, repeats=4, threshold=0.10, fn_cost=8.0, fp_cost=1.0)
+    return R.permutation_importance(val, FIXED_SCORER, repeats=PERMUTATION_REPEATS, threshold=0.10, fn_cost=8.0, fp_cost=1.0)
 
 
 def _sens_sample(spark, sf_dir):
-    val = split_cohort(spark, sf_dir).filter(F.col("split") == "validation")
-    return split_ops.sample_n(val, 128, 42)
+    """The whole validation split; a smaller sample is a choice of the operator's caller."""
+    return split_cohort(spark, sf_dir).filter(F.col("split") == "validation")
 
 
 @register("perturbation_audit")

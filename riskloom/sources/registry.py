@@ -66,8 +66,9 @@ def payload_validate(payloads: DataFrame, json_col: str, required: Sequence[str]
     missing = F.array_except(req, F.coalesce(keys, F.array().cast("array<string>")))
     extra = F.array_except(F.coalesce(keys, F.array().cast("array<string>")), req)
     nums = [F.element_at(vals, r).try_cast("double") for r in required]
-    non_numeric = F.filter(req, lambda k: F.element_at(vals, k).try_cast("double").isNull())
-    negative = F.filter(req, lambda k: F.element_at(vals, k).try_cast("double") < 0)
+    number = lambda k: F.element_at(vals, k).try_cast("double")
+    non_numeric = F.filter(req, lambda k: number(k).isNull() | F.isnan(number(k)))
+    negative = F.filter(req, lambda k: number(k) < 0)
     reason = (
         F.when(vals.isNull(), F.lit("malformed"))
         .when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.array_join(F.array_sort(missing), ",")))
