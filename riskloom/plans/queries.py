@@ -316,7 +316,7 @@ def q_brier(spark, sf_dir):
 @register("calibration_fit")
 def q_calibration(spark, sf_dir):
     s = scores_table(spark, sf_dir, all_scorers())
-    return M.calibration_fit(M.to_cells(s, KEYS), KEYS)
+    return M.calibration_fit(M.to_cells(s, KEYS), KEYS).drop("converged")
 
 
 @register("evaluate_all_splits")
