@@ -2,9 +2,11 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from riskloom.llm import components as components_module
 from riskloom.llm import exact_dedup, exchange, minhash, substring_dedup
 from riskloom.llm.components import components
 
@@ -138,7 +140,9 @@ def test_signature_estimates_similarity():
     assert (few[0] == 1 << 63).all() and (few[1] < 1 << 63).all()
 
 
-def test_components(spark, make):
+@pytest.mark.parametrize("held", [200_000, 5])
+def test_components(spark, make, held, monkeypatch):
+    monkeypatch.setattr(components_module, "HELD", held)  # in few and in many tasks
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (103, 101), (7, 7)]
     links = spark.createDataFrame(chain, "a long, b long").repartition(4)
     got = {r.node: r.component for r in components(links).collect()}
