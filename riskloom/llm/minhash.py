@@ -6,8 +6,8 @@ component of its permutation, and a component keeps its least offer. All shingle
 of a text take step j together, and a text stops when no component can fall any
 further, which long texts reach after a few steps. Sets are banded; in each
 bucket every set is linked with the bucket's smallest, links are confirmed on the
-full shingle sets, and where a bucket then spans several groups its other pairs
-across groups are confirmed too. Groups come from union-find.
+full shingle sets. Sets in buckets that then span several groups are compared
+across groups too, by their rarest shingles. Groups come from union-find.
 
 With 125 components in 25 bands of 5, a pair of similarity 0.85 shares no band
 with probability 4e-7 (0.8: 5e-5).
@@ -35,6 +35,8 @@ from .tables import written
 
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
+#: Bits of the table that shingles are counted in.
+COUNTERS = 18
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +144,55 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _across(sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets (set_id, packed, component) of different components that can be similar enough, none left out.
+
+    Shingles are ordered by how often they occur (counted in a table of fixed
+    size), rare ones first. Similar sets then share one of the first
+    n - ceil(n * percent / 100) + 1 shingles of each, so sets that only have
+    frequent shingles in common never meet.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        unpacker = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for batch in C.slices(whole, "packed", 1 << 18):
+                texts = pa.array([unpacker.decompress(t) for t in batch.column("packed").to_pylist()], pa.binary())
+                yield batch, *shingle_sets(texts, width)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for _, hashes, _ in shingles(batches):
+            total += np.bincount((hashes >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    often = np.zeros(1 << COUNTERS, np.int64)
+    for r in sets.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        often[r.at] = r.n
+    shared = sets.sparkSession.sparkContext.broadcast(often.astype(np.uint32))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, hashes, bounds in shingles(batches):
+            sizes = np.diff(bounds)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((hashes, shared.value[(hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)], owner))
+            first = sizes - -(-sizes * percent // 100) + 1
+            keep = order[np.arange(len(hashes)) - bounds[owner] < first[owner]]
+            ids, groups_ = (batch.column(c).to_numpy()[owner[keep]] for c in ("set_id", "component"))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(ids), pa.array(sizes[owner[keep]]), pa.array(groups_)], names=["token", "set_id", "n_shingles", "component"])
+
+    rows = written(sets.select("set_id", "packed", "component").mapInArrow(prefixes, "token long, set_id long, n_shingles long, component long"), "prefixes")
+    by_group = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    # the largest group of a token's sets is compared with the others only
+    home = by_group.groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    rows = rows.join(home.select("token", F.col("most.component").alias("home")), "token")
+    outside = rows.where("component <> home").select("token", F.col("set_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("of_a"))
+    inside = rows.select("token", F.col("set_id").alias("b"), "n_shingles", "component", "home")
+    near = f"100 * least(m, n_shingles) >= {percent} * greatest(m, n_shingles)"
+    return outside.join(inside, "token").where("of_a <> component and (component = home or a < b)").where(near).select("a", "b").distinct()
+
+
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row (id, n_shingles, component_id) per document: the smallest id reachable over links of similarity >= percent / 100."""
     signed = written(_sign(df, id_col, text_col, width), "signed")
@@ -160,15 +211,12 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     texts = written(texts.select("set_id", "packed").dropDuplicates(["set_id"]), "texts")
     links = written(_confirm(stars, texts, width, percent), "stars")
     trees = components(links)
-    # buckets that span several groups: their other pairs across groups
-    placed = shared.drop("m").join(trees.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    # sets in buckets that span several groups: their pairs across groups
+    placed = shared.select("key", "set_id").join(trees.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     placed = written(placed, "placed")
-    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.when(F.col("set_id") == F.col("pivot"), F.col("component"))).alias("home"))
-    # against the pivot every member was tried once; pairs within one group change nothing
-    spread = placed.join(spread.where("low < high").select("key", "home"), "key")
-    outside = spread.where("component <> home").select("key", F.col("set_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("of_a"))
-    inside = spread.where("set_id <> pivot").select("key", F.col("set_id").alias("b"), "n_shingles", "component", "home")
-    rest = outside.join(inside, "key").where("of_a <> component and (component = home or a < b)").where(near).select("a", "b").distinct()
+    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    suspects = placed.join(spread, "key").select("set_id", "component").distinct()
+    rest = _across(written(texts.join(suspects, "set_id"), "suspects"), width, percent)
     more = written(_confirm(rest, texts, width, percent), "rest")
     if more.limit(1).count():
         trees = components(links.union(more))
