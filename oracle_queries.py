@@ -568,17 +568,23 @@ SQL["design_audit"] = with_base(
     "INTERSECT SELECT DISTINCT " + ", ".join(RAW) + " FROM spl WHERE split = 'test'))")
 
 # ----------------------------------------------------------------- reports
-_TS = ("ts AS (SELECT row_id, Glucose, BMI, Age, " + _sig(*MODELS[0][1:]) + " AS p FROM spl WHERE split = 'test')")
+# the serving path: preparation fitted on train, threshold chosen on validation
+_THR = "(SELECT threshold FROM pol WHERE policy_name = 'prioritize_recall')"
+_TS = [*PREP, "sc AS (SELECT 'fixed_logistic' AS model_name, split, row_id, Outcome AS y, " + _sig(*MODELS[0][1:]) + " AS p FROM feat)", *policy_sql(),
+       "ts AS (SELECT *, " + _sig(*MODELS[0][1:]) + " AS p FROM feat WHERE split = 'test')"]
+SQL["score_batch"] = with_base(
+    "SELECT row_id, round(Glucose, 9) AS Glucose, round(BMI, 9) AS BMI, round(Age, 9) AS Age, round(glucose_bmi_interaction, 9) AS glucose_bmi_interaction, bmi_category, "
+    f"p AS prediction_proba, {_THR} AS decision_threshold, CAST(p >= {_THR} AS INTEGER) AS prediction, " + BAND_SQL.format(d="NULL") + " AS risk_band FROM ts", *_TS)
 SQL["predict"] = with_base(
-    "SELECT row_id, p AS prediction_proba, round(p*100.0, 9) AS risk_score, " + BAND_SQL.format(d="NULL") + " AS risk_band, CAST(p >= 0.1 AS INTEGER) AS prediction FROM ts", _TS)
+    "SELECT row_id, p AS prediction_proba, round(p*100.0, 9) AS risk_score, " + BAND_SQL.format(d="NULL") + " AS risk_band, CAST(p >= " + _THR + " AS INTEGER) AS prediction FROM ts", *_TS)
 SQL["risk_report"] = with_base(
-    "SELECT row_number() OVER (ORDER BY row_id) AS case_id, row_id, Glucose, round(BMI, 9) AS BMI, Age, CAST(p >= 0.1 AS INTEGER) AS prediction, "
-    "CASE WHEN p >= 0.1 THEN 'Positivo' ELSE 'Negativo' END AS prediction_label, p AS prediction_proba, round(p*100.0, 9) AS risk_score, "
-    + BAND_SQL.format(d="NULL") + " AS risk_band, 'prioritize_recall' AS decision_policy_name, 0.1::DOUBLE AS decision_threshold, "
-    + ACTION_SQL.format(b="(" + BAND_SQL.format(d="NULL") + ")") + " AS recommended_action, row_number() OVER (ORDER BY p DESC, row_id) AS risk_priority_rank FROM ts", _TS)
-SQL["risk_band_counts"] = with_base("SELECT COALESCE(" + BAND_SQL.format(d="NULL") + ", 'Sem faixa') AS risk_band, count(*) AS n_cases FROM ts GROUP BY ALL", _TS)
-SQL["risk_preview"] = with_base("SELECT row_id, p AS prediction_proba, " + BAND_SQL.format(d="NULL") + " AS risk_band, CAST(p >= 0.1 AS INTEGER) AS prediction "
-                                "FROM ts ORDER BY p DESC, row_id LIMIT 20", _TS)
+    "SELECT row_number() OVER (ORDER BY row_id) AS case_id, row_id, round(Glucose, 9) AS Glucose, round(BMI, 9) AS BMI, round(Age, 9) AS Age, CAST(p >= " + _THR + " AS INTEGER) AS prediction, "
+    "CASE WHEN p >= " + _THR + " THEN 'Positivo' ELSE 'Negativo' END AS prediction_label, p AS prediction_proba, round(p*100.0, 9) AS risk_score, "
+    + BAND_SQL.format(d="NULL") + " AS risk_band, 'prioritize_recall' AS decision_policy_name, " + _THR + " AS decision_threshold, "
+    + ACTION_SQL.format(b="(" + BAND_SQL.format(d="NULL") + ")") + " AS recommended_action, row_number() OVER (ORDER BY p DESC, row_id) AS risk_priority_rank FROM ts", *_TS)
+SQL["risk_band_counts"] = with_base("SELECT COALESCE(" + BAND_SQL.format(d="NULL") + ", 'Sem faixa') AS risk_band, count(*) AS n_cases FROM ts GROUP BY ALL", *_TS)
+SQL["risk_preview"] = with_base("SELECT row_id, p AS prediction_proba, " + BAND_SQL.format(d="NULL") + " AS risk_band, CAST(p >= " + _THR + " AS INTEGER) AS prediction "
+                                "FROM ts ORDER BY p DESC, row_id LIMIT 20", *_TS)
 SQL["policy_tradeoffs"] = with_base("SELECT * FROM pol", SC_FIXED, *policy_sql())
 SQL["deployment_policy"] = with_base("SELECT model_name, policy_name, threshold, recall, precision, expected_cost FROM pol WHERE policy_name = 'prioritize_recall'",
                                      SC_ALL, *policy_sql())
@@ -610,8 +616,8 @@ SQL["payload_validate"] = (f"SELECT event_id, TRY_CAST(json_extract_string(props
                            f"{_PV_REASON} AS reject_reason FROM events")
 SQL["json_manifest_sink"] = with_base("SELECT model_name, policy_name, threshold, expected_cost FROM pol", SC_ALL, *policy_sql())
 SQL["write_csv"] = with_base("SELECT row_number() OVER (ORDER BY row_id) AS case_id, row_id, p AS prediction_proba, " + BAND_SQL.format(d="NULL")
-                             + " AS risk_band, row_number() OVER (ORDER BY p DESC, row_id) AS risk_priority_rank FROM ts", _TS)
+                             + " AS risk_band, row_number() OVER (ORDER BY p DESC, row_id) AS risk_priority_rank FROM ts", *_TS)
 SQL["scan_csv"] = with_base("SELECT Outcome, count(*) AS n, round(sum(Glucose), 9) AS sum_glucose FROM cohort GROUP BY Outcome")
 SQL["latest_version_read"] = with_base("SELECT split, CAST(count(*) * 2 AS BIGINT) AS rows, CAST(2 AS INTEGER) AS version FROM spl GROUP BY split")
-SQL["score_stream"] = with_base("SELECT row_id, p AS prediction_proba, CAST(p >= 0.1 AS INTEGER) AS prediction, " + BAND_SQL.format(d="NULL") + " AS risk_band FROM ts", _TS)
-SQL["score_request"] = with_base("SELECT row_id, p AS prediction_proba, CAST(p >= 0.1 AS INTEGER) AS prediction, " + BAND_SQL.format(d="NULL") + " AS risk_band FROM ts", _TS)
+SQL["score_stream"] = with_base("SELECT row_id, p AS prediction_proba, CAST(p >= " + _THR + " AS INTEGER) AS prediction, " + BAND_SQL.format(d="NULL") + " AS risk_band FROM ts", *_TS)
+SQL["score_request"] = with_base("SELECT row_id, p AS prediction_proba, CAST(p >= " + _THR + " AS INTEGER) AS prediction, " + BAND_SQL.format(d="NULL") + " AS risk_band FROM ts", *_TS)

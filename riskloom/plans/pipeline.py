@@ -3,18 +3,23 @@
 ``split_cohort``  -> cohort with ``split``
 ``scores_table``  -> long ``(model_name, split, row_id, y, p)`` scores
 ``prepared``      -> zero-as-missing -> median impute -> caps -> features
+``fit_serving``   -> what serving needs: fitted medians, caps and the deployment threshold
+``score_batch``   -> those applied to new rows, and the model's decision on each
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.config import (
     ALT_SCORERS,
+    DEPLOYMENT_POLICY,
     FIXED_SCORER,
+    POLICIES,
     RAW_NUMERICAL,
     TARGET,
     ZERO_AS_MISSING,
@@ -22,7 +27,8 @@ from riskloom.config import (
 )
 from riskloom.operators import preprocess as pp
 from riskloom.operators.features import feature_build
-from riskloom.operators.inference import linear_score
+from riskloom.operators.inference import linear_score, predict
+from riskloom.operators.policy import deployment_row, policy_select
 from riskloom.operators.split import split_stratified
 from riskloom.sources.cohort import cohort
 
@@ -54,3 +60,36 @@ def prepared(spark: SparkSession, sf_dir: str, fit_splits: Sequence[str] | None
     caps = pp.fit_caps(imputed, RAW_NUMERICAL, fit_splits)
     capped = pp.transform_caps(imputed, caps)
     return feature_build(capped), {"medians": medians, "caps": caps}
+
+
+@dataclass(frozen=True)
+class Serving:
+    """Fitted on the training rows (medians, caps) and the validation rows (threshold)."""
+
+    medians: dict
+    caps: dict
+    threshold: float
+    scorer: LinearScorer
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """Missing zeros imputed, values capped, features derived, all in one projection."""
+        return feature_build(pp.transform_caps(pp.transform_impute_stat(df, self.medians), self.caps))
+
+    def score(self, df: DataFrame) -> DataFrame:
+        return predict(self.prepare(df), linear_score(self.scorer), threshold=self.threshold)
+
+
+def fit_serving(spark: SparkSession, sf_dir: str, scorer: LinearScorer = FIXED_SCORER) -> Serving:
+    """Fit the preparation, score the validation rows with it, and choose the deployment policy's threshold there."""
+    rows, fitted = prepared(spark, sf_dir)
+    validation = rows.filter(F.col("split") == "validation").select(
+        F.lit(scorer.name).alias("model_name"), "row_id", F.col(TARGET).alias("y"), linear_score(scorer).alias("p"))
+    chosen = deployment_row(policy_select(validation, ["model_name"], POLICIES), ["model_name"], DEPLOYMENT_POLICY, [x.name for x in POLICIES])
+    row = chosen.select("threshold").head()
+    return Serving(fitted["medians"], fitted["caps"], 0.5 if row is None else float(row["threshold"]), scorer)
+
+
+def score_batch(spark: SparkSession, sf_dir: str, split: str = "test") -> tuple[DataFrame, Serving]:
+    """The rows of a split through the fitted preparation, the model and the chosen threshold."""
+    serving = fit_serving(spark, sf_dir)
+    return serving.score(split_cohort(spark, sf_dir).filter(F.col("split") == split)), serving

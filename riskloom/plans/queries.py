@@ -30,7 +30,7 @@ from riskloom.operators import metrics as M
 from riskloom.operators import policy as P
 from riskloom.operators import preprocess as pp
 from riskloom.operators import split as split_ops
-from riskloom.plans.pipeline import all_scorers, prepared, scores_table, split_cohort
+from riskloom.plans.pipeline import all_scorers, fit_serving, prepared, score_batch, scores_table, split_cohort
 from riskloom.sources.cohort import cohort
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,7 +87,7 @@ def q_sample_n(spark, sf_dir):
 # --------------------------------------------------- cleaning and features
 @register("select_roles")
 def q_select_roles(spark, sf_dir):
-    return feat.select_roles(cohort(spark, sf_dir), RAW_ROLES, keep=["row_id"]).withColumn("BMI", r9("BMI"))
+    return feat.select_roles(cohort(spark, sf_dir), RAW_ROLES, keep=["row_id"]).withColumns({c: r9(c) for c in ("Glucose", "BMI", "Age")})
 
 
 @register("clean_coerce")
@@ -104,7 +104,7 @@ def q_clean_coerce(spark, sf_dir):
 
 @register("zero_as_missing")
 def q_zero_as_missing(spark, sf_dir):
-    return feat.zeros_to_missing(cohort(spark, sf_dir), ZERO_AS_MISSING).select("row_id", *ZERO_AS_MISSING).withColumn("BMI", r9("BMI"))
+    return feat.zeros_to_missing(cohort(spark, sf_dir), ZERO_AS_MISSING).select("row_id", *ZERO_AS_MISSING).withColumns({c: r9(c) for c in ("Glucose", "BMI", "Age")})
 
 
 def _featured_raw(spark, sf_dir):
@@ -502,9 +502,16 @@ def q_design_audit(spark, sf_dir):
 
 # ------------------------------------------------------- inference / reports
 def _scored_test(spark, sf_dir):
-    """Test rows scored by the fixed model at the deployment policy threshold."""
-    s = split_cohort(spark, sf_dir).filter(F.col("split") == "test")
-    return predict(s, linear_score(FIXED_SCORER), threshold=0.10)
+    """Test rows through the fitted preparation, scored at the deployment policy's threshold."""
+    return score_batch(spark, sf_dir)[0]
+
+
+@register("score_batch")
+def q_score_batch(spark, sf_dir):
+    """The serving path as a user gets it: prepared features, probability, threshold and decision of each row."""
+    scored, serving = score_batch(spark, sf_dir)
+    return scored.select("row_id", *[r9(c).alias(c) for c in ("Glucose", "BMI", "Age", "glucose_bmi_interaction")], "bmi_category", "prediction_proba",
+                         F.lit(serving.threshold).alias("decision_threshold"), "prediction", "risk_band")
 
 
 @register("predict")
@@ -514,8 +521,9 @@ def q_predict(spark, sf_dir):
 
 @register("risk_report")
 def q_risk_report(spark, sf_dir):
-    rep = risk_report(_scored_test(spark, sf_dir), DEPLOYMENT_POLICY, 0.10, ["Glucose", "BMI", "Age"])
-    return rep.withColumn("risk_score", r9("risk_score")).withColumn("BMI", r9("BMI"))
+    scored, serving = score_batch(spark, sf_dir)
+    rep = risk_report(scored, DEPLOYMENT_POLICY, serving.threshold, ["Glucose", "BMI", "Age"])
+    return rep.withColumn("risk_score", r9("risk_score")).withColumns({c: r9(c) for c in ("Glucose", "BMI", "Age")})
 
 
 @register("risk_band_counts")
@@ -701,17 +709,17 @@ def q_calibrate_sigmoid(spark, sf_dir):
 
 @register("score_stream")
 def q_score_stream(spark, sf_dir):
-    """Requests (test rows) land as Parquet files; a Structured Streaming query scores them (availableNow)."""
-    from riskloom.streaming.score_stream import request_schema, run_available_now, scored_stream
+    """Requests (test rows) land as Parquet files; a Structured Streaming query scores them (availableNow).
+
+    The stream carries rejected requests with their reason; this query returns the accepted ones.
+    """
+    from riskloom.streaming.score_stream import run_available_now, scored_stream
 
-    feats = ["Glucose", "BMI", "Age"]
     src = REG.sink_dir(spark, "requests")
-    split_cohort(spark, sf_dir).filter(F.col("split") == "test").select("row_id", *feats).write.parquet(src)
+    split_cohort(spark, sf_dir).filter(F.col("split") == "test").select("row_id", *RAW_NUMERICAL).write.parquet(src)
     out, ck = REG.sink_dir(spark, "scored"), REG.sink_dir(spark, "scored_ckpt")
-    stream = scored_stream(spark, src, feats, linear_score(FIXED_SCORER), 0.10, bands=RISK_BANDS)
-    run_available_now(stream, out, ck)
-    _ = request_schema
-    return spark.read.parquet(out)
+    run_available_now(scored_stream(spark, src, RAW_NUMERICAL, fit_serving(spark, sf_dir)), out, ck)
+    return spark.read.parquet(out).filter("accepted").select("row_id", "prediction_proba", "prediction", "risk_band")
 
 
 # --------------------------------------------------------- feature selection
@@ -748,10 +756,9 @@ def q_fs_stability(spark, sf_dir):
 
 @register("score_request")
 def q_score_request(spark, sf_dir):
-    """Request payloads (JSON objects of the raw features) -> validate -> table -> fixed-model scores."""
+    """Request payloads (JSON objects of the raw features) -> validate -> table -> fitted preparation -> scores."""
     feats = list(RAW_NUMERICAL)
     req = split_cohort(spark, sf_dir).filter(F.col("split") == "test").select(
         "row_id", F.to_json(F.struct(*feats)).alias("payload"))
     checked = REG.payload_validate(req, "payload", feats, key_cols=["row_id"]).filter("accepted")
-    scored = predict(checked, linear_score(FIXED_SCORER), threshold=0.10)
-    return scored.select("row_id", "prediction_proba", "prediction", "risk_band")
+    return fit_serving(spark, sf_dir).score(checked).select("row_id", "prediction_proba", "prediction", "risk_band")

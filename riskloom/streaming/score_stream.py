@@ -1,40 +1,35 @@
-"""Streaming inference: request files -> validate -> score -> append sink.
+"""Streaming inference: request files -> validate -> prepare -> score -> append sink.
 
-Stateless per micro-batch (no watermark needed): every arriving request row
-is scored with fitted parameters (caps as literals) and the model scorer.
+Stateless per micro-batch (no watermark needed): every arriving request row goes
+through the same fitted preparation, model and threshold as the batch. Requests
+that can't be scored stay in the output with the reason, so nothing is lost.
 Ranking is a batch concern and is not done on the stream.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.expressions import clip_null_safe
+from riskloom.plans.pipeline import Serving
 
 
-def request_schema(features) -> T.StructType:
+def request_schema(features: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField("row_id", T.LongType())] + [T.StructField(f, T.DoubleType()) for f in features])
 
 
-def scored_stream(spark: SparkSession, source_dir: str, features, proba_fn, threshold: float,
-                  caps: dict | None = None, bands=None) -> DataFrame:
-    """Streaming DataFrame of accepted, scored requests (rows with a negative or missing feature are dropped)."""
-    from riskloom.functions.expressions import decide, risk_band
-
-    req = spark.readStream.schema(request_schema(features)).parquet(source_dir)
-    ok = F.lit(True)
-    for f in features:
-        ok = ok & F.col(f).isNotNull() & (F.col(f) >= 0)
-    x = req.filter(ok)
-    if caps:
-        x = x.withColumns({c: clip_null_safe(c, lo, hi) for c, (lo, hi) in caps.items() if c in features})
-    x = x.withColumn("prediction_proba", proba_fn)
-    out = x.select("row_id", "prediction_proba", decide("prediction_proba", threshold).alias("prediction"))
-    if bands:
-        out = out.withColumn("risk_band", risk_band("prediction_proba", bands))
-    return out
+def scored_stream(spark: SparkSession, source_dir: str, features: Sequence[str], serving: Serving) -> DataFrame:
+    """Streaming DataFrame of all requests: row_id, accepted, reject_reason, and for accepted ones probability, decision and band."""
+    requests = spark.readStream.schema(request_schema(features)).parquet(source_dir)
+    bad = lambda test: F.array_join(F.array_compact(F.array(*[F.when(test(F.col(f)), F.lit(f)) for f in features])), ",")
+    missing, negative = bad(lambda c: c.isNull() | F.isnan(c)), bad(lambda c: c < 0)
+    reason = F.when(missing != "", F.concat(F.lit("missing:"), missing)).when(negative != "", F.concat(F.lit("negative:"), negative))
+    scored = serving.score(requests.withColumn("reject_reason", reason))
+    ok = F.col("reject_reason").isNull()
+    return scored.select("row_id", ok.alias("accepted"), "reject_reason", *[F.when(ok, F.col(c)).alias(c) for c in ("prediction_proba", "prediction", "risk_band")])
 
 
 def run_available_now(stream: DataFrame, sink_dir: str, checkpoint_dir: str) -> None:
