@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import textcore as C
 
-BITS, RANK, OVERSAMPLE, POWER = 14, 128, 16, 2
+BITS, RANK, OVERSAMPLE, POWER = 14, 96, 16, 2
 #: Items in a block, documents that the SVD samples (about), and words of a sampled passage.
 ITEMS, SAMPLE, PASSAGE = 2000, 2000, 32
 STEP, WINDOWS = 4, (16, 32, 64)
@@ -177,22 +177,20 @@ def search(words: C.Words, items: Items) -> dict[int, list[tuple]]:
     text_of_block = np.repeat(np.arange(len(counts)), padded // STEP)
     width, found = STEP, []
     for window, ids, vectors in items.classes:
-        while width < window:  # windows near the end go over what there is
+        while width < window:  # windows near the end of a text go over what there is
             by = width // STEP
-            more, extra = sums.copy(), squares.copy()
-            more[:-by] += sums[by:] if by < n else 0
-            extra[:-by] += squares[by:] if by < n else 0
-            same = np.zeros(n, bool)
-            same[:-by] = text_of_block[by:] == text_of_block[:-by]
-            sums, squares = np.where(same[:, None], more, sums), np.where(same, extra, squares)
+            if by < n:
+                same = text_of_block[by:] == text_of_block[:-by]
+                sums[:-by] += sums[by:] * same[:, None]
+                squares[:-by] += squares[by:] * same
             width *= 2
         if not len(ids):
             continue
         size = np.sqrt(np.maximum(squares, 1e-9))
         for a in range(0, n, 4096):
-            near = sums[a : a + 4096] @ vectors / size[a : a + 4096, None]
-            row, column = np.nonzero(near >= COSINE)
-            found.append(np.stack([text_of_block[row + a], ids[column], row + a, near[row, column], np.full(len(row), window)], axis=1))
+            near = sums[a : a + 4096] @ vectors
+            row, column = np.nonzero(near >= (COSINE * size[a : a + 4096])[:, None])
+            found.append(np.stack([text_of_block[row + a], ids[column], row + a, near[row, column] / size[row + a], np.full(len(row), window)], axis=1))
     out: dict[int, list[tuple]] = {}
     if not found:
         return out
@@ -216,6 +214,8 @@ def search(words: C.Words, items: Items) -> dict[int, list[tuple]]:
         a, b = max(0, at - m), min(int(counts[int(text)]), at + int(window) + m)
         tried.append((at - m // 2, at + m // 2))
         place = hashes[start + a : start + b].tolist()
+        if sum(map(set(place).__contains__, phrase)) < LCS * m:
+            continue  # a common subsequence can't be longer than the item's words that the place has
         share = lcs(phrase, place) / m
         if share >= LCS:
             end = phrase[-max(1, m // 3) :]
