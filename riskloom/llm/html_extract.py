@@ -7,7 +7,9 @@ article may quote a line that other pages of its host quote too, and removing it
 as boilerplate would cut the article. For everything outside a declared main part
 the token streams of a host's pages decide: their suffixes, ordered by host and
 first `RUN` tokens, put equal runs side by side; runs found on distinct pages are
-boilerplate, and the tokens that no such run covers stay. The order is a table
+boilerplate, and the tokens that no such run covers stay. The streams hold the
+disowned blocks too, so what one page marks as its footer goes from a page that
+doesn't mark it. The order is a table
 distributed by host and key, so a host with a third of all pages is spread over
 all tasks. Comparing suffixes by their first RUN tokens finds every repeated
 substring of RUN tokens or more, since each consists of repeated runs.
@@ -70,10 +72,11 @@ def _is_marked(attributes: str) -> bool:
     return False
 
 
-def parse(source: str) -> tuple[list[str], list[str], bool]:
-    """Blocks of the declared main part, other blocks that no element disowns, and whether there is a main part."""
+def parse(source: str) -> tuple[list[str], list[str], list[str], bool]:
+    """Blocks of the declared main part, other blocks, blocks that an element disowns, and whether there is a main part."""
     inside: list[str] = []
     outside: list[str] = []
+    disowned: list[str] = []
     open_tags: list[tuple[str, bool, bool]] = []  # name, dropped, main part
     dropped, main, has_main = 0, 0, False
     parts: list[str] = []
@@ -82,8 +85,8 @@ def parse(source: str) -> tuple[list[str], list[str], bool]:
         if parts:
             text = _WHITE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
-            if text and not dropped:
-                (inside if main else outside).append(text)
+            if text:
+                (disowned if dropped else inside if main else outside).append(text)
 
     def close(upto: int) -> None:
         nonlocal dropped, main
@@ -96,10 +99,9 @@ def parse(source: str) -> tuple[list[str], list[str], bool]:
     while at < size:
         m = _MARKUP.search(source, at)
         if m is None:
-            if not dropped:
-                parts.append(source[at:])
+            parts.append(source[at:])
             break
-        if m.start() > at and not dropped:
+        if m.start() > at:
             parts.append(source[at : m.start()])
         at = m.end()
         name = (m.group(2) or "").lower()
@@ -131,10 +133,10 @@ def parse(source: str) -> tuple[list[str], list[str], bool]:
         dropped += off
         main += is_main
     end_block()
-    return inside, outside, has_main
+    return inside, outside, disowned, has_main
 
 
-PARSED = [T.StructField("row_id", T.LongType()), T.StructField("host", T.LongType()), T.StructField("main", T.StringType()), T.StructField("rest", T.ArrayType(T.StringType()))]
+PARSED = [T.StructField("row_id", T.LongType()), T.StructField("host", T.LongType()), T.StructField("main", T.StringType()), T.StructField("rest", T.ArrayType(T.StringType())), T.StructField("disowned", T.ArrayType(T.StringType()))]
 
 
 def host_of(url: str | None) -> str:
@@ -156,8 +158,9 @@ def _parsed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                 made = [
                     pa.array(range(serial, serial + n), pa.int64()),
                     pa.array(hosts, pa.int64()),
-                    pa.array([" ".join(a) if has else None for a, _, has in found], pa.string()),
-                    pa.array([b for _, b, _ in found], pa.list_(pa.string())),
+                    pa.array([" ".join(a) if has else None for a, _, _, has in found], pa.string()),
+                    pa.array([b for _, b, _, _ in found], pa.list_(pa.string())),
+                    pa.array([c for _, _, c, _ in found], pa.list_(pa.string())),
                 ]
                 serial += n
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + made, names=[*names, *(f.name for f in PARSED)])
@@ -194,15 +197,15 @@ def _suffixes(parsed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, host, rest in zip(batch.column("row_id").to_pylist(), batch.column("host").to_pylist(), batch.column("rest").to_pylist(), strict=True):
-                words, keys = _runs(rest)
-                keys = np.unique(keys).view(np.int64)
+            for row, host, *lists in zip(*(batch.column(c).to_pylist() for c in ("row_id", "host", "rest", "disowned")), strict=True):
+                streams = [_runs(x) for x in lists]
+                keys = np.unique(np.concatenate([k for _, k in streams])).view(np.int64)
                 n = len(keys)
                 if n:
-                    page = xxhash.xxh3_64_intdigest(words.hashes.tobytes()) >> 1
+                    page = xxhash.xxh3_64_intdigest(b"".join(w.hashes.tobytes() + b"|" for w, _ in streams)) >> 1
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, host)), pa.array(keys), pa.array(np.full(n, row)), pa.array(np.full(n, page, np.int64))], names=["host", "key", "row_id", "page"])
 
-    return parsed.select("row_id", "host", "rest").mapInArrow(run, "host long, key long, row_id long, page long")
+    return parsed.select("row_id", "host", "rest", "disowned").mapInArrow(run, "host long, key long, row_id long, page long")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -218,17 +221,15 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, shared = [], []
-            for main, rest, keys in zip(batch.column("main").to_pylist(), batch.column("rest").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                covered = np.zeros(0, bool)
-                if keys or main is None:
-                    words, runs = _runs(rest)
-                    covered = _covered(words, runs, keys)
+            for main, rest, disowned, keys in zip(*(batch.column(c).to_pylist() for c in ("main", "rest", "disowned", "keys")), strict=True):
+                words, runs = _runs(rest)
+                covered = _covered(words, runs, keys)
                 if main is None:
                     raw = words.data.tobytes()
                     main = " ".join(raw[a:b].decode() for a, b, c in zip(words.starts.tolist(), words.ends.tolist(), covered.tolist(), strict=True) if not c)
                 texts.append(main)
-                shared.append(int(covered.sum()))
+                shared.append(int(covered.sum() + _covered(*_runs(disowned), keys).sum()))
             made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(shared, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + made, names=[*names, "text", "n_chars", "n_boilerplate"])
 
-    return parsed.join(marks, "row_id", "left").select(*names, "main", "rest", "keys").mapInArrow(run, schema)
+    return parsed.join(marks, "row_id", "left").select(*names, "main", "rest", "disowned", "keys").mapInArrow(run, schema)

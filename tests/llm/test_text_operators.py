@@ -95,10 +95,14 @@ def test_html_main_part(spark):
 def test_html_host_boilerplate(spark):
     shared = "subscribe now to the best daily letter about everything"
     rows = [(i, f"https://Host.example/{i}", f"<body><p>{shared}</p><p>story {i} is unlike number {i + 50} in every way</p></body>") for i in range(6)]
+    rows += [(7, "https://host.example/7", f"<article>kept whole: {shared}</article><footer>{shared}</footer>"), (8, "https://host.example/8", "<nav>menu of all the pages that this host has got</nav><p>x</p>")]
+    rows += [(9, "https://host.example/9", "<p>menu of all the pages that this host has got</p><p>y</p>")]
     rows += [(20, "https://other.example/", f"<body><p>{shared}</p></body>"), (30, "https://copy.example/1", "<p>one two three four five six seven eight nine</p>"), (31, "https://copy.example/2", "<p>one two three four five six seven eight nine</p>")]
     got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(6):
         assert got[i].text == f"story {i} is unlike number {i + 50} in every way" and got[i].n_boilerplate == 9
+    assert got[7].text == f"kept whole: {shared}" and got[7].n_boilerplate == 9  # a declared article stays, whatever it quotes
+    assert got[9].text == "y" and got[9].n_boilerplate == got[8].n_boilerplate == 10  # another page calls it a menu
     assert got[20].text == shared  # alone on its host
     assert got[30].text == got[31].text == "one two three four five six seven eight nine"  # copies don't make each other boilerplate
 
