@@ -725,14 +725,33 @@ def q_score_stream(spark, sf_dir):
 # --------------------------------------------------------- feature selection
 from riskloom.operators import feature_select as FS  # noqa: E402
 
-FS_BLOCKS = {f: [f] for f in RAW_NUMERICAL}
+# The feature blocks of the reference configuration, and the blocks that some bring with them
+FS_BLOCKS = {
+    "pregnancies": ["Pregnancies"],
+    "glucose_axis": ["Glucose"],
+    "blood_pressure_axis": ["BloodPressure"],
+    "skin_thickness_axis": ["SkinThickness"],
+    "insulin_axis": ["Insulin"],
+    "bmi_axis": ["BMI"],
+    "pedigree_axis": ["DiabetesPedigreeFunction"],
+    "age_axis": ["Age"],
+    "engineered_continuous_signals": list(DERIVED_NUMERICAL),
+    "clinical_categorical_signals": pp.onehot_columns(CATEGORY_ORDERS),
+}
+FS_REQUIRED = {
+    "engineered_continuous_signals": ["glucose_axis", "bmi_axis", "insulin_axis", "pregnancies"],
+    "clinical_categorical_signals": ["glucose_axis", "bmi_axis", "insulin_axis", "age_axis"],
+}
+FS_MAX_BLOCKS = 10
 
 
 def _fs_inputs(spark, sf_dir):
-    tr = split_cohort(spark, sf_dir).filter(F.col("split") == "train")
-    folded = split_ops.kfold_stratified(tr, TARGET, 5, purpose="fs_fold")
-    cands = FS.enumerate_candidates(FS_BLOCKS, 1, 3)
-    fm = FS.candidate_cv_linear(folded, cands, RAW_NUMERICAL, TARGET)
+    """All candidates on the prepared, encoded training rows."""
+    rows, _ = prepared(spark, sf_dir)
+    encoded = pp.transform_onehot(rows.filter(F.col("split") == "train"), pp.fit_onehot(rows, list(CATEGORY_ORDERS), ("train",)))
+    folded = split_ops.kfold_stratified(encoded, TARGET, 5, purpose="fs_fold")
+    cands = FS.enumerate_candidates(FS_BLOCKS, 1, FS_MAX_BLOCKS, required=FS_REQUIRED)
+    fm = FS.candidate_cv_linear(folded, cands, list(dict.fromkeys(f for b in FS_BLOCKS.values() for f in b)), TARGET)
     return fm, FS.candidates_frame(spark, cands)
 
 
