@@ -42,8 +42,8 @@ _TITLE = "Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Señora|Señor|Sra|Sr|Madame|Mademois
 PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----",
     "email": r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}(?![\w\-])",
-    "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "token": r"(?<![A-Za-z0-9])(?:(?:api[_\-]?key|token|secret|password|passwd|pwd)\s*[=:]\s*[\"'])[^\"'\s]{6,}(?=[\"'])|(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9\-]{10,})",
+    "access_key": r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
+    "token": r"(?<![A-Za-z0-9])(?:(?:api|access|secret|private|auth)[_\-]?)?(?:key|token|secret|password|passwd|pwd)\s*[=:]\s*(?:[\"'][^\"'\s]{6,}(?=[\"'])|(?=[^\s\"',;]*[0-9])[^\s\"',;]{8,})|(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9\-]{10,})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])",
@@ -51,9 +51,9 @@ PATTERNS = {
     "card": r"(?<![\w\-])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![\w\-])",
     "name": rf"(?<!\w)(?:{_TITLE})\.? [^\W\d_a-zа-я][^\W\d_]+(?:[ \-][^\W\d_a-zа-я][^\W\d_]+){{0,2}}",
 }
-_FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+_FIND = re.compile("|".join(f"(?P<{k}>{'(?i:' + p + ')' if k == 'token' else p})" for k, p in PATTERNS.items()))
 #: A text without any of these characters or words has no entity.
-_HINT = re.compile(rf"[0-9@]|(?:{_TITLE})\.? |[Tt]oken|[Ss]ecret|[Pp]ass|[Kk]ey|KEY|sk-|xox|pwd")
+_HINT = re.compile(rf"[0-9@]|(?:{_TITLE})\.? |(?i:token|secret|passw|passwd|key|sk-|xox|pwd)")
 
 
 class Keyed:
@@ -162,7 +162,7 @@ def _prefixed(k: Keyed, text: str) -> str:
 
 
 def _token(k: Keyed, text: str) -> str:
-    m = re.match(r"[\w\-]+\s*[=:]\s*[\"']|gh[pousr]_|sk-|xox[abp]-", text)
+    m = re.match(r"[\w\-]+\s*[=:]\s*[\"']?|gh[pousr]_|sk-|xox[abp]-", text)
     head, secret = text[: m.end()], text[m.end() :]
     if re.fullmatch("[0-9a-f]+", secret):
         return head + k.letters(secret, "hex", [DIGITS + "abcdef"])
