@@ -52,8 +52,18 @@ PATTERNS = {
     "name": rf"(?<!\w)(?:{_TITLE})\.? [^\W\d_a-zа-я][^\W\d_]+(?:[ \-][^\W\d_a-zа-я][^\W\d_]+){{0,2}}",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{'(?i:' + p + ')' if k == 'token' else p})" for k, p in PATTERNS.items()))
-#: A text without any of these characters or words has no entity.
-_HINT = re.compile(rf"[0-9@]|(?:{_TITLE})\.? |(?i:token|secret|passw|passwd|key|sk-|xox|pwd)")
+#: What a text has to hold, in lower case, for an entity without a digit or an at sign; or one of the titles.
+_SIGNS = ("token", "secret", "passw", "pwd", "key", "akia", "asia", "sk-", "xox")
+_TITLED = re.compile(rf"(?<!\w)(?:{_TITLE})\.? [^\W\d_]")
+_DIGIT_OR_AT = re.compile("[0-9@]")
+
+
+def may_hold(text: str) -> bool:
+    """Whether there can be an entity at all; most texts end here."""
+    if _DIGIT_OR_AT.search(text):
+        return True
+    low = text.lower()
+    return any(x in low for x in _SIGNS) or bool(_TITLED.search(text))
 
 
 class Keyed:
@@ -210,7 +220,7 @@ MAKERS = {"card": _card, "ip": _ip, "phone": _phone, "email": _email, "access_ke
 
 def replace(text: str, keyed: Keyed) -> tuple[str, list[tuple[str, int, str, str]]]:
     """The text with surrogates, and (kind, position, entity, surrogate) of each entity, positions in the given text."""
-    if not _HINT.search(text):
+    if not may_hold(text):
         return text, []
     out, found, at = [], [], 0
     for m in _FIND.finditer(text):
