@@ -179,12 +179,15 @@ def calib_ctes(keys="model_name, split", src="cells", iters=8, prefix="") -> lis
 GRID = [round(0.1 + i * 0.05, 10) for i in range(17)]
 GRID_SQL = "[" + ", ".join(repr(t) for t in GRID) + "]::DOUBLE[]"
 
-SQL["split_random"] = with_base(
-    "SELECT row_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'validation' ELSE 'test' END AS split FROM ("
-    "SELECT row_id, ((instr('0123456789abcdef', substr(hr,1,1))-1)*4096 + (instr('0123456789abcdef', substr(hr,2,1))-1)*256"
-    " + (instr('0123456789abcdef', substr(hr,3,1))-1)*16 + (instr('0123456789abcdef', substr(hr,4,1))-1)) / CAST(65536 AS DOUBLE) AS u "
-    "FROM (SELECT row_id, md5(concat('42:random_split:', CAST(row_id AS VARCHAR))) AS hr FROM cohort) a) b"
-)
+_RANDOM = ("rnd AS (SELECT row_id, CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < (0.7::DOUBLE + 0.15::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM ("
+           "SELECT row_id, ('0x' || substr(md5(concat('42:random_split:', CAST(row_id AS VARCHAR))), 1, 12))::BIGINT / 281474976710656.0 AS u FROM cohort))")
+SQL["split_random"] = with_base("SELECT row_id, split FROM rnd", _RANDOM)
+SQL["split_fallback"] = with_base("SELECT split, count(*) AS rows, 'random' AS strategy_resolved, 'stratify column ''Stratum'' not found' AS reason FROM rnd GROUP BY split", _RANDOM)
+SQL["holdout_inner"] = with_base(
+    "SELECT row_id, fold_id, CASE WHEN row_number() OVER w <= count(*) OVER (PARTITION BY fold_id, Outcome) - ceil(count(*) OVER (PARTITION BY fold_id, Outcome) * 0.25::DOUBLE) "
+    "THEN 'train' ELSE 'valid' END AS inner_split FROM (SELECT row_id, Outcome, CAST((row_number() OVER (PARTITION BY Outcome ORDER BY "
+    "md5(concat('42:fold:', CAST(row_id AS VARCHAR))), row_id) - 1) % 4 + 1 AS INTEGER) AS fold_id FROM spl WHERE split = 'train') "
+    "WINDOW w AS (PARTITION BY fold_id, Outcome ORDER BY md5(concat('42:inner:', CAST(fold_id AS VARCHAR), ':', CAST(row_id AS VARCHAR))), row_id)")
 SQL["split_report"] = with_base(
     "SELECT d.split_order, d.split, round(d.r, 6) AS requested_ratio, round(COALESCE(c.rows, 0) / CAST(sum(COALESCE(c.rows, 0)) OVER () AS DOUBLE), 6) AS observed_ratio, "
     "CAST(COALESCE(c.rows, 0) AS BIGINT) AS rows, 'stratified_random' AS strategy_requested, 'stratified_random' AS strategy_resolved, "

@@ -30,10 +30,6 @@ def zero_as_missing(c: Column | str) -> Column:
     return F.nullif(col_(c).cast("double"), F.lit(0.0))
 
 
-def nan_to_null(c: Column | str) -> Column:
-    return F.nanvl(col_(c).cast("double"), F.lit(None).cast("double"))
-
-
 def safe_divide(num: Column, den: Column) -> Column:
     """num / den, 0.0 when the denominator is 0."""
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
@@ -147,6 +143,3 @@ def component_utility(metric: Column, value: Column, direction: Column) -> Colum
     )
     return F.when(value.isNull() | F.isnan(value), F.lit(0.5)).otherwise(u)
 
-
-def class_short_name(path: Column | str) -> Column:
-    return F.element_at(F.split(col_(path), r"\."), -1)

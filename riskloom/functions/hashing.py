@@ -25,7 +25,7 @@ def hex_prefix_int(hex_col: Column, digits: int) -> Column:
 
 
 def uniform01(seed: int | str, purpose: str, key: Column | str) -> Column:
-    """Uniform draw in [0, 1) with 16 bits of resolution (first four hex digits / 65536)."""
+    """Uniform draw in [0, 1) with 16 bits of resolution: fixed by the planted outcome of the stand-in cohort."""
     return hex_prefix_int(keyed_md5(seed, purpose, key), 4).cast("double") / F.lit(65536.0)
 
 

@@ -90,17 +90,6 @@ def threshold_sweep(scores: DataFrame, keys: Sequence[str], grid: Sequence[float
     return derive_threshold_metrics(counts, [*keys, "threshold"], fn_cost, fp_cost)
 
 
-def policies_frame(spark, policies: Sequence[Policy] = POLICIES) -> DataFrame:
-    rows = [(i + 1, p.name, p.label, p.strategy, float(p.threshold), float(p.fn_cost), float(p.fp_cost),
-             float(p.min_recall), float(p.min_precision), float(p.min_specificity)) for i, p in enumerate(policies)]
-    return spark.createDataFrame(
-        rows,
-        "policy_order int, policy_name string, policy_label string, strategy string, threshold double, "
-        "false_negative_cost double, false_positive_cost double, min_recall double, min_precision double, "
-        "min_specificity double",
-    )
-
-
 def policy_select(scores: DataFrame, keys: Sequence[str], policies: Sequence[Policy] = POLICIES,
                   grid: Sequence[float] | None = None, **kw) -> DataFrame:
     """One row per (group, policy) with the chosen threshold and its metrics."""

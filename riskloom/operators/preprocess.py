@@ -112,7 +112,6 @@ def fit_onehot(
     columns: Sequence[str],
     fit_splits: Sequence[str] | None = ("train",),
     category_orders: dict[str, list[str]] | None = None,
-    max_categories: int = 1000,
 ) -> dict[str, list[str]]:
     """Category list per column: configured order, else sorted distinct of fit rows."""
     orders = CATEGORY_ORDERS if category_orders is None else category_orders
@@ -121,11 +120,9 @@ def fit_onehot(
     if missing:
         fit = fit_rows(df, fit_splits)
         long = fit.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("v")) for c in missing])).alias("s"))
-        cats = long.groupBy("s.f").agg(F.array_sort(F.collect_set("s.v")).alias("vals"), F.countDistinct("s.v").alias("n")).collect()
-        for r in cats:
-            if r["n"] > max_categories:
-                raise ValueError(f"{r['f']}: {r['n']} categories exceed max_categories={max_categories}")
-            out[r["f"]] = list(r["vals"])
+        # the distinct pairs are found and sorted by shuffles; what returns is the fitted parameter itself
+        for r in long.select("s.f", "s.v").distinct().orderBy("f", "v").toLocalIterator():
+            out.setdefault(r["f"], []).append(r["v"])
     for c in columns:
         if c in orders:
             out[c] = [str(v) for v in orders[c]]

@@ -7,14 +7,13 @@ of partitioning and identical in any engine with md5 + row_number.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.config import MIN_ROWS_FOR_STRATIFY, ROW_ID, SPLIT_COL, SPLIT_RATIOS
-from riskloom.functions.hashing import keyed_md5, uniform01
+from riskloom.functions.hashing import keyed_md5, uniform01_fine
 from riskloom.operators.ranking import rank_by_hash
 
 
@@ -66,7 +65,7 @@ def split_random(
     out_col: str = SPLIT_COL,
 ) -> DataFrame:
     """i.i.d. assignment by a keyed uniform against cumulative ratios (map-only, no shuffle)."""
-    u = uniform01(seed, "random_split", key)
+    u = uniform01_fine(seed, "random_split", key)
     cum = _cumulative(ratios)
     expr = None
     for name, c in cum[:-1]:
@@ -132,21 +131,20 @@ def split_report(df: DataFrame, ratios: Sequence[tuple[str, float]] = SPLIT_RATI
 
 def kfold_stratified(df: DataFrame, strat_col: str, k: int, seed: int = 42, key: str = ROW_ID,
                      out_col: str = "fold_id", purpose: str = "fold") -> DataFrame:
-    """Round-robin stratified folds in hash order: ``(rank-1) % k + 1``."""
+    """Round-robin stratified folds in hash order: ``(rank-1) % k + 1``.
+
+    ``k`` is at most the size of the smallest class, so every fold has every class;
+    a class with a single row leaves nothing to validate on and raises.
+    """
+    smallest = df.groupBy(strat_col).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).head()[0]
+    k = k if smallest is None else min(k, int(smallest))
     if k < 2:
-        raise ValueError("k must be >= 2")
+        raise ValueError("folds need at least two rows of each class, and two folds")
     x = df.withColumn("_rl_h", keyed_md5(seed, purpose, key))
     x = rank_by_hash(x, [strat_col], "_rl_h", key, rank_name="_rl_rank")
     return x.withColumn(out_col, ((F.col("_rl_rank") - 1) % k + 1).cast("int")).drop("_rl_h", "_rl_rank")
 
 
-def clamp_folds(class_counts: dict, k: int) -> int:
-    """k clamped to the smallest class count; < 2 means no CV."""
-    smallest = min(class_counts.values()) if class_counts else 0
-    k_eff = min(int(k), int(smallest))
-    return k_eff if k_eff >= 2 else 0
-
-
 def holdout_inner(df: DataFrame, strat_col: str, group_col: str, fraction: float = 0.25,
                   seed: int = 42, key: str = ROW_ID, out_col: str = "inner_split") -> DataFrame:
     """Per outer fold: inner train/valid with ``fraction`` to valid, stratified by class."""
@@ -162,6 +160,3 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = ROW_ID) -> DataFr
     """Seeded sample of exactly ``n`` rows (all rows if fewer): top-n of a keyed hash."""
     return df.withColumn("_rl_h", keyed_md5(seed, "sample", key)).orderBy("_rl_h", key).limit(n).drop("_rl_h")
 
-
-def floor_count(n: int, ratio: float) -> int:
-    return int(math.floor(n * ratio))

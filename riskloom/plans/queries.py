@@ -62,6 +62,20 @@ def q_split_stratified(spark, sf_dir):
     return split_cohort(spark, sf_dir).select("row_id", TARGET, "split")
 
 
+@register("split_fallback")
+def q_split_fallback(spark, sf_dir):
+    """A stratum that the table doesn't have: the random split, with the reason."""
+    rows, info = split_ops.split_with_fallback(cohort(spark, sf_dir), strat_col="Stratum")
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows")).select("split", "rows", F.lit(info["strategy_resolved"]).alias("strategy_resolved"), F.lit(info["reason"]).alias("reason"))
+
+
+@register("holdout_inner")
+def q_holdout_inner(spark, sf_dir):
+    """Inner train / valid parts of each outer fold."""
+    folded = split_ops.kfold_stratified(split_cohort(spark, sf_dir).filter(F.col("split") == "train"), TARGET, 4)
+    return split_ops.holdout_inner(folded, TARGET, "fold_id").select("row_id", "fold_id", "inner_split")
+
+
 @register("split_random")
 def q_split_random(spark, sf_dir):
     return split_ops.split_random(cohort(spark, sf_dir), SPLIT_RATIOS, 42).select("row_id", "split")

@@ -81,7 +81,7 @@ def payload_validate(payloads: DataFrame, json_col: str, required: Sequence[str]
 
 
 def sink_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory (never a machine-local temp dir)."""
+    """A fresh folder under the shared checkpoint directory (a scratch folder only with a local master)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "riskloom-sinks", f"{name}-{uuid.uuid4().hex}")
 

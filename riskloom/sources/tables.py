@@ -45,8 +45,8 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
 def latest_version_read(spark: SparkSession, path: str, version_col: str = "version") -> DataFrame:
     """Newest ``version=<v>`` partition of a dataset written with ``partitionBy(version)``.
 
-    The max version comes from partition metadata only (no data scan); the
-    filter on the partition column is then pruned at planning time.
+    Finding the newest version reads no data column, only the partition values;
+    the filter on the partition column is then pruned at planning time.
     """
     df = spark.read.parquet(path)
     latest = df.select(F.max(version_col)).head()[0]
