@@ -415,10 +415,10 @@ SQL["select_best"] = with_base("SELECT model_name, policy_name, policy_threshold
 _TEST = ("tst AS (SELECT t.*, auc.roc_auc, bl.brier, bl.log_loss FROM (" + thr_metrics_from_counts("c", "model_name, split")
          + ") t JOIN auc USING (model_name, split) JOIN bl USING (model_name, split) WHERE split = 'test')")
 SQL["model_frontier"] = with_base(
-    "SELECT t.model_name, t.roc_auc AS test_roc_auc, t.brier AS test_brier, t.log_loss AS test_log_loss, t.recall AS test_recall, "
-    "t.precision AS test_precision, t.f1 AS test_f1, round(k.composite_score, 9) AS composite_score, k.rank, (k.rank = 1) AS selected, "
-    "CASE WHEN k.rank = 1 THEN k.policy_name END AS decision_policy_name, CASE WHEN k.rank = 1 THEN k.policy_threshold END AS decision_threshold "
-    "FROM tst t LEFT JOIN card k USING (model_name)", *_SEL_BASE, *_comp_ctes(), _CARD, _TEST)
+    "SELECT v.model_name, COALESCE(k.rank = 1, false) AS selected_for_refit, "
+    + ", ".join(f"v.{m} AS validation_{m}" for m in ("accuracy", "precision", "recall", "f1", "roc_auc", "brier", "log_loss", "calibration_slope_error", "calibration_intercept_abs"))
+    + ", CASE WHEN k.rank = 1 THEN k.policy_name END AS deployment_policy_name, CASE WHEN k.rank = 1 THEN k.policy_threshold END AS deployment_threshold, "
+    "round(k.composite_score, 9) AS composite_score, k.rank FROM val v LEFT JOIN card k USING (model_name)", *_SEL_BASE, *_comp_ctes(), _CARD)
 SQL["split_comparison"] = with_base(
     "SELECT t.model_name, t.split, CAST(CASE t.split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END AS INTEGER) AS split_order, "
     "CAST(t.tn + t.fp + t.fn + t.tp AS BIGINT) AS n, auc.roc_auc, bl.brier, bl.log_loss, t.recall, t.precision, "

@@ -452,9 +452,8 @@ def q_select_best(spark, sf_dir):
 
 @register("model_frontier")
 def q_model_frontier(spark, sf_dir):
-    s, val, pol = _payloads(spark, sf_dir)
-    test = M.metric_payload(s.filter(F.col("split") == "test"), ["model_name"], 0.5)
-    return S.model_frontier(S.scorecard(val, pol), test)
+    _, val, pol = _payloads(spark, sf_dir)
+    return S.model_frontier(S.scorecard(val, pol), val)
 
 
 @register("split_comparison")
@@ -590,9 +589,10 @@ def q_fold_pivot(spark, sf_dir):
 def q_test_summary(spark, sf_dir):
     s, val, pol = _payloads(spark, sf_dir)
     test = M.metric_payload(s.filter(F.col("split") == "test"), ["model_name"], 0.5)
-    fr = S.model_frontier(S.scorecard(val, pol), test)
+    fr = test.join(S.scorecard(val, pol).select("model_name", "rank"), "model_name", "left")
     w = Window.orderBy(F.col("selected").desc(), F.col("test_roc_auc").desc(), F.col("model_name"))  # one row per model
-    return fr.select("model_name", "selected", "test_roc_auc", "test_brier", F.row_number().over(w).alias("display_order"))
+    fr = fr.select("model_name", (F.col("rank") == 1).alias("selected"), F.col("roc_auc").alias("test_roc_auc"), F.col("brier").alias("test_brier"))
+    return fr.select("*", F.row_number().over(w).alias("display_order"))
 
 
 @register("sensitivity_counts")
