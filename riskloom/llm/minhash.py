@@ -35,8 +35,9 @@ from .tables import written
 
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
-#: Bits of the table that shingles are counted in.
+#: Bits of the table that shingles are counted in, and the columns of a set's parity bitmap.
 COUNTERS = 18
+PARITY = [f"p{i}" for i in range(8)]
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +151,9 @@ def _across(sets: DataFrame, width: int, percent: int) -> DataFrame:
     Shingles are ordered by how often they occur (counted in a table of fixed
     size), rare ones first. Similar sets then share one of the first
     n - ceil(n * percent / 100) + 1 shingles of each, so sets that only have
-    frequent shingles in common never meet.
+    frequent shingles in common never meet. Sets that do meet are kept apart by
+    their parity bitmaps where these rule the similarity out: two sets differ in
+    at least as many shingles as their bitmaps in bits.
     """
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -179,18 +182,23 @@ def _across(sets: DataFrame, width: int, percent: int) -> DataFrame:
             order = np.lexsort((hashes, shared.value[(hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)], owner))
             first = sizes - -(-sizes * percent // 100) + 1
             keep = order[np.arange(len(hashes)) - bounds[owner] < first[owner]]
+            place = (owner << 9) | ((hashes >> np.uint64(20)) & np.uint64(511)).astype(np.int64)
+            odd = (np.bincount(place, minlength=len(sizes) << 9) & 1).astype(bool).reshape(len(sizes), 512)
+            bits = np.packbits(odd, axis=1).view(np.int64)[owner[keep]]
             ids, groups_ = (batch.column(c).to_numpy()[owner[keep]] for c in ("set_id", "component"))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(ids), pa.array(sizes[owner[keep]]), pa.array(groups_)], names=["token", "set_id", "n_shingles", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(ids), pa.array(sizes[owner[keep]]), pa.array(groups_), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(8))], names=["token", "set_id", "n_shingles", "component", *PARITY])
 
-    rows = written(sets.select("set_id", "packed", "component").mapInArrow(prefixes, "token long, set_id long, n_shingles long, component long"), "prefixes")
+    rows = written(sets.select("set_id", "packed", "component").mapInArrow(prefixes, "token long, set_id long, n_shingles long, component long, " + ", ".join(f"{c} long" for c in PARITY)), "prefixes")
     by_group = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     # the largest group of a token's sets is compared with the others only
     home = by_group.groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     rows = rows.join(home.select("token", F.col("most.component").alias("home")), "token")
-    outside = rows.where("component <> home").select("token", F.col("set_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("of_a"))
-    inside = rows.select("token", F.col("set_id").alias("b"), "n_shingles", "component", "home")
+    outside = rows.where("component <> home").select("token", F.col("set_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("of_a"), *[F.col(c).alias(f"of_{c}") for c in PARITY])
+    inside = rows.select("token", F.col("set_id").alias("b"), "n_shingles", "component", "home", *PARITY)
     near = f"100 * least(m, n_shingles) >= {percent} * greatest(m, n_shingles)"
-    return outside.join(inside, "token").where("of_a <> component and (component = home or a < b)").where(near).select("a", "b").distinct()
+    apart = " + ".join(f"bit_count({c} ^ of_{c})" for c in PARITY)
+    possible = f"(m + n_shingles - ({apart})) * {100 + percent} >= {2 * percent} * (m + n_shingles)"
+    return outside.join(inside, "token").where("of_a <> component and (component = home or a < b)").where(near).where(possible).select("a", "b").distinct()
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
