@@ -159,10 +159,11 @@ class TokenBytes:
 class Vocabulary(TokenBytes):
     """Also the rank that two neighbouring tokens merge to, and the pieces met so far."""
 
-    MOST_CACHED = 200_000
+    MOST_CACHED = 120_000
 
     def __init__(self, tokens: list[bytes]):
         super().__init__(tokens)
+        self.tokens = tokens
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         found = {}
@@ -171,7 +172,6 @@ class Vocabulary(TokenBytes):
                 a, b = self.ranks.get(t[:k]), self.ranks.get(t[k:])
                 if a is not None and b is not None:
                     found[a << 20 | b] = i
-        self.pair_rank = found
         keys = np.array(sorted(found), np.int64)
         self.keys, self.merged = keys, np.array([found[k] for k in keys.tolist()], np.int64)
         bits = 19
@@ -216,9 +216,10 @@ class Vocabulary(TokenBytes):
     def merge_long(self, piece: bytes) -> list[int]:
         """One piece by a heap of mergeable pairs, leftmost lowest rank first."""
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n, rank = len(ids), self.pair_rank
+        n = len(ids)
+        rank = lambda x, y: self.ranks.get(self.tokens[x] + self.tokens[y])
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get(ids[i] << 20 | ids[i + 1])) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -229,7 +230,7 @@ class Vocabulary(TokenBytes):
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if 0 <= x and y < n and (q := rank.get(ids[x] << 20 | ids[y])) is not None:
+                if 0 <= x and y < n and (q := rank(ids[x], ids[y])) is not None:
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
@@ -350,9 +351,12 @@ def _schema(df: DataFrame, names: list[str]) -> T.StructType:
     return T.StructType([f for f in df.schema if f.name not in names] + [T.StructField(n, T.BinaryType()) for n in names])
 
 
-def encode(df: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
-    """Adds token_ids and token_starts (each token's first byte): binary, little-endian unsigned 32-bit integers."""
-    shared, names = Shared(df.sparkSession, ranks_path), ["token_ids", "token_starts"]
+def encode(df: DataFrame, ranks_path: str, text_col: str = "text", and_decode: bool = False) -> DataFrame:
+    """Adds token_ids and token_starts (each token's first byte): binary, little-endian unsigned 32-bit integers.
+
+    and_decode: also `decoded`, as `decode` makes it of these two, in the same pass.
+    """
+    shared, names = Shared(df.sparkSession, ranks_path), ["token_ids", "token_starts"] + ["decoded"] * and_decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _kept(Vocabulary, shared)
@@ -365,26 +369,30 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
                 size = vocabulary.lengths[ids]
                 starts = np.cumsum(size) - size
                 starts = starts - np.repeat(offsets[:-1], np.diff(first))
-                yield _with(batch, names, [_binary(ids, first), _binary(starts, first)])
+                made = [_binary(ids, first), _binary(starts, first)]
+                yield _with(batch, names, made + [_decoded(vocabulary, ids, starts, first)] * and_decode)
 
     return df.mapInArrow(run, _schema(df, names))
 
 
+def _decoded(tokens: TokenBytes, ids: np.ndarray, starts: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The bytes of each row's tokens; first: n + 1 bounds of the rows in the ids."""
+    size = np.append(0, np.cumsum(tokens.lengths[ids]))[first]
+    flat = tokens.decode(ids, starts + np.repeat(size[:-1], np.diff(first)), int(size[-1]))
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(size.astype(np.int32)), pa.py_buffer(flat)])
+
+
 def decode(df: DataFrame, ranks_path: str) -> DataFrame:
     """Adds decoded (the UTF-8 bytes) from token_ids and the retained token_starts."""
     shared = Shared(df.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _kept(TokenBytes, shared)
+        tokens = _kept(TokenBytes, shared)
         for whole in batches:
             for batch in C.slices(whole, "token_ids", 1 << 20):
                 raw, bounds = C.string_bytes(batch.column("token_ids"))
                 ids = np.frombuffer(raw.tobytes(), "<u4")
                 starts = np.frombuffer(C.string_bytes(batch.column("token_starts"))[0].tobytes(), "<u4").astype(np.int64)
-                first = bounds // 4
-                size = np.append(0, np.cumsum(vocabulary.lengths[ids]))[first]
-                flat = vocabulary.decode(ids, starts + np.repeat(size[:-1], np.diff(first)), int(size[-1]))
-                out = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(size.astype(np.int32)), pa.py_buffer(flat)])
-                yield _with(batch, ["decoded"], [out])
+                yield _with(batch, ["decoded"], [_decoded(tokens, ids, starts, bounds // 4)])
 
     return df.mapInArrow(run, _schema(df, ["decoded"]))

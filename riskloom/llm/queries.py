@@ -17,8 +17,7 @@ SURROGATE_KEY = "surrogates of the test tables"
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to, as digests."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = bpe.encode(docs, RANKS).select("doc_id", "token_ids", "token_starts")
-    return bpe.decode(tokens, RANKS).select(
+    return bpe.encode(docs, RANKS, and_decode=True).select(
         "doc_id",
         F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

@@ -50,7 +50,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds n_tokens, token_ids, token_starts, and whether the ids decode to the text."""
     ship(spark)
-    tokens = bpe.decode(bpe.encode(docs, RANKS), RANKS)
+    tokens = bpe.encode(docs, RANKS, and_decode=True)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return tokens.select(*docs.columns, F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"), "token_ids", "token_starts", same.alias("round_trip"))
 

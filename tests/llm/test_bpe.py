@@ -47,6 +47,8 @@ def test_round_trip_and_edge_rows(make):
     df = make(rows, extra="token_ids")  # a clashing name is replaced
     got = bpe.decode(bpe.encode(df, PATH), PATH).collect()
     assert len(got) == 5
+    key = lambda r: (str(r.doc_id), bytes(r.token_ids), bytes(r.token_starts), bytes(r.decoded))
+    assert sorted(map(key, got)) == sorted(map(key, bpe.encode(df, PATH, and_decode=True).collect()))
     for r in got:
         ids = np.frombuffer(bytes(r.token_ids), "<u4").tolist()
         assert ids == ENCODING.encode_ordinary(r.text or "")
