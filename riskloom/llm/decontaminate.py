@@ -1,15 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are hashed into TF-IDF features; document frequencies count all documents.
-A randomised SVD of TF-IDF passages (all benchmark items of a block, weighted to
-hold most of the energy, and passages of a bounded sample of documents) is computed
-by tasks that each return one sketch of fixed size. Windows of every document,
-of about an item's length and a quarter of it apart, are projected and compared
-with the items by cosine. Candidates are confirmed on the words themselves: by the
-longest common subsequence of item and place, and of the item's answer (its last
-third) and place, so that paraphrases are found and chance resemblance is not.
-
-Items are taken in blocks of `ITEMS`, so what is broadcast is bounded whatever the
+A randomised SVD of the TF-IDF passages of all documents is fitted once, by tasks that
+each return one sketch of fixed size, added up in a tree. Items are taken in blocks of
+about as many as the latent space has directions; each block's space is the SVD of its
+items (weighted to hold most of the energy) and the corpus's directions, so how much of
+an item it holds doesn't depend on the number of items. Windows of every document,
+of about an item's length and a quarter of it apart, are compared with the items by the
+cosine of window and latent item, each divided by its own norm. Candidates are confirmed on
+the words themselves: by the longest common subsequence of item and place, and of the
+item's answer (its last third) and place, so that paraphrases are found and chance
+resemblance is not.
+
+Documents are read once for every `PASS` items, so what is broadcast is bounded whatever the
 benchmark's size. Null and empty texts, and items without words, match nothing.
 Repeated items each match. Extra columns pass through; the column made here
 (matches) replaces one of that name.
@@ -21,15 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as C
+from .tables import written
 
 BITS, RANK, OVERSAMPLE, POWER = 14, 96, 16, 2
-#: Items in a block, documents that the SVD samples (about), and words of a sampled passage.
-ITEMS, SAMPLE, PASSAGE = 2000, 2000, 32
+#: Directions fitted on the documents, items that share a latent space, items of a pass over the documents, passes in a stage, words of a passage.
+CORPUS, ITEMS, PASS, PASSES, PASSAGE = 32, 96, 512, 4, 32
+#: Sketches are cut into so many parts, and so many tasks' sketches are added up at a time.
+PARTS, FAN, LEVELS = 16, 32, 3
 STEP, WINDOWS = 4, (16, 32, 64)
 COSINE = 0.22
 #: Shares of an item's words in common order that confirm it: alone, or with such a share of its answer.
@@ -92,38 +99,61 @@ def _sketch(feature: np.ndarray, passage: np.ndarray, n: int, idf: np.ndarray, b
     return out
 
 
-def latent_basis(sample: DataFrame, text_col: str, items: C.Words, idf: np.ndarray) -> np.ndarray:
-    """Orthonormal columns (features x RANK): leading right singular vectors of the passages."""
-    width = min(RANK + OVERSAMPLE, 1 << BITS)
+def corpus_directions(docs: DataFrame, text_col: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """CORPUS leading right singular vectors (features x directions) of all documents' passages, and their singular values."""
+    width = min(CORPUS + OVERSAMPLE, 1 << BITS)
     basis = np.linalg.qr(np.random.default_rng(7).standard_normal((1 << BITS, width)))[0].astype(np.float32)
-    item_of = np.repeat(np.arange(len(items.first) - 1), items.counts())
-    context = sample.sparkSession.sparkContext
+    context = docs.sparkSession.sparkContext
+    left, values = np.eye(width), np.zeros(width)
     for _ in range(POWER):
         shared = context.broadcast(basis)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(shared.value.shape, np.float32)
+            total, task = np.zeros(shared.value.shape, np.float32), TaskContext.get().partitionId()
             for batch in _parts(batches, text_col):
                 words = words_of(batch.column(text_col))
                 place = np.arange(len(words)) - np.repeat(words.first[:-1], words.counts())
                 new = (place % PASSAGE == 0).astype(np.int64)
                 passage = np.cumsum(new) - 1
                 total += _sketch(features(words), passage, int(new.sum()), idf, shared.value)
-            step = len(total) // 16
-            yield pa.RecordBatch.from_arrays([pa.array(range(16)), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(16)], pa.binary())], names=["part", "sums"])
+            step = len(total) // PARTS
+            sums = [total[i * step : (i + 1) * step].tobytes() for i in range(PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS)), pa.array([task] * PARTS, pa.int64()), pa.array(sums, pa.binary())], names=["part", "task", "sums"])
 
         def add(table: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(x, np.float32) for x in table.column("sums").to_pylist())
-            return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-        parts = sample.select(text_col).mapInArrow(run, "part long, sums binary").groupBy("part").applyInArrow(add, "part long, sums binary").collect()
-        own = _sketch(features(items), item_of, len(items.first) - 1, idf, basis).astype(np.float64)
-        product = own.copy()
-        if parts:
-            corpus = np.concatenate([np.frombuffer(r.sums, np.float32) for r in sorted(parts, key=lambda r: r.part)]).reshape(basis.shape)
-            product = own * (4 * max(np.linalg.norm(corpus), 1e-9) / max(np.linalg.norm(own), 1e-9)) + corpus
-        basis = np.linalg.qr(product)[0].astype(np.float32)
-    return np.ascontiguousarray(basis[:, :RANK])
+            return pa.table({"part": table.column("part")[:1], "task": table.column("task")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+        parts = docs.select(text_col).mapInArrow(run, "part long, task long, sums binary")
+        for level in range(LEVELS):
+            group = F.expr(f"task div {FAN}") if level < LEVELS - 1 else F.col("task") * 0
+            parts = parts.withColumn("task", group).groupBy("part", "task").applyInArrow(add, "part long, task long, sums binary")
+        parts = parts.collect()
+        if not parts:
+            break
+        product = np.concatenate([np.frombuffer(r.sums, np.float32) for r in sorted(parts, key=lambda r: r.part)]).reshape(basis.shape)
+        basis, triangle = np.linalg.qr(product.astype(np.float64))
+        left, values, _ = np.linalg.svd(triangle)
+        basis = basis.astype(np.float32)
+    return (basis @ left[:, :CORPUS]).astype(np.float32), np.sqrt(values[:CORPUS])
+
+
+def latent_items(words: C.Words, idf: np.ndarray, directions: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Items x features: TF-IDF vectors of a block of items in the latent space of items and corpus, of length one."""
+    n = len(words.first) - 1
+    owner = np.repeat(np.arange(n), words.counts())
+    rows = np.bincount(owner << BITS | features(words), minlength=n << BITS).reshape(n, -1) * idf
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    rows /= np.where(size > 0, size, 1)
+    energy = np.linalg.norm(values**2)
+    weight = 2 * np.sqrt(energy / max(np.linalg.norm(rows @ rows.T), 1e-9)) if energy > 0 else 1.0
+    whole = np.concatenate([rows * weight, (directions * values).T])
+    squares, left = np.linalg.eigh(whole @ whole.T)
+    held = np.flatnonzero(squares > 1e-9 * max(squares[-1], 1e-9))[-RANK:]
+    basis = whole.T @ (left[:, held] / np.sqrt(squares[held]))
+    latent = rows @ basis
+    size = np.linalg.norm(latent, axis=1, keepdims=True)
+    return (latent / np.where(size > 0, size, 1)) @ basis.T
 
 
 def lcs(item: list[int], place: list[int]) -> int:
@@ -141,22 +171,24 @@ def lcs(item: list[int], place: list[int]) -> int:
 
 
 class Items:
-    """A block of items with their latent vectors."""
-
-    def __init__(self, ids: list[int], words: C.Words, idf: np.ndarray, basis: np.ndarray):
-        self.ids = ids
-        self.words = [words.hashes[a:b].tolist() for a, b in zip(words.first, words.first[1:], strict=False)]
-        self.projection = np.concatenate([basis * idf[:, None].astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])
+    """Items of a pass with their latent vectors, fitted for each block of ITEMS."""
+
+    def __init__(self, ids: list[int], texts: list[str], idf: np.ndarray, directions: np.ndarray, values: np.ndarray):
+        self.ids, self.words = ids, []
+        blocks = []
+        for a in range(0, len(ids), ITEMS):
+            words = words_of(pa.array(texts[a : a + ITEMS], pa.string()))
+            self.words += [words.hashes[x:y].tolist() for x, y in zip(words.first, words.first[1:], strict=False)]
+            blocks.append((latent_items(words, idf, directions, values) * idf).astype(np.float32))
         self.squares = np.append(idf * idf, 0).astype(np.float32)
-        owner = np.repeat(np.arange(len(ids)), words.counts())
-        size = np.sqrt(np.bincount(owner, self.squares[features(words)], minlength=len(ids)))
-        vectors = np.zeros((len(ids), basis.shape[1]), np.float32)
-        np.add.at(vectors, owner, self.projection[features(words)])
-        vectors /= np.where(size > 0, size, 1)[:, None]
-        counts = words.counts()
+        counts = np.array([len(w) for w in self.words])
         # the window of each item is the largest that isn't longer, or the smallest
         choice = np.maximum(np.searchsorted(WINDOWS, counts, "right") - 1, 0)
-        self.classes = [(w, np.flatnonzero((choice == i) & (counts > 0)), vectors[(choice == i) & (counts > 0)].T.copy()) for i, w in enumerate(WINDOWS)]
+        self.classes = [(w, np.flatnonzero((choice == i) & (counts > 0))) for i, w in enumerate(WINDOWS)]
+        order = np.concatenate([at for _, at in self.classes])
+        #: features x items in the order of classes, a row of zeros at the end
+        self.weights = np.zeros(((1 << BITS) + 1, len(order)), np.float32)
+        self.weights[:-1] = np.concatenate(blocks)[order].T
 
 
 def search(words: C.Words, items: Items) -> dict[int, list[tuple]]:
@@ -168,15 +200,15 @@ def search(words: C.Words, items: Items) -> dict[int, list[tuple]]:
     text_of_word = np.repeat(np.arange(len(counts)), counts)
     index[np.arange(len(words)) - words.first[text_of_word] + begin[text_of_word]] = features(words)
     n = len(index) // STEP
-    sums = np.zeros((n, items.projection.shape[1]), np.float32)
-    for a in range(0, n, 8192):
-        part = index[a * STEP : (a + 8192) * STEP].reshape(-1, STEP)
+    sums = np.zeros((n, items.weights.shape[1]), np.float32)
+    for a in range(0, n, 2048):
+        part = index[a * STEP : (a + 2048) * STEP].reshape(-1, STEP)
         for k in range(STEP):
-            sums[a : a + 8192] += items.projection[part[:, k]]
+            sums[a : a + 2048] += items.weights[part[:, k]]
     squares = items.squares[index].reshape(-1, STEP).sum(axis=1)
     text_of_block = np.repeat(np.arange(len(counts)), padded // STEP)
     width, found = STEP, []
-    for window, ids, vectors in items.classes:
+    for window, ids in items.classes:
         while width < window:  # windows near the end of a text go over what there is
             by = width // STEP
             if by < n:
@@ -188,9 +220,10 @@ def search(words: C.Words, items: Items) -> dict[int, list[tuple]]:
             continue
         size = np.sqrt(np.maximum(squares, 1e-9))
         for a in range(0, n, 4096):
-            near = sums[a : a + 4096] @ vectors
+            near = sums[a : a + 4096, : len(ids)]
             row, column = np.nonzero(near >= (COSINE * size[a : a + 4096])[:, None])
             found.append(np.stack([text_of_block[row + a], ids[column], row + a, near[row, column] / size[row + a], np.full(len(row), window)], axis=1))
+        sums = sums[:, len(ids) :]  # the rest is of longer items
     out: dict[int, list[tuple]] = {}
     if not found:
         return out
@@ -231,19 +264,20 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     fields = [f for f in docs.schema if f.name != "matches"]
     schema = T.StructType(fields + [T.StructField("matches", T.ArrayType(MATCH))])
     idf = inverse_frequencies(docs, text_col)
-    total = docs.count()
-    rate = min(1.0, SAMPLE / max(total, 1))
-    sample = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(rate * (1 << 30))).coalesce(4)
     names = [f.name for f in fields]
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").orderBy("id", "text")
     done = docs.withColumn("matches", F.lit(None).cast(schema["matches"].dataType))
     block: list = []
+    fitted, passes = None, 0
     for row in [*items.toLocalIterator(), None]:
         if row is not None:
             block.append(row)
-        if block and (row is None or len(block) == ITEMS):
-            words = words_of(pa.array([r.text for r in block], pa.string()))
-            shared = spark.sparkContext.broadcast(Items([r.id for r in block], words, idf, latent_basis(sample, text_col, words, idf)))
+        if block and (row is None or len(block) == PASS):
+            fitted = fitted or corpus_directions(docs, text_col, idf)
+            shared = spark.sparkContext.broadcast(Items([r.id for r in block], [r.text for r in block], idf, *fitted))
+            if passes and passes % PASSES == 0:  # each pass of a stage has a worker
+                done = written(done, "searched")
+            passes += 1
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 for batch in _parts(batches, text_col):

@@ -72,6 +72,22 @@ def test_decontaminate_recall_on_documents(spark):
     assert len(true & got) >= 0.9 * len(true) and len(got - true) <= 0.05 * len(true)
 
 
+def test_decontaminate_recall_with_many_items(spark, make, monkeypatch):
+    """Exact copies and paraphrases of 1,500 items in several passes; a fixed rank for all of them lost most."""
+    monkeypatch.setattr(decontaminate, "PASS", 300)
+    rng = np.random.default_rng(3)
+    names, chance = [f"n{i}" for i in range(4000)], 1 / np.arange(20, 4020)
+    noise = lambda n: list(rng.choice(names, n, p=chance / chance.sum()))
+    items = [noise(int(rng.integers(20, 80))) for _ in range(1500)]
+    rows = [(i, " ".join(noise(30) + w + noise(30))) for i, w in enumerate(items)]
+    changed = [[x if rng.random() > 0.2 else "changed" for x in w] for w in items]
+    rows += [(10_000 + i, " ".join(noise(30) + w + noise(30))) for i, w in enumerate(changed)]
+    got = {(r.doc_id, m.item_id) for r in decontaminate.find(make(rows), benchmark(spark, [(i, " ".join(w)) for i, w in enumerate(items)])).collect() for m in r.matches}
+    assert len(got & {(i, i) for i in range(1500)}) == 1500
+    assert len(got & {(10_000 + i, i) for i in range(1500)}) >= 0.95 * 1500
+    assert len({d % 10_000 for d, i in got if d % 10_000 != i}) <= 15
+
+
 def test_lcs():
     assert decontaminate.lcs([1, 2, 3, 4], [2, 9, 4, 1]) == 2
     assert decontaminate.lcs([1, 1, 2], [1, 2, 1, 2]) == 3
