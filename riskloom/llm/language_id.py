@@ -5,7 +5,10 @@ Document frequencies count every training row. Each language gets several
 centroids from spherical k-means over a bounded sample of its training rows
 (`SAMPLE` per language, those with the smallest hash of text). A text takes the
 language of the centroid with the highest cosine; it is rejected if that cosine is
-below `REJECT` times the smallest cosine of the centroid's own sample.
+below `MARGIN` times a low quantile of what held-out texts of the language and of about its
+length have. Those are the sample's texts and their beginnings, each compared with
+centroids that were fitted without the text. A language with too few texts for that
+rejects below `REJECT` times the smallest cosine of the centroid's own sample.
 
 Null texts and texts without a letter are `und` with score 0, and rejected.
 Training rows without a language are left out; without any training row every text
@@ -25,13 +28,16 @@ from pyspark.sql import types as T
 
 from . import textcore as C
 from .bpe import LETTER, _classes
-from .ngrams import buckets, letters_only
+from .ngrams import buckets, code_points, letters_only
 
 BITS = 12
 WIDTHS = (2, 3)
 #: Rows of each language that the centroids are fitted on, and their number.
 SAMPLE, CENTROIDS, ROUNDS = 400, 4, 8
 REJECT = 0.15
+#: Parts of a sample that are held out in turn, the least texts for it, and of a class of lengths (powers of 2).
+FOLDS, ENOUGH, LENGTHS = 4, 20, 13
+QUANTILE, MARGIN = 0.01, 0.65
 #: Numbers of rows are broadcast for this many languages at most (16 bytes each and the name).
 FEW_LABELS = 10_000
 UNKNOWN = "und"
@@ -39,7 +45,7 @@ UNKNOWN = "und"
 
 def term_counts(column: pa.Array) -> np.ndarray:
     """Texts x buckets."""
-    flat, bounds = letters_only(column)
+    flat, bounds = code_points(*letters_only(column))
     out = np.zeros((len(bounds) - 1) << BITS, np.float32)
     for width in WIDTHS:
         bucket, text = buckets(flat, bounds, width, BITS)
@@ -47,6 +53,12 @@ def term_counts(column: pa.Array) -> np.ndarray:
     return out.reshape(-1, 1 << BITS)
 
 
+def length_classes(column: pa.Array) -> np.ndarray:
+    """Power of 2 of each text's number of letters and spaces."""
+    _, bounds = code_points(*letters_only(column))
+    return np.minimum(np.log2(np.maximum(np.diff(bounds), 1)).astype(np.int64), LENGTHS - 1)
+
+
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Sublinear TF-IDF of length one (zero for texts without n-grams)."""
     v = np.log1p(counts) * idf
@@ -111,6 +123,31 @@ def k_means(v: np.ndarray, k: int) -> np.ndarray:
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
 
 
+def held_out_floors(texts: pa.Array, idf: np.ndarray) -> np.ndarray | None:
+    """Lowest cosine of each class of lengths that isn't rejected; None with too few texts."""
+    if len(texts) < ENOUGH:
+        return None
+    fold = np.arange(len(texts)) % FOLDS
+    v = vectors(np.concatenate([term_counts(texts.slice(a, 200)) for a in range(0, len(texts), 200)]), idf)
+    found: list[list[float]] = [[] for _ in range(LENGTHS)]
+    whole = texts.to_pylist()
+    for i in range(FOLDS):
+        centres = k_means(v[fold != i], CENTROIDS)
+        own = [whole[j] for j in np.flatnonzero(fold == i)]
+        parts = [t[: int(1.4 * 2**k)] for t in own for k in range(2, LENGTHS) if len(t) > 1.4 * 2**k] + own
+        for a in range(0, len(parts), 200):
+            column = pa.array(parts[a : a + 200], pa.string())
+            known = has_letter(column)
+            near = (vectors(term_counts(column), idf) @ centres.T).max(axis=1)
+            for k, x in zip(length_classes(column)[known].tolist(), near[known].tolist(), strict=True):
+                found[k].append(x)
+    floors = [MARGIN * float(np.quantile(x, QUANTILE)) if len(x) >= ENOUGH else None for x in found]
+    last = 0.0  # of the next shorter class, where too few have a length
+    for k, x in enumerate(floors):
+        last = floors[k] = last if x is None else x
+    return np.array(floors)
+
+
 class Model:
     def __init__(self, labels: list[str], centres: np.ndarray, floors: np.ndarray, idf: np.ndarray):
         self.labels, self.centres, self.floors, self.idf = labels, centres, floors, idf
@@ -126,19 +163,21 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "lang") ->
     def run(table: pa.Table) -> pa.Table:
         texts = table.column("text").combine_chunks()
         v = vectors(np.concatenate([term_counts(texts.slice(a, 200)) for a in range(0, len(texts), 200)]), shared.value)
-        v = v[np.abs(v).sum(axis=1) > 0]
+        some = np.abs(v).sum(axis=1) > 0
+        v = v[some]
         if not len(v):
-            return pa.table({"label": pa.array([], pa.string()), "centre": pa.array([], pa.binary()), "low": pa.array([], pa.float64())})
+            return pa.table({"label": pa.array([], pa.string()), "centre": pa.array([], pa.binary()), "lows": pa.array([], pa.list_(pa.float64()))})
         centres = k_means(v, CENTROIDS)
         near = v @ centres.T
-        lows = [float(near[near.argmax(axis=1) == i, i].min(initial=1.0)) for i in range(len(centres))]
+        floors = held_out_floors(texts.filter(pa.array(some)), shared.value)
+        lows = [(np.full(LENGTHS, REJECT * near[near.argmax(axis=1) == i, i].min(initial=1.0)) if floors is None else floors).tolist() for i in range(len(centres))]
         label = table.column("label")[0].as_py()
-        return pa.table({"label": pa.array([label] * len(centres)), "centre": pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary()), "low": pa.array(lows)})
+        return pa.table({"label": pa.array([label] * len(centres)), "centre": pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary()), "lows": pa.array(lows, pa.list_(pa.float64()))})
 
-    rows = _sample(training).groupBy("label").applyInArrow(run, "label string, centre binary, low double").collect()
+    rows = _sample(training).groupBy("label").applyInArrow(run, "label string, centre binary, lows array<double>").collect()
     rows = sorted(rows, key=lambda r: (r.label, bytes(r.centre)))
     centres = np.stack([np.frombuffer(r.centre, np.float32) for r in rows]) if rows else np.zeros((0, 1 << BITS), np.float32)
-    return Model([r.label for r in rows], centres, np.array([REJECT * r.low for r in rows]), idf)
+    return Model([r.label for r in rows], centres, np.array([r.lows for r in rows]).reshape(-1, LENGTHS), idf)
 
 
 def _sample(training: DataFrame) -> DataFrame:
@@ -173,7 +212,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 top = near[np.arange(n), best]
                 which = np.where(known, best, which)
                 score = np.where(known, np.clip(top, 0, 1), 0.0)
-                rejected = ~known | (top < m.floors[best])
+                rejected = ~known | (top < m.floors[best, length_classes(column)])
             made = [pa.array(labels[which], pa.string()), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in fields] + made, names=[f.name for f in fields] + names)
 

@@ -30,6 +30,19 @@ def letters_only(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[keep], np.append(0, np.cumsum(keep))[bounds]
 
 
+def code_points(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One number for each code point (its bytes), and n + 1 bounds."""
+    begins = (flat & 0xC0) != 0x80
+    begins[bounds[:-1][np.diff(bounds) > 0]] = True
+    at = np.flatnonzero(begins)
+    sizes = np.diff(np.append(at, len(flat)))
+    out = flat[at].astype(np.int64)
+    for k in range(1, 4):
+        more = sizes > k
+        out[more] |= flat[at[more] + k].astype(np.int64) << 8 * k
+    return out, np.append(0, np.cumsum(begins))[bounds]
+
+
 def buckets(flat: np.ndarray, bounds: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of the n-gram at each position where one lies in its text, and the text of each."""
     n = len(flat) - width + 1
