@@ -54,45 +54,72 @@ MARKED = {
     "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "paywall", "popup", "promo", "promoted", "promotion",
     "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Words in a name that say nothing of the element's role, and words that make a name say what the element has or lacks.
+NEUTRAL = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "group", "icon", "icons", "inner", "item", "items", "left", "link",
+    "links", "list", "module", "outer", "panel", "placeholder", "posts", "right", "section", "slot", "text", "top", "unit", "wrap", "wrapper", "zone",
+}
+MODIFIERS = {"has", "with", "no", "without", "not", "hide", "show", "is"}
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WHITE = re.compile(r"\s+")
 
 
-def _is_marked(attributes: str) -> bool:
+def _says_role(name: str) -> bool:
+    """Whether a class, id or role names an element that isn't the article: by its last word that isn't neutral."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name.split("--")[0]) if w]
+    if MODIFIERS.intersection(words):
+        return False
+    while len(words) > 1 and (words[-1] in NEUTRAL or words[-1].isdigit()):
+        words.pop()
+    return bool(words) and (words[-1] in MARKED or words[-1].rstrip("0123456789") in MARKED)
+
+
+def _mark(attributes: str) -> int:
+    """2 for a hidden element, 1 for one that a name marks, else 0."""
+    marked = 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         if name == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
-        elif any(w in MARKED for w in re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+                return 2
+        elif any(map(_says_role, value.split())):
+            marked = 1
+    return marked
 
 
 def parse(source: str) -> tuple[list[str], list[str], list[str], bool]:
-    """Blocks of the declared main part, other blocks, blocks that an element disowns, and whether there is a main part."""
+    """Blocks of the declared main part, other blocks, blocks that an element disowns, and whether there is a main part.
+
+    A main part in an element that only a name marks counts if the page has none outside such elements.
+    """
     inside: list[str] = []
     outside: list[str] = []
     disowned: list[str] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, dropped, main part
-    dropped, main, has_main = 0, 0, False
+    wrapped: list[tuple[int, str]] = []  # of main parts in marked elements, with their places among the disowned
+    open_tags: list[tuple[str, int, bool, int]] = []  # name, dropped (2: whatever it holds), main part, marked elements around a main part
+    dropped, marked, main, around, has_main, has_wrapped = 0, 0, 0, 0, False, False
     parts: list[str] = []
 
     def end_block() -> None:
         if parts:
             text = _WHITE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
-            if text:
-                (disowned if dropped else inside if main else outside).append(text)
+            if not text:
+                return
+            if not dropped and not marked and around:
+                wrapped.append((len(disowned), text))
+            (disowned if dropped or marked or around else inside if main else outside).append(text)
 
     def close(upto: int) -> None:
-        nonlocal dropped, main
+        nonlocal dropped, marked, main, around
         while len(open_tags) > upto:
-            _, was_dropped, was_main = open_tags.pop()
-            dropped -= was_dropped
+            _, off, was_main, lifted = open_tags.pop()
+            dropped -= off == 2
+            marked += lifted - (off == 1)
+            around -= lifted
             main -= was_main
 
     at, size = 0, len(source)
@@ -122,17 +149,26 @@ def parse(source: str) -> tuple[list[str], list[str], list[str], bool]:
             at = finish.end() if finish else size
             continue
         attributes = m.group(3)
-        off = name in DROPPED or bool(attributes) and name not in MAIN and name not in ("html", "body") and _is_marked(attributes)
+        off = 2 if name in DROPPED else _mark(attributes) if attributes and name not in MAIN and name not in ("html", "body") else 0
         if name not in INLINE or off:
             end_block()
         if name in VOID or attributes.rstrip().endswith("/") and name in INLINE:
             continue
         is_main = not off and not dropped and (name in MAIN or 'role="main"' in attributes)
-        has_main |= is_main
-        open_tags.append((name, off, is_main))
-        dropped += off
+        lifted = marked if is_main else 0
+        marked -= lifted
+        around += lifted
+        has_wrapped |= is_main and around > 0
+        has_main |= is_main and not around
+        open_tags.append((name, off, is_main, lifted))
+        dropped += off == 2
+        marked += off == 1
         main += is_main
     end_block()
+    if has_wrapped and not has_main:
+        for i, _ in reversed(wrapped):
+            del disowned[i]
+        return [t for _, t in wrapped], outside, disowned, True
     return inside, outside, disowned, has_main
 
 

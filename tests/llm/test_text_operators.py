@@ -108,6 +108,21 @@ def test_html_main_part(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("attribute", ['class="layout has-sidebar"', 'id="search-results"', 'class="social-science"', 'class="page page--with-nav"', 'class="sidebar"'])
+def test_html_article_in_marked_wrapper(attribute):
+    page = f'<div {attribute}><article><p>Story</p><div class="share-buttons">Share</div></article></div><footer>end</footer>'
+    assert html_extract.parse(page) == (["Story"], [], ["Share", "end"], True)
+    assert html_extract.parse(f"<div {attribute} hidden><article>x</article></div>y") == ([], ["y"], ["x"], False)
+
+
+def test_html_marked_names():
+    assert html_extract.parse('<article>a</article><div class="related-posts"><article>b</article></div>c') == (["a"], ["c"], ["b"], True)
+    for name in ("cookie-notice", "ad", "ad-slot-2", "ads1", "site-nav left", "sidebar-wrapper", "post__comments"):
+        assert html_extract.parse(f'<div class="{name}">x</div>y') == ([], ["y"], ["x"], False)
+    for name in ("no-comments", "ad-hoc", "social-science", "search-results"):
+        assert html_extract.parse(f'<div class="{name}">x</div>') == ([], ["x"], [], False)
+
+
 def test_html_host_boilerplate(spark):
     shared = "subscribe now to the best daily letter about everything"
     rows = [(i, f"https://Host.example/{i}", f"<body><p>{shared}</p><p>story {i} is unlike number {i + 50} in every way</p></body>") for i in range(6)]
@@ -149,6 +164,31 @@ def test_language_id(spark, make):
     assert language_id.predict(make([]), model).count() == 0
 
 
+def test_language_rejection(spark, make):
+    """Unseen languages and noise are rejected, clean held-out documents and their beginnings aren't."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
+    model = language_id.fit(docs.where("not held_out"))
+    clean = [(r.doc_id, r.text) for r in docs.where("held_out").collect() if r.text]
+    rng = np.random.default_rng(5)
+    letters, base64 = (list(a) for a in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    noise = [" ".join("".join(rng.choice(letters, int(rng.integers(2, 10)))) for _ in range(100)) for _ in range(50)]
+    noise += ["".join(rng.choice(base64, 600)) for _ in range(50)]
+    noise += ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.", "Все люди рождаются свободными и равными в своем достоинстве и правах."]
+    rows = clean + [(-i - 1, t) for i, t in enumerate(noise)] + [(10**9 + i, t[:200]) for i, t in clean]
+    out = {r.doc_id: r.rejected for r in language_id.predict(make(rows), model).collect()}
+    rate = lambda ids: np.mean([out[i] for i in ids])
+    print("rejected", rate([i for i, _ in clean]), rate([10**9 + i for i, _ in clean]), rate(range(-50, 0)), rate(range(-100, -50)), [out[-i] for i in (101, 102, 103)], model.floors[::4].round(3))
+    assert rate([i for i, _ in clean]) <= 0.005 and rate([10**9 + i for i, _ in clean]) <= 0.02
+    assert rate(range(-100, 0)) >= 0.98 and all(out[-i] for i in (101, 102, 103))
+
+
+def test_code_points():
+    from riskloom.llm import ngrams
+
+    points, bounds = ngrams.code_points(*ngrams.letters_only(pa.array(["да", "", "a中"])))
+    assert np.diff(bounds).tolist() == [3, 1, 3] and len(points) == 7
+
+
 def test_toxicity(spark, make):
     good = ["a fine day for a walk", "we like the quiet garden", "bread and butter in the morning", "the river is wide"]
     bad = ["you idiot go away", "such an idiot you are", "idiot idiot", "what an awful idiot"]
