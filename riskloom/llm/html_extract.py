@@ -2,17 +2,16 @@
 
 Markup is split into blocks. Blocks in elements that say what they are (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments, scripts,
-styles) go. Blocks in a page's declared main part (article, main) stay whole: an
-article may quote a line that other pages of its host quote too, and removing it
-as boilerplate would cut the article. For everything outside a declared main part
-the token streams of a host's pages decide: their suffixes, ordered by host and
-first `RUN` tokens, put equal runs side by side; runs found on distinct pages are
-boilerplate, and the tokens that no such run covers stay. The streams hold the
-disowned blocks too, so what one page marks as its footer goes from a page that
-doesn't mark it. The order is a table
-distributed by host and key, so a host with a third of all pages is spread over
-all tasks. Comparing suffixes by their first RUN tokens finds every repeated
-substring of RUN tokens or more, since each consists of repeated runs.
+styles) go. Of a page's declared main part (article, main) a whole block goes if
+`SHARE` of the host's different main parts, and `LEAST` of them, hold it; nothing
+within a block does, since an article may quote a line that other pages of its host
+quote too. For everything outside a declared main part the token streams of a host's
+pages decide: runs of `RUN` tokens, grouped by host and hash, that two pages with
+different streams hold are boilerplate, and the tokens that no such run covers stay.
+The streams hold the disowned blocks too, so what one page marks as its footer goes
+from a page that doesn't mark it. Runs are grouped by host and key, so a host with a
+third of all pages is spread over all tasks. Every repeated substring of RUN tokens or
+more consists of repeated runs; no suffix array is built.
 
 Null and empty pages have an empty text. Repeated rows are separate pages, but
 pages of one host with equal token streams count as one page, so copies don't make
@@ -39,6 +38,10 @@ from .tables import written
 
 #: Tokens of a run that makes boilerplate if it is on distinct pages of a host.
 RUN = 8
+#: Pages of different main parts, and their share of the host's, that make a whole block of main parts boilerplate.
+LEAST, SHARE = 3, 0.5
+#: Parts that a host's number of pages is joined in.
+SALT = 32
 #: Elements without article text.
 DROPPED = {"nav", "header", "footer", "aside", "form", "noscript", "template", "iframe", "object", "svg", "math", "button", "select", "datalist", "dialog", "menu", "head", "title", "canvas", "audio", "video", "map"}
 #: Elements whose content isn't markup.
@@ -172,7 +175,7 @@ def parse(source: str) -> tuple[list[str], list[str], list[str], bool]:
     return inside, outside, disowned, has_main
 
 
-PARSED = [T.StructField("row_id", T.LongType()), T.StructField("host", T.LongType()), T.StructField("main", T.StringType()), T.StructField("rest", T.ArrayType(T.StringType())), T.StructField("disowned", T.ArrayType(T.StringType()))]
+PARSED = [T.StructField("row_id", T.LongType()), T.StructField("host", T.LongType()), T.StructField("main", T.ArrayType(T.StringType())), T.StructField("rest", T.ArrayType(T.StringType())), T.StructField("disowned", T.ArrayType(T.StringType()))]
 
 
 def host_of(url: str | None) -> str:
@@ -194,7 +197,7 @@ def _parsed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                 made = [
                     pa.array(range(serial, serial + n), pa.int64()),
                     pa.array(hosts, pa.int64()),
-                    pa.array([" ".join(a) if has else None for a, _, _, has in found], pa.string()),
+                    pa.array([a if has else None for a, _, _, has in found], pa.list_(pa.string())),
                     pa.array([b for _, b, _, _ in found], pa.list_(pa.string())),
                     pa.array([c for _, _, c, _ in found], pa.list_(pa.string())),
                 ]
@@ -228,28 +231,53 @@ def _covered(words: C.Words, runs: np.ndarray, repeated: list[int] | None) -> np
     return covered
 
 
+def _block_key(block: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"main {block}".encode())
+
+
 def _suffixes(parsed: DataFrame) -> DataFrame:
-    """(host, key, row_id, page): the runs that start the suffixes of each page's stream; equal streams have one page."""
+    """(host, key, row_id, page, main): the runs of each page's stream outside main parts, and the blocks of its main part.
+
+    Equal streams, or equal main parts, have one page.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, host, *lists in zip(*(batch.column(c).to_pylist() for c in ("row_id", "host", "rest", "disowned")), strict=True):
+            for row, host, main, *lists in zip(*(batch.column(c).to_pylist() for c in ("row_id", "host", "main", "rest", "disowned")), strict=True):
                 streams = [_runs(x) for x in lists]
                 keys = np.unique(np.concatenate([k for _, k in streams])).view(np.int64)
                 n = len(keys)
                 if n:
                     page = xxhash.xxh3_64_intdigest(b"".join(w.hashes.tobytes() + b"|" for w, _ in streams)) >> 1
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, host)), pa.array(keys), pa.array(np.full(n, row)), pa.array(np.full(n, page, np.int64))], names=["host", "key", "row_id", "page"])
+                    yield made(host, keys, row, page, False)
+                if main:
+                    blocks = np.unique(np.array([_block_key(b) for b in main], np.uint64)).view(np.int64)
+                    yield made(host, blocks, row, xxhash.xxh3_64_intdigest("\n".join(main).encode()) >> 1, True)
+
+    def made(host: int, keys: np.ndarray, row: int, page: int, main: bool) -> pa.RecordBatch:
+        n = len(keys)
+        columns = [pa.array(np.full(n, host)), pa.array(keys), pa.array(np.full(n, row)), pa.array(np.full(n, page, np.int64)), pa.array(np.full(n, main))]
+        return pa.RecordBatch.from_arrays(columns, names=["host", "key", "row_id", "page", "main"])
+
+    return parsed.select("row_id", "host", "main", "rest", "disowned").mapInArrow(run, "host long, key long, row_id long, page long, main boolean")
+
 
-    return parsed.select("row_id", "host", "rest", "disowned").mapInArrow(run, "host long, key long, row_id long, page long")
+def _repeated_blocks(suffixes: DataFrame) -> DataFrame:
+    """(host, key) of blocks that a large share of a host's different main parts hold."""
+    blocks = suffixes.where("main")
+    held = blocks.groupBy("host", "key").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= LEAST).withColumn("salt", F.pmod("key", F.lit(SALT)))
+    pages = blocks.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    pages = pages.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALT)])))
+    return held.join(pages, ["host", "salt"]).where(F.col("n") >= SHARE * F.col("pages")).select("host", "key")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The pages with text, n_chars, and n_boilerplate (tokens outside the main part that distinct pages of the host share)."""
+    """The pages with text, n_chars, and n_boilerplate (tokens that distinct pages of the host share: runs outside main parts, blocks in them)."""
     keep = [f for f in pages.schema if f.name not in (html_col, "text", "n_chars", "n_boilerplate")]
     parsed = _parsed(pages.select(*[f.name for f in keep], html_col), url_col, html_col)
     suffixes = written(_suffixes(parsed), "suffixes")
-    repeated = suffixes.groupBy("host", "key").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low < high").select("host", "key")
+    repeated = suffixes.where("not main").groupBy("host", "key").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low < high").select("host", "key")
+    repeated = repeated.unionByName(_repeated_blocks(suffixes))
     marks = suffixes.join(repeated, ["host", "key"]).groupBy("row_id").agg(F.collect_list("key").alias("keys"))
     names = [f.name for f in keep]
     schema = T.StructType(keep + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_boilerplate", T.LongType())])
@@ -260,11 +288,17 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
             for main, rest, disowned, keys in zip(*(batch.column(c).to_pylist() for c in ("main", "rest", "disowned", "keys")), strict=True):
                 words, runs = _runs(rest)
                 covered = _covered(words, runs, keys)
-                if main is None:
+                common = 0
+                if main is not None:
+                    held = set(keys or [])
+                    gone = [bool(held) and int(np.uint64(_block_key(b)).view(np.int64)) in held for b in main]
+                    common = sum(len(b.split()) for b, g in zip(main, gone, strict=True) if g)
+                    main = " ".join(b for b, g in zip(main, gone, strict=True) if not g)
+                else:
                     raw = words.data.tobytes()
                     main = " ".join(raw[a:b].decode() for a, b, c in zip(words.starts.tolist(), words.ends.tolist(), covered.tolist(), strict=True) if not c)
                 texts.append(main)
-                shared.append(int(covered.sum() + _covered(*_runs(disowned), keys).sum()))
+                shared.append(common + int(covered.sum() + _covered(*_runs(disowned), keys).sum()))
             made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(shared, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + made, names=[*names, "text", "n_chars", "n_boilerplate"])
 

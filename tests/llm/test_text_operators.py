@@ -138,6 +138,17 @@ def test_html_host_boilerplate(spark):
     assert got[30].text == got[31].text == "one two three four five six seven eight nine"  # copies don't make each other boilerplate
 
 
+def test_html_boilerplate_in_main_parts(spark):
+    """A block that most of a host's main parts hold goes from them, one that few hold or that is quoted stays."""
+    rows = [(i, f"http://a.example/{i}", f"<main><p>Story {i} of its own</p><p>Share this story</p></main>") for i in range(6)]
+    rows += [(6, "http://a.example/6", "<main><p>They said: Share this story</p><p>rare</p></main>"), (7, "http://a.example/7", "<main><p>Story 7</p><p>rare</p></main>")]
+    rows += [(8 + i, f"http://copy.example/{i}", "<main><p>one text</p></main>") for i in range(5)]
+    got = {r.page_id: (r.text, r.n_boilerplate) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [(f"Story {i} of its own", 3) for i in range(6)]
+    assert got[6] == ("They said: Share this story rare", 0) and got[7] == ("Story 7 rare", 0)
+    assert all(got[8 + i] == ("one text", 0) for i in range(5))
+
+
 def test_html_on_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
