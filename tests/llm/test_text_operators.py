@@ -88,6 +88,19 @@ def test_decontaminate_recall_with_many_items(spark, make, monkeypatch):
     assert len({d % 10_000 for d, i in got if d % 10_000 != i}) <= 15
 
 
+def test_decontaminate_directions_see_all_documents(spark, make):
+    """The corpus's singular values are those of all passages, however the documents are dealt."""
+    rows = [(i, " ".join(f"w{i * j % 97}" for j in range(1, 33))) for i in range(3000)]
+    idf = np.ones(1 << decontaminate.BITS)
+    one, many = (decontaminate.corpus_directions(make(rows, parts=n), "text", idf)[1] for n in (1, 40))
+    words = decontaminate.words_of(pa.array([t for _, t in rows]))
+    feature = decontaminate.features(words).reshape(len(rows), 32)
+    names, at = np.unique(feature, return_inverse=True)
+    dense = np.zeros((len(rows), len(names)))
+    np.add.at(dense, (np.repeat(np.arange(len(rows)), 32), at.ravel()), 1 / np.sqrt(32))
+    assert np.allclose(one, many, rtol=1e-3) and abs(one[0] / np.linalg.svd(dense, compute_uv=False)[0] - 1) < 0.02
+
+
 def test_lcs():
     assert decontaminate.lcs([1, 2, 3, 4], [2, 9, 4, 1]) == 2
     assert decontaminate.lcs([1, 1, 2], [1, 2, 1, 2]) == 3
