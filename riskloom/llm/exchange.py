@@ -50,8 +50,14 @@ def blocks(df: DataFrame, text_col: str, name: str) -> DataFrame:
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
-    """Ascending distinct unsigned integers: gaps as quotients in unary and remainders of k bits, in two streams."""
+    """Ascending distinct unsigned integers: gaps as quotients in unary and remainders of k bits, in two streams.
+
+    Low bits that are zero in all of them aren't sent.
+    """
     n = len(values)
+    used = int(np.bitwise_or.reduce(values)) if n else 0
+    zeros = (used & -used).bit_length() - 1 if used else 0
+    values = values >> np.uint64(zeros)
     gaps = np.diff(values, prepend=np.uint64(0))
     mean = int(values[-1]) // n if n else 0
     k = max(0, int(mean * 0.69).bit_length() - 1)
@@ -62,17 +68,17 @@ def golomb_encode(values: np.ndarray) -> bytes:
     for bit in range(k):
         rest[:, bit] = (gaps >> np.uint64(bit)) & np.uint64(1)
     head = np.packbits(unary).tobytes()
-    return k.to_bytes(1, "little") + n.to_bytes(4, "little") + len(head).to_bytes(4, "little") + head + np.packbits(rest).tobytes()
+    return bytes([k, zeros]) + n.to_bytes(4, "little") + len(head).to_bytes(4, "little") + head + np.packbits(rest).tobytes()
 
 
 def golomb_decode(code: bytes) -> np.ndarray:
-    k, n, size = code[0], int.from_bytes(code[1:5], "little"), int.from_bytes(code[5:9], "little")
-    ones = np.flatnonzero(np.unpackbits(np.frombuffer(code, np.uint8, size, 9)))[:n]
+    k, zeros, n, size = code[0], code[1], int.from_bytes(code[2:6], "little"), int.from_bytes(code[6:10], "little")
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(code, np.uint8, size, 10)))[:n]
     gaps = (np.diff(ones, prepend=-1) - 1).astype(np.uint64) << np.uint64(k)
-    rest = np.unpackbits(np.frombuffer(code, np.uint8, offset=9 + size), count=n * k).reshape(n, k)
+    rest = np.unpackbits(np.frombuffer(code, np.uint8, offset=10 + size), count=n * k).reshape(n, k)
     for bit in range(k):
         gaps |= rest[:, bit].astype(np.uint64) << np.uint64(bit)
-    return np.cumsum(gaps, dtype=np.uint64)
+    return np.cumsum(gaps, dtype=np.uint64) << np.uint64(zeros)
 
 
 def owner_of(hashes: np.ndarray, owners: int) -> np.ndarray:

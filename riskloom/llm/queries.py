@@ -1,4 +1,4 @@
-"""Registered queries of this subpackage: op1 to op10 and the pipeline."""
+"""Registered queries of this subpackage: op1 to op13 and the pipeline."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_extract, language_id, licenses, minhash, pii, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, hard_negatives, html_extract, language_id, licenses, minhash, ngram_join, pii, spelling_variants, substring_dedup, toxicity
 from .tables import read, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -87,6 +87,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).drop("text")
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 4-word shingle sets of similarity 0.85 or more."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.groups(docs, width=4, percent=85).withColumnRenamed("id", "doc_id")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every frequent word of the documents, with planted misspellings."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling_variants.variants(docs, every=199)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -98,6 +116,9 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    "op11_ngram_jaccard": op11_ngram_jaccard,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
@@ -107,4 +128,35 @@ SQL: dict[str, str] = {
                      first_value(doc_id) over (partition by normal order by points desc, doc_id) as keep_id from n)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(normal) as text_sha256 from g
     """,
+    "op11_ngram_jaccard": r"""
+        with recursive d as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+            from documents),
+        s as (
+            select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                                when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as token from d),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        links as (
+            select a.doc_id as x, b.doc_id as y from s a join s b using (token) join n p on p.doc_id = a.doc_id join n q on q.doc_id = b.doc_id
+            where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, p.n, q.n having 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+        reach as (select doc_id as x, doc_id as y from documents union select r.x, l.y from reach r join links l on l.x = r.y)
+        select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, (select min(y) from reach where reach.x = d.doc_id) as component_id
+        from documents d left join n using (doc_id)
+    """,
+    "op13_hard_negatives": r"""
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as c
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+        s as (
+            select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_dot_product(a.c, b.c)::bigint as score
+            from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+        p as (select anchor_id, other as positive_id, score as positive_score from s where same
+              qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+        select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, other)::int as rank,
+               other as negative_id, positive_score, score as negative_score
+        from p join s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score
+        qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, other) <= 5
+    """,
 }
