@@ -272,6 +272,18 @@ SQL["evaluate_all_splits"] = with_base(
     "FROM (SELECT *, 0.5::DOUBLE AS threshold FROM (" + thr_metrics_from_counts("c", "model_name, split") + ")) t "
     "JOIN auc USING (model_name, split) JOIN bl USING (model_name, split) JOIN cal USING (model_name, split)",
     SC_ALL, "c AS (" + counts_at("0.5") + ")", CELLS, AUC, BRIER, *calib_ctes())
+_EVAL_COLS = ["tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "specificity", "f1", "false_positive_rate", "false_negative_rate", "positive_prediction_rate",
+              "positive_prevalence", "tn_share", "fp_share", "fn_share", "tp_share", "mean_risk_score", "expected_cost", "expected_cost_per_sample", "roc_auc", "brier", "log_loss",
+              "calibration_slope", "calibration_intercept", "calibration_slope_error", "calibration_intercept_abs", "r2", "mape", "n_samples"]
+SQL["evaluate"] = with_base(
+    "SELECT d.model_name, d.split, 0.5::DOUBLE AS threshold, " + ", ".join(f"COALESCE(e.{c}, 0) AS {c}" for c in _EVAL_COLS)
+    + " FROM (SELECT DISTINCT model_name, unnest(['train', 'validation', 'test', 'holdout']) AS split FROM sc) d LEFT JOIN ("
+    "SELECT t.*, auc.roc_auc, bl.brier, bl.log_loss, cal.calibration_slope, cal.calibration_intercept, cal.calibration_slope_error, cal.calibration_intercept_abs, q.r2, q.mape, "
+    "CAST(t.tn + t.fp + t.fn + t.tp AS BIGINT) AS n_samples FROM (" + thr_metrics_from_counts("c", "model_name, split") + ") t "
+    "JOIN auc USING (model_name, split) JOIN bl USING (model_name, split) JOIN cal USING (model_name, split) JOIN q USING (model_name, split)) e USING (model_name, split)",
+    SC_ALL, "c AS (" + counts_at("0.5") + ")", CELLS, AUC, BRIER, *calib_ctes(),
+    "q AS (SELECT model_name, split, round(1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)), 9) AS r2, round(avg(abs(y - p)) / greatest(avg(y), 1e-8) * 100, 6) AS mape "
+    "FROM (SELECT *, avg(y) OVER (PARTITION BY model_name, split) AS m FROM sc) z GROUP BY ALL)")
 SQL["threshold_grid"] = with_base(
     f"SELECT CAST(i AS INTEGER) AS threshold_index, t AS threshold, (t >= pmin AND t <= pmax) AS within_range FROM "
     f"(SELECT unnest(range(1, 18)) AS i, unnest({GRID_SQL}) AS t) g, (SELECT min(p) AS pmin, max(p) AS pmax FROM sc WHERE split = 'validation') s",
@@ -325,14 +337,17 @@ _vc_rows = ([f"SELECT 'expect_column_exists' AS expectation, '{c}' AS column_nam
             + ["SELECT 'expect_row_count', '*', 'critical', CAST(n_rows AS BIGINT), n_rows >= 20 FROM va",
                "SELECT 'expect_distinct_in_set', 'Outcome', 'critical', CAST(ds AS BIGINT), ds = 0 FROM va"])
 SQL["validate_clean"] = with_base(" UNION ALL ".join(_vc_rows), CLEANED, _vc_agg)
+_BAD = "sum(CASE WHEN split IS NULL OR split NOT IN ('train','validation','test') THEN 1 ELSE 0 END) AS bad"
 SQL["validate_split"] = with_base(
+    "SELECT 'all' AS scope, 'expect_column_exists' AS expectation, 'critical' AS severity, CAST(0 AS BIGINT) AS observed, true AS success UNION ALL "
     "SELECT scope, e.expectation, e.severity, e.observed, e.success FROM (SELECT scope, rows, bad FROM ("
     "SELECT d.scope, COALESCE(c.rows, 0) AS rows, COALESCE(c.bad, 0) AS bad FROM (VALUES ('train'), ('validation'), ('test')) d(scope) "
-    "LEFT JOIN (SELECT split AS scope, count(*) AS rows, sum(CASE WHEN split NOT IN ('train','validation','test') THEN 1 ELSE 0 END) AS bad FROM spl GROUP BY split) c USING (scope) "
-    "UNION ALL SELECT 'all', count(*), sum(CASE WHEN split NOT IN ('train','validation','test') THEN 1 ELSE 0 END) FROM spl)) t, "
+    f"LEFT JOIN (SELECT split AS scope, count(*) AS rows, {_BAD} FROM mk GROUP BY split) c USING (scope) "
+    f"UNION ALL SELECT 'all', count(*), {_BAD} FROM mk)) t, "
     "LATERAL (SELECT 'expect_values_in_set' AS expectation, 'critical' AS severity, CAST(bad AS BIGINT) AS observed, bad = 0 AS success "
     "UNION ALL SELECT 'expect_row_count_min', 'critical', CAST(rows AS BIGINT), rows >= 1 "
-    "UNION ALL SELECT 'expect_row_count_warn', 'warning', CAST(rows AS BIGINT), rows >= 5) e")
+    "UNION ALL SELECT 'expect_row_count_warn', 'warning', CAST(rows AS BIGINT), rows >= 5) e",
+    "mk AS (SELECT * REPLACE (CASE WHEN row_id % 97 = 0 THEN NULL WHEN row_id % 89 = 0 THEN 'tets' ELSE split END AS split) FROM spl)")
 SQL["minority_ratio"] = with_base(
     "SELECT split, round(min(share), 9) AS minority_ratio, count(*) AS n_classes, CASE WHEN min(share) < 0.05 THEN 'warning' ELSE 'ok' END AS status "
     "FROM (SELECT split, Outcome, count(*) / sum(count(*)) OVER (PARTITION BY split) AS share FROM spl GROUP BY split, Outcome) GROUP BY split")
@@ -419,13 +434,16 @@ SQL["model_frontier"] = with_base(
     + ", ".join(f"v.{m} AS validation_{m}" for m in ("accuracy", "precision", "recall", "f1", "roc_auc", "brier", "log_loss", "calibration_slope_error", "calibration_intercept_abs"))
     + ", CASE WHEN k.rank = 1 THEN k.policy_name END AS deployment_policy_name, CASE WHEN k.rank = 1 THEN k.policy_threshold END AS deployment_threshold, "
     "round(k.composite_score, 9) AS composite_score, k.rank FROM val v LEFT JOIN card k USING (model_name)", *_SEL_BASE, *_comp_ctes(), _CARD)
+_BEST_T = "(SELECT policy_threshold FROM card WHERE rank = 1)"
 SQL["split_comparison"] = with_base(
-    "SELECT t.model_name, t.split, CAST(CASE t.split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END AS INTEGER) AS split_order, "
-    "CAST(t.tn + t.fp + t.fn + t.tp AS BIGINT) AS n, auc.roc_auc, bl.brier, bl.log_loss, t.recall, t.precision, "
-    "round(auc.roc_auc - max(CASE WHEN t.split = 'train' THEN auc.roc_auc END) OVER (PARTITION BY t.model_name), 9) AS auc_gap_vs_train, "
+    "SELECT t.*, CAST(CASE t.split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END AS INTEGER) AS split_order, "
+    "CAST(t.tn + t.fp + t.fn + t.tp AS BIGINT) AS n_samples, card.policy_name, card.policy_threshold, auc.roc_auc, bl.brier, bl.log_loss, "
+    "cal.calibration_slope, cal.calibration_intercept, cal.calibration_slope_error, cal.calibration_intercept_abs, "
+    "round(auc.roc_auc - max(CASE WHEN t.split = 'train' THEN auc.roc_auc END) OVER (PARTITION BY t.model_name), 9) AS roc_auc_gap_vs_train, "
     "round(bl.brier - max(CASE WHEN t.split = 'train' THEN bl.brier END) OVER (PARTITION BY t.model_name), 9) AS brier_gap_vs_train "
-    "FROM (" + thr_metrics_from_counts("c", "model_name, split") + ") t JOIN auc USING (model_name, split) JOIN bl USING (model_name, split)",
-    SC_ALL, "c AS (" + counts_at("0.5") + ")", CELLS, AUC, BRIER)
+    "FROM (" + thr_metrics_from_counts("c2", "model_name, split", "8.0", "1.0") + ") t JOIN auc USING (model_name, split) JOIN bl USING (model_name, split) "
+    "JOIN cal USING (model_name, split) JOIN card USING (model_name) WHERE card.rank = 1",
+    *_SEL_BASE, *_comp_ctes(), _CARD, "c2 AS (" + counts_at(_BEST_T) + ")")
 
 # -------------------------------------------------------------- robustness
 _FOLD = ("fo AS (SELECT *, CAST((row_number() OVER (PARTITION BY Outcome ORDER BY md5(concat('42:fold:', CAST(row_id AS VARCHAR))), row_id) - 1) % 4 + 1 AS INTEGER) AS fold "
@@ -592,8 +610,8 @@ SQL["policy_tradeoffs"] = with_base("SELECT * FROM pol", SC_FIXED, *policy_sql()
 SQL["deployment_policy"] = with_base("SELECT model_name, policy_name, threshold, recall, precision, expected_cost FROM pol WHERE policy_name = 'prioritize_recall'",
                                      SC_ALL, *policy_sql())
 SQL["policy_decisions"] = with_base(
-    "SELECT pol.policy_name, pol.threshold, CASE WHEN sc.p >= pol.threshold THEN 'Positivo' ELSE 'Negativo' END AS decision, count(*) AS n "
-    "FROM sc JOIN pol USING (model_name) WHERE sc.split = 'test' GROUP BY ALL", SC_FIXED, *policy_sql())
+    "SELECT sc.row_id, pol.policy_name, pol.policy_label, pol.threshold, CASE WHEN sc.p >= pol.threshold THEN 'Positivo' ELSE 'Negativo' END AS decision, "
+    "pol.expected_cost, pol.recall, pol.precision FROM sc JOIN pol USING (model_name) WHERE sc.split = 'test'", SC_FIXED, *policy_sql())
 SQL["fold_pivot"] = with_base(
     "SELECT fold_id, max(CASE WHEN model_name = 'fixed_logistic' THEN roc_auc END) AS fixed_logistic, "
     "max(CASE WHEN model_name = 'glucose_age' THEN roc_auc END) AS glucose_age, max(CASE WHEN model_name = 'bmi_age_preg' THEN roc_auc END) AS bmi_age_preg "
@@ -623,4 +641,32 @@ SQL["write_csv"] = with_base("SELECT row_number() OVER (ORDER BY row_id) AS case
 SQL["scan_csv"] = with_base("SELECT Outcome, count(*) AS n, round(sum(Glucose), 9) AS sum_glucose FROM cohort GROUP BY Outcome")
 SQL["latest_version_read"] = with_base("SELECT split, CAST(count(*) * 2 AS BIGINT) AS rows, CAST(2 AS INTEGER) AS version FROM spl GROUP BY split")
 SQL["score_stream"] = with_base("SELECT row_id, p AS prediction_proba, CAST(p >= " + _THR + " AS INTEGER) AS prediction, " + BAND_SQL.format(d="NULL") + " AS risk_band FROM ts", *_TS)
-SQL["score_request"] = with_base("SELECT row_id, p AS prediction_proba, CAST(p >= " + _THR + " AS INTEGER) AS prediction, " + BAND_SQL.format(d="NULL") + " AS risk_band FROM ts", *_TS)
+SQL["score_request"] = with_base(
+    "SELECT row_id, reason IS NULL AS accepted, reason AS reject_reason, CASE WHEN reason IS NULL THEN p END AS prediction_proba, "
+    "CASE WHEN reason IS NULL THEN CAST(p >= " + _THR + " AS INTEGER) END AS prediction, CASE WHEN reason IS NULL THEN " + BAND_SQL.format(d="NULL") + " END AS risk_band FROM ("
+    "SELECT *, CASE WHEN row_id % 23 = 0 THEN 'malformed' WHEN row_id % 11 = 0 THEN 'missing:Glucose' WHEN row_id % 13 = 0 THEN 'negative:BMI' "
+    "WHEN row_id % 17 = 0 THEN 'non_numeric:Age' WHEN row_id % 19 = 0 THEN 'extra:Zip' END AS reason FROM ts) t", *_TS)
+
+# k-nearest-neighbour imputation: every incomplete row against every training row
+_X = range(len(ZM))
+_KNN = [
+    PREP[0],
+    "rs AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m{i}, CASE WHEN quantile_cont({c}, 0.75) = quantile_cont({c}, 0.25) THEN 1.0 "
+                                 f"ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END AS s{i}" for i, c in enumerate(ZM))
+    + " FROM zm WHERE split = 'train')",
+    "sx AS (SELECT row_id, split, " + ", ".join(f"({c} - m{i}) / s{i} AS x{i}" for i, c in enumerate(ZM)) + " FROM zm CROSS JOIN rs)",
+    "don AS (SELECT " + ", ".join(f"x{i}" for i in _X) + " FROM sx WHERE split = 'train')",
+    "mx AS (SELECT " + ", ".join(f"COALESCE(avg(x{i}), 0) AS a{i}" for i in _X) + " FROM don)",
+    "rec AS (SELECT DISTINCT " + ", ".join(f"x{i}" for i in _X) + " FROM sx WHERE " + " OR ".join(f"x{i} IS NULL" for i in _X) + ")",
+]
+_SHARED = " + ".join(f"CAST(r.x{i} IS NOT NULL AND d.x{i} IS NOT NULL AS INTEGER)" for i in _X)
+_SQUARES = " + ".join(f"COALESCE((r.x{i} - d.x{i}) * (r.x{i} - d.x{i}), 0)" for i in _X)
+_KNN += [
+    f"k{c} AS (SELECT " + ", ".join(f"r.x{i}" for i in _X) + f", list_avg(arg_min(d.x{c}, {{'d': 5.0::DOUBLE / ({_SHARED}) * ({_SQUARES}), 'v': d.x{c}}}, 5)) AS v{c} "
+    f"FROM rec r JOIN don d ON r.x{c} IS NULL AND d.x{c} IS NOT NULL AND ({_SHARED}) > 0 GROUP BY " + ", ".join(f"r.x{i}" for i in _X) + ")"
+    for c in _X
+]
+SQL["impute_knn"] = with_base(
+    "SELECT sx.row_id, sx.split, " + ", ".join(f"round(COALESCE(sx.x{i}, v{i}, a{i}) * s{i} + m{i}, 6) AS {c}" for i, c in enumerate(ZM))
+    + " FROM sx CROSS JOIN rs CROSS JOIN mx "
+    + " ".join(f"LEFT JOIN k{c} ON " + " AND ".join(f"sx.x{i} IS NOT DISTINCT FROM k{c}.x{i}" for i in _X) for c in _X), *_KNN)

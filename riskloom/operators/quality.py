@@ -61,9 +61,12 @@ def validate_clean(
     allowed_target: Sequence[int] = TARGET_ALLOWED,
     min_rows: int = MIN_ROWS_CLEAN,
     extra: Sequence[tuple[str, str, str]] = (),
-    raise_on_critical: bool = False,
+    raise_on_critical: bool = True,
 ) -> DataFrame:
-    """Suite on the cleaned table; ``extra`` = (registered name, column, severity)."""
+    """Suite on the cleaned table; ``extra`` = (registered name, column, severity).
+
+    A failed critical expectation raises, unless only the report is wanted.
+    """
     target = roles.target[0]
     checked = [*roles.numerical, target]
     aggs, specs = [F.count(F.lit(1)).alias("_rows"), F.lit(0).alias("_zero")], []
@@ -90,11 +93,15 @@ def validate_clean(
     agg = df.agg(*aggs)
     # row_count spec reports the row count itself as "observed"
     out = _stack(agg, specs)
-    if raise_on_critical:
-        failed = out.filter((F.col("severity") == "critical") & ~F.col("success")).collect()
-        if failed:
-            raise ExpectationFailed(f"critical expectations failed: {[(r[0], r[1]) for r in failed]}")
-    return out
+    return _raised(out) if raise_on_critical else out
+
+
+def _raised(results: DataFrame) -> DataFrame:
+    """The results, if no critical expectation failed (NULL counts as failed)."""
+    failed = results.filter((F.col("severity") == "critical") & ~F.coalesce("success", F.lit(False))).collect()
+    if failed:
+        raise ExpectationFailed(f"critical expectations failed: {[(r[0], r[1]) for r in failed]}")
+    return results
 
 
 def validate_split(
@@ -103,25 +110,32 @@ def validate_split(
     split_col: str = SPLIT_COL,
     min_rows: int = MIN_ROWS_PER_SPLIT,
     warn_below: int = WARN_SPLIT_ROWS_BELOW,
+    raise_on_critical: bool = True,
 ) -> DataFrame:
-    """Per split (plus all rows): marker present, values in set, row-count minima.
+    """Per split (plus all rows): marker column present, values in set, row-count minima.
 
     One ``groupBy(split)`` pass; absent splits appear with 0 rows via the
-    split dimension (a generator, no join against data).
+    split dimension (a generator, no join against data). A row without a marker is
+    outside the set. A failed critical expectation raises, unless only the report is wanted.
     """
     names = list(split_names)
+    exists = F.struct(F.lit("expect_column_exists").alias("expectation"), F.lit("critical").alias("severity"),
+                      F.lit(0 if split_col in df.columns else 1).cast("long").alias("observed"), F.lit(split_col in df.columns).alias("success"))
+    present = df.sparkSession.range(1).select(F.lit("all").alias("scope"), exists.alias("r")).select("scope", "r.*")
+    if split_col not in df.columns:
+        return _raised(present) if raise_on_critical else present
     counts = df.groupBy(F.col(split_col).alias("scope")).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum((~F.col(split_col).isin(*names)).cast("int")).alias("bad_values"),
+        F.sum((~F.coalesce(F.col(split_col).isin(*names), F.lit(False))).cast("int")).alias("bad_values"),
     )
     dim = df.sparkSession.createDataFrame([(n,) for n in names], "scope string")
     per = F.broadcast(dim).join(counts, "scope", "left").select(
         "scope", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("bad_values", F.lit(0)).alias("bad_values")
     )
-    totals = counts.agg(F.lit("all").alias("scope"), F.sum("rows").alias("rows"), F.sum("bad_values").alias("bad_values"))
+    totals = counts.agg(F.lit("all").alias("scope"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bad_values"), F.lit(0)).alias("bad_values"))
     both = per.unionByName(totals)
     rows_l = F.col("rows").cast("long")
-    return both.select(
+    out = present.unionByName(both.select(
         "scope",
         F.explode(F.array(
             F.struct(F.lit("expect_values_in_set").alias("expectation"), F.lit("critical").alias("severity"),
@@ -131,7 +145,8 @@ def validate_split(
             F.struct(F.lit("expect_row_count_warn").alias("expectation"), F.lit("warning").alias("severity"),
                      rows_l.alias("observed"), (F.col("rows") >= warn_below).alias("success")),
         )).alias("r"),
-    ).select("scope", "r.*")
+    ).select("scope", "r.*"))
+    return _raised(out) if raise_on_critical else out
 
 
 def minority_ratio(df: DataFrame, target: str, split_col: str = SPLIT_COL, min_ratio: float = MIN_MINORITY_RATIO) -> DataFrame:

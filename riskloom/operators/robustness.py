@@ -7,9 +7,14 @@ no per-iteration Python loop touches data.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +29,8 @@ from riskloom.config import (
     SENSITIVITY_OVERREACTIVE_MIN,
     LinearScorer,
 )
-from riskloom.functions.expressions import risk_band, sigmoid
-from riskloom.functions.hashing import keyed_md5, uniform01_fine
+from riskloom.functions.expressions import clip_probability, risk_band, sigmoid
+from riskloom.functions.hashing import keyed_md5
 from riskloom.operators import metrics as M
 from riskloom.operators.ranking import rank_by_hash
 
@@ -34,6 +39,8 @@ CV_METRICS = ["roc_auc", "brier", "log_loss", "calibration_slope_error", "calibr
               "tn_share", "fp_share", "fn_share", "tp_share", "mean_risk_score", "expected_cost", "expected_cost_per_sample", "threshold"]
 BOOTSTRAP_METRICS = ["roc_auc", "brier", "log_loss", "recall", "precision", "f1", "false_negative_rate",
                      "false_positive_rate", "expected_cost", "calibration_slope_error", "calibration_intercept_abs"]
+#: Bins of a resample for each unit of the logit.
+BOOTSTRAP_BINS = 128
 PERMUTATION_METRICS = ["roc_auc", "brier", "log_loss", "recall", "expected_cost"]
 
 
@@ -75,22 +82,140 @@ def _poisson1_cdf(kmax: int = 16) -> list[float]:
 POISSON1_CDF = _poisson1_cdf()
 
 
-def poisson1(u: Column) -> Column:
-    """Inverse CDF of Poisson(1) for a uniform ``u`` (exact to double precision up to 16)."""
-    expr = None
-    for k, c in enumerate(POISSON1_CDF):
-        expr = F.when(u < F.lit(c), F.lit(k)) if expr is None else expr.when(u < F.lit(c), F.lit(k))
-    return expr.otherwise(F.lit(len(POISSON1_CDF)))
-
-
-def bootstrap_weights(rows: DataFrame, iterations: int, seed: int = 42, key: str = ROW_ID) -> DataFrame:
-    """Poisson bootstrap: one (iteration, row) weight drawn from md5(seed, iteration, row).
-
-    The same draw is used for every model (paired resamples). Zero weights are dropped.
+def poisson_weights(keys: Sequence, iterations: int, seed: int = 42) -> np.ndarray:
+    """Poisson(1) weights (keys x iterations): the inverse CDF at the first 48 bits of md5('<seed>:boot:<iteration>:<key>')."""
+    draws = np.empty((len(keys), iterations))
+    texts = [str(k).encode() for k in keys]
+    for i in range(iterations):
+        start = hashlib.md5(f"{seed}:boot:{i + 1}:".encode())
+        for j, text in enumerate(texts):
+            own = start.copy()
+            own.update(text)
+            draws[j, i] = int.from_bytes(own.digest()[:6], "big")
+    return np.searchsorted(np.array(POISSON1_CDF) * 2.0**48, draws, "right").astype(np.uint8)
+
+
+class _Resamples:
+    """Sums of all resamples over one model's scores in ascending order of p, a batch at a time."""
+
+    def __init__(self, iterations: int, threshold: float):
+        self.threshold, self.zero = threshold, np.zeros(iterations)
+        self.counts = np.zeros((6, iterations))  # tn, fp, fn, tp, squared errors, log-loss
+        self.rank, self.below = self.zero.copy(), self.zero.copy()
+        self.tie: tuple[float, np.ndarray, np.ndarray] | None = None
+        self.bins: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pos_x = self.zero.copy()
+
+    def _ranked(self, pos: np.ndarray, neg: np.ndarray) -> None:
+        before = np.cumsum(neg, axis=0) - neg
+        self.rank += (pos * (self.below + before + 0.5 * neg)).sum(axis=0)
+        self.below = self.below + neg.sum(axis=0)
+
+    def add(self, y: np.ndarray, p: np.ndarray, clipped: np.ndarray, w: np.ndarray) -> None:
+        w = w.astype(np.float64)
+        own, hit = y == 1, p >= self.threshold
+        for k, some in enumerate((~own & ~hit, ~own & hit, own & ~hit, own & hit)):
+            self.counts[k] += w[some].sum(axis=0)
+        self.counts[4] += (clipped - y) ** 2 @ w
+        self.counts[5] -= (y * np.log(clipped) + (1 - y) * np.log(1 - clipped)) @ w
+        x = np.log(clipped / (1 - clipped))
+        self.pos_x += (y * x) @ w
+        place = np.floor(x * BOOTSTRAP_BINS).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        gap = x - (place + 0.5) / BOOTSTRAP_BINS
+        self.bins.append((place[starts], np.stack([np.add.reduceat(w * (gap**j)[:, None], starts, axis=0) for j in range(5)])))
+        # groups of equal scores; the last one may go on in the next batch
+        starts = np.flatnonzero(np.append(True, clipped[1:] != clipped[:-1]))
+        pos, neg = (np.add.reduceat(w * k[:, None], starts, axis=0) for k in (y, 1 - y))
+        if self.tie is not None:
+            if self.tie[0] == clipped[0]:
+                pos[0] += self.tie[1]
+                neg[0] += self.tie[2]
+            else:
+                self._ranked(self.tie[1][None], self.tie[2][None])
+        self._ranked(pos[:-1], neg[:-1])
+        self.tie = (float(clipped[-1]), pos[-1], neg[-1])
+
+    def rows(self, model: str, part: int) -> pa.RecordBatch:
+        if self.tie is not None:
+            self._ranked(self.tie[1][None], self.tie[2][None])
+        place, powers = np.concatenate([b[0] for b in self.bins]), np.concatenate([b[1] for b in self.bins], axis=1)
+        n = len(self.zero)
+        sums = np.vstack([self.counts, self.rank, self.pos_x])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([model] * n), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array([part] * n, pa.int32()), pa.array([sums[:, k].tobytes() for k in range(n)], pa.binary()),
+             pa.array([place.tobytes()] * n, pa.binary()), pa.array([np.ascontiguousarray(powers[:, :, k]).tobytes() for k in range(n)], pa.binary())],
+            names=["model_name", "iteration", "part", "sums", "bins", "powers"])
+
+
+def _resample_metrics(table: pa.Table, fn_cost: float, fp_cost: float) -> pa.Table:
+    """The metrics of one resample from its parts, in the order of scores."""
+    table = table.sort_by("part")
+    sums = np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in table.column("sums")])
+    (tn, fp, fn, tp, error, loss), rank, pos_x = sums[:, :6].sum(axis=0), sums[:, 6], sums[:, 7].sum()
+    negatives, positives = sums[:, 0] + sums[:, 1], sums[:, 2] + sums[:, 3]
+    before = np.cumsum(negatives) - negatives
+    n, pos, neg = tn + fp + fn + tp, positives.sum(), negatives.sum()
+    share = lambda a, b: float(a / b) if b else 0.0
+    precision, recall = share(tp, tp + fp), share(tp, tp + fn)
+    a, b = 0.0, 1.0
+    if pos and neg:
+        place = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("bins")])
+        powers = np.concatenate([np.frombuffer(x.as_buffer(), np.float64).reshape(5, -1) for x in table.column("powers")], axis=1)
+        a, b, _ = M.calibration_of_bins(place, powers, float(pos), float(pos_x), BOOTSTRAP_BINS)
+    values = {
+        "roc_auc": float((rank.sum() + (positives * before).sum()) / (pos * neg)) if pos and neg else None, "brier": share(error, n), "log_loss": share(loss, n),
+        "recall": recall, "precision": precision, "f1": share(2 * precision * recall, precision + recall), "false_negative_rate": share(fn, fn + tp),
+        "false_positive_rate": share(fp, fp + tn), "expected_cost": float(fn * fn_cost + fp * fp_cost), "calibration_slope_error": abs(b - 1), "calibration_intercept_abs": abs(a),
+    }
+    return pa.table({"model_name": table.column("model_name").slice(0, 1), "iteration": table.column("iteration").slice(0, 1), **{k: pa.array([values[k]], pa.float64()) for k in BOOTSTRAP_METRICS}})
+
+
+def bootstrap_metrics(scores: DataFrame, iterations: int, threshold: float, fn_cost: float = 1.0, fp_cost: float = 1.0, seed: int = 42, key: str = ROW_ID) -> DataFrame:
+    """(model_name, iteration, metrics) of Poisson resamples, the same draws for every model.
+
+    A row's weights in all resamples are drawn once, for all models, and go with its scores as one short binary. Scores are
+    dealt into ranges of (model, clipped p), so equal ones meet; each task returns, for each resample, sums and bins of the logit whose number
+    doesn't depend on the rows. No row is repeated for a resample.
     """
-    it = rows.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(int(iterations)))))
-    u = uniform01_fine(seed, "boot", F.concat_ws(":", F.col("iteration").cast("string"), F.col(key).cast("string")))
-    return it.withColumn("w", poisson1(u)).filter(F.col("w") > 0)
+    spark = scores.sparkSession
+    wide = scores.groupBy(F.col(key).alias("key"), F.col("y").cast("int").alias("y")).agg(F.collect_list(F.struct("model_name", "p")).alias("s"))  # a model each
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                lists = batch.column("s")
+                own = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                w = [x.tobytes() for x in poisson_weights(batch.column("key").to_pylist(), iterations, seed)]
+                each = lists.flatten()
+                yield pa.RecordBatch.from_arrays([each.field("model_name"), batch.column("y").take(pa.array(own)), each.field("p"), pa.array([w[i] for i in own], pa.binary())], names=["model_name", "y", "p", "w"])
+
+    drawn = wide.mapInArrow(draw, "model_name string, y int, p double, w binary").withColumn("q", F.round(clip_probability(F.col("p")), M.ROUND_P))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = drawn.repartitionByRange(parts, "model_name", "q").sortWithinPartitions("model_name", "q")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, model, own = TaskContext.get().partitionId(), None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                names = batch.column("model_name")
+                y, p, q = (batch.column(c).to_numpy() for c in ("y", "p", "q"))
+                w = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("w")])
+                for name in pc.unique(names).to_pylist():
+                    mine = pc.equal(names, name).to_numpy(zero_copy_only=False)
+                    if name != model:
+                        if own is not None:
+                            yield own.rows(model, part)
+                        model, own = name, _Resamples(iterations, threshold)
+                    own.add(y[mine], p[mine], q[mine], w[mine])
+        if own is not None:
+            yield own.rows(model, part)
+
+    sums = ranged.mapInArrow(add, "model_name string, iteration int, part int, sums binary, bins binary, powers binary")
+    schema = "model_name string, iteration int, " + ", ".join(f"{m} double" for m in BOOTSTRAP_METRICS)
+    return sums.groupBy("model_name", "iteration").applyInArrow(lambda t: _resample_metrics(t, fn_cost, fp_cost), schema)
 
 
 def _percentile_linear(col: str, q: float) -> Column:
@@ -102,9 +227,7 @@ def bootstrap_ci(scores: DataFrame, iterations: int = 250, threshold: float = 0.
                  metrics: Sequence[str] = BOOTSTRAP_METRICS) -> DataFrame:
     """Percentile CIs of 11 metrics per model from Poisson-weighted resamples of the scores."""
     keys = ["model_name", "iteration"]
-    weighted = bootstrap_weights(scores, iterations, seed)
-    # one shared, persisted pass per table (see metrics.metric_payload)
-    per_iter = M.metric_payload(weighted, keys, threshold, fn_cost, fp_cost, w="w")
+    per_iter = bootstrap_metrics(scores, iterations, threshold, fn_cost, fp_cost, seed)
     base = M.metric_payload(scores, ["model_name"], threshold, fn_cost, fp_cost)
     base_long = unpivot(base, ["model_name"], metrics, value="baseline")
     long = unpivot(per_iter, keys, metrics).filter(F.col("value").isNotNull() & ~F.isnan("value"))

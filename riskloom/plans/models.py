@@ -54,7 +54,7 @@ def score_model(model: PipelineModel, df: DataFrame, name: str, target: str, kee
 
 
 def platt_fit(scores: DataFrame, keys: Sequence[str] = ("model_name",)) -> DataFrame:
-    """Sigmoid calibration parameters per group: ``p' = sigmoid(a + b*logit(p))``."""
+    """Prefit sigmoid calibration parameters per group: ``p' = sigmoid(a + b*logit(p))`` (cross-fitted: ``search.cross_fit``)."""
     cal = M.calibration_fit(M.to_cells(scores, list(keys)), list(keys))
     return cal.select(*keys, F.col("calibration_intercept").alias("a"), F.col("calibration_slope").alias("b"))
 

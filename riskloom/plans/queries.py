@@ -26,6 +26,7 @@ from riskloom.config import (
 )
 from riskloom.functions import expressions as X
 from riskloom.operators import features as feat
+from riskloom.operators import impute_knn as knn
 from riskloom.operators import metrics as M
 from riskloom.operators import policy as P
 from riskloom.operators import preprocess as pp
@@ -118,7 +119,7 @@ def q_clean_coerce(spark, sf_dir):
 
 @register("zero_as_missing")
 def q_zero_as_missing(spark, sf_dir):
-    return feat.zeros_to_missing(cohort(spark, sf_dir), ZERO_AS_MISSING).select("row_id", *ZERO_AS_MISSING).withColumns({c: r9(c) for c in ("Glucose", "BMI", "Age")})
+    return feat.zeros_to_missing(cohort(spark, sf_dir), ZERO_AS_MISSING).select("row_id", *[r9(c).alias(c) for c in ZERO_AS_MISSING])
 
 
 def _featured_raw(spark, sf_dir):
@@ -176,6 +177,14 @@ def q_impute_stat(spark, sf_dir):
     return pp.transform_impute_stat(df, med).select("row_id", "split", *[r9(c).alias(c) for c in ZERO_AS_MISSING])
 
 
+@register("impute_knn")
+def q_impute_knn(spark, sf_dir):
+    """Missing clinical values of every row from its five nearest training rows."""
+    df = split_cohort(spark, sf_dir)
+    model = knn.fit_impute_knn(df, ZERO_AS_MISSING, ("train",))
+    return knn.transform_impute_knn(df, model).select("row_id", "split", *[F.round(c, 6).alias(c) for c in ZERO_AS_MISSING])
+
+
 @register("fit_robust_scale")
 def q_fit_robust(spark, sf_dir):
     df = feat.zeros_to_missing(split_cohort(spark, sf_dir), ZERO_AS_MISSING)
@@ -339,6 +348,12 @@ def q_evaluate(spark, sf_dir):
     return M.metric_payload(s, KEYS, 0.5)
 
 
+@register("evaluate")
+def q_evaluate_full(spark, sf_dir):
+    """Every metric of each model and split; the last split has no rows."""
+    return M.evaluate(scores_table(spark, sf_dir, all_scorers()), ["train", "validation", "test", "holdout"])
+
+
 # ----------------------------------------------------------------- policies
 @register("threshold_grid")
 def q_threshold_grid(spark, sf_dir):
@@ -378,12 +393,14 @@ def _cleaned(spark, sf_dir):
 
 @register("validate_clean")
 def q_validate_clean(spark, sf_dir):
-    return Q.validate_clean(_cleaned(spark, sf_dir), RAW_ROLES)
+    return Q.validate_clean(_cleaned(spark, sf_dir), RAW_ROLES, raise_on_critical=False)
 
 
 @register("validate_split")
 def q_validate_split(spark, sf_dir):
-    return Q.validate_split(split_cohort(spark, sf_dir))
+    """The report on rows of which some have no marker and some a wrong one."""
+    split = F.when(F.col("row_id") % 97 == 0, F.lit(None)).when(F.col("row_id") % 89 == 0, "tets").otherwise(F.col("split"))
+    return Q.validate_split(split_cohort(spark, sf_dir).withColumn("split", split), raise_on_critical=False)
 
 
 @register("minority_ratio")
@@ -458,8 +475,11 @@ def q_model_frontier(spark, sf_dir):
 
 @register("split_comparison")
 def q_split_comparison(spark, sf_dir):
-    s = scores_table(spark, sf_dir, all_scorers())
-    return S.split_comparison(s)
+    """The chosen model on every split, at its policy's threshold and costs."""
+    s, val, pol = _payloads(spark, sf_dir)
+    best = S.select_best(S.scorecard(val, pol)).select("model_name", "policy_name", "policy_threshold").head()
+    costs = next(p for p in POLICIES if p.name == best.policy_name)
+    return S.split_comparison(s, best.model_name, best.policy_name, best.policy_threshold, costs.fn_cost, costs.fp_cost)
 
 
 # -------------------------------------------------------------- robustness
@@ -570,11 +590,11 @@ def q_policy_decisions(spark, sf_dir):
     """Each test score under each policy's chosen threshold (policies: a generator over a bounded list)."""
     s = scores_table(spark, sf_dir)
     sel = P.policy_select(s.filter(F.col("split") == "validation"), ["model_name"], POLICIES)
-    thr = sel.select("model_name", "policy_name", "threshold")
+    catalog = sel.select("model_name", "policy_name", "policy_label", "threshold", "expected_cost", "recall", "precision")
     test = s.filter(F.col("split") == "test")
-    d = test.join(F.broadcast(thr), "model_name")  # <= models x policies rows
+    d = test.join(F.broadcast(catalog), "model_name")  # <= models x policies rows
     lab = F.when(F.col("p") >= F.col("threshold"), F.lit("Positivo")).otherwise(F.lit("Negativo"))
-    return d.groupBy("policy_name", "threshold", lab.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+    return d.select("row_id", "policy_name", "policy_label", "threshold", lab.alias("decision"), "expected_cost", "recall", "precision")
 
 
 @register("fold_pivot")
@@ -789,9 +809,23 @@ def q_fs_stability(spark, sf_dir):
 
 @register("score_request")
 def q_score_request(spark, sf_dir):
-    """Request payloads (JSON objects of the raw features) -> validate -> table -> fitted preparation -> scores."""
+    """Request payloads (JSON objects of the raw features), some of them wrong -> validate -> fitted preparation -> scores.
+
+    Rejected requests stay, with the reason and without a score.
+    """
     feats = list(RAW_NUMERICAL)
-    req = split_cohort(spark, sf_dir).filter(F.col("split") == "test").select(
-        "row_id", F.to_json(F.struct(*feats)).alias("payload"))
-    checked = REG.payload_validate(req, "payload", feats, key_cols=["row_id"]).filter("accepted")
-    return fit_serving(spark, sf_dir).score(checked).select("row_id", "prediction_proba", "prediction", "risk_band")
+    good = [F.col(c) for c in feats]
+    but = lambda name, value: [value.alias(c) if c == name else F.col(c) for c in feats]
+    text = lambda columns: F.to_json(F.struct(*columns))
+    k = F.col("row_id")
+    payload = (F.when(k % 23 == 0, F.lit("{not json")).when(k % 11 == 0, text([F.col(c) for c in feats if c != "Glucose"])).when(k % 13 == 0, text(but("BMI", F.lit(-1.0))))
+               .when(k % 17 == 0, text(but("Age", F.lit("old")))).when(k % 19 == 0, text([*good, F.lit(1).alias("Zip")])).otherwise(text(good)))
+    req = split_cohort(spark, sf_dir).filter(F.col("split") == "test").select("row_id", payload.alias("payload"))
+    checked = REG.payload_validate(req, "payload", feats, key_cols=["row_id"])
+    ok = F.col("accepted")
+    return fit_serving(spark, sf_dir).score(checked).select("row_id", "accepted", "reject_reason", *[F.when(ok, F.col(c)).alias(c) for c in ("prediction_proba", "prediction", "risk_band")])
+
+
+from riskloom.plans import training_queries  # noqa: E402
+
+QUERIES.update(training_queries.QUERIES)

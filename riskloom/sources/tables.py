@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.config import RAW_NUMERICAL, TARGET
+from riskloom.session import ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,3 +67,10 @@ def json_manifest(df: DataFrame) -> DataFrame:
             F.to_json(F.collect_list(F.struct(*[F.col(c) for c in df.columns]))), F.lit("[]")
         ).alias("manifest_json")
     )
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the session's shared folder: computed once, and still there after an executor is lost."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from riskloom.plans.queries import QUERIES
 from tests.conftest import SF_SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["split_stratified", "kfold_stratified", "feature_build", "fit_caps", "roc_auc", "threshold_sweep", "policy_select",
-        "drift_psi", "risk_report", "validate_clean", "registry_upsert", "payload_validate", "perturbation_audit"]
+#: Base queries without SQL: trained models and what is derived from them; their own tests check them.
+ROWS_ONLY = {"train_model", "calibrate_sigmoid", "file_inventory", "candidate_cv", "fs_summary", "fs_stability"}
 
 
 def _norm(v):
@@ -32,7 +33,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("key", FAST)
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - ROWS_ONLY))
 def test_query_matches_oracle(spark, con, key):
     df = entry.queries()[key](spark, SF_SMALL)
     res = con.execute(entry.oracle_sql()[key])
@@ -43,10 +44,8 @@ def test_query_matches_oracle(spark, con, key):
 
 def test_entry_smoke(spark):
     df = entry.entry(spark)
-    assert df.count() >= 0 and "risk_priority_rank" in df.columns
+    assert df.count() > 0 and "risk_priority_rank" in df.columns
 
 
-def test_every_query_has_oracle_or_is_model_based():
-    rows_only = {"train_model", "calibrate_sigmoid", "file_inventory", "candidate_cv", "fs_summary", "fs_stability"}
-    missing = set(entry.queries()) - set(entry.oracle_sql()) - rows_only
-    assert not missing
+def test_every_base_query_has_an_oracle():
+    assert set(QUERIES) - set(entry.oracle_sql()) == ROWS_ONLY
