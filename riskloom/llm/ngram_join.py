@@ -99,7 +99,7 @@ def index_keys(ordered: np.ndarray, counts: np.ndarray, n: int, percent: int, st
 
 def parity(tokens: np.ndarray, n: int) -> bytes:
     """Bitmap of BITS bits a token (a power of 2, for the size of the full set) with the parity of the tokens at each."""
-    width = max(6, (BITS * n - 1).bit_length())
+    width = max(6, int(BITS * n - 1).bit_length())
     odd = np.bincount((tokens >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -148,12 +148,14 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, width: int, percent:
     total = max(1, (df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // 5)
     spare = np.uint64(max(0, 64 - total.bit_length() - SPARE))
 
-    def hashes_of(row: dict) -> np.ndarray:
-        hashes, bounds, digests = token_sets(unpack(row["payload"]), text_col, width)
+    def sent(hashes: np.ndarray, bounds: np.ndarray, digests: list[bytes]) -> np.ndarray:
         seen: set[bytes] = set()
         first = [d not in seen and not seen.add(d) for d in digests]
         return hashes[np.repeat(first, np.diff(bounds))] >> spare << spare
 
+    def hashes_of(row: dict) -> np.ndarray:
+        return sent(*token_sets(unpack(row["payload"]), text_col, width))
+
     answers, owners = recurring(table, hashes_of, total, "answers")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +165,7 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, width: int, percent:
                 batch = unpack(row["payload"])
                 hashes, bounds, digests = token_sets(batch, text_col, width)
                 short = hashes >> spare << spare
-                common = contains(flagged(hashes_of(row), row["bitmaps"] or [], owners), short)
+                common = contains(flagged(sent(hashes, bounds, digests), row["bitmaps"] or [], owners), short)
                 found = np.add.reduceat(np.append(common, False), bounds[:-1]) * (np.diff(bounds) > 0) if len(bounds) > 1 else np.zeros(0, int)
                 n = np.diff(bounds)
                 open_ = (n > 0) & (found >= least_common(n, percent))
@@ -173,13 +175,12 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, width: int, percent:
     return written(table.join(answers, "block_id", "left").mapInArrow(mark, "id long, n long, digest binary, tokens binary"), "candidates")
 
 
-def _nodes(candidates: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(digest, node) of the distinct sets that may have a partner, and (node, n, known, tokens, bitmap, keys) of them.
+def indexed(nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, n, known, tokens, bitmap, keys) of distinct sets (node, n, tokens), as a table.
 
-    Here tokens are those that several nodes have, and known is their number.
+    `tokens` of the input are those that may be in other sets, of the output those that several nodes
+    have; known is their number. Sets with too few of them for a partner are left out.
     """
-    grouped = candidates.where("tokens is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    nodes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "n", "tokens"), "nodes")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -204,11 +205,10 @@ def _nodes(candidates: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["node", "n", "known", "tokens", "bitmap", "keys"])
 
-    ready = ordered.mapInArrow(run, "node long, n long, known long, tokens binary, bitmap binary, keys array<long>")
-    return nodes.select("digest", "node"), written(ready, "ready")
+    return written(ordered.mapInArrow(run, "node long, n long, known long, tokens binary, bitmap binary, keys array<long>"), "ready")
 
 
-def _verified(pairs: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are similar by their full sets."""
     left = ready.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
     right = ready.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
@@ -231,7 +231,7 @@ def _possible(percent: int, *names: str) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and least({known}, {other}) * {100 + percent} >= {percent} * ({n} + {m})"
 
 
-def _across(index: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
+def across(index: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components with a key in common; `index` has (key, n_sets, node, n, known, component)."""
     few = index.where(F.col("n_sets") <= FEW)
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("known").alias("known_b"), F.col("component").alias("of_b"))
@@ -259,20 +259,22 @@ def _across(index: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row (id, n_shingles, component_id) per document: the smallest id reachable over links of similarity >= percent / 100."""
     candidates = _candidates(df, id_col, text_col, width, percent)
-    digests, ready = _nodes(candidates, percent)
+    grouped = candidates.where("tokens is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    nodes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "n", "tokens"), "nodes")
+    digests, ready = nodes.select("digest", "node"), indexed(nodes, percent)
     index = ready.select("node", "n", "known", F.explode("keys").alias("key"))
     best = F.max(F.struct((F.col("known") / F.col("n")).alias("share"), (-F.col("node")).alias("minus"), "n", "known")).alias("best")
     pivots = index.groupBy("key").agg(best, F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1")
     pivots = pivots.select("key", "n_sets", (-F.col("best.minus")).alias("pivot"), F.col("best.n").alias("m"), F.col("best.known").alias("known_b"))
     index = written(index.join(pivots, "key"), "index")
     stars = index.where("node <> pivot").where(_possible(percent, "n", "known", "m", "known_b")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(_verified(stars, ready, percent), "links")
+    links = written(verified(stars, ready, percent), "links")
     trees = components(links)
     placed = index.select("key", "n_sets", "node", "n", "known").join(trees, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(placed, "placed")
     spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = written(_across(written(placed.join(spread, "key"), "spread"), ready, percent), "rest")
-    more = written(_verified(rest, ready, percent), "more")
+    rest = written(across(written(placed.join(spread, "key"), "spread"), ready, percent), "rest")
+    more = written(verified(rest, ready, percent), "more")
     trees = components(written(links.unionAll(more), "all"))
     # the smallest id of each set, and of each group of sets
     lowest = candidates.where("n > 0").groupBy("digest").agg(F.min("id").alias("low"))
