@@ -3,7 +3,7 @@
 Texts are TF-IDF vectors of hashed character bigrams and trigrams, of length one.
 Document frequencies count every training row. Each language gets several
 centroids from spherical k-means over a bounded sample of its training rows
-(`SAMPLE` per language, those with the smallest hash of text). A text takes the
+(`SAMPLE` distinct texts of each, those with the smallest hashes). A text takes the
 language of the centroid with the highest cosine; it is rejected if that cosine is
 below `MARGIN` times a low quantile of what held-out texts of the language and of about its
 length have. Those are the sample's texts and their beginnings, each compared with
@@ -174,22 +174,27 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "lang") ->
         label = table.column("label")[0].as_py()
         return pa.table({"label": pa.array([label] * len(centres)), "centre": pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary()), "lows": pa.array(lows, pa.list_(pa.float64()))})
 
-    rows = _sample(training).groupBy("label").applyInArrow(run, "label string, centre binary, lows array<double>").collect()
+    rows = distinct_sample(training, SAMPLE).groupBy("label").applyInArrow(run, "label string, centre binary, lows array<double>").collect()
     rows = sorted(rows, key=lambda r: (r.label, bytes(r.centre)))
     centres = np.stack([np.frombuffer(r.centre, np.float32) for r in rows]) if rows else np.zeros((0, 1 << BITS), np.float32)
     return Model([r.label for r in rows], centres, np.array([r.lows for r in rows]).reshape(-1, LENGTHS), idf)
 
 
-def _sample(training: DataFrame) -> DataFrame:
-    """At most SAMPLE distinct texts of each language, those with the smallest hashes."""
-    counts = training.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+def distinct_sample(training: DataFrame, most: int) -> DataFrame:
+    """(label, text): of each label the `most` distinct texts with the smallest hashes, all if there are fewer.
+
+    A rate for each label, from about how many distinct texts it has, lets about
+    three times as many pass (all of a label that has fewer), so copies cost a label
+    nothing however many they are. Copies of one text share a hash and merge in each task.
+    """
+    hashed = training.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(1 << 60)))
+    counts = hashed.groupBy("label").agg(F.approx_count_distinct("place", 0.05).alias("n"))
     if counts.limit(FEW_LABELS + 1).count() <= FEW_LABELS:
         counts = F.broadcast(counts)
-    # a rate for each language lets about twice as many pass; copies of one text share a hash and merge in each task
-    rated = training.join(counts, "label").withColumn("place", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
-    chosen = rated.where(F.col("place") * F.col("n") < 2 * SAMPLE * (1 << 30)).groupBy("label", "place").agg(F.min("text").alias("text"))
+    rated = hashed.join(counts, "label").where(F.col("place") / (1 << 60) * F.col("n") < 3 * most)
+    chosen = rated.groupBy("label", "place").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("place"))
-    return chosen.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("label", "text")
+    return chosen.withColumn("rank", rank).where(F.col("rank") <= most).select("label", "text")
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -2,8 +2,8 @@
 
 Features are the hashed n-grams of `WIDTHS` bytes that a text has (each once).
 Their log-count ratios come from all training rows. A logistic regression on the
-scaled features is fitted on a bounded sample of training rows, at most `SAMPLE`
-distinct texts of each label, by L-BFGS; both labels weigh the same in all.
+scaled features is fitted on a bounded sample of training rows, `SAMPLE`
+distinct texts of each label (all, if fewer), by L-BFGS; both labels weigh the same in all.
 
 Null and empty texts have no features and get the score of the intercept. Rows
 whose label isn't 0 or 1 are left out of training; without both labels among the
@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as C
+from .language_id import distinct_sample
 from .ngrams import buckets, letters_only
 from .tables import written
 
@@ -159,12 +160,7 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     if not rows[0] or not rows[1]:
         share = (rows[1] + 0.5) / (rows[0] + rows[1] + 1)
         return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))) if rows[0] + rows[1] else 0.0)
-    # a rate of the text's hash; copies of one text share a hash and merge in each task
-    rates = F.when(F.col("label") == 1, F.lit(rows[1])).otherwise(F.lit(rows[0]))
-    chosen = training.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(1 << 30))).where(F.col("place") * rates < 2 * SAMPLE * (1 << 30))
-    chosen = chosen.groupBy("label", "place").agg(F.min("text").alias("text"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("place"))
-    sample = chosen.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("text", "label")
+    sample = distinct_sample(training, SAMPLE)
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, "text"):

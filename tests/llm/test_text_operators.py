@@ -302,3 +302,30 @@ def test_surrogates_on_rows(spark, make):
     assert got[2].text == f"again: {got[1].text}" and got[1].n_entities == 9
     assert pii.collisions(df).count() == 0
     assert pii.surrogates(make([]), "test").count() == 0
+
+
+EN = ["the cat and the dog were in the house", "there is a river that runs through the town", "she said that they would come with him", "what we have here is not what it was before"]
+DE = "der die das und nicht mit einem haus am fluss ist auch noch eine stadt in dem tal wo wir heute waren sie sagte dass er kommt".split()
+
+
+def labelled(spark, rows, kind):
+    return spark.createDataFrame(rows, f"text string, label {kind}").repartition(4)
+
+
+def test_copies_cost_a_language_nothing(spark, make):
+    rng = np.random.default_rng(9)
+    german = [" ".join(rng.choice(DE, 12)) for _ in range(200)]
+    rows = [(EN[i % 4], "en") for i in range(20_000)] + [(t, "de") for t in german] + [(None, "fr"), ("", "it")]
+    sample = language_id.distinct_sample(labelled(spark, rows, "string").where("text is not null"), 100).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in sample} == {"en": 4, "de": 100, "it": 1}
+    model = language_id.fit(labelled(spark, rows, "string"), label_col="label")
+    got = language_id.predict(spark.createDataFrame([(t,) for t in [*EN, german[0], "the dog and the cat"]], "text string"), model).collect()
+    assert [r.lang_pred for r in got] == ["en"] * 4 + ["de", "en"] and not any(r.rejected for r in got[:5])
+
+
+def test_copies_cost_a_label_nothing(spark, make):
+    rng = np.random.default_rng(10)
+    rows = [(EN[i % 3], 0) for i in range(60_000)] + [("you vile horrid " + " ".join(rng.choice(DE, 8)), 1) for _ in range(300)]
+    model = toxicity.fit(labelled(spark, rows, "int"), label_col="label")
+    got = [r.score for r in toxicity.score(spark.createDataFrame([(t,) for t in [*EN[:3], "", "vile horrid you"]], "text string"), model).collect()]
+    assert max(got[:4]) < 0.5 < got[4]
