@@ -14,7 +14,9 @@ with probability 4e-7 (0.8: 5e-5).
 
 Null and empty texts, and texts without words, have an empty set and are linked
 with nothing. Texts with fewer words than a shingle have one shingle, the whole
-sequence. Equal sets are one node; repeated rows of one doc_id are one document.
+sequence. Equal sets are one node. Rows are told apart by themselves: rows of one id with
+different texts are documents of their own, and a component's id is the smallest in it,
+null only if all are.
 """
 
 from __future__ import annotations
@@ -25,41 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as C
 from .components import components
+from .ngram_join import across, indexed, verified
 from .tables import written
+from .textcore import shingle_sets
 
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
-#: Bits of the table that shingles are counted in, and the columns of a set's parity bitmap.
-COUNTERS = 18
-PARITY = [f"p{i}" for i in range(8)]
-
-
-def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text in ascending order, and n + 1 bounds."""
-    data, offsets = C.string_bytes(column)
-    words = C.Words(C.folded(data), offsets, C.NON_SPACE)
-    counts = words.counts()
-    n_texts, n = len(counts), len(words)
-    text = np.repeat(np.arange(n_texts), counts)
-    full = words.inside(width)
-    at = np.flatnonzero(full)
-    hashes, owners = C.grams(words.hashes, width, 7)[at], text[at]
-    few = np.flatnonzero((counts > 0) & (counts < width))
-    if len(few):
-        own = [int(C.grams(words.hashes[words.first[i] : words.first[i + 1]], int(counts[i]), 8)[0]) for i in few]
-        hashes, owners = np.concatenate([hashes, np.array(own, np.uint64)]), np.concatenate([owners, few])
-    order = np.lexsort((hashes, owners))
-    hashes, owners = hashes[order], owners[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
-    hashes, owners = hashes[new], owners[new]
-    return hashes, np.searchsorted(owners, np.arange(n_texts + 1))
 
 
 def super_minhash(hashes: np.ndarray, bounds: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -102,10 +82,10 @@ def bands(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sign(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("packed", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", T.LongType()), T.StructField("packed", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(3)
+        packer, at = zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in C.slices(whole, text_col, 1 << 20):
                 hashes, bounds = shingle_sets(batch.column(text_col), width)
@@ -119,7 +99,9 @@ def _sign(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                     keys[: ends[0]] = bands(super_minhash(hashes[: bounds[ends[0]]], bounds[: ends[0] + 1]))
                 digest = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds, bounds[1:], strict=False)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, batch.num_rows * BANDS + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array([packer.compress((t or "").encode()) for t in batch.column(text_col).to_pylist()], pa.binary()), pa.array(sizes), pa.array(digest, pa.binary()), lists], names=schema.names)
+                rows = pa.array(at + np.arange(batch.num_rows))
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([rows, batch.column(id_col).cast(pa.int64()), pa.array([packer.compress((t or "").encode()) for t in batch.column(text_col).to_pylist()], pa.binary()), pa.array(sizes), pa.array(digest, pa.binary()), lists], names=schema.names)
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -146,65 +128,32 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def _across(sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets (set_id, packed, component) of different components that can be similar enough, none left out.
-
-    Shingles are ordered by how often they occur (counted in a table of fixed
-    size), rare ones first. Similar sets then share one of the first
-    n - ceil(n * percent / 100) + 1 shingles of each, so sets that only have
-    frequent shingles in common never meet. Sets that do meet are kept apart by
-    their parity bitmaps where these rule the similarity out: two sets differ in
-    at least as many shingles as their bitmaps in bits.
+    """Links (a, b) of sets (set_id, packed, component) of different components, none left out.
+
+    They meet by their rarest shingles, or by pairs of frequent ones, and are confirmed on the full sets; where a
+    key has many sets, those of different components are told apart by bitmaps first.
     """
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for whole in batches:
             for batch in C.slices(whole, "packed", 1 << 18):
-                texts = pa.array([unpacker.decompress(t) for t in batch.column("packed").to_pylist()], pa.binary())
-                yield batch, *shingle_sets(texts, width)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTERS, np.int64)
-        for _, hashes, _ in shingles(batches):
-            total += np.bincount((hashes >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
-
-    often = np.zeros(1 << COUNTERS, np.int64)
-    for r in sets.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
-        often[r.at] = r.n
-    shared = sets.sparkSession.sparkContext.broadcast(often.astype(np.uint32))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, hashes, bounds in shingles(batches):
-            sizes = np.diff(bounds)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((hashes, shared.value[(hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)], owner))
-            first = sizes - -(-sizes * percent // 100) + 1
-            keep = order[np.arange(len(hashes)) - bounds[owner] < first[owner]]
-            place = (owner << 9) | ((hashes >> np.uint64(20)) & np.uint64(511)).astype(np.int64)
-            odd = (np.bincount(place, minlength=len(sizes) << 9) & 1).astype(bool).reshape(len(sizes), 512)
-            bits = np.packbits(odd, axis=1).view(np.int64)[owner[keep]]
-            ids, groups_ = (batch.column(c).to_numpy()[owner[keep]] for c in ("set_id", "component"))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(ids), pa.array(sizes[owner[keep]]), pa.array(groups_), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(8))], names=["token", "set_id", "n_shingles", "component", *PARITY])
-
-    rows = written(sets.select("set_id", "packed", "component").mapInArrow(prefixes, "token long, set_id long, n_shingles long, component long, " + ", ".join(f"{c} long" for c in PARITY)), "prefixes")
-    by_group = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
-    # the largest group of a token's sets is compared with the others only
-    home = by_group.groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    rows = rows.join(home.select("token", F.col("most.component").alias("home")), "token")
-    outside = rows.where("component <> home").select("token", F.col("set_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("of_a"), *[F.col(c).alias(f"of_{c}") for c in PARITY])
-    inside = rows.select("token", F.col("set_id").alias("b"), "n_shingles", "component", "home", *PARITY)
-    near = f"100 * least(m, n_shingles) >= {percent} * greatest(m, n_shingles)"
-    apart = " + ".join(f"bit_count({c} ^ of_{c})" for c in PARITY)
-    possible = f"(m + n_shingles - ({apart})) * {100 + percent} >= {2 * percent} * (m + n_shingles)"
-    return outside.join(inside, "token").where("of_a <> component and (component = home or a < b)").where(near).where(possible).select("a", "b").distinct()
+                hashes, bounds = shingle_sets(pa.array([unpacker.decompress(t) for t in batch.column("packed").to_pylist()], pa.binary()), width)
+                tokens = [hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(np.diff(bounds)), pa.array(tokens, pa.binary())], names=["node", "n", "tokens"])
+
+    ready = indexed(sets.select("set_id", "packed").mapInArrow(shingles, "node long, n long, tokens binary"), percent)
+    index = ready.select("node", "n", "known", F.explode("keys").alias("key")).join(sets.select(F.col("set_id").alias("node"), "component"), "node")
+    index = written(index, "index")
+    spread = index.groupBy("key").agg(F.count(F.lit(1)).alias("n_sets"), F.min("component").alias("low"), F.max("component").alias("high"))
+    spread = spread.where("low < high").select("key", "n_sets")
+    return verified(written(across(written(index.join(spread, "key"), "spread"), ready, percent), "rest"), ready, percent)
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row (id, n_shingles, component_id) per document: the smallest id reachable over links of similarity >= percent / 100."""
     signed = written(_sign(df, id_col, text_col, width), "signed")
-    sets = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("set_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    sets = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("set_id"), F.min("id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     sets = written(sets, "sets")
     buckets = sets.select("set_id", "n_shingles", F.explode("keys").alias("key"))
     pivots = buckets.groupBy("key").agg(F.min(F.struct("set_id", "n_shingles")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -214,9 +163,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     # shingle numbers that differ too much rule a link out
     near = f"100 * least(m, n_shingles) >= {percent} * greatest(m, n_shingles)"
     stars = shared.where("set_id <> pivot").where(near).select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    wanted = sets.select("set_id", "digest").join(shared.select("set_id").distinct(), "set_id")
-    texts = signed.select("id", "digest", "packed").join(wanted, [signed["id"] == wanted["set_id"], signed["digest"] == wanted["digest"]])
-    texts = written(texts.select("set_id", "packed").dropDuplicates(["set_id"]), "texts")
+    wanted = shared.select("set_id").distinct()
+    texts = written(signed.select(F.col("row").alias("set_id"), "packed").join(wanted, "set_id"), "texts")
     links = written(_confirm(stars, texts, width, percent), "stars")
     trees = components(links)
     # sets in buckets that span several groups: their pairs across groups
@@ -224,10 +172,12 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     placed = written(placed, "placed")
     spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     suspects = placed.join(spread, "key").select("set_id", "component").distinct()
-    rest = _across(written(texts.join(suspects, "set_id"), "suspects"), width, percent)
-    more = written(_confirm(rest, texts, width, percent), "rest")
+    more = written(_across(written(texts.join(suspects, "set_id"), "suspects"), width, percent), "more")
     if more.limit(1).count():
         trees = components(links.union(more))
-    members = signed.select("id", "n_shingles", "digest").join(sets.select("digest", "set_id"), "digest", "left")
-    members = members.join(trees.withColumnRenamed("node", "set_id"), "set_id", "left")
-    return members.select("id", "n_shingles", F.coalesce("component", "set_id", "id").alias("component_id"))
+    # a set's documents have its smallest id, or that of the sets it is linked with
+    linked = written(trees.join(sets.select(F.col("set_id").alias("node"), "low"), "node"), "linked")
+    named = linked.join(linked.groupBy("component").agg(F.min("low").alias("label")), "component").select(F.col("node").alias("set_id"), "label")
+    named = sets.select("digest", "set_id", "low").join(named, "set_id", "left").select("digest", F.coalesce("label", "low").alias("label"))
+    members = signed.where("n_shingles > 0").select("id", "n_shingles", "digest").join(named, "digest").select("id", "n_shingles", F.col("label").alias("component_id"))
+    return members.unionAll(signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))

@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from . import textcore as C
 from .components import components
 from .exchange import blocks, contains, flagged, recurring, unpack
-from .minhash import shingle_sets
 from .tables import written
+from .textcore import shingle_sets
 
 #: Nodes that a rare token is in, at most; sets of a key that are joined row by row, at most.
 RARE, FEW = 16, 32

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, exact_dedup, language_id, minhash
 from .queries import RANKS
-from .tables import read, ship, written
+from .tables import read, ship, spare_name, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +31,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group linked by five-word shingle sets of similarity 0.8 or more."""
     ship(spark)
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    grouped = minhash.groups(rows, id_col="_row", width=5, percent=80).withColumnRenamed("id", "_row")
+    row = spare_name(docs.columns, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    grouped = minhash.groups(rows, id_col=row, width=5, percent=80).withColumnRenamed("id", row)
     several = grouped.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
-    members = grouped.join(several, "component_id").join(rows.select("_row", "doc_id"), "_row")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    stay = members.groupBy("component_id").agg(best.alias("best")).select("component_id", F.col("best._row").alias("stays"))
-    gone = members.join(stay, "component_id").where("_row <> stays").select("_row")
-    return rows.join(written(gone, "gone"), "_row", "left_anti").select(docs.columns)
+    members = grouped.join(several, "component_id").join(rows.select(row, "doc_id"), row)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")))
+    stay = members.groupBy("component_id").agg(best.alias("best")).select("component_id", F.col("best.row").alias("stays"))
+    gone = members.join(stay, "component_id").where(F.col(row) != F.col("stays")).select(row)
+    return rows.join(written(gone, "gone"), row, "left_anti").select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

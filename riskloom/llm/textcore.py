@@ -151,3 +151,25 @@ def grams(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
 def folded(data: np.ndarray) -> np.ndarray:
     """The bytes with A-Z in lower case."""
     return LOWER[data]
+
+
+def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text in ascending order, and n + 1 bounds."""
+    data, offsets = string_bytes(column)
+    words = Words(folded(data), offsets, NON_SPACE)
+    counts = words.counts()
+    n_texts, n = len(counts), len(words)
+    text = np.repeat(np.arange(n_texts), counts)
+    full = words.inside(width)
+    at = np.flatnonzero(full)
+    hashes, owners = grams(words.hashes, width, 7)[at], text[at]
+    few = np.flatnonzero((counts > 0) & (counts < width))
+    if len(few):
+        own = [int(grams(words.hashes[words.first[i] : words.first[i + 1]], int(counts[i]), 8)[0]) for i in few]
+        hashes, owners = np.concatenate([hashes, np.array(own, np.uint64)]), np.concatenate([owners, few])
+    order = np.lexsort((hashes, owners))
+    hashes, owners = hashes[order], owners[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
+    hashes, owners = hashes[new], owners[new]
+    return hashes, np.searchsorted(owners, np.arange(n_texts + 1))

@@ -114,6 +114,12 @@ def test_near_dedup_against_brute_force(make):
         rows.append((100 + i, " ".join(base)))
     rows += [(1, "one"), (2, "ONE"), (3, "one two"), (4, ""), (5, None), (6, "  "), (7, "one two three four five six"), (8, "one  two three four five SIX")]
     rows += [(200 + i, " ".join(rng.choice(NAMES, 50))) for i in range(30)]
+    spread = list(rng.choice(NAMES, 100))
+    for i in range(60):  # variants of one text, similar and not
+        w = list(spread)
+        for k in rng.choice(100, rng.integers(0, 7), replace=False):
+            w[k] = f"x{rng.integers(0, 20)}"
+        rows.append((300 + i, " ".join(w)))
     for width, percent in ((3, 85), (5, 80)):
         got = {r.id: (r.n_shingles, r.component_id) for r in minhash.groups(make(rows), width=width, percent=percent).collect()}
         assert got == groups(rows, width, percent)
@@ -147,3 +153,10 @@ def test_components(spark, make, held, monkeypatch):
     links = spark.createDataFrame(chain, "a long, b long").repartition(4)
     got = {r.node: r.component for r in components(links).collect()}
     assert all(got[i] == 1 for i in range(1, 61)) and got[103] == 100 and got[100] == 100
+
+
+def test_near_dedup_null_and_repeated_ids(make):
+    a, z = " ".join(NAMES[:30]), " ".join(NAMES[200:230])
+    rows = [(5, a), (5, z), (6, f"{a} q"), (7, f"{z} q"), (None, a), (None, " ".join(NAMES[300:330])), (9, a), (9, a)]
+    got = Counter((r.id, r.component_id) for r in minhash.groups(make(rows, extra="row"), width=3, percent=85).collect())
+    assert got == Counter([(5, 5), (5, 5), (6, 5), (7, 5), (None, 5), (None, None), (9, 5), (9, 5)])
