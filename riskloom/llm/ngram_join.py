@@ -17,7 +17,8 @@ whose similarity is `percent` or more have at least ceil(n * percent / 100) toke
    share of common tokens. Union-find makes groups of the linked sets.
 5. Keys whose sets are in several groups: sets of different groups that are close enough by
    their sizes and by their parity bitmaps (an exact bound of how many tokens differ) are verified
-   too, in blocks of bounded size, so groups aren't expanded into pairs and no link is lost.
+   too, in blocks of bounded size. Only sets outside a key's largest group are compared with the
+   others, so groups aren't expanded into pairs, and no link is lost.
 
 Null and empty texts, and texts without words, have an empty set and are linked with
 nothing. Texts with fewer words than an n-gram have one token, the whole sequence. Rows
@@ -44,8 +45,8 @@ from .textcore import shingle_sets
 
 #: Nodes that a rare token is in, at most; sets of a key that are joined row by row, at most.
 RARE, FEW = 16, 32
-#: Sets of one block of a key with more sets, and bits of their bitmaps for each token.
-BLOCK, BITS = 256, 2
+#: Of a key with more sets, those outside its largest group and all of them that meet in one task, and bits of their bitmaps for each token.
+OUTSIDE, ALL, BITS = 512, 2048, 2
 #: Bits of a token in the exchange beyond those that number all tokens: one in 2**SPARE is taken for common by chance.
 SPARE = 10
 
@@ -110,8 +111,8 @@ def halved(bitmap: np.ndarray) -> np.ndarray:
     return np.packbits(odd[:, 0::2] ^ odd[:, 1::2], axis=1)
 
 
-def close_pairs(bitmaps: list[np.ndarray], n: np.ndarray, known: np.ndarray, component: np.ndarray, other: slice, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row the later rows within `other` of another component that its similarity with isn't ruled out."""
+def close_pairs(bitmaps: list[np.ndarray], n: np.ndarray, known: np.ndarray, component: np.ndarray, first: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the `first` rows those after them, of another component, that its similarity with isn't ruled out."""
     sizes = np.array([len(x) for x in bitmaps])
     stacks: dict[int, np.ndarray] = {}
     for size in np.unique(sizes):
@@ -121,10 +122,10 @@ def close_pairs(bitmaps: list[np.ndarray], n: np.ndarray, known: np.ndarray, com
             part = halved(part) if x and size > 8 else part
             table = stacks.setdefault(part.shape[1], np.zeros((len(sizes), part.shape[1]), np.uint8))
             table[rows] = part
-    place = np.arange(len(sizes))
-    for i in range(len(sizes)):
+    later = np.arange(len(sizes)) >= first
+    for i in range(first):
         total = n + n[i]
-        fits = (place > i) & (place >= other.start) & (place < other.stop) & (component != component[i])
+        fits = later & (component != component[i])
         fits &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
         fits &= np.minimum(known, known[i]) * (100 + percent) >= percent * total
         at = np.flatnonzero(fits)
@@ -237,23 +238,28 @@ def across(index: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("known").alias("known_b"), F.col("component").alias("of_b"))
     near = F.expr(f"node < b and component <> of_b and {_possible(percent, 'n', 'known', 'm', 'known_b')}")
     pairs = few.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & near).select(F.col("node").alias("a"), "b")
-    # the sets of a large key, by size, in blocks: each pair of blocks is one group
-    many = index.where(F.col("n_sets") > FEW).join(ready.select("node", "bitmap"), "node")
-    many = many.withColumn("parts", F.expr(f"cast(ceil(n_sets / {BLOCK}) as int)")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    many = many.withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
-    many = many.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "node", "n", "known", "component", "bitmap")
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        _, low, high = (k.as_py() for k in key)
-        table = table.sort_by([("own", "ascending"), ("node", "ascending")])
-        own = table.column("own").to_numpy()
+    # of a large key the sets outside its largest group meet all of them, in blocks
+    many = index.where(F.col("n_sets") > FEW)
+    home = many.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n_home")).groupBy("key").agg(F.max(F.struct("n_home", "component")).alias("home"))
+    many = many.join(home, "key").join(ready.select("node", "bitmap"), "node").withColumn("out", F.col("component") != F.col("home.component"))
+    many = many.withColumn("outs", F.expr(f"cast(ceil((n_sets - home.n_home) / {OUTSIDE}) as long)")).withColumn("alls", F.expr(f"cast(ceil(n_sets / {ALL}) as long)"))
+    own = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts))
+    each = lambda parts: F.explode(F.expr(f"sequence(0L, {parts} - 1L)"))
+    columns = ["key", "node", "n", "known", "component", "bitmap", "out", "outs", "alls"]
+    few_outside = many.where("out").select(*columns, own("outs").alias("low")).withColumn("high", each("alls"))
+    all_of_key = many.select(*columns, own("alls").alias("high")).withColumn("low", each("outs")).withColumn("out", F.lit(False))
+    met = few_outside.select(*columns, "low", "high").unionAll(all_of_key.select(*columns, "low", "high"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("out", "descending")])
         node, n, known, component = (table.column(c).to_numpy() for c in ("node", "n", "known", "component"))
         bitmaps = [np.frombuffer(x, np.uint8) for x in table.column("bitmap").to_pylist()]
-        stop = int(np.searchsorted(own, low, "right"))
-        out = [(node[i], node[j]) for i, some in close_pairs(bitmaps, n, known, component, slice(stop, len(own)) if low < high else slice(0, len(own)), percent) if low == high or i < stop for j in some]
+        first = sum(table.column("out").to_pylist())
+        out = [(node[i], node[j]) for i, some in close_pairs(bitmaps, n, known, component, first, percent) for j in some]
         return pa.table([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
 
-    return pairs.unionAll(many.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")).distinct()
+    found = met.select("key", "low", "high", "out", "node", "n", "known", "component", "bitmap").groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
+    return pairs.unionAll(found).distinct()
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

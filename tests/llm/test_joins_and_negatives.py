@@ -32,9 +32,9 @@ def family(rng, n_words, n, edits, first):
     return out
 
 
-@pytest.mark.parametrize(("rare", "few", "block"), [(16, 32, 256), (2, 2, 7)])
-def test_ngram_join_against_brute_force(make, monkeypatch, rare, few, block):
-    for name, value in (("RARE", rare), ("FEW", few), ("BLOCK", block)):
+@pytest.mark.parametrize(("rare", "few", "outside", "whole"), [(16, 32, 512, 2048), (2, 2, 3, 7)])
+def test_ngram_join_against_brute_force(make, monkeypatch, rare, few, outside, whole):
+    for name, value in (("RARE", rare), ("FEW", few), ("OUTSIDE", outside), ("ALL", whole)):
         monkeypatch.setattr(ngram_join, name, value)  # most keys are of frequent tokens, most groups in several blocks
     rng = np.random.default_rng(11)
     rows, base = [], list(rng.choice(NAMES, 160))
@@ -95,7 +95,8 @@ def test_bitmaps_rule_out_no_similar_pair(seed):
     n = np.array([len(s) + rng.integers(0, 3) for s in sets])  # some tokens are in one set only
     known = np.array([len(s) for s in sets])
     bitmaps = [np.frombuffer(ngram_join.parity(s, k), np.uint8) for s, k in zip(sets, n, strict=True)]
-    found = {(i, int(j)) for i, some in ngram_join.close_pairs(bitmaps, n, known, np.arange(len(sets)), slice(0, len(sets)), 80) for j in some}
+    twice = [np.concatenate([x, x]) for x in (n, known, np.arange(len(sets)))]
+    found = {(i, int(j) - len(sets)) for i, some in ngram_join.close_pairs(bitmaps * 2, *twice, len(sets), 80) for j in some}
     for i, a in enumerate(sets):
         for j in range(i + 1, len(sets)):
             both = len(np.intersect1d(a, sets[j]))
