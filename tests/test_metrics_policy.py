@@ -1,6 +1,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,41 @@ def test_policy_select_min_cost_brute_force(spark):
         cands.append((not rec >= pol.min_recall, fn * pol.fn_cost + fp * pol.fp_cost, fnr, -rec, t))
     assert math.isclose(sel["prioritize_recall"]["threshold"], min(cands)[4])
     assert sel["default_050"]["threshold"] == 0.5
+
+
+def _calibration(y, p, w):
+    """Penalised Newton on single scores."""
+    x, b = np.log(p / (1 - p)), np.zeros(2)
+    design = np.column_stack([np.ones(len(x)), x])
+    for _ in range(60):
+        s = 1 / (1 + np.exp(-(design @ b)))
+        gradient = design.T @ (w * (y - s)) - np.array([0, b[1] / M.CALIBRATION_C])
+        hessian = (design * (w * s * (1 - s))[:, None]).T @ design + np.diag([0, 1 / M.CALIBRATION_C])
+        b = b + np.linalg.solve(hessian, gradient)
+    return b
+
+
+def test_resamples_against_numpy(spark):
+    from riskloom.operators import robustness as R
+
+    rng = np.random.default_rng(8)
+    n, k = 3000, 6
+    p = {"a": rng.beta(2, 3, n).round(2).clip(0.001, 0.999), "b": rng.random(n)}  # many ties, and none
+    y = (rng.random(n) < p["a"]).astype(int)
+    rows = [(m, i, int(y[i]), float(p[m][i])) for m in p for i in range(n)]
+    scores = spark.createDataFrame(rows, "model_name string, row_id long, y int, p double").repartition(5)
+    got = {(r.model_name, r.iteration): r for r in R.bootstrap_metrics(scores, k, 0.4, 8.0, 1.0).collect()}
+    w = R.poisson_weights(list(range(n)), k)
+    assert len(got) == 2 * k and abs(w.mean() - 1) < 0.05 and (w[:, 0] != w[:, 1]).any()
+    for (m, it), r in got.items():
+        weight, q = w[:, it - 1].astype(float), p[m].round(9)
+        hit = q >= 0.4
+        tp, fp, fn, tn = (weight[a].sum() for a in ((y == 1) & hit, (y == 0) & hit, (y == 1) & ~hit, (y == 0) & ~hit))
+        pos, neg = np.bincount(np.unique(q, return_inverse=True)[1], weight * y), np.bincount(np.unique(q, return_inverse=True)[1], weight * (1 - y))
+        auc = (pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum())
+        a, b = _calibration(y, q, weight)
+        expected = {"roc_auc": auc, "brier": (weight * (q - y) ** 2).sum() / weight.sum(), "log_loss": -(weight * np.log(np.where(y == 1, q, 1 - q))).sum() / weight.sum(),
+                    "recall": tp / (tp + fn), "precision": tp / (tp + fp), "false_positive_rate": fp / (fp + tn), "expected_cost": 8 * fn + fp,
+                    "calibration_slope_error": abs(b - 1), "calibration_intercept_abs": abs(a)}
+        for name, value in expected.items():
+            assert abs(r[name] - value) < 1e-7 * max(1, abs(value)), (m, it, name)
