@@ -7,8 +7,11 @@ A failed *critical* expectation raises on the driver after the pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,6 +220,28 @@ def psi_edges(ref: DataFrame, features: Sequence[str], bins: int = PSI_BINS) ->
     return out
 
 
+def _bin_counts(values: DataFrame, features: Sequence[str], edges: dict[str, list[float]], split_col: str) -> DataFrame:
+    """(split, feature_name, bin, n): each task counts its rows' values between the edges; missing ones are left out."""
+    features, ends = list(features), {f: np.array(edges[f], np.float64) for f in features}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, str], np.ndarray] = {}
+        for batch in batches:
+            names = batch.column(split_col)
+            for name in pc.unique(names).to_pylist():
+                part = batch.filter(pc.equal(names, name))
+                for f in features:
+                    v = part.column(f).to_numpy(zero_copy_only=False)
+                    n = np.bincount(np.searchsorted(ends[f], v[~np.isnan(v)], "right"), minlength=len(ends[f]) + 1)
+                    total[name, f] = total.get((name, f), 0) + n
+        rows = [(s, f, b, c) for (s, f), n in total.items() for b, c in enumerate(n.tolist()) if c]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["split", "feature_name", "bin", "n"])
+
+    parts = values.mapInArrow(run, "split string, feature_name string, bin int, n long")
+    return parts.groupBy(F.col("split").alias(split_col), "feature_name", "bin").agg(F.sum("n").alias("n"))
+
+
 def drift_psi(df: DataFrame, features: Sequence[str], reference: str = "train",
               compare: Sequence[str] = ("validation", "test"), bins: int = PSI_BINS,
               split_col: str = SPLIT_COL, stable_max: float = PSI_STABLE_MAX,
@@ -227,15 +252,11 @@ def drift_psi(df: DataFrame, features: Sequence[str], reference: str = "train",
     scoped = df.filter(F.col(split_col).isin(*splits))
     edges = psi_edges(scoped.filter(F.col(split_col) == reference), features, bins)
     feats = [f for f in features if edges.get(f) is not None]
-    edge_map = F.create_map(*[x for f in feats for x in (F.lit(f), F.array(*[F.lit(float(e)) for e in edges[f]]).cast("array<double>"))])
-    long = scoped.select(
-        split_col,
-        F.explode(F.array(*[F.struct(F.lit(f).alias("feature_name"), F.col(f).cast("double").alias("v")) for f in feats])).alias("s"),
-    ).select(split_col, "s.feature_name", "s.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    binned = long.withColumn("bin", F.size(F.filter(F.element_at(edge_map, F.col("feature_name")), lambda e: e <= F.col("v"))))
-    counts = binned.groupBy(split_col, "feature_name", "bin").agg(F.count(F.lit(1)).alias("n"))
-    stats = long.groupBy(split_col, "feature_name").agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("rows"))
+    values = scoped.select(split_col, *[F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")).alias(f) for f in feats])
+    counts = _bin_counts(values, feats, edges, split_col)
+    of = lambda f: F.struct(F.lit(f).alias("feature_name"), F.avg(f).alias("mean"), F.stddev_pop(f).alias("std"), F.count(f).alias("rows"))
+    # one row a split, then one for each of its features
+    stats = values.groupBy(split_col).agg(F.array(*[of(f) for f in feats]).alias("s")).select(split_col, F.explode("s").alias("s")).select(split_col, "s.*").filter("rows > 0")
     # dense (split, feature, bin) grid from the small dimension (features x bins)
     grid_rows = [(s, f, b) for s in splits for f in feats for b in range(len(edges[f]) + 1)]
     grid = spark.createDataFrame(grid_rows, f"{split_col} string, feature_name string, bin int")
