@@ -33,6 +33,7 @@ from riskloom.functions.expressions import clip_probability, risk_band, sigmoid
 from riskloom.functions.hashing import keyed_md5
 from riskloom.operators import metrics as M
 from riskloom.operators.ranking import rank_by_hash
+from riskloom.sources.tables import shared_table
 
 CV_METRICS = ["roc_auc", "brier", "log_loss", "calibration_slope_error", "calibration_intercept_abs", "accuracy", "precision", "recall",
               "specificity", "f1", "false_positive_rate", "false_negative_rate", "positive_prediction_rate", "positive_prevalence",
@@ -276,9 +277,11 @@ def permutation_importance(rows: DataFrame, scorer: LinearScorer, repeats: int =
     feats = scorer.features()
     base = rows.select(F.lit(scorer.name).alias("model_name"), F.col(y).alias("y"),
                        linear_score_from(scorer, lambda f: F.col(f)).alias("p"))
-    perm = permuted_table(rows, feats, repeats, seed)
+    # only what the scores read goes along with each of the permutations
+    perm = permuted_table(rows.select(ROW_ID, y, *feats), feats, repeats, seed)
     p_perm = linear_score_from(scorer, lambda f: F.when(F.col("feature_name") == f, F.col("permuted_value")).otherwise(F.col(f)))
     ps = perm.select(F.lit(scorer.name).alias("model_name"), "feature_name", "repeat", F.col(y).alias("y"), p_perm.alias("p"))
+    ps = shared_table(ps, "permuted")
     keys = ["model_name", "feature_name", "repeat"]
     m = M.metric_payload(ps, keys, threshold, fn_cost, fp_cost, calibration=False)
     b = M.metric_payload(base, ["model_name"], threshold, fn_cost, fp_cost, calibration=False)
