@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import textcore as C
 from .components import components
-from .ngram_join import across, indexed, verified
+from .ngram_join import between, indexed
 from .tables import written
 from .textcore import shingle_sets
 
@@ -128,10 +128,10 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def _across(sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) of sets (set_id, packed, component) of different components, none left out.
+    """Links (a, b) of sets (set_id, packed, component) of different components: all that it takes to join them.
 
     They meet by their rarest shingles, or by pairs of frequent ones, and are confirmed on the full sets; where a
-    key has many sets, those of different components are told apart by bitmaps first.
+    key has many sets, those of different components are united in blocks and told apart by bitmaps first.
     """
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +145,7 @@ def _across(sets: DataFrame, width: int, percent: int) -> DataFrame:
     ready = indexed(sets.select("set_id", "packed").mapInArrow(shingles, "node long, n long, tokens binary"), percent)
     index = ready.select("node", "n", "known", F.explode("keys").alias("key")).join(sets.select(F.col("set_id").alias("node"), "component"), "node")
     index = written(index, "index")
-    spread = index.groupBy("key").agg(F.count(F.lit(1)).alias("n_sets"), F.min("component").alias("low"), F.max("component").alias("high"))
-    spread = spread.where("low < high").select("key", "n_sets")
-    return verified(written(across(written(index.join(spread, "key"), "spread"), ready, percent), "rest"), ready, percent)
+    return between(index.join(index.groupBy("key").agg(F.count(F.lit(1)).alias("n_sets")), "key"), ready, percent)
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

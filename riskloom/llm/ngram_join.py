@@ -15,10 +15,12 @@ whose similarity is `percent` or more have at least ceil(n * percent / 100) toke
    a set is at its own level and the next, and similar sets have a level in common.
 4. Verification on the full sets: of each key's sets with the one that has the largest
    share of common tokens. Union-find makes groups of the linked sets.
-5. Keys whose sets are in several groups: sets of different groups that are close enough by
-   their sizes and by their parity bitmaps (an exact bound of how many tokens differ) are verified
-   too, in blocks of bounded size. Only sets outside a key's largest group are compared with the
-   others, so groups aren't expanded into pairs, and no link is lost.
+5. Keys whose sets are in several groups. Where they are many, each set first goes to one task with
+   others of its largest key; the task's own union-find takes a pair only while its sets are in different
+   groups, so it returns fewer links than it has sets, however many of them are similar to each other. Then sets of
+   different groups that are close enough by their sizes and by their parity bitmaps (an exact bound of
+   how many tokens differ) are verified too, in blocks of bounded size. Only sets outside a key's largest
+   group are compared with the others, so groups aren't expanded into pairs, and no link is lost.
 
 Null and empty texts, and texts without words, have an empty set and are linked with
 nothing. Texts with fewer words than an n-gram have one token, the whole sequence. Rows
@@ -47,6 +49,8 @@ from .textcore import shingle_sets
 RARE, FEW = 16, 32
 #: Of a key with more sets, those outside its largest group and all of them that meet in one task, and bits of their bitmaps for each token.
 OUTSIDE, ALL, BITS = 512, 2048, 2
+#: Common tokens of the sets that are gathered in one task, about, and turns of gathering before what is left is compared.
+TOKENS, TURNS = 4_000_000, 3
 #: Bits of a token in the exchange beyond those that number all tokens: one in 2**SPARE is taken for common by chance.
 SPARE = 10
 
@@ -209,6 +213,12 @@ def indexed(nodes: DataFrame, percent: int) -> DataFrame:
     return written(ordered.mapInArrow(run, "node long, n long, known long, tokens binary, bitmap binary, keys array<long>"), "ready")
 
 
+def similar(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int) -> bool:
+    """Whether sets of n_a and n_b tokens are similar, by those (sorted) that others have too."""
+    both = int(contains(b, a).sum())
+    return 100 * both >= percent * (n_a + n_b - both)
+
+
 def verified(pairs: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are similar by their full sets."""
     left = ready.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
@@ -219,8 +229,7 @@ def verified(pairs: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
             sure = []
             for x, y, n_x, n_y in zip(batch.column("tokens_a"), batch.column("tokens_b"), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True):
                 a, b = (np.frombuffer(t.as_buffer(), np.uint64) for t in (x, y))
-                both = int(contains(b, a).sum())
-                sure.append(100 * both >= percent * (n_x + n_y - both))
+                sure.append(similar(a, b, n_x, n_y, percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(sure, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
@@ -262,6 +271,60 @@ def across(index: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
     return pairs.unionAll(found).distinct()
 
 
+def _spread(index: DataFrame) -> DataFrame:
+    """The rows of keys whose sets are in several components."""
+    ends = index.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return written(index.join(ends.where("low < high").select("key"), "key"), "spread")
+
+
+def gathered(index: DataFrame, ready: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Links (a, b) of nodes of different components (of_a, of_b) that meet in a block of the largest key that each node has.
+
+    A block's links are a forest over its components: fewer than its nodes. Turns deal the nodes to other blocks.
+    """
+    many = index.where(F.col("n_sets") > FEW)
+    own = many.groupBy("node").agg(F.max(F.struct("n_sets", "key")).alias("at"), *[F.first(c).alias(c) for c in ("n", "known", "component")])
+    own = own.select("node", F.col("at.key").alias("key"), "n", "known", "component")
+    parts = own.groupBy("key").agg(F.expr(f"cast(ceil(greatest(count(1) / {ALL}, sum(known) / {TOKENS})) as long)").alias("parts"))
+    dealt = own.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(turn)), "parts"))
+
+    def run(table: pa.Table) -> pa.Table:
+        node, n, known, component = (table.column(c).to_numpy() for c in ("node", "n", "known", "component"))
+        tokens = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        bitmaps = [np.frombuffer(x, np.uint8) for x in table.column("bitmap").to_pylist()]
+        size, out = len(node), []
+        now = np.tile(component, 2)  # as united so far, of the nodes and of those that they are compared with
+        for i, some in close_pairs(bitmaps * 2, np.tile(n, 2), np.tile(known, 2), now, size, percent):
+            for j in (some - size).tolist():
+                if now[i] != now[j] and similar(tokens[i], tokens[j], int(n[i]), int(n[j]), percent):
+                    now[now == now[j]] = now[i]
+                    out.append((i, j))
+        a, b = (np.array([x[k] for x in out], np.int64) for k in (0, 1))
+        return pa.table([pa.array(c[k]) for c in (node, component) for k in (a, b)], names=["a", "b", "of_a", "of_b"])
+
+    met = dealt.join(ready.select("node", "tokens", "bitmap"), "node").select("key", "block", "node", "n", "known", "component", "tokens", "bitmap")
+    return met.groupBy("key", "block").applyInArrow(run, "a long, b long, of_a long, of_b long")
+
+
+def between(index: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of nodes of different components with a key in common: all that it takes to join the components.
+
+    `index` has (key, n_sets, node, n, known, component).
+    """
+    spread, found = _spread(index), []
+    for turn in range(TURNS):
+        near = written(gathered(spread, ready, percent, turn), "gathered")
+        if not near.limit(1).count():
+            break
+        found.append(near.select("a", "b"))
+        united = components(near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("united"))
+        spread = _spread(spread.join(united, "component", "left").withColumn("component", F.coalesce("united", "component")).drop("united"))
+    links = written(verified(written(across(spread, ready, percent), "rest"), ready, percent), "more")
+    for near in found:
+        links = links.unionAll(near)
+    return links
+
+
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row (id, n_shingles, component_id) per document: the smallest id reachable over links of similarity >= percent / 100."""
     candidates = _candidates(df, id_col, text_col, width, percent)
@@ -278,10 +341,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     trees = components(links)
     placed = index.select("key", "n_sets", "node", "n", "known").join(trees, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(placed, "placed")
-    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = written(across(written(placed.join(spread, "key"), "spread"), ready, percent), "rest")
-    more = written(verified(rest, ready, percent), "more")
-    trees = components(written(links.unionAll(more), "all"))
+    trees = components(written(links.unionAll(between(placed, ready, percent)), "all"))
     # the smallest id of each set, and of each group of sets
     lowest = candidates.where("n > 0").groupBy("digest").agg(F.min("id").alias("low"))
     linked = written(digests.join(trees, "node").join(lowest, "digest").select("digest", "component", "low"), "linked")

@@ -236,3 +236,39 @@ def test_queries_on_the_given_tables(spark, make):
     rows = [(r.vec_id, list(r.embedding), (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = Counter(tuple(r) for r in QUERIES["op13_hard_negatives"](spark, SF).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
     assert got == mined(rows)
+
+
+@pytest.mark.parametrize("whole", [2048, 50])
+def test_dense_groups_return_few_pairs(spark, monkeypatch, whole):
+    """Sets that are nearly all similar, each a group of its own: their links grow with the sets, not with the pairs."""
+    monkeypatch.setattr(ngram_join, "ALL", whole)
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 63, 100, dtype=np.uint64)
+    sets = []
+    for _ in range(150):
+        own = base.copy()
+        own[rng.choice(100, rng.integers(0, 10), replace=False)] += np.uint64(rng.integers(1, 9))
+        sets.append(np.unique(own))
+    nodes = spark.createDataFrame([(i, len(x), bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, n long, tokens binary")
+    ready = ngram_join.indexed(nodes, 80)
+    index = ready.selectExpr("1L key", "150L n_sets", "node", "n", "known", "node component")
+    compared, across = [], ngram_join.across
+
+    def counted(*args):
+        compared.append(across(*args))
+        return compared[-1]
+
+    monkeypatch.setattr(ngram_join, "across", counted)
+    links = [(r.a, r.b) for r in ngram_join.between(index, ready, 80).collect()]
+    similar = {(a, b) for a in range(150) for b in range(a) if 100 * len(both := set(sets[a].tolist()) & set(sets[b].tolist())) >= 80 * (len(sets[a]) + len(sets[b]) - len(both))}
+    assert len(similar) > 2000 and {(max(x), min(x)) for x in links} <= similar
+
+    def grouped(pairs):
+        of = list(range(150))
+        for a, b in pairs:
+            of = [of[a] if x == of[b] else x for x in of]
+        return {frozenset(i for i in range(150) if of[i] == x) for x in of}
+
+    assert grouped(links) == grouped(similar)
+    n_pairs = sum(x.count() for x in compared)
+    assert n_pairs < 150 and len(links) < 150 * ngram_join.TURNS
