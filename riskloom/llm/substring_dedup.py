@@ -165,7 +165,8 @@ def remove_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
         windows = Windows(unpack(row["payload"]), text_col)
         return windows.hashes()[windows.candidates(flagged(windows.seeds(), row["bitmaps"], seed_owners))]
 
-    with_seeds = table.join(seeds, "block_id")
+    # blocks are joined alike at every size: a broadcast of the bitmaps would grow with the table
+    with_seeds = table.join(seeds.hint("shuffle_merge"), "block_id")
     confirmed, owners = recurring(with_seeds, windows_of, total // 10, "windows")
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,4 +189,4 @@ def remove_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in fields] + made, names=[f.name for f in fields] + [a.name for a in ADDED])
 
     found = confirmed.withColumnRenamed("bitmaps", "found")
-    return table.join(seeds, "block_id", "left").join(found, "block_id", "left").mapInArrow(locate, T.StructType(fields + ADDED))
+    return table.join(seeds.hint("shuffle_merge"), "block_id", "left").join(found.hint("shuffle_merge"), "block_id", "left").mapInArrow(locate, T.StructType(fields + ADDED))

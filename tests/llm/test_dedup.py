@@ -61,6 +61,12 @@ def test_substring_dedup_on_documents(make, documents):
     assert got == removed(documents)
 
 
+def test_substring_dedup_joins_alike_at_every_size(make):
+    found = substring_dedup.remove_repeats(make([(i, " ".join(NAMES[:60])) for i in range(4)]))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.n_removed for r in found.collect()} == {60}
+
+
 def test_substring_dedup_empty(make):
     assert substring_dedup.remove_repeats(make([])).count() == 0
 
