@@ -25,9 +25,9 @@ BLOCK_BYTES = 2 << 20
 OWNED = 1_000_000
 
 
-def pack(batch: pa.RecordBatch) -> bytes:
+def pack(batch: pa.RecordBatch, level: int | None = None) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 

@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as C
-from .tables import written
+from .exchange import pack, unpack
+from .tables import bucketed, written
 
 #: Tokens of a run that makes boilerplate if it is on distinct pages of a host.
 RUN = 8
@@ -175,7 +176,9 @@ def parse(source: str) -> tuple[list[str], list[str], list[str], bool]:
     return inside, outside, disowned, has_main
 
 
-PARSED = [T.StructField("row_id", T.LongType()), T.StructField("host", T.LongType()), T.StructField("main", T.ArrayType(T.StringType())), T.StructField("rest", T.ArrayType(T.StringType())), T.StructField("disowned", T.ArrayType(T.StringType()))]
+#: What a block of pages holds of each after its other columns; bytes of html that make a block, and zstd's level for it.
+PARSED = [("host", pa.int64()), ("main", pa.list_(pa.string())), ("rest", pa.list_(pa.string())), ("disowned", pa.list_(pa.string()))]
+BLOCK_BYTES, LEVEL = 4 << 20, 6
 
 
 def host_of(url: str | None) -> str:
@@ -184,27 +187,28 @@ def host_of(url: str | None) -> str:
 
 
 def _parsed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(block_id, payload): blocks of pages, packed, in buckets of their ids, so that they stay where they are when they meet their marks."""
     names = [f.name for f in pages.schema if f.name != html_col]
-    schema = T.StructType([pages.schema[n] for n in names] + PARSED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = TaskContext.get().partitionId() << 32
+        at = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in C.slices(whole, html_col, 1 << 20):
-                n = batch.num_rows
+            for batch in C.slices(whole, html_col, BLOCK_BYTES):
                 found = [parse(x or "") for x in batch.column(html_col).to_pylist()]
                 hosts = [xxhash.xxh3_64_intdigest(host_of(u)) >> 1 for u in batch.column(url_col).to_pylist()]
-                made = [
-                    pa.array(range(serial, serial + n), pa.int64()),
-                    pa.array(hosts, pa.int64()),
-                    pa.array([a if has else None for a, _, _, has in found], pa.list_(pa.string())),
-                    pa.array([b for _, b, _, _ in found], pa.list_(pa.string())),
-                    pa.array([c for _, _, c, _ in found], pa.list_(pa.string())),
-                ]
-                serial += n
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + made, names=[*names, *(f.name for f in PARSED)])
+                made = [hosts, [a if has else None for a, _, _, has in found], [b for _, b, _, _ in found], [c for _, _, c, _ in found]]
+                columns = [batch.column(c) for c in names] + [pa.array(x, kind) for x, (_, kind) in zip(made, PARSED, strict=True)]
+                payload = pack(pa.RecordBatch.from_arrays(columns, names=[*names, *(n for n, _ in PARSED)]), LEVEL)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([payload], pa.binary())], names=["block_id", "payload"])
+                at += 1
 
-    return written(pages.select(*names, html_col).mapInArrow(run, schema), "parsed")
+    return bucketed(pages.select(*names, html_col).mapInArrow(run, "block_id long, payload binary"), "parsed", "block_id")
+
+
+def _unpacked(payload: pa.Scalar) -> tuple[list[pa.Array], list[list]]:
+    """The pages' own columns, and what PARSED names."""
+    columns = unpack(payload).columns
+    return columns[: -len(PARSED)], [c.to_pylist() for c in columns[-len(PARSED) :]]
 
 
 def _runs(rest: list[str] | None) -> tuple[C.Words, np.ndarray]:
@@ -214,9 +218,21 @@ def _runs(rest: list[str] | None) -> tuple[C.Words, np.ndarray]:
     return words, C.grams(words.hashes, RUN, 11)
 
 
-def _covered(words: C.Words, runs: np.ndarray, repeated: list[int] | None) -> np.ndarray:
+def _keys(runs: list[np.ndarray], main: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a page's runs, and of the blocks of its main part."""
+    blocks = np.unique(np.array([_block_key(b) for b in main or []], np.uint64))
+    return np.unique(np.concatenate(runs)).view(np.int64), blocks.view(np.int64)
+
+
+def _by_row(marked: pa.Scalar, n: int) -> list[np.ndarray]:
+    """Which of their keys are repeated, for each of a block's n pages."""
+    places = np.sort(np.array(marked.values if marked.is_valid else [], np.int64))
+    return np.split(places & 0xFFFFFFFF, np.searchsorted(places >> 32, np.arange(1, n)))
+
+
+def _covered(words: C.Words, runs: np.ndarray, repeated: np.ndarray) -> np.ndarray:
     """Tokens in repeated runs; where a run only reaches into a block that has more, its few tokens there don't count."""
-    hit = np.flatnonzero(np.isin(runs, np.array(repeated or [], np.int64).view(np.uint64)))
+    hit = np.flatnonzero(np.isin(runs, repeated.view(np.uint64)))
     change = np.zeros(len(words) + 1, np.int64)
     change[hit] += 1
     change[hit + RUN] -= 1
@@ -236,30 +252,31 @@ def _block_key(block: str) -> int:
 
 
 def _suffixes(parsed: DataFrame) -> DataFrame:
-    """(host, key, row_id, page, main): the runs of each page's stream outside main parts, and the blocks of its main part.
+    """(host, key, block_id, place, page, main): the runs of each page's stream outside main parts, and the blocks of its main part.
+
+    A place is the page's row in its block and the key's index among the page's (:func:`_keys`).
 
     Equal streams, or equal main parts, have one page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, host, main, *lists in zip(*(batch.column(c).to_pylist() for c in ("row_id", "host", "main", "rest", "disowned")), strict=True):
-                streams = [_runs(x) for x in lists]
-                keys = np.unique(np.concatenate([k for _, k in streams])).view(np.int64)
-                n = len(keys)
-                if n:
-                    page = xxhash.xxh3_64_intdigest(b"".join(w.hashes.tobytes() + b"|" for w, _ in streams)) >> 1
-                    yield made(host, keys, row, page, False)
-                if main:
-                    blocks = np.unique(np.array([_block_key(b) for b in main], np.uint64)).view(np.int64)
-                    yield made(host, blocks, row, xxhash.xxh3_64_intdigest("\n".join(main).encode()) >> 1, True)
-
-    def made(host: int, keys: np.ndarray, row: int, page: int, main: bool) -> pa.RecordBatch:
+            for block, payload in zip(batch.column("block_id").to_pylist(), batch.column("payload"), strict=True):
+                for row, (host, main, *lists) in enumerate(zip(*_unpacked(payload)[1], strict=True)):
+                    streams = [_runs(x) for x in lists]
+                    keys, blocks = _keys([k for _, k in streams], main)
+                    if len(keys):
+                        page = xxhash.xxh3_64_intdigest(b"".join(w.hashes.tobytes() + b"|" for w, _ in streams)) >> 1
+                        yield made(host, keys, block, row << 32, page, False)
+                    if len(blocks):
+                        yield made(host, blocks, block, row << 32 | len(keys), xxhash.xxh3_64_intdigest("\n".join(main).encode()) >> 1, True)
+
+    def made(host: int, keys: np.ndarray, block: int, place: int, page: int, main: bool) -> pa.RecordBatch:
         n = len(keys)
-        columns = [pa.array(np.full(n, host)), pa.array(keys), pa.array(np.full(n, row)), pa.array(np.full(n, page, np.int64)), pa.array(np.full(n, main))]
-        return pa.RecordBatch.from_arrays(columns, names=["host", "key", "row_id", "page", "main"])
+        columns = [pa.array(np.full(n, host)), pa.array(keys), pa.array(np.full(n, block)), pa.array(place + np.arange(n)), pa.array(np.full(n, page, np.int64)), pa.array(np.full(n, main))]
+        return pa.RecordBatch.from_arrays(columns, names=["host", "key", "block_id", "place", "page", "main"])
 
-    return parsed.select("row_id", "host", "main", "rest", "disowned").mapInArrow(run, "host long, key long, row_id long, page long, main boolean")
+    return parsed.mapInArrow(run, "host long, key long, block_id long, place long, page long, main boolean")
 
 
 def _repeated_blocks(suffixes: DataFrame) -> DataFrame:
@@ -278,28 +295,31 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     suffixes = written(_suffixes(parsed), "suffixes")
     repeated = suffixes.where("not main").groupBy("host", "key").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low < high").select("host", "key")
     repeated = repeated.unionByName(_repeated_blocks(suffixes))
-    marks = suffixes.join(repeated, ["host", "key"]).groupBy("row_id").agg(F.collect_list("key").alias("keys"))
+    marks = suffixes.join(repeated, ["host", "key"]).groupBy("block_id").agg(F.collect_list("place").alias("marks"))
     names = [f.name for f in keep]
     schema = T.StructType(keep + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_boilerplate", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, shared = [], []
-            for main, rest, disowned, keys in zip(*(batch.column(c).to_pylist() for c in ("main", "rest", "disowned", "keys")), strict=True):
-                words, runs = _runs(rest)
-                covered = _covered(words, runs, keys)
-                common = 0
-                if main is not None:
-                    held = set(keys or [])
-                    gone = [bool(held) and int(np.uint64(_block_key(b)).view(np.int64)) in held for b in main]
-                    common = sum(len(b.split()) for b, g in zip(main, gone, strict=True) if g)
-                    main = " ".join(b for b, g in zip(main, gone, strict=True) if not g)
-                else:
-                    raw = words.data.tobytes()
-                    main = " ".join(raw[a:b].decode() for a, b, c in zip(words.starts.tolist(), words.ends.tolist(), covered.tolist(), strict=True) if not c)
-                texts.append(main)
-                shared.append(common + int(covered.sum() + _covered(*_runs(disowned), keys).sum()))
-            made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(shared, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + made, names=[*names, "text", "n_chars", "n_boilerplate"])
-
-    return parsed.join(marks, "row_id", "left").select(*names, "main", "rest", "disowned", "keys").mapInArrow(run, schema)
+            for payload, marked in zip(batch.column("payload"), batch.column("marks"), strict=True):
+                columns, (_, mains, rests, disowned_lists) = _unpacked(payload)
+                texts, shared = [], []
+                for main, rest, disowned, which in zip(mains, rests, disowned_lists, _by_row(marked, len(mains)), strict=True):
+                    (words, runs), apart = _runs(rest), _runs(disowned)
+                    keys = np.concatenate(_keys([runs, apart[1]], main))[which]
+                    covered = _covered(words, runs, keys)
+                    common = 0
+                    if main is not None:
+                        held = set(keys.tolist())
+                        gone = [bool(held) and int(np.uint64(_block_key(b)).view(np.int64)) in held for b in main]
+                        common = sum(len(b.split()) for b, g in zip(main, gone, strict=True) if g)
+                        main = " ".join(b for b, g in zip(main, gone, strict=True) if not g)
+                    else:
+                        raw = words.data.tobytes()
+                        main = " ".join(raw[a:b].decode() for a, b, c in zip(words.starts.tolist(), words.ends.tolist(), covered.tolist(), strict=True) if not c)
+                    texts.append(main)
+                    shared.append(common + int(covered.sum() + _covered(*apart, keys).sum()))
+                made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(shared, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + made, names=[*names, "text", "n_chars", "n_boilerplate"])
+
+    return parsed.join(marks.hint("shuffle_merge"), "block_id", "left").select("payload", "marks").mapInArrow(run, schema)

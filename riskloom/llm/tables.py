@@ -60,6 +60,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like `written`, in as many buckets of the key as a shuffle has partitions: a shuffle join on the key doesn't move it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
+    table = f"spark_catalog.default.llm_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def spare_name(columns: Iterable[str], name: str) -> str:
     """`name`, or it with as many underscores after it as make it differ from all columns, whatever their case."""
     taken = {c.lower() for c in columns}

@@ -329,3 +329,23 @@ def test_copies_cost_a_label_nothing(spark, make):
     model = toxicity.fit(labelled(spark, rows, "int"), label_col="label")
     got = [r.score for r in toxicity.score(spark.createDataFrame([(t,) for t in [*EN[:3], "", "vile horrid you"]], "text string"), model).collect()]
     assert max(got[:4]) < 0.5 < got[4]
+
+
+def test_html_blocks_stay_where_they_are(spark):
+    rows = [(i, f"https://h{i % 3}.org/{i}", f"<p>one two three four five six seven eight nine</p><p>page {i} has its own words {'w' * i}</p>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    made = html_extract.extract(pages)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "payload" in line]
+    assert "Bucketed: true" in plan and not moved
+    # only the marks are dealt by the blocks' ids
+    assert len(re.findall(r"Exchange hashpartitioning\(block_id", plan)) == 1
+    assert {r.page_id: r.text for r in made.collect()} == {i: f"page {i} has its own words {'w' * i}".strip() for i in range(60)}
+
+
+def test_html_marks_of_pages_of_one_block(spark):
+    shared = "<main><p>the same block on every page</p><p>own {0}</p></main><aside>an advert of eight words or more stands here {0}</aside>"
+    rows = [(0, None, None), (1, "https://a.org/x", "")] + [(i, f"https://a.org/{i}", shared.format(i)) for i in range(2, 30)]
+    got = {r.page_id: (r.text, r.n_boilerplate) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got[0] == ("", 0) and got[1] == ("", 0)
+    assert all(got[i] == (f"own {i}", 15) for i in range(2, 30))
