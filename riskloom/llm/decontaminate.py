@@ -7,7 +7,8 @@ about as many as the latent space has directions; each block's space is the SVD
 items (weighted to hold most of the energy) and the corpus's directions, so how much of
 an item it holds doesn't depend on the number of items. Windows of every document,
 of about an item's length and a quarter of it apart, are compared with the items by the
-cosine of window and latent item, each divided by its own norm. Candidates are confirmed on
+cosine of window and latent item, each divided by its own norm, if the text has a part that
+holds enough of the item's words for the confirmation. Candidates are confirmed on
 the words themselves: by the longest common subsequence of item and place, and of the
 item's answer (its last third) and place, so that paraphrases are found and chance
 resemblance is not.
@@ -78,24 +79,37 @@ def inverse_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
     return np.log((1 + found[-1]) / (1 + found[:-1])) + 0.05
 
 
-def _sketch(feature: np.ndarray, passage: np.ndarray, n: int, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A basis for the passages A (rows of length one): features x columns."""
+def _sketch(feature: np.ndarray, place: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A basis for the passages A (rows of length one) of the words at these places of their texts: features x columns."""
+    slot = place % PASSAGE
+    passage = np.cumsum(slot == 0) - 1
+    n = int(passage[-1]) + 1 if len(passage) else 0
     weight = idf[feature]
     size = np.sqrt(np.bincount(passage, weight * weight, minlength=n))
     weight = (weight / np.where(size > 0, size, 1)[passage]).astype(np.float32)
+    feature = feature.astype(np.uint16)  # sorted by their digits
     out = np.zeros(basis.shape, np.float32)
-    for a in range(0, n, 4000):
-        at = slice(*np.searchsorted(passage, [a, a + 4000]))
-        f, p, w = feature[at], passage[at] - a, weight[at, None]
-        if not len(f):
-            continue
-        first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-        projected = np.zeros((4000, basis.shape[1]), np.float32)
-        projected[p[first]] = np.add.reduceat(basis[f] * w, first, axis=0)
+    for a in range(0, n, 8192):
+        at = slice(*np.searchsorted(passage, [a, a + 8192]))
+        f, p, w = feature[at], passage[at] - a, weight[at]
+        rows = int(p[-1]) + 1
+        features_of, weights_of = np.zeros((rows, PASSAGE), np.uint16), np.zeros((rows, 1, PASSAGE), np.float32)
+        features_of[p, slot[at]] = f
+        weights_of[p, 0, slot[at]] = w
+        projected = np.empty((rows, basis.shape[1]), np.float32)
+        for i in range(0, rows, 64):  # what is gathered at a time stays in the cache
+            projected[i : i + 64] = np.matmul(weights_of[i : i + 64], basis[features_of[i : i + 64]])[:, 0]
         order = np.argsort(f, kind="stable")
-        f, back = f[order], (projected[p] * w)[order]
+        f, p, w = f[order], p[order], w[order, None]
         first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-        out[f[first]] += np.add.reduceat(back, first, axis=0)
+        ends, i = np.append(first[1:], len(f)), 0
+        while i < len(first):
+            j = max(i + 1, int(np.searchsorted(first, first[i] + 4096)))
+            some = slice(first[i], ends[j - 1])
+            back = projected[p[some]]
+            back *= w[some]
+            out[f[first[i:j]]] += np.add.reduceat(back, first[i:j] - first[i], axis=0)
+            i = j
     return out
 
 
@@ -113,9 +127,7 @@ def corpus_directions(docs: DataFrame, text_col: str, idf: np.ndarray) -> tuple[
             for batch in _parts(batches, text_col):
                 words = words_of(batch.column(text_col))
                 place = np.arange(len(words)) - np.repeat(words.first[:-1], words.counts())
-                new = (place % PASSAGE == 0).astype(np.int64)
-                passage = np.cumsum(new) - 1
-                total += _sketch(features(words), passage, int(new.sum()), idf, shared.value)
+                total += _sketch(features(words), place, idf, shared.value)
             step = len(total) // PARTS
             sums = [total[i * step : (i + 1) * step].tobytes() for i in range(PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS)), pa.array([task] * PARTS, pa.int64()), pa.array(sums, pa.binary())], names=["part", "task", "sums"])
@@ -185,10 +197,50 @@ class Items:
         # the window of each item is the largest that isn't longer, or the smallest
         choice = np.maximum(np.searchsorted(WINDOWS, counts, "right") - 1, 0)
         self.classes = [(w, np.flatnonzero((choice == i) & (counts > 0))) for i, w in enumerate(WINDOWS)]
-        order = np.concatenate([at for _, at in self.classes])
-        #: features x items in the order of classes, a row of zeros at the end
-        self.weights = np.zeros(((1 << BITS) + 1, len(order)), np.float32)
-        self.weights[:-1] = np.concatenate(blocks)[order].T
+        #: items x features, a column of zeros at the end
+        self.weights = np.zeros((len(ids), (1 << BITS) + 1), np.float32)
+        self.weights[:, :-1] = np.concatenate(blocks)
+        #: the distinct words of all items, and which each item's words are
+        self.known = np.unique(np.array([w for x in self.words for w in x], np.uint64))
+        self.phrases = [np.searchsorted(self.known, np.array(x, np.uint64)) for x in self.words]
+
+
+def possible(words: C.Words, items: Items, window: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (text, item) of which some place may hold LCS of the item's words; no other pair can be confirmed.
+
+    Texts are cut into parts as long as the longest place, so a place lies in two parts that follow each other.
+    """
+    sizes = np.array([len(items.phrases[i]) for i in ids])
+    longest = window + 2 * int(sizes.max())
+    counts = words.counts()
+    parts = -(-counts // longest)
+    begin = np.append(0, np.cumsum(parts))
+    text_of_word = np.repeat(np.arange(len(counts)), counts)
+    part = begin[text_of_word] + (np.arange(len(words)) - words.first[text_of_word]) // longest
+    index = np.minimum(np.searchsorted(items.known, words.hashes), len(items.known) - 1)
+    there = np.flatnonzero(items.known[index] == words.hashes)
+    part, index = part[there], index[there]
+    text_of_part = np.repeat(np.arange(len(counts)), parts)
+    phrase, starts = np.concatenate([items.phrases[i] for i in ids]), np.append(0, np.cumsum(sizes[:-1]))
+    texts, found = [], []
+    for a in range(0, len(text_of_part), 1024):
+        owner = text_of_part[a : a + 1025]  # with the part that follows
+        at = slice(*np.searchsorted(part, [a, a + len(owner)]))
+        held = np.zeros((len(items.known), len(owner)), np.uint8)
+        held[index[at], part[at] - a] = 1
+        held[:, :-1] |= held[:, 1:] * (owner[1:] == owner[:-1])
+        hits = np.add.reduceat(held[phrase], starts, axis=0, dtype=np.int32)[:, :1024]
+        item, row = np.nonzero(hits >= LCS * sizes[:, None])
+        texts.append(owner[row])
+        found.append(item)
+    pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *texts]) * len(ids) + np.concatenate([np.zeros(0, np.int64), *found]))
+    return pairs // len(ids), ids[pairs % len(ids)]
+
+
+def _double(sums: np.ndarray, owner: np.ndarray, by: int) -> None:
+    """Adds to each block's sum that of the block `by` further on, if its owner is the same."""
+    if by < len(sums):
+        sums[:-by] += sums[by:] * (owner[by:] == owner[:-by])
 
 
 def search(words: C.Words, items: Items) -> dict[int, list[tuple]]:
@@ -199,31 +251,37 @@ def search(words: C.Words, items: Items) -> dict[int, list[tuple]]:
     index = np.full(int(begin[-1]), 1 << BITS, np.int64)
     text_of_word = np.repeat(np.arange(len(counts)), counts)
     index[np.arange(len(words)) - words.first[text_of_word] + begin[text_of_word]] = features(words)
-    n = len(index) // STEP
-    sums = np.zeros((n, items.weights.shape[1]), np.float32)
-    for a in range(0, n, 2048):
-        part = index[a * STEP : (a + 2048) * STEP].reshape(-1, STEP)
-        for k in range(STEP):
-            sums[a : a + 2048] += items.weights[part[:, k]]
     squares = items.squares[index].reshape(-1, STEP).sum(axis=1)
+    index = index.reshape(-1, STEP)
     text_of_block = np.repeat(np.arange(len(counts)), padded // STEP)
     width, found = STEP, []
     for window, ids in items.classes:
         while width < window:  # windows near the end of a text go over what there is
-            by = width // STEP
-            if by < n:
-                same = text_of_block[by:] == text_of_block[:-by]
-                sums[:-by] += sums[by:] * same[:, None]
-                squares[:-by] += squares[by:] * same
+            _double(squares, text_of_block, width // STEP)
             width *= 2
-        if not len(ids):
+        if not len(ids) or not len(index):
             continue
         size = np.sqrt(np.maximum(squares, 1e-9))
-        for a in range(0, n, 4096):
-            near = sums[a : a + 4096, : len(ids)]
-            row, column = np.nonzero(near >= (COSINE * size[a : a + 4096])[:, None])
-            found.append(np.stack([text_of_block[row + a], ids[column], row + a, near[row, column] / size[row + a], np.full(len(row), window)], axis=1))
-        sums = sums[:, len(ids) :]  # the rest is of longer items
+        texts, chosen = possible(words, items, window, ids)
+        blocks = padded[texts] // STEP
+        ends = np.cumsum(blocks)
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - blocks[a] + (1 << 16), "right")))
+            pair = np.repeat(np.arange(a, b), blocks[a:b])
+            block = np.arange(len(pair)) - (ends - blocks)[pair] + (ends[a] - blocks[a]) + begin[texts[pair]] // STEP
+            item = chosen[pair]
+            near = items.weights[item, index[block, 0]]
+            for k in range(1, STEP):
+                near += items.weights[item, index[block, k]]
+            reach = STEP
+            while reach < window:
+                _double(near, pair, reach // STEP)
+                reach *= 2
+            row = np.flatnonzero(near >= COSINE * size[block])
+            block, near = block[row], near[row]
+            found.append(np.stack([text_of_block[block], item[row], block, near / size[block], np.full(len(row), window)], axis=1))
+            a = b
     out: dict[int, list[tuple]] = {}
     if not found:
         return out

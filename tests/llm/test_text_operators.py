@@ -349,3 +349,28 @@ def test_html_marks_of_pages_of_one_block(spark):
     got = {r.page_id: (r.text, r.n_boilerplate) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
     assert got[0] == ("", 0) and got[1] == ("", 0)
     assert all(got[i] == (f"own {i}", 15) for i in range(2, 30))
+
+
+def test_decontaminate_looks_only_where_a_match_may_be(monkeypatch):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    phrases = [" ".join(rng.choice(vocabulary[:400], n)) for n in rng.integers(14, 80, 40)]
+    texts = ["", None, phrases[0], *(" ".join(rng.choice(vocabulary, n)) for n in rng.integers(1, 900, 60))]
+    for i in range(3, 43):  # planted anywhere, whole or with words left out
+        words, item = texts[i].split(), phrases[i - 3].split()
+        at = int(rng.integers(0, len(words) + 1))
+        texts[i] = " ".join(words[:at] + [w for w in item if i % 2 or rng.random() > 0.3] + words[at:])
+    idf = rng.uniform(1, 6, 1 << decontaminate.BITS)
+    directions = np.linalg.qr(rng.standard_normal((1 << decontaminate.BITS, 8)))[0].astype(np.float32)
+    items = decontaminate.Items(list(range(40)), phrases, idf, directions, np.ones(8))
+    words = decontaminate.words_of(pa.array(texts, pa.string()))
+    few = sum(len(decontaminate.possible(words, items, w, ids)[0]) for w, ids in items.classes if len(ids))
+    got = decontaminate.search(words, items)
+
+    def every(words, items, window, ids):
+        n = len(words.counts())
+        return np.repeat(np.arange(n), len(ids)), np.tile(ids, n)
+
+    monkeypatch.setattr(decontaminate, "possible", every)
+    assert got == decontaminate.search(words, items) and sum(map(len, got.values())) >= 35
+    assert few < len(texts) * len(phrases) / 10
