@@ -1,5 +1,6 @@
 """Regressions in shared passes, search, calibration, nested audit, refits and saved pipelines."""
 
+import os
 import json
 
 import numpy as np
@@ -230,3 +231,13 @@ def test_refit_on_all_splits_is_the_fit_of_their_union(spark, cohort_rows):
     assert whole.scales != train.scales and whole.fit_splits is None
     with pytest.raises(ValueError):
         FT.fit_preparation(cohort_rows, None, "mode")
+
+
+def test_design_writes_a_column_for_each_feature(spark):
+    rows = [(i % 3, i % 2, float(i % 5), None if i % 7 == 0 else float("nan") if i % 7 == 1 else i / 10) for i in range(60)]
+    df = spark.createDataFrame([*rows, (None, 1, 1.0, 1.0), (1, None, 1.0, 1.0), (1, 2, 1.0, 1.0)], "fold int, t int, a double, b double")
+    data = L.design(df, ["a", "b"], "t", "fold")
+    assert [(c, t) for c, t in data.dtypes] == [("part", "int"), ("y", "int"), ("x", "array<double>")]
+    assert sorted((r.part, r.y, *r.x) for r in data.collect()) == sorted((f, t, a, 0.0 if b is None or b != b else b) for f, t, a, b in rows)
+    (folder,) = {os.path.dirname(f) for f in data.inputFiles()}
+    assert spark.read.parquet(folder).columns == ["part", "y", "x0", "x1"]
