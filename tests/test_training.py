@@ -1,7 +1,7 @@
 """Regressions in shared passes, search, calibration, nested audit, refits and saved pipelines."""
 
-import os
 import json
+import os
 
 import numpy as np
 import pytest
