@@ -241,3 +241,31 @@ def test_design_writes_a_column_for_each_feature(spark):
     assert sorted((r.part, r.y, *r.x) for r in data.collect()) == sorted((f, t, a, 0.0 if b is None or b != b else b) for f, t, a, b in rows)
     (folder,) = {os.path.dirname(f) for f in data.inputFiles()}
     assert spark.read.parquet(folder).columns == ["part", "y", "x0", "x1"]
+
+
+def test_equal_specs_are_fitted_once_and_collinear_l1_models_end(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 3))
+    x[:, 2] = x[:, 0] + x[:, 1] + 1e-3 * rng.normal(size=900)
+    y = rng.random(900) < 1 / (1 + np.exp(-(x[:, 0] - 0.5 * x[:, 1])))
+    df = spark.createDataFrame([(i % 3 + 1, int(t), *map(float, v)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "f int, t int, u double, v double, w double")
+    data = L.design(df, FEATURES, "t", "f")
+    passed = []
+    real = L._pass
+    monkeypatch.setattr(L, "_pass", lambda table, beta, *a, **k: (passed.append(beta.shape[1]), real(table, beta, *a, **k))[1])
+    # a fold left out by the model and one by its calibration, in either order
+    jobs = {str(o): (L.Spec(tuple(p for p in (1, 2, 3) if p != o), 150.0, 1.0), [[i] for i in (1, 2, 3) if i != o]) for o in (1, 2, 3)}
+    models = SE.cross_fit(data, FEATURES, jobs)
+    assert max(passed) == 3 and len(passed) < 15
+    assert all(len(m.fits) == 2 and all(f.converged for f in m.fits) for m in models.values())
+    assert models["1"].fits[0] == models["2"].fits[0] and models["1"].chain[0][1:] != models["2"].chain[0][1:]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_exact_step_has_no_better_neighbour(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(50, 6))
+    h, g, b, l1 = x.T @ x, rng.normal(0, 40, 6), rng.normal(size=6) * (rng.random(6) < 0.5), np.append(0.0, rng.exponential(20, 5))
+    value = lambda d: g @ d + d @ h @ d / 2 + l1 @ np.abs(b + d)
+    d = L.exact_step(b, g, h, l1, np.zeros(6))
+    assert all(value(d + rng.normal(0, s, 6) * (rng.random(6) < 0.5)) >= value(d) - 1e-9 * abs(value(d)) for s in (1, 1e-2, 1e-4) for _ in range(200))
