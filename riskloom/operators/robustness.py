@@ -7,7 +7,6 @@ no per-iteration Python loop touches data.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -31,6 +30,7 @@ from riskloom.config import (
 )
 from riskloom.functions.expressions import clip_probability, risk_band, sigmoid
 from riskloom.functions.hashing import keyed_md5
+from riskloom.functions.md5_rows import Texts, gathered
 from riskloom.operators import metrics as M
 from riskloom.operators.ranking import rank_by_hash
 from riskloom.sources.tables import shared_table
@@ -83,17 +83,22 @@ def _poisson1_cdf(kmax: int = 16) -> list[float]:
 POISSON1_CDF = _poisson1_cdf()
 
 
+#: Weight of a draw by its first 16 bits; 255 where one of the cumulative probabilities lies within.
+_LIMITS = np.array(POISSON1_CDF) * 2.0**48
+_WEIGHTS = np.searchsorted(_LIMITS, np.arange(1 << 16) * 2.0**32, "right").astype(np.uint8)
+_WEIGHTS[_WEIGHTS != np.searchsorted(_LIMITS, np.arange(1, (1 << 16) + 1) * 2.0**32 - 1, "right")] = 255
+
+
 def poisson_weights(keys: Sequence, iterations: int, seed: int = 42) -> np.ndarray:
     """Poisson(1) weights (keys x iterations): the inverse CDF at the first 48 bits of md5('<seed>:boot:<iteration>:<key>')."""
-    draws = np.empty((len(keys), iterations))
-    texts = [str(k).encode() for k in keys]
+    texts = Texts([str(k).encode() for k in keys])
+    out = np.empty((iterations, len(keys)), np.uint8)
     for i in range(iterations):
-        start = hashlib.md5(f"{seed}:boot:{i + 1}:".encode())
-        for j, text in enumerate(texts):
-            own = start.copy()
-            own.update(text)
-            draws[j, i] = int.from_bytes(own.digest()[:6], "big")
-    return np.searchsorted(np.array(POISSON1_CDF) * 2.0**48, draws, "right").astype(np.uint8)
+        draws = texts.first8(f"{seed}:boot:{i + 1}:".encode())
+        own = out[i] = _WEIGHTS[draws >> np.uint64(48)]
+        for j in np.flatnonzero(own == 255):
+            out[i, j] = np.searchsorted(_LIMITS, float(int(draws[j]) >> 16), "right")
+    return np.ascontiguousarray(out.T)
 
 
 class _Resamples:
@@ -108,26 +113,31 @@ class _Resamples:
         self.pos_x = self.zero.copy()
 
     def _ranked(self, pos: np.ndarray, neg: np.ndarray) -> None:
-        before = np.cumsum(neg, axis=0) - neg
-        self.rank += (pos * (self.below + before + 0.5 * neg)).sum(axis=0)
-        self.below = self.below + neg.sum(axis=0)
+        half = np.cumsum(neg, axis=0)
+        total = half[-1].copy() if len(half) else self.zero
+        half -= 0.5 * neg
+        self.rank += np.einsum("ij,ij->j", pos, half) + self.below * pos.sum(axis=0)
+        self.below = self.below + total
 
     def add(self, y: np.ndarray, p: np.ndarray, clipped: np.ndarray, w: np.ndarray) -> None:
         w = w.astype(np.float64)
         own, hit = y == 1, p >= self.threshold
-        for k, some in enumerate((~own & ~hit, ~own & hit, own & ~hit, own & hit)):
-            self.counts[k] += w[some].sum(axis=0)
-        self.counts[4] += (clipped - y) ** 2 @ w
-        self.counts[5] -= (y * np.log(clipped) + (1 - y) * np.log(1 - clipped)) @ w
         x = np.log(clipped / (1 - clipped))
-        self.pos_x += (y * x) @ w
+        each = [~own & ~hit, ~own & hit, own & ~hit, own & hit, (clipped - y) ** 2, -(y * np.log(clipped) + (1 - y) * np.log(1 - clipped)), y * x]
+        sums = np.stack([k.astype(np.float64) for k in each]) @ w
+        self.counts += sums[:6]
+        self.pos_x += sums[6]
         place = np.floor(x * BOOTSTRAP_BINS).astype(np.int64)
         starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         gap = x - (place + 0.5) / BOOTSTRAP_BINS
-        self.bins.append((place[starts], np.stack([np.add.reduceat(w * (gap**j)[:, None], starts, axis=0) for j in range(5)])))
+        powers = np.stack([gap**j for j in range(5)])
+        # scores come in order, so the rows of a bin are neighbours
+        self.bins.append((place[starts], np.stack([powers[:, a:b] @ w[a:b] for a, b in zip(starts, np.append(starts[1:], len(x)), strict=True)], axis=1)))
         # groups of equal scores; the last one may go on in the next batch
         starts = np.flatnonzero(np.append(True, clipped[1:] != clipped[:-1]))
-        pos, neg = (np.add.reduceat(w * k[:, None], starts, axis=0) for k in (y, 1 - y))
+        pos, neg = (w * k[:, None] for k in (y, 1 - y))
+        if len(starts) < len(w):
+            pos, neg = (np.add.reduceat(k, starts, axis=0) for k in (pos, neg))
         if self.tie is not None:
             if self.tie[0] == clipped[0]:
                 pos[0] += self.tie[1]
@@ -135,12 +145,15 @@ class _Resamples:
             else:
                 self._ranked(self.tie[1][None], self.tie[2][None])
         self._ranked(pos[:-1], neg[:-1])
-        self.tie = (float(clipped[-1]), pos[-1], neg[-1])
+        self.tie = (float(clipped[-1]), pos[-1].copy(), neg[-1].copy())
 
     def rows(self, model: str, part: int) -> pa.RecordBatch:
         if self.tie is not None:
             self._ranked(self.tie[1][None], self.tie[2][None])
         place, powers = np.concatenate([b[0] for b in self.bins]), np.concatenate([b[1] for b in self.bins], axis=1)
+        # a bin that went on in the next batch is one
+        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        place, powers = place[starts], np.add.reduceat(powers, starts, axis=1)
         n = len(self.zero)
         sums = np.vstack([self.counts, self.rank, self.pos_x])
         return pa.RecordBatch.from_arrays(
@@ -175,35 +188,24 @@ def _resample_metrics(table: pa.Table, fn_cost: float, fp_cost: float) -> pa.Tab
 def bootstrap_metrics(scores: DataFrame, iterations: int, threshold: float, fn_cost: float = 1.0, fp_cost: float = 1.0, seed: int = 42, key: str = ROW_ID) -> DataFrame:
     """(model_name, iteration, metrics) of Poisson resamples, the same draws for every model.
 
-    A row's weights in all resamples are drawn once, for all models, and go with its scores as one short binary. Scores are
-    dealt into ranges of (model, clipped p), so equal ones meet; each task returns, for each resample, sums and bins of the logit whose number
-    doesn't depend on the rows. No row is repeated for a resample.
+    Scores are dealt into ranges of (model, clipped p), so equal ones meet, and only then drawn: neither weights nor rows are moved
+    or repeated for a resample. Each task returns, for each resample, sums and bins of the logit whose number doesn't depend on the rows.
     """
     spark = scores.sparkSession
-    wide = scores.groupBy(F.col(key).alias("key"), F.col("y").cast("int").alias("y")).agg(F.collect_list(F.struct("model_name", "p")).alias("s"))  # a model each
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                lists = batch.column("s")
-                own = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-                w = [x.tobytes() for x in poisson_weights(batch.column("key").to_pylist(), iterations, seed)]
-                each = lists.flatten()
-                yield pa.RecordBatch.from_arrays([each.field("model_name"), batch.column("y").take(pa.array(own)), each.field("p"), pa.array([w[i] for i in own], pa.binary())], names=["model_name", "y", "p", "w"])
-
-    drawn = wide.mapInArrow(draw, "model_name string, y int, p double, w binary").withColumn("q", F.round(clip_probability(F.col("p")), M.ROUND_P))
+    q = F.round(clip_probability(F.col("p")), M.ROUND_P)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = drawn.repartitionByRange(parts, "model_name", "q").sortWithinPartitions("model_name", "q")
+    rows = scores.select("model_name", F.col(key).alias("key"), F.col("y").cast("int").alias("y"), "p", q.alias("q"))
+    ranged = rows.repartitionByRange(parts, "model_name", "q").sortWithinPartitions("model_name", "q")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, model, own = TaskContext.get().partitionId(), None, None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000)
+        for whole in gathered(batches):
+            # hashes go through many texts at a time, sums through as many rows as a core's cache takes
+            weights = poisson_weights(whole.column("key").to_pylist(), iterations, seed)
+            for at in range(0, whole.num_rows, 1000):
+                batch, w = whole.slice(at, 1000), weights[at : at + 1000]
                 names = batch.column("model_name")
-                y, p, q = (batch.column(c).to_numpy() for c in ("y", "p", "q"))
-                w = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("w")])
+                y, p, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "p", "q"))
                 for name in pc.unique(names).to_pylist():
                     mine = pc.equal(names, name).to_numpy(zero_copy_only=False)
                     if name != model:
