@@ -7,15 +7,17 @@ no per-iteration Python loop touches data.
 
 from __future__ import annotations
 
+import gc
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.config import (
     CV_MODERATE_MAX_PCT,
@@ -29,11 +31,8 @@ from riskloom.config import (
     LinearScorer,
 )
 from riskloom.functions.expressions import clip_probability, risk_band, sigmoid
-from riskloom.functions.hashing import keyed_md5
 from riskloom.functions.md5_rows import Texts, gathered
 from riskloom.operators import metrics as M
-from riskloom.operators.ranking import rank_by_hash
-from riskloom.sources.tables import shared_table
 
 CV_METRICS = ["roc_auc", "brier", "log_loss", "calibration_slope_error", "calibration_intercept_abs", "accuracy", "precision", "recall",
               "specificity", "f1", "false_positive_rate", "false_negative_rate", "positive_prediction_rate", "positive_prevalence",
@@ -253,39 +252,146 @@ def linear_score_from(scorer: LinearScorer, value_of) -> Column:
     return F.round(sigmoid(z), scorer.round_digits)
 
 
-def permuted_table(rows: DataFrame, features: Sequence[str], repeats: int, seed: int = 42, key: str = ROW_ID) -> DataFrame:
-    """Rows x (feature, repeat) with ``permuted_value``: the feature value of another row.
+#: Cells of a hash order that are counted, ranks that are paired at a time, and permuted values that are kept at a time.
+PERMUTATION_CELLS, PERMUTATION_RANKS, PERMUTED_AT_ONCE = 1 << 10, 1 << 17, 1 << 24
+_ORDERS = ("perm_a", "perm_b")
 
-    Row with rank ``r`` under order A receives the value of the row with rank
-    ``r`` under an independent order B — a uniform random permutation per
-    (feature, repeat), computed with :func:`rank_by_hash` (balanced buckets,
-    no single-task window) and one equi-join.
+
+def _key_texts(keys: pa.Array) -> Texts:
+    # as concat_ws joins them: a null key leaves nothing behind the repeat
+    return Texts([b"" if k is None else b":" + k.encode() for k in keys.to_pylist()])
+
+
+def permutation_counts(rows: DataFrame, features: Sequence[str], repeats: int, seed: int = 42, key: str = ROW_ID) -> np.ndarray:
+    """Rows in each cell of both orders of each (feature, repeat): orders x features x repeats x cells, whatever the rows."""
+    shape = (len(_ORDERS), len(features), repeats, PERMUTATION_CELLS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, np.int64)
+        for batch in gathered(batches):
+            texts = _key_texts(batch.column("key"))
+            for o, order in enumerate(_ORDERS):
+                for i, f in enumerate(features):
+                    for r in range(repeats):
+                        total[o, i, r] += np.bincount(texts.first8(f"{seed}:{order}:{f}:{r + 1}".encode()) >> np.uint64(54), minlength=PERMUTATION_CELLS)
+        each = total.reshape(-1, PERMUTATION_CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(each), dtype=np.int32)), pa.array([x.tobytes() for x in each], pa.binary())], names=["place", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
+        return pa.table({"place": table.column("place").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(shape, np.int64)
+    schema = "place int, counts binary"
+    for r in rows.select(F.col(key).cast("string").alias("key")).mapInArrow(run, schema).groupBy("place").applyInArrow(add, schema).collect():
+        out.reshape(-1, PERMUTATION_CELLS)[r.place] = np.frombuffer(r.counts, np.int64)
+    return out
+
+
+def permuted_table(rows: DataFrame, features: Sequence[str], repeats: int, seed: int = 42, key: str = ROW_ID, kept: Callable[[str], Sequence[Column]] | None = None,
+                   only: Sequence[int] | None = None, counts: np.ndarray | None = None) -> DataFrame:
+    """(feature_name, repeat, kept columns, permuted_value): for each (feature, repeat) all rows, with the feature value of another row.
+
+    Row with rank ``r`` under order A receives the value of the row with rank ``r`` under an independent order B, both
+    by md5 of (feature, repeat, key) — a uniform random permutation. The cells of the orders' counts give the rank that each
+    cell begins with, so rows and values go once, packed, to the task that pairs their range of ranks; cells that lie in two ranges go to both.
+    `kept` are the columns that go along with a feature (all, if not given), `only` the repeats that are wanted.
     """
-    long = rows.select(
-        "*", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature_name")
-    ).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(int(repeats)))))
-    tag = F.concat_ws(":", F.col("feature_name"), F.col("repeat").cast("string"), F.col(key).cast("string"))
-    a = long.withColumn("_ha", keyed_md5(seed, "perm_a", tag))
-    a = rank_by_hash(a, ["feature_name", "repeat"], "_ha", key, rank_name="_r")
-    fv = F.coalesce(*[F.when(F.col("feature_name") == f, F.col(f).cast("double")) for f in features])
-    b = long.select("feature_name", "repeat", key, fv.alias("permuted_value")).withColumn("_hb", keyed_md5(seed, "perm_b", tag))
-    b = rank_by_hash(b, ["feature_name", "repeat"], "_hb", key, rank_name="_r").select("feature_name", "repeat", "_r", "permuted_value")
-    return a.join(b, ["feature_name", "repeat", "_r"]).drop("_ha", "_r")
+    features, numbers = list(features), list(range(1, repeats + 1) if only is None else only)
+    counts = permutation_counts(rows, features, repeats, seed, key) if counts is None else counts
+    starts = np.cumsum(counts, axis=-1) - counts
+    first, last = starts // PERMUTATION_RANKS, (starts + np.maximum(counts, 1) - 1) // PERMUTATION_RANKS
+    own = [[F.col(f"`{c}`") for c in rows.columns] if kept is None else list(kept(f)) for f in features]
+    names = rows.select(*own[0]).columns
+    sent = rows.select(F.col(key).cast("string").alias("key"), *[c.alias(f"k{i}_{j}") for i, cs in enumerate(own) for j, c in enumerate(cs)], *[F.col(f).cast("double").alias(f"v{i}") for i, f in enumerate(features)])
+    shared = rows.sparkSession.sparkContext.broadcast((starts, first, last))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, first, last = shared.value
+        for batch in gathered(batches):
+            texts = _key_texts(batch.column("key"))
+            for i, f in enumerate(features):
+                payloads = [[batch.column(f"k{i}_{j}") for j in range(len(names))], [batch.column(f"v{i}")]]
+                for r in numbers:
+                    out: list[tuple[int, int, int, int, bytes]] = []
+                    for o, order in enumerate(_ORDERS):
+                        hashes = texts.first8(f"{seed}:{order}:{f}:{r}".encode())
+                        at = np.argsort(hashes)
+                        cell = (hashes[at] >> np.uint64(54)).astype(np.int64)
+                        low, high = first[o, i, r - 1][cell], last[o, i, r - 1][cell]
+                        packed = pa.RecordBatch.from_arrays([pa.array(hashes), *payloads[o]], names=["h", *[f"c{j}" for j in range(len(payloads[o]))]]).take(pa.array(at))
+                        for block in range(int(low[0]), int(high[-1]) + 1) if len(at) else ():
+                            a, b = np.searchsorted(high, block), np.searchsorted(low, block, "right")
+                            if a < b:
+                                sink = pa.BufferOutputStream()
+                                with pa.ipc.new_stream(sink, packed.schema) as writer:
+                                    writer.write_batch(packed.slice(a, b - a))
+                                out.append((i, r, block, o, sink.getvalue().to_pybytes()))
+                    yield pa.RecordBatch.from_arrays([*[pa.array([x[k] for x in out], pa.int32()) for k in range(4)], pa.array([x[4] for x in out], pa.binary())], names=["feature", "repeat", "block", "side", "rows"])
+
+    def paired(table: pa.Table) -> pa.Table:
+        starts, _, _ = shared.value
+        i, r, block = (table.column(c)[0].as_py() for c in ("feature", "repeat", "block"))
+        sides = []
+        for o in range(len(_ORDERS)):
+            own = table.filter(pc.equal(table.column("side"), o)).column("rows")
+            whole = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in own])
+            hashes = whole.column("h").to_numpy()
+            at = np.argsort(hashes, kind="stable")
+            # the group has whole cells, so the first one tells the rank
+            skip = block * PERMUTATION_RANKS - int(starts[o, i, r - 1, int(hashes[at[0]] >> np.uint64(54))])
+            sides.append(whole.take(pa.array(at[skip : skip + PERMUTATION_RANKS])).drop_columns("h").combine_chunks())
+        n = sides[0].num_rows
+        columns = [pa.array([features[i]] * n, pa.string()), pa.array(np.full(n, r, np.int32)), *sides[0].columns, sides[1].column(0)]
+        return pa.table(columns, names=["feature_name", "repeat", *names, "permuted_value"])
+
+    moved = sent.mapInArrow(send, "feature int, repeat int, block int, side int, rows binary")
+    schema = T.StructType([T.StructField("feature_name", T.StringType()), T.StructField("repeat", T.IntegerType()), *rows.select(*own[0]).schema.fields, T.StructField("permuted_value", T.DoubleType())])
+    return moved.groupBy("feature", "repeat", "block").applyInArrow(paired, schema)
 
 
 def permutation_importance(rows: DataFrame, scorer: LinearScorer, repeats: int = 12, threshold: float = 0.5,
                            fn_cost: float = 1.0, fp_cost: float = 1.0, seed: int = 42, y: str = "Outcome",
                            groups: dict[str, str] | None = None) -> DataFrame:
-    feats = scorer.features()
+    """Mean change of each metric when a feature's values are permuted, over the repeats.
+
+    Repeats are scored a few at a time: what one lot has moved and kept is let go before the next, so disk doesn't grow with the repeats.
+    """
+    spark, feats = rows.sparkSession, list(scorer.features())
     base = rows.select(F.lit(scorer.name).alias("model_name"), F.col(y).alias("y"),
                        linear_score_from(scorer, lambda f: F.col(f)).alias("p"))
-    # only what the scores read goes along with each of the permutations
-    perm = permuted_table(rows.select(ROW_ID, y, *feats), feats, repeats, seed)
-    p_perm = linear_score_from(scorer, lambda f: F.when(F.col("feature_name") == f, F.col("permuted_value")).otherwise(F.col(f)))
-    ps = perm.select(F.lit(scorer.name).alias("model_name"), "feature_name", "repeat", F.col(y).alias("y"), p_perm.alias("p"))
-    ps = shared_table(ps, "permuted")
+    read = rows.select(ROW_ID, F.col(y).alias("y"), *feats)
+    counts = permutation_counts(read, feats, repeats, seed)
+    n = int(counts[0, 0, 0].sum()) if feats and repeats else 0
+    weight = {f: float(w) for f, w in scorer.weights}
+
+    def without(f: str) -> list[Column]:
+        z = F.lit(float(scorer.intercept))
+        for g in feats:
+            z = z if g == f else z + F.lit(weight[g]) * F.col(g)
+        return [F.col("y"), z.alias("rest")]
+
+    at_once = max(1, PERMUTED_AT_ONCE // max(1, n * len(feats)))
+    own = F.coalesce(*[F.when(F.col("feature_name") == f, F.lit(weight[f])) for f in feats])
+    p_perm = F.round(sigmoid(F.col("rest") + own * F.col("permuted_value")), scorer.round_digits)
     keys = ["model_name", "feature_name", "repeat"]
-    m = M.metric_payload(ps, keys, threshold, fn_cost, fp_cost, calibration=False)
+    found, schema = [], None
+    for start in range(1, repeats + 1, at_once):
+        some = range(start, min(start + at_once, repeats + 1))
+        perm = permuted_table(read, feats, repeats, seed, kept=without, only=some, counts=counts)
+        ps = perm.select(F.lit(scorer.name).alias("model_name"), "feature_name", "repeat", "y", p_perm.alias("p")).persist(StorageLevel.DISK_ONLY)
+        try:
+            own_metrics = M.metric_payload(ps, keys, threshold, fn_cost, fp_cost, calibration=False)
+            schema = own_metrics.schema
+            found += own_metrics.collect()  # a row for each (feature, repeat)
+        finally:
+            ps.unpersist(True)
+        if at_once < repeats:
+            # shuffle files go with the objects of their plans
+            del perm, ps, own_metrics
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+    m = spark.createDataFrame(found, schema)
     b = M.metric_payload(base, ["model_name"], threshold, fn_cost, fp_cost, calibration=False)
     long = unpivot(m, keys, PERMUTATION_METRICS).join(unpivot(b, ["model_name"], PERMUTATION_METRICS, value="baseline"),
                                                       ["model_name", "metric_name"])
