@@ -103,9 +103,9 @@ def poisson_weights(keys: Sequence, iterations: int, seed: int = 42) -> np.ndarr
 class _Resamples:
     """Sums of all resamples over one model's scores in ascending order of p, a batch at a time."""
 
-    def __init__(self, iterations: int, threshold: float):
-        self.threshold, self.zero = threshold, np.zeros(iterations)
-        self.counts = np.zeros((6, iterations))  # tn, fp, fn, tp, squared errors, log-loss
+    def __init__(self, iterations: int):
+        self.zero = np.zeros(iterations)
+        self.counts = np.zeros((8, iterations))  # tn, fp, fn, tp, squared errors, log-loss, negatives, positives
         self.rank, self.below = self.zero.copy(), self.zero.copy()
         self.tie: tuple[float, np.ndarray, np.ndarray] | None = None
         self.bins: list[tuple[np.ndarray, np.ndarray]] = []
@@ -118,14 +118,15 @@ class _Resamples:
         self.rank += np.einsum("ij,ij->j", pos, half) + self.below * pos.sum(axis=0)
         self.below = self.below + total
 
-    def add(self, y: np.ndarray, p: np.ndarray, clipped: np.ndarray, w: np.ndarray) -> None:
+    def add(self, y: np.ndarray, hit: np.ndarray, clipped: np.ndarray, w: np.ndarray) -> None:
+        """`hit` is 1 where the score reaches the threshold, 0 where not, -1 without a score; such a row counts for the other metrics, as in the payload."""
         w = w.astype(np.float64)
-        own, hit = y == 1, p >= self.threshold
+        own = y == 1
         x = np.log(clipped / (1 - clipped))
-        each = [~own & ~hit, ~own & hit, own & ~hit, own & hit, (clipped - y) ** 2, -(y * np.log(clipped) + (1 - y) * np.log(1 - clipped)), y * x]
+        each = [~own & (hit == 0), ~own & (hit == 1), own & (hit == 0), own & (hit == 1), (clipped - y) ** 2, -(y * np.log(clipped) + (1 - y) * np.log(1 - clipped)), ~own, own, y * x]
         sums = np.stack([k.astype(np.float64) for k in each]) @ w
-        self.counts += sums[:6]
-        self.pos_x += sums[6]
+        self.counts += sums[:8]
+        self.pos_x += sums[8]
         place = np.floor(x * BOOTSTRAP_BINS).astype(np.int64)
         starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         gap = x - (place + 0.5) / BOOTSTRAP_BINS
@@ -165,10 +166,11 @@ def _resample_metrics(table: pa.Table, fn_cost: float, fp_cost: float) -> pa.Tab
     """The metrics of one resample from its parts, in the order of scores."""
     table = table.sort_by("part")
     sums = np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in table.column("sums")])
-    (tn, fp, fn, tp, error, loss), rank, pos_x = sums[:, :6].sum(axis=0), sums[:, 6], sums[:, 7].sum()
-    negatives, positives = sums[:, 0] + sums[:, 1], sums[:, 2] + sums[:, 3]
+    (tn, fp, fn, tp, error, loss), (negatives, positives) = sums[:, :6].sum(axis=0), sums[:, 6:8].T
+    rank, pos_x = sums[:, 8], sums[:, 9].sum()
     before = np.cumsum(negatives) - negatives
-    n, pos, neg = tn + fp + fn + tp, positives.sum(), negatives.sum()
+    pos, neg = positives.sum(), negatives.sum()
+    n = pos + neg
     share = lambda a, b: float(a / b) if b else 0.0
     precision, recall = share(tp, tp + fp), share(tp, tp + fn)
     a, b = 0.0, 1.0
@@ -193,7 +195,7 @@ def bootstrap_metrics(scores: DataFrame, iterations: int, threshold: float, fn_c
     spark = scores.sparkSession
     q = F.round(clip_probability(F.col("p")), M.ROUND_P)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = scores.select("model_name", F.col(key).alias("key"), F.col("y").cast("int").alias("y"), "p", q.alias("q"))
+    rows = scores.select("model_name", F.col(key).alias("key"), F.col("y").cast("int").alias("y"), F.coalesce((F.col("p") >= threshold).cast("int"), F.lit(-1)).alias("hit"), q.alias("q"))
     ranged = rows.repartitionByRange(parts, "model_name", "q").sortWithinPartitions("model_name", "q")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,14 +206,14 @@ def bootstrap_metrics(scores: DataFrame, iterations: int, threshold: float, fn_c
             for at in range(0, whole.num_rows, 1000):
                 batch, w = whole.slice(at, 1000), weights[at : at + 1000]
                 names = batch.column("model_name")
-                y, p, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "p", "q"))
+                y, hit, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "hit", "q"))
                 for name in pc.unique(names).to_pylist():
                     mine = pc.equal(names, name).to_numpy(zero_copy_only=False)
                     if name != model:
                         if own is not None:
                             yield own.rows(model, part)
-                        model, own = name, _Resamples(iterations, threshold)
-                    own.add(y[mine], p[mine], q[mine], w[mine])
+                        model, own = name, _Resamples(iterations)
+                    own.add(y[mine], hit[mine], q[mine], w[mine])
         if own is not None:
             yield own.rows(model, part)
 

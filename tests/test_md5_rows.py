@@ -33,3 +33,15 @@ def test_weights_are_not_moved(spark):
     scores = spark.createDataFrame([("m", i, i % 2, i / 100) for i in range(100)], "model_name string, row_id long, y int, p double")
     plan = R.bootstrap_metrics(scores, 3, 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("RepartitionByExpression")
+
+
+def test_a_row_without_a_score_counts_as_in_the_payload(spark):
+    rows = [("m", i, i % 2, None if i in (4, 7) else (i + 1) / 40) for i in range(30)]
+    scores = spark.createDataFrame(rows, "model_name string, row_id long, y int, p double")
+    weights = R.poisson_weights(range(30), 1)[:, 0]
+    again = [r for r, w in zip(rows, weights, strict=True) for _ in range(w)]
+    want = R.M.metric_payload(spark.createDataFrame(again, scores.schema), ["model_name"], 0.4, 8.0, 1.0).head()
+    got = R.bootstrap_metrics(scores, 1, 0.4, 8.0, 1.0).head()
+    assert weights[4] + weights[7] > 0
+    for c in R.BOOTSTRAP_METRICS:
+        assert abs(got[c] - want[c]) < 1e-6, c
